@@ -114,20 +114,21 @@ def kept_files(marked: DataFrame) -> DataFrame:
     return marked.where(F.col("hit").isNull() & ~sym).drop("hit", "dir_hit")
 
 
-def limit_files(files: DataFrame, limit: int = MAX_FILES) -> DataFrame:
+def limit_files(files: DataFrame, limit: int = MAX_FILES, salt_buckets: int = 64) -> DataFrame:
     """At most ``limit`` files per project, first by ``rel_path`` (L1).
 
-    Only projects over the limit go through the window; the per-project counts
-    come from a partial aggregate, and ``row_number() <= limit`` lets Spark
-    apply the window group limit before the shuffle.
+    Two-stage top-N so that one project holding a third of all rows is never
+    sorted by one task: first per (project, salt) with ``salt`` a hash of the
+    path, then per project over at most ``limit x salt_buckets`` survivors.
+    ``row_number() <= limit`` lets Spark cut each group to ``limit`` rows per
+    map task before each shuffle (window group limit).
     """
-    counts = files.groupBy("project_id").agg(F.count(F.lit(1)).alias("_n"))
-    tagged = files.join(counts, "project_id")
-    small = tagged.where(F.col("_n") <= limit).drop("_n")
-    big = tagged.where(F.col("_n") > limit).drop("_n")
-    w = Window.partitionBy("project_id").orderBy("rel_path")
-    top = big.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
-    return small.unionByName(top)
+    salt = F.pmod(F.xxhash64("rel_path"), F.lit(salt_buckets))
+    w1 = Window.partitionBy("project_id", "_salt").orderBy("rel_path")
+    stage1 = (files.withColumn("_salt", salt).withColumn("_rn", F.row_number().over(w1))
+              .where(F.col("_rn") <= limit).drop("_rn", "_salt"))
+    w2 = Window.partitionBy("project_id").orderBy("rel_path")
+    return stage1.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= limit).drop("_rn")
 
 
 def loaded_files(catalogue: DataFrame, rules, limit: int = MAX_FILES) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ctxloom.constants import TREE_BLANK, TREE_BRANCH, TREE_LAST, TREE_PIPE
 from ctxloom.functions.paths import dir_prefixes, root_label, segments
 from ctxloom.functions.tokens import file_tokens
+from ctxloom.session import materialize
 
 
 def tree_nodes(files: DataFrame) -> DataFrame:
@@ -42,10 +43,15 @@ def with_sibling_order(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("is_last", F.lead(F.lit(1)).over(w).isNull())
 
 
-def render_lines(files: DataFrame) -> DataFrame:
+def render_lines(files: DataFrame, materialize_nodes: bool = True) -> DataFrame:
     """One row per node: ``(project_id, sort_key, line)``, in tree order when
-    sorted by ``sort_key`` (an array of ``(is_file, name)`` along the path)."""
+    sorted by ``sort_key`` (an array of ``(is_file, name)`` along the path).
+
+    The node table is read three times (folders, ancestors, lines), so it is
+    written once to the checkpoint folder instead of being recomputed."""
     nodes = with_sibling_order(tree_nodes(files))
+    if materialize_nodes:
+        nodes = materialize(nodes, "tree-nodes")
     folders = nodes.where(~F.col("is_file")).select(
         "project_id", F.col("path").alias("a_path"), F.col("depth").alias("a_depth"),
         F.col("is_last").alias("a_last"), F.col("name").alias("a_name"))

@@ -21,6 +21,7 @@ from ctxloom.operators.lines import head_tail_text
 from ctxloom.plans import common as C
 from ctxloom.plans import sqlviews as V
 from ctxloom.sources import views
+from ctxloom.session import materialize
 from ctxloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -399,7 +400,8 @@ terminal AS (
 
 
 def _fragments(spark, sf_dir, cap: int | None = None):
-    state = C.docs_selected_state(spark, sf_dir)
+    # the loaded files with their ticks feed the tree and the file list: write once
+    state = materialize(C.docs_selected_state(spark, sf_dir), "docs-state")
     trees = tree.render_tree(state)
     chosen = select.selected_only(state).select("project_id", "rel_path", "doc_id")
     files = C.with_content(chosen, spark, sf_dir)
@@ -447,7 +449,8 @@ SELECT project_id, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, CAST(sum(strlen
 FROM frags GROUP BY project_id""")
 def q_context_document(spark, sf_dir):
     """The flagship: one context document per project with its token count."""
-    frags = _fragments(spark, sf_dir)
+    # the fragment table is the primary output (S6); the document is built from it
+    frags = materialize(_fragments(spark, sf_dir), "fragments")
     return assemble.documents(frags)
 
 

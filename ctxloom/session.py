@@ -63,3 +63,15 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A location under the shared checkpoint folder for derived tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([base, *parts])
+
+
+def materialize(df, label: str):
+    """Write ``df`` once as parquet under the shared checkpoint folder and read
+    it back: later branches reuse the rows instead of recomputing the plan, and
+    the lineage is cut (a lost executor re-reads files, not the whole plan)."""
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, "tables", f"{label}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
