@@ -649,3 +649,37 @@ def q_project_scan_stats(spark, sf_dir):
     compiled = compile_project_rules(roots.select("project_id"), chosen)
     marked = scan.mark_hits(views.docs_meta(spark, sf_dir), compiled)
     return scan.scan_stats(marked)
+
+
+# --------------------------------------------------------- streaming
+@register("stream_latest_update", ORACLE_SQL["latest_update"])
+def q_stream_latest_update(spark, sf_dir):
+    """The update stream replayed as 8 file arrivals; equals ``latest_update``."""
+    from ctxloom.streaming import jobs
+    upd = views.updates(spark, sf_dir)
+    path = jobs.stage_arrivals(upd, "seq", 8, "updates")
+    return jobs.latest_content(spark, path, upd.schema)
+
+
+@register("stream_recent_commands", ORACLE_SQL["recent_commands"])
+def q_stream_recent_commands(spark, sf_dir):
+    """Command uses replayed as 8 file arrivals; equals ``recent_commands``."""
+    from ctxloom.streaming import jobs
+    h = views.history(spark, sf_dir)
+    path = jobs.stage_arrivals(h, "seq", 8, "history")
+    return jobs.recent_commands(spark, path, h.schema)
+
+
+@register("stream_file_estimate", f"""WITH {DOCS_LOADED},
+{SELECTION_SQL},
+{ACTIONS_SQL}
+SELECT project_id, CAST(count(*) AS BIGINT) AS n_files,
+  CAST(sum(CASE WHEN selected THEN {V.file_tokens('length')} ELSE 0 END) AS BIGINT) AS file_tokens,
+  CAST(ceil(CAST(sum(strlen(rel_path) + 4) + 16 AS FLOAT) / 4) AS BIGINT) AS tree_tokens
+FROM ticked GROUP BY project_id""")
+def q_stream_file_estimate(spark, sf_dir):
+    """Loaded files with ticks arriving in 8 batches; running estimate parts."""
+    from ctxloom.streaming import jobs
+    state = C.docs_selected_state(spark, sf_dir).select("project_id", "rel_path", "length", "selected", "doc_id")
+    path = jobs.stage_arrivals(state, "doc_id", 8, "files")
+    return jobs.running_estimate(spark, path, state.schema)
