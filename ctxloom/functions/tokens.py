@@ -12,14 +12,21 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _f32_quarter(n: Column) -> Column:
+    """``f32(n) / 4`` kept in float arithmetic: a float-by-float multiply stays
+    float, so the f32 rounding of ``n`` survives (a division would widen to
+    double and Catalyst would fold the two casts into one)."""
+    return n.cast("float") * F.lit(0.25).cast("float")
+
+
 def file_tokens(length) -> Column:
-    """``ceil(f32(bytes) / 4)``; dividing a float by 4 is exact."""
-    return F.ceil(_c(length).cast("float") / F.lit(4)).cast("bigint")
+    """``ceil(f32(bytes) / 4)``; multiplying a float by 1/4 is exact."""
+    return F.ceil(_f32_quarter(_c(length))).cast("bigint")
 
 
 def text_tokens(text) -> Column:
     """``ceil(f32(chars) / 4)`` over characters, 0 for null text."""
-    return F.coalesce(F.ceil(F.char_length(_c(text)).cast("float") / F.lit(4)).cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(F.ceil(_f32_quarter(F.char_length(_c(text)))).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def tree_estimate_chars(rel_path) -> Column:
@@ -28,7 +35,7 @@ def tree_estimate_chars(rel_path) -> Column:
 
 
 def chars_to_tokens(chars) -> Column:
-    return F.ceil(_c(chars).cast("float") / F.lit(4)).cast("bigint")
+    return F.ceil(_f32_quarter(_c(chars))).cast("bigint")
 
 
 def document_tokens(n_bytes) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ctxloom.constants import FILE_CLASSES, MAX_FILES, OTHER_CLASS
 from ctxloom.functions.paths import basename, parent_path, segments
+from ctxloom.functions.tokens import file_tokens
 from ctxloom.functions.text import (HTML_BLOCK_TAGS, HTML_ENTITIES, file_class, html_to_text,
                                     strip_comments)
 from ctxloom.operators import assemble, config, content, estimate, history, lines, scan, select, tree, updates
@@ -194,7 +195,7 @@ def q_class_tokens(spark, sf_dir):
     d = views.docs_meta(spark, sf_dir).withColumn("file_class", file_class(basename(F.col("rel_path"))))
     return d.groupBy("project_id", "file_class").agg(
         F.count(F.lit(1)).alias("n_files"),
-        F.sum(F.ceil(F.col("length").cast("float") / 4)).cast("bigint").alias("tokens"))
+        F.sum(file_tokens(F.col("length"))).cast("bigint").alias("tokens"))
 
 
 @register("path_parts", f"""WITH {V.WEB.split('web AS')[0].rstrip().rstrip(',')}
@@ -237,7 +238,7 @@ SELECT project_id, rel_path, length, {V.file_tokens('length')} AS tokens FROM lo
 def q_loaded_files(spark, sf_dir):
     """Files a project loads, with their size estimate."""
     f = C.docs_loaded(spark, sf_dir)
-    return f.select("project_id", "rel_path", "length", F.ceil(F.col("length").cast("float") / 4).cast("bigint").alias("tokens"))
+    return f.select("project_id", "rel_path", "length", file_tokens(F.col("length")).alias("tokens"))
 
 
 @register("file_limit", f"""WITH {V.DOCS},

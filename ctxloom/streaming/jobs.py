@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ctxloom.constants import MAX_HISTORY
-from ctxloom.functions.tokens import file_tokens
+from ctxloom.functions.tokens import chars_to_tokens, file_tokens
 from ctxloom.operators.history import clean_commands
 from ctxloom.session import scratch_path
 
@@ -84,6 +84,6 @@ def running_estimate(spark: SparkSession, path: str, schema, max_files: int = 1)
 
     def finish(batch: DataFrame) -> DataFrame:
         return batch.select("project_id", F.col("n_files").cast("bigint").alias("n_files"), "file_tokens",
-                            F.ceil((F.col("tree_chars") + 16).cast("float") / 4).cast("bigint").alias("tree_tokens"))
+                            chars_to_tokens(F.col("tree_chars") + 16).alias("tree_tokens"))
 
     return spark.read.parquet(_run(agg, "estimate", finish))
