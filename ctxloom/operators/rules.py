@@ -9,12 +9,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ctxloom.constants import RULE_FILE_LEGACY, RULE_FILE_NEW
 from ctxloom.functions.globs import compile_rule_text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compile_texts(texts: pd.Series, present: pd.Series) -> pd.Series:
     return pd.Series([compile_rule_text(t if p else None) for t, p in zip(texts, present)])
 
