@@ -1,0 +1,21 @@
+"""Join helpers: broadcast only behind a checked size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A broadcast side is materialised on the driver and shipped to every
+# executor; keep it to narrow tables of at most this many rows.
+MAX_BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast when ``df`` has at most ``max_rows`` rows.
+
+    The check counts at most ``max_rows + 1`` rows, so it stops early on a
+    large side; above the bound the join stays a shuffle join (where AQE can
+    still split skewed partitions).
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

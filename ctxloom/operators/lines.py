@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ctxloom.constants import HEAD_LINES, OUTPUT_TRUNCATED_MARKER, TAIL_LINES
 from ctxloom.functions.text import rust_lines
+from ctxloom.operators.joins import broadcast_if_small
 
 
 def head_tail_text(text, first_n: int = HEAD_LINES, last_n: int = TAIL_LINES) -> Column:
@@ -28,7 +29,8 @@ def head_tail_lines(lines: DataFrame, first_n: int = HEAD_LINES, last_n: int = T
     whole key); output ``(key, pos, line)`` with the marker at ``pos = first_n``.
     """
     totals = lines.groupBy("key").agg(F.count(F.lit(1)).alias("_total"))
-    j = lines.join(totals, "key")
+    # one key may hold a third of all lines: join its total without a shuffle
+    j = lines.join(broadcast_if_small(totals), "key")
     short = F.col("_total") <= first_n + last_n
     head = F.col("line_no") < first_n
     tail = F.col("line_no") >= F.col("_total") - last_n

@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 
 from ctxloom.constants import RULE_FILE_LEGACY, RULE_FILE_NEW
 from ctxloom.functions.globs import compile_rule_text
+from ctxloom.operators.joins import broadcast_if_small
 
 
 @F.pandas_udf(StringType())
@@ -38,7 +39,8 @@ def compile_project_rules(projects: DataFrame, rule_files: DataFrame | None) ->
     distinct_texts = chosen.select(F.col("text"), present.alias("_p")).distinct()
     compiled = distinct_texts.select("text", "_p", _compile_texts(F.col("text"), F.col("_p")).alias("regex"))
     keyed = chosen.select("project_id", "text", present.alias("_p"))
-    return keyed.join(F.broadcast(compiled), keyed["text"].eqNullSafe(compiled["text"]) & (keyed["_p"] == compiled["_p"]),
+    compiled = broadcast_if_small(compiled)
+    return keyed.join(compiled, keyed["text"].eqNullSafe(compiled["text"]) & (keyed["_p"] == compiled["_p"]),
                       "left").select(keyed["project_id"], compiled["regex"])
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ctxloom.constants import MAX_FILES
 from ctxloom.functions.paths import path_prefixes
+from ctxloom.operators.joins import broadcast_if_small
 
 # Above this many distinct rule sets, match against a regex column instead of
 # inlining one literal regex per rule set.
@@ -62,7 +63,7 @@ def _mark_hits_per_project(pre: DataFrame, rules: DataFrame) -> DataFrame:
         id_col = F.lit(None).cast("int")
         for rx, i in ids.items():
             id_col = F.when(F.col("regex") == F.lit(rx), F.lit(i)).otherwise(id_col)
-        proj = rules.select("project_id", id_col.alias("_rule_set"))
+        proj = broadcast_if_small(rules.select("project_id", id_col.alias("_rule_set")))
         joined = pre.join(proj, "project_id", "left")
         matchers = None
         for rx, i in ids.items():
@@ -72,7 +73,8 @@ def _mark_hits_per_project(pre: DataFrame, rules: DataFrame) -> DataFrame:
         hit = matchers.otherwise(F.lit(None).cast("string")) if matchers is not None else F.lit(None).cast("string")
         return joined.withColumn("hit", hit)
     # Many rule sets: the pattern is a column (compiled per row by rlike).
-    joined = pre.join(rules.select("project_id", F.col("regex").alias("_regex")), "project_id", "left")
+    joined = pre.join(broadcast_if_small(rules.select("project_id", F.col("regex").alias("_regex"))),
+                      "project_id", "left")
     hit = F.when(F.col("_regex").isNotNull(),
                  _first_match(F.col("_prefixes"), lambda p: p.rlike(F.col("_regex"))))
     return joined.withColumn("hit", hit)

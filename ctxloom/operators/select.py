@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ctxloom.functions.paths import path_prefixes
+from ctxloom.operators.joins import broadcast_if_small
 
 
 def carry_over(files: DataFrame, saved: DataFrame) -> DataFrame:
@@ -24,8 +25,10 @@ def apply_ticks(files: DataFrame, actions: DataFrame) -> DataFrame:
     Actions are first reduced to the latest per (project, folder), so the
     prefix join matches at most one action per prefix.
     """
-    latest = actions.groupBy("project_id", "folder").agg(
-        F.max(F.struct("seq", "value")).alias("_a"))
+    latest = broadcast_if_small(actions.groupBy("project_id", "folder").agg(
+        F.max(F.struct("seq", "value")).alias("_a")))
+    # every file has the root prefix '', so without a broadcast the (project, '')
+    # key of a large project is one hot shuffle partition (AQE splits it then)
     pre = files.select("project_id", "rel_path", F.explode(path_prefixes(F.col("rel_path"))).alias("folder"))
     hits = pre.join(latest, ["project_id", "folder"]).groupBy("project_id", "rel_path").agg(
         F.max("_a").alias("_a"))

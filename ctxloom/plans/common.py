@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ctxloom.functions.globs import compile_rule_lines
 from ctxloom.operators import scan, select
+from ctxloom.operators.joins import broadcast_if_small
 from ctxloom.sources import views
 from ctxloom.sources.tables import table
 
@@ -49,7 +50,10 @@ def web_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_content(files: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Join content by key onto the surviving selected files: content last."""
     text = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
-    return files.join(text, "doc_id", "left")
+    # broadcast the chosen keys when few, so the text column is not shuffled;
+    # otherwise a shuffle join (with a runtime bloom filter on the text side)
+    # (right outer join: the broadcast side must be the preserved one)
+    return text.join(broadcast_if_small(files), "doc_id", "right")
 
 
 def workspace(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
