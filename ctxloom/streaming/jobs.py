@@ -1,10 +1,13 @@
 """Streaming jobs.
 
-Input arrives as parquet files in a folder (one file per arrival batch);
-state is one row per key, kept by Spark's streaming aggregation, and the
-result table is rewritten by ``foreachBatch`` on every micro-batch (complete
-mode, so a rerun of a batch after a failure writes the same table).  The
-checkpoint and the output live under the shared checkpoint folder.
+Input arrives as parquet files in a folder (one or more files per arrival).
+State is one row per key, kept by Spark's streaming aggregation in update
+mode: each micro-batch emits only the keys it changed, and ``foreachBatch``
+writes them to their own ``epoch=<id>`` folder of a changelog table
+(overwrite, so a replayed epoch writes the same files).  Readers take the
+latest row per key (``read_latest``), which is also how the changelog would
+be compacted.  Checkpoint and changelog live under the shared checkpoint
+folder, so a restarted query resumes where it stopped.
 """
 
 from __future__ import annotations
@@ -28,19 +31,35 @@ def stage_arrivals(df: DataFrame, order_col: str, n_files: int, label: str) -> s
     return path
 
 
-def _run(agg: DataFrame, label: str, finish=None) -> str:
+def run_to_changelog(agg: DataFrame, label: str) -> str:
+    """Run an aggregating stream in update mode until the input is drained;
+    return the changelog folder (``epoch`` partitions of changed keys)."""
     spark = agg.sparkSession
     base = scratch_path(spark, "streams", f"{label}-{uuid.uuid4().hex[:12]}")
-    out = base + "/out"
+    log = base + "/changelog"
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        result = finish(batch) if finish is not None else batch
-        result.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{log}/epoch={epoch_id}")
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(write_batch)
+    q = (agg.writeStream.outputMode("update").foreachBatch(write_batch)
          .option("checkpointLocation", base + "/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return out
+    if not _exists(spark, log):  # no input arrived: an empty table, not a missing one
+        spark.createDataFrame([], agg.schema).write.mode("overwrite").parquet(f"{log}/epoch=-1")
+    return log
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
+def read_latest(spark: SparkSession, log: str, keys: list[str]) -> DataFrame:
+    """Current result: per key the row of the latest epoch (one grouped pass)."""
+    ch = spark.read.parquet(log)
+    values = [c for c in ch.columns if c not in keys and c != "epoch"]
+    latest = ch.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col("epoch")).alias("_v"))
+    return latest.select(*keys, *[F.col("_v")[c].alias(c) for c in values])
 
 
 def _source(spark: SparkSession, path: str, schema, max_files: int) -> DataFrame:
@@ -55,22 +74,19 @@ def latest_content(spark: SparkSession, path: str, schema, key: str = "url_key",
         F.max_by("content", F.struct("ts", "seq")).alias("content"),
         F.max(F.struct("ts", "seq"))["seq"].alias("last_seq"),
         F.count(F.lit(1)).alias("n_versions"))
-    return spark.read.parquet(_run(agg, "latest"))
+    return read_latest(spark, run_to_changelog(agg, "latest"), [key])
 
 
 def recent_commands(spark: SparkSession, path: str, schema, cap: int = MAX_HISTORY, max_files: int = 1) -> DataFrame:
     """Most-recently-used commands per user.  The stream keeps the last
-    use per (user, command); the top ``cap`` per user is taken in
-    ``foreachBatch`` (row-number windows are not allowed on streams)."""
+    use per (user, command); the top ``cap`` per user is a window over the
+    current table (row-number windows are not allowed on streams)."""
     s = clean_commands(_source(spark, path, schema, max_files))
     agg = s.groupBy("user_id", "command").agg(F.max(F.struct("ts", "seq")).alias("last"))
-
-    def top(batch: DataFrame) -> DataFrame:
-        w = Window.partitionBy("user_id").orderBy(F.col("last").desc())
-        r = batch.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
-        return r.select("user_id", "rank", "command", F.col("last.seq").alias("last_seq"))
-
-    return spark.read.parquet(_run(agg, "history", top))
+    current = read_latest(spark, run_to_changelog(agg, "history"), ["user_id", "command"])
+    w = Window.partitionBy("user_id").orderBy(F.col("last").desc())
+    r = current.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
+    return r.select("user_id", "rank", "command", F.col("last.seq").alias("last_seq"))
 
 
 def running_estimate(spark: SparkSession, path: str, schema, max_files: int = 1) -> DataFrame:
@@ -81,9 +97,6 @@ def running_estimate(spark: SparkSession, path: str, schema, max_files: int = 1)
         F.count(F.lit(1)).alias("n_files"),
         F.sum(F.when(F.col("selected"), file_tokens(F.col("length"))).otherwise(0)).cast("bigint").alias("file_tokens"),
         F.sum(F.octet_length("rel_path") + 4).cast("bigint").alias("tree_chars"))
-
-    def finish(batch: DataFrame) -> DataFrame:
-        return batch.select("project_id", F.col("n_files").cast("bigint").alias("n_files"), "file_tokens",
-                            chars_to_tokens(F.col("tree_chars") + 16).alias("tree_tokens"))
-
-    return spark.read.parquet(_run(agg, "estimate", finish))
+    cur = read_latest(spark, run_to_changelog(agg, "estimate"), ["project_id"])
+    return cur.select("project_id", F.col("n_files").cast("bigint").alias("n_files"), "file_tokens",
+                      chars_to_tokens(F.col("tree_chars") + 16).alias("tree_tokens"))

@@ -40,3 +40,10 @@ def test_recent_commands_stream_equals_batch(spark):
     got = jobs.recent_commands(spark, path, h.schema, cap=3)
     want = history.recent_commands(h, cap=3).select("user_id", "rank", "command", "last_seq")
     assert _same(got, want)
+
+
+def test_empty_input_gives_empty_result(spark):
+    upd = views.updates(spark, SF001)
+    path = scratch_path(spark, "streams", f"empty-{uuid.uuid4().hex[:8]}")
+    upd.limit(0).write.mode("overwrite").parquet(path)
+    assert jobs.latest_content(spark, path, upd.schema).count() == 0
