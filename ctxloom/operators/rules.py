@@ -14,6 +14,12 @@ from pyspark.sql.types import StringType
 from ctxloom.constants import RULE_FILE_LEGACY, RULE_FILE_NEW
 from ctxloom.functions.globs import compile_rule_text
 from ctxloom.operators.joins import broadcast_if_small
+from ctxloom.session import materialize
+
+
+# Up to this many distinct rule files are compiled on the driver (each is a
+# small text); more go through a vectorised UDF, one call per distinct text.
+MAX_DRIVER_COMPILED = 256
 
 
 @F.pandas_udf(StringType())
@@ -37,11 +43,20 @@ def compile_project_rules(projects: DataFrame, rule_files: DataFrame | None) ->
                                "project_id", "left")
     present = F.coalesce(F.col("_present"), F.lit(False)) & F.col("text").isNotNull()
     distinct_texts = chosen.select(F.col("text"), present.alias("_p")).distinct()
-    compiled = distinct_texts.select("text", "_p", _compile_texts(F.col("text"), F.col("_p")).alias("regex"))
+    n_texts = distinct_texts.limit(MAX_DRIVER_COMPILED + 1).count()
+    if n_texts <= MAX_DRIVER_COMPILED:
+        # few distinct rule files (the usual case): compile them on the driver
+        rows = [(r["text"], r["_p"], compile_rule_text(r["text"] if r["_p"] else None))
+                for r in distinct_texts.collect()]
+        compiled = chosen.sparkSession.createDataFrame(rows, "text string, _p boolean, regex string")
+    else:
+        compiled = distinct_texts.select("text", "_p", _compile_texts(F.col("text"), F.col("_p")).alias("regex"))
     keyed = chosen.select("project_id", "text", present.alias("_p"))
     compiled = broadcast_if_small(compiled)
-    return keyed.join(compiled, keyed["text"].eqNullSafe(compiled["text"]) & (keyed["_p"] == compiled["_p"]),
-                      "left").select(keyed["project_id"], compiled["regex"])
+    out = keyed.join(compiled, keyed["text"].eqNullSafe(compiled["text"]) & (keyed["_p"] == compiled["_p"]),
+                     "left").select(keyed["project_id"], compiled["regex"])
+    # one narrow row per project, read again by the matcher's checks: write once
+    return materialize(out, "project-rules")
 
 
 def ancestors(path_col: str) -> F.Column:
