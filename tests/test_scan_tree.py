@@ -3,7 +3,6 @@ walk; tree render (A5, A7, L3) against the recursive renderer; rollups."""
 
 import random
 
-from pyspark.sql import functions as F
 
 from ctxloom.functions.globs import compile_rule_lines
 from ctxloom.operators import scan, tree
