@@ -684,3 +684,14 @@ def q_stream_file_estimate(spark, sf_dir):
     state = C.docs_selected_state(spark, sf_dir).select("project_id", "rel_path", "length", "selected", "doc_id")
     path = jobs.stage_arrivals(state, "doc_id", 8, "files")
     return jobs.running_estimate(spark, path, state.schema)
+
+
+@register("stream_history_list")
+def q_stream_history_list(spark, sf_dir):
+    """Exact history lists (add / forget in event order, cap 50) from the
+    ``events`` stream; stateful per user.  No SQL form: the list edits are
+    sequential, so it is tested against a plain-Python list on whole tables."""
+    from ctxloom.streaming import history_list, jobs
+    ev = history_list.history_events(views.history(spark, sf_dir), views.forgets(spark, sf_dir))
+    path = jobs.stage_arrivals(ev, "seq", 8, "history-events", ordered=True)
+    return history_list.history_lists(spark, path, ev.schema)

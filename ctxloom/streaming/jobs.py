@@ -23,11 +23,25 @@ from ctxloom.operators.history import clean_commands
 from ctxloom.session import scratch_path
 
 
-def stage_arrivals(df: DataFrame, order_col: str, n_files: int, label: str) -> str:
-    """Write ``df`` as ``n_files`` parquet files split by ranges of
-    ``order_col`` (the arrival order); returns the folder."""
+def stage_arrivals(df: DataFrame, order_col: str, n_files: int, label: str, ordered: bool = False) -> str:
+    """Write ``df`` as about ``n_files`` parquet files split by ranges of
+    ``order_col`` (the arrival order); returns the folder.
+
+    The file source takes files in modification-time order; files written by
+    one job get no reliable order, which is fine for the commutative
+    aggregates.  ``ordered=True`` writes the ranges one after another (range
+    bounds from ``percentile_approx``) for jobs that need arrival order.
+    """
     path = scratch_path(df.sparkSession, "streams", f"{label}-in-{uuid.uuid4().hex[:12]}")
-    df.repartitionByRange(n_files, order_col).write.mode("overwrite").parquet(path)
+    if not ordered:
+        df.repartitionByRange(n_files, order_col).write.mode("overwrite").parquet(path)
+        return path
+    qs = [i / n_files for i in range(1, n_files)]
+    bounds = df.agg(F.percentile_approx(order_col, qs).alias("b")).first()["b"] or []
+    bucket = sum((F.col(order_col) > F.lit(b)).cast("int") for b in bounds) if bounds else F.lit(0)
+    tagged = df.withColumn("_arrival", bucket)
+    for i in range(len(bounds) + 1):
+        tagged.where(F.col("_arrival") == i).drop("_arrival").coalesce(1).write.mode("append").parquet(path)
     return path
 
 

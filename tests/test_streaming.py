@@ -47,3 +47,25 @@ def test_empty_input_gives_empty_result(spark):
     path = scratch_path(spark, "streams", f"empty-{uuid.uuid4().hex[:8]}")
     upd.limit(0).write.mode("overwrite").parquet(path)
     assert jobs.latest_content(spark, path, upd.schema).count() == 0
+
+
+def test_history_list_stream_matches_list_model(spark):
+    from ctxloom.streaming import history_list
+    ev = history_list.history_events(views.history(spark, SF001), views.forgets(spark, SF001))
+    path = jobs.stage_arrivals(ev, "seq", 4, "t-hl", ordered=True)
+    got = {}
+    for r in history_list.history_lists(spark, path, ev.schema, cap=5).orderBy("user_id", "rank").collect():
+        got.setdefault(r.user_id, []).append(r.command)
+    rows = ev.orderBy("ts", "seq").collect()
+    expected = {}
+    for r in rows:
+        expected[r.user_id] = history_list.apply_events(expected.get(r.user_id, []), [r.kind], [r.command], 5)
+    assert {u: v for u, v in expected.items() if v} == got
+
+
+def test_apply_events_forget_leaves_a_hole():
+    from ctxloom.streaming.history_list import apply_events
+    lst = apply_events([], ["add"] * 3, ["a", "b", "c"], 2)          # c, b  (a evicted)
+    assert lst == ["c", "b"]
+    assert apply_events(lst, ["forget"], ["b"], 2) == ["c"]          # a does not come back
+    assert apply_events(lst, ["add", "clear", "add"], [" b ", None, "z"], 2) == ["z"]
