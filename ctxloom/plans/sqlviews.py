@@ -32,14 +32,13 @@ web AS (
 
 PROJECTS = """projects AS (
   SELECT source AS project_id, min(doc_id) AS k, arg_min(lang, doc_id) AS lang
-  FROM documents GROUP BY source),
-nbench AS (SELECT count(*) AS n_items FROM benchmark)"""
+  FROM documents GROUP BY source)"""
 
 
 def numbered_text(name: str, offset: int) -> str:
     return f"""{name} AS (
-  SELECT p.project_id, b.text FROM projects p CROSS JOIN nbench n
-  JOIN benchmark b ON b.item_id = (p.k + {offset}) % n.n_items)"""
+  SELECT p.project_id, b.text FROM projects p
+  JOIN benchmark b ON b.item_id = (p.k + {offset}) % (SELECT count(*) FROM benchmark))"""
 
 
 def prefixes(col: str) -> str:

@@ -87,10 +87,8 @@ def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _numbered_text(spark: SparkSession, sf_dir: str, offset: int) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
-    n = b.agg(F.count(F.lit(1)).alias("n_items"))
-    # ``n`` is a global count: exactly one row, so the broadcast is bounded
-    p = projects(spark, sf_dir).crossJoin(F.broadcast(n))
-    p = p.withColumn("item_id", F.pmod(F.col("k") + F.lit(offset), F.col("n_items")))
+    n_items = b.select(F.count(F.lit(1))).scalar()          # scalar subquery, no join
+    p = projects(spark, sf_dir).withColumn("item_id", F.pmod(F.col("k") + F.lit(offset), n_items))
     return p.join(b, "item_id").select("project_id", "text")
 
 
