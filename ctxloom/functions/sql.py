@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ctxloom import constants as K
-from ctxloom.functions.text import HTML_ENTITIES, HTML_SPACE_STEPS, HTML_STEPS, STRIP_LINE_RE
+from ctxloom.functions.text import HTML_ENTITIES, HTML_SPACE_STEPS, HTML_STEPS, HTML_TRIM_CHARS, STRIP_LINE_RE
 
 
 def sql_str(s: str) -> str:
@@ -37,6 +37,7 @@ def _html_body(width: int = K.WRAP_COLUMNS) -> str:
         out = f"replace({out}, {sql_str(ent)}, {sql_str(ch)})"
     for pat, rep in HTML_SPACE_STEPS:
         out = f"regexp_replace({out}, {sql_str(pat)}, {sql_str(rep)})"
+    out = f"btrim({out}, {sql_str(HTML_TRIM_CHARS)})"
     out = f"regexp_replace({out}, {sql_str('([^\\n]{1,%d})(?: +|\\n|\\z)' % width)}, {sql_str('$1' + chr(10))})"
     return f"regexp_replace({out}, {sql_str(chr(92) + 'n' + chr(92) + 'z')}, '')"
 

@@ -82,12 +82,14 @@ HTML_STEPS = [
     (r"(?i)</?(?:" + "|".join(HTML_BLOCK_TAGS) + r")" + _TAG_REST, "\n"),
     (r"<[^>]*>", ""),
 ]
+# Each pattern matches only text it changes (a lone space or line break is
+# left alone), so the common case costs a scan and no rewrite.
 HTML_SPACE_STEPS = [
-    (r"[\t\x0B\f\r ]+", " "),
-    (r" *\n *", "\n"),
+    (r"[\t\x0B\f\r ]{2,}|[\t\x0B\f\r]", " "),
+    (r" +\n *|\n +", "\n"),
     (r"\n{2,}", "\n"),
-    (r"^[ \n]+|[ \n]+\z", ""),
 ]
+HTML_TRIM_CHARS = " \n"
 
 
 def html_to_text(html, width: int = WRAP_COLUMNS) -> Column:
@@ -101,6 +103,7 @@ def html_to_text(html, width: int = WRAP_COLUMNS) -> Column:
         out = F.replace(out, F.lit(ent), F.lit(ch))
     for pat, rep in HTML_SPACE_STEPS:
         out = F.regexp_replace(out, pat, rep)
+    out = F.btrim(out, F.lit(HTML_TRIM_CHARS))
     wrapped = F.regexp_replace(out, r"([^\n]{1,%d})(?: +|\n|\z)" % width, "$1\n")
     return F.regexp_replace(wrapped, r"\n\z", "")
 

@@ -19,7 +19,9 @@ def head_tail_text(text, first_n: int = HEAD_LINES, last_n: int = TAIL_LINES) ->
                    F.slice(lines, total - F.lit(last_n) + 1, last_n) if last_n > 0
                    else F.array().cast("array<string>"))
     kept = F.when(total <= first_n + last_n, lines).otherwise(cut)
-    return F.array_join(F.transform(kept, lambda l: F.concat(l, F.lit("\n"))), "")
+    # join + final newline instead of a per-line lambda: no lambda keeps the
+    # expression in generated code, where the split is computed once
+    return F.concat(F.array_join(kept, "\n"), F.when(F.size(kept) > 0, F.lit("\n")).otherwise(F.lit("")))
 
 
 def head_tail_lines(lines: DataFrame, first_n: int = HEAD_LINES, last_n: int = TAIL_LINES) -> DataFrame:

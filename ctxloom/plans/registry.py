@@ -114,10 +114,10 @@ def _html_text_sql(x: str, width: int = 80) -> str:
     out = f"regexp_replace({out}, '<[^>]*>', '', 'g')"
     for ent, ch in HTML_ENTITIES:
         out = f"replace({out}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
-    out = rf"regexp_replace({out}, '[\t\x0B\f\r ]+', ' ', 'g')"
-    out = rf"regexp_replace({out}, ' *\n *', chr(10), 'g')"
+    out = rf"regexp_replace({out}, '[\t\x0B\f\r ]{{2,}}|[\t\x0B\f\r]', ' ', 'g')"
+    out = rf"regexp_replace({out}, ' +\n *|\n +', chr(10), 'g')"
     out = rf"regexp_replace({out}, '\n{{2,}}', chr(10), 'g')"
-    out = rf"regexp_replace({out}, '^[ \n]+|[ \n]+\z', '', 'g')"
+    out = f"trim({out}, ' ' || chr(10))"
     out = rf"regexp_replace({out}, '([^\n]{{1,{width}}})(?: +|\n|\z)', '\1' || chr(10), 'g')"
     return rf"regexp_replace({out}, '\n\z', '')"
 
