@@ -4,18 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
-# A broadcast side is materialised on the driver and shipped to every
-# executor; keep it to narrow tables of at most this many rows.
+# A broadcast side is gathered on the driver and shipped to every executor;
+# keep it to at most this many rows and this many bytes of data.
 MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when ``df`` has at most ``max_rows`` rows.
+def _row_bytes(df: DataFrame):
+    parts = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            parts.append(F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)).cast("long"))
+        else:
+            parts.append(F.lit(8).cast("long"))  # fixed-width or small nested value, rough
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return total
 
-    The check counts at most ``max_rows + 1`` rows, so it stops early on a
-    large side; above the bound the join stays a shuffle join (where AQE can
-    still split skewed partitions).
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+                       max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when ``df`` has at most ``max_rows`` rows and
+    ``max_bytes`` bytes of data.
+
+    The check reads at most ``max_rows + 1`` rows, so it stops early on a
+    large side; above either bound the join stays a shuffle join (where AQE
+    can still split skewed partitions).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    probe = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
+    n, b = probe["n"], probe["b"] or 0
+    return F.broadcast(df) if n <= max_rows and b <= max_bytes else df

@@ -101,3 +101,22 @@ def test_folder_rollup_and_tristate(spark):
     df = spark.createDataFrame(rows, "project_id string, rel_path string, length long, selected boolean")
     got = {r.folder: (r.total, r.selected, r.tokens, r.state) for r in tree.folder_rollup(df).collect()}
     assert got == {"": (3, 2, 4, "some"), "a": (2, 1, 3, "some"), "b": (1, 1, 1, "all")}
+
+
+def test_broadcast_check_bounds_rows_and_bytes(spark):
+    from ctxloom.operators.joins import broadcast_if_small
+    small = spark.createDataFrame([(i, "x") for i in range(10)], "k int, v string")
+    wide = spark.createDataFrame([(i, "x" * 1000) for i in range(10)], "k int, v string")
+    big = spark.range(50).withColumnRenamed("id", "k")
+    target = spark.range(100).withColumnRenamed("id", "k")
+
+    def strategy(side):
+        return target.join(side, "k")._jdf.queryExecution().executedPlan().toString()
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in strategy(broadcast_if_small(small, max_rows=20, max_bytes=10_000))
+        assert "BroadcastHashJoin" not in strategy(broadcast_if_small(big, max_rows=20))
+        assert "BroadcastHashJoin" not in strategy(broadcast_if_small(wide, max_rows=20, max_bytes=5_000))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
