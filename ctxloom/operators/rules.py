@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType
 from ctxloom.constants import RULE_FILE_LEGACY, RULE_FILE_NEW
 from ctxloom.functions.globs import compile_rule_text
 from ctxloom.operators.joins import broadcast_if_small
-from ctxloom.session import materialize
+from ctxloom.session import materialize, ship_package
 
 
 # Up to this many distinct rule files are compiled on the driver (each is a
@@ -50,6 +50,7 @@ def compile_project_rules(projects: DataFrame, rule_files: DataFrame | None) ->
                 for r in distinct_texts.collect()]
         compiled = chosen.sparkSession.createDataFrame(rows, "text string, _p boolean, regex string")
     else:
+        ship_package(chosen.sparkSession)
         compiled = distinct_texts.select("text", "_p", _compile_texts(F.col("text"), F.col("_p")).alias("regex"))
     keyed = chosen.select("project_id", "text", present.alias("_p"))
     compiled = broadcast_if_small(compiled)

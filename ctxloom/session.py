@@ -75,3 +75,25 @@ def materialize(df, label: str):
     path = scratch_path(spark, "tables", f"{label}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``ctxloom`` importable in Python workers (for the few operators
+    that run Python in tasks), like ``--py-files``: zip the package once per
+    Spark context and add it with ``addPyFile``.  Nothing to do when the
+    package is installed on the workers already (``CTXLOOM_INSTALLED=1``)."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if os.environ.get("CTXLOOM_INSTALLED") == "1" or getattr(sc, "_ctxloom_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="ctxloom-pyfiles-"), "ctxloom.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    sc._ctxloom_shipped = True

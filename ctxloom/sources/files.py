@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ctxloom.session import ship_package
 from ctxloom.constants import PROJECT_ADDON, PROJECT_SYSTEM_PROMPT, RULE_FILE_LEGACY, RULE_FILE_NEW
 
 SMALL_FILE_SCHEMA = "path string, exists boolean, content binary"
@@ -79,6 +80,7 @@ def _read_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_small_files(paths: DataFrame) -> DataFrame:
     """``paths(path)`` -> ``(path, exists, content)``; content null when the
     file is missing or unreadable.  For small files (rules, config, history)."""
+    ship_package(paths.sparkSession)
     return paths.select("path").distinct().mapInPandas(_read_partition, SMALL_FILE_SCHEMA)
 
 

@@ -27,6 +27,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ctxloom.constants import MAX_HISTORY
 from ctxloom.functions.globs import rust_trim
+from ctxloom.session import ship_package
 from ctxloom.streaming.jobs import read_latest, run_to_changelog
 
 EVENT_COLUMNS = ["user_id", "kind", "command", "ts", "seq"]
@@ -85,6 +86,7 @@ def history_lists(spark: SparkSession, path: str, schema, cap: int = MAX_HISTORY
                   idle_timeout_ms: int | None = None) -> DataFrame:
     """Run the stream over the event files at ``path``; returns the current
     list per user as ``(user_id, rank, command)``."""
+    ship_package(spark)
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_ms else GroupStateTimeout.NoTimeout
     lists = events.select(*EVENT_COLUMNS).groupBy("user_id").applyInPandasWithState(
