@@ -385,8 +385,10 @@ def _terminal(spark, sf_dir):
     """Per project: the latest command of user ``k`` and head/tail lines of
     document ``k`` as its output."""
     p = views.projects(spark, sf_dir)
-    recent = history.recent_commands(views.history(spark, sf_dir)).where(F.col("rank") == 1)
-    cmd = p.join(recent, p["k"] == recent["user_id"], "left").select("project_id", "command")
+    # the front of the MRU list is the latest use: one grouped max, no ranking
+    last = history.clean_commands(views.history(spark, sf_dir)).groupBy("user_id").agg(
+        F.max_by("command", F.struct("ts", "seq")).alias("command"))
+    cmd = p.join(last, p["k"] == last["user_id"], "left").select("project_id", "command")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = p.join(docs, p["k"] == docs["doc_id"], "left").select(
         "project_id", head_tail_text(F.col("text"), 5, 5).alias("output"))
