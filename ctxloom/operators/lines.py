@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxloom.constants import HEAD_LINES, OUTPUT_TRUNCATED_MARKER, TAIL_LINES
@@ -44,3 +44,21 @@ def head_tail_lines(lines: DataFrame, first_n: int = HEAD_LINES, last_n: int = T
     markers = totals.where(F.col("_total") > first_n + last_n).select(
         "key", F.lit(first_n).cast("long").alias("pos"), F.lit(OUTPUT_TRUNCATED_MARKER).alias("line"))
     return kept.withColumn("pos", F.col("pos").cast("long")).unionByName(markers)
+
+
+def number_lines(parts: DataFrame) -> DataFrame:
+    """Dense line numbers across ordered parts of one key.
+
+    ``parts(key, part, text)`` (e.g. a conversation's turns) -> ``(key, line_no,
+    line)``: each part's text is split like ``str::lines``, and a part's first
+    line number is the running sum of the line counts of the parts before it.
+    The running sum is a window over the part rows only (one row per part),
+    never over the lines of a key.
+    """
+    split = parts.select("key", "part", rust_lines(F.col("text")).alias("_ls"))
+    counts = split.select("key", "part", F.size("_ls").alias("_n"))
+    w = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("key", "part", "_off")
+    return (split.join(offsets, ["key", "part"])
+            .select("key", "_off", F.posexplode("_ls").alias("_pos", "line"))
+            .select("key", (F.col("_off") + F.col("_pos")).cast("long").alias("line_no"), "line"))

@@ -697,3 +697,22 @@ def q_stream_history_list(spark, sf_dir):
     ev = history_list.history_events(views.history(spark, sf_dir), views.forgets(spark, sf_dir))
     path = jobs.stage_arrivals(ev, "seq", 8, "history-events", ordered=True)
     return history_list.history_lists(spark, path, ev.schema)
+
+
+@register("conversation_head_tail", f"""WITH t AS (
+  SELECT conv_id, turn, {_rust_lines_sql('text')} AS ls FROM conversations),
+l AS (
+  SELECT conv_id AS key, turn, unnest(ls) AS line, unnest(generate_series(0, len(ls) - 1)) AS pos,
+         coalesce(sum(len(ls)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+  FROM t),
+n AS (SELECT key, off + pos AS line_no, line, count(*) OVER (PARTITION BY key) AS total FROM l)
+SELECT key, CAST(CASE WHEN total <= 5 OR line_no < 3 THEN line_no ELSE line_no - (total - 2) + 4 END AS BIGINT) AS pos, line
+FROM n WHERE total <= 5 OR line_no < 3 OR line_no >= total - 2
+UNION ALL
+SELECT key, CAST(3 AS BIGINT), '[... output truncated ...]' FROM n WHERE total > 5 GROUP BY key""")
+def q_conversation_head_tail(spark, sf_dir):
+    """First 3 and last 2 lines of each conversation, turns in order (L5 over
+    ordered fragments)."""
+    c = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("key"), F.col("turn").alias("part"), "text")
+    return lines.head_tail_lines(lines.number_lines(c), 3, 2)

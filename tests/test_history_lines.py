@@ -67,3 +67,10 @@ def test_head_tail_rows(spark):
         got.setdefault(r.key, []).append(r.line)
     assert got[1] == ["l0", "l1", "l2", "[... output truncated ...]", "l8", "l9"]
     assert got[2] == ["m0", "m1", "m2", "m3"]
+
+
+def test_number_lines_across_parts(spark):
+    parts = spark.createDataFrame([(1, 2, "c\nd\n"), (1, 0, "a"), (1, 1, ""), (2, 5, "x\r\ny")],
+                                  "key long, part long, text string")
+    got = sorted((r.key, r.line_no, r.line) for r in lines.number_lines(parts).collect())
+    assert got == [(1, 0, "a"), (1, 1, "c"), (1, 2, "d"), (2, 0, "x"), (2, 1, "y")]
