@@ -16,6 +16,7 @@ from ctxloom import constants as K
 from ctxloom.functions.text import cdata_wrap, escape_xml_attr
 from ctxloom.functions.tokens import document_tokens
 from ctxloom.operators.content import capped_text
+from ctxloom.operators.joins import broadcast_if_small
 
 DEFAULT_MAX_DOC_BYTES = 64 * 1024 * 1024
 
@@ -78,7 +79,10 @@ def documents(frags: DataFrame, max_doc_bytes: int = DEFAULT_MAX_DOC_BYTES) -> D
     sizes = frags.groupBy("project_id").agg(
         F.sum(F.octet_length("text")).cast("bigint").alias("n_bytes"),
         F.count(F.lit(1)).alias("n_fragments"))
-    small = frags.join(sizes.where(F.col("n_bytes") <= max_doc_bytes).select("project_id"), "project_id", "left_semi")
+    # broadcast the (checked) list of projects to collapse, so fragments of a
+    # large project are dropped map-side instead of shuffled to one task
+    keep = broadcast_if_small(sizes.where(F.col("n_bytes") <= max_doc_bytes).select("project_id"))
+    small = frags.join(keep, "project_id", "left_semi")
     collapsed = small.groupBy("project_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "ord", "text"))),
                                  lambda x: x["text"]), "").alias("document"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ctxloom.constants import MAX_HISTORY
 from ctxloom.functions.text import trim_unicode
+from ctxloom.operators.joins import broadcast_if_small
 
 
 def clean_commands(history: DataFrame) -> DataFrame:
@@ -33,7 +34,9 @@ def forget(uses: DataFrame, forgets: DataFrame | None) -> DataFrame:
     one = f.where(F.col("command").isNotNull()).groupBy("user_id", "command").agg(
         F.max(F.struct("ts", "seq")).alias("_f1"))
     every = f.where(F.col("command").isNull()).groupBy("user_id").agg(F.max(F.struct("ts", "seq")).alias("_f2"))
-    out = uses.join(one, ["user_id", "command"], "left").join(every, "user_id", "left")
+    # one row per user with a clear-all: broadcast when small (checked) so a user
+    # with very many distinct commands is not one shuffle partition
+    out = uses.join(one, ["user_id", "command"], "left").join(broadcast_if_small(every), "user_id", "left")
     keep = ((F.col("_f1").isNull() | (F.col("last") > F.col("_f1")))
             & (F.col("_f2").isNull() | (F.col("last") > F.col("_f2"))))
     return out.where(keep).drop("_f1", "_f2")
