@@ -80,6 +80,11 @@ def _mark_hits_per_project(pre: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.withColumn("hit", hit)
 
 
+def _symlink(df: DataFrame) -> Column:
+    """The optional ``is_symlink`` flag (F3); false when the catalogue has none."""
+    return F.coalesce(F.col("is_symlink"), F.lit(False)) if "is_symlink" in df.columns else F.lit(False)
+
+
 def scan_stats(marked: DataFrame, limit: int = MAX_FILES) -> DataFrame:
     """Counters per project (A1, F3):
 
@@ -93,7 +98,7 @@ def scan_stats(marked: DataFrame, limit: int = MAX_FILES) -> DataFrame:
     so a project holding a third of all rows is still spread over every task;
     then per project over the few (project, hit) rows.
     """
-    sym = F.coalesce(F.col("is_symlink"), F.lit(False))
+    sym = _symlink(marked)
     per_hit = marked.groupBy("project_id", "hit", "dir_hit").agg(
         F.count_if(~sym & (F.col("dir_hit").isNull())).alias("n_scanned"),
         F.count_if(~sym & F.col("hit").isNotNull()).alias("n_ignored"),
@@ -112,7 +117,7 @@ def scan_stats(marked: DataFrame, limit: int = MAX_FILES) -> DataFrame:
 
 def kept_files(marked: DataFrame) -> DataFrame:
     """Files that survive the rules and are not symlinks."""
-    sym = F.coalesce(F.col("is_symlink"), F.lit(False))
+    sym = _symlink(marked)
     return marked.where(F.col("hit").isNull() & ~sym).drop("hit", "dir_hit")
 
 
