@@ -19,8 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxloom.session import ship_package
 from ctxloom.constants import PROJECT_ADDON, PROJECT_SYSTEM_PROMPT, RULE_FILE_LEGACY, RULE_FILE_NEW
+from ctxloom.session import ship_package
 
 SMALL_FILE_SCHEMA = "path string, exists boolean, content binary"
 
@@ -53,24 +53,26 @@ def file_catalogue(spark: SparkSession, base: str, with_content: bool = False) -
 def _read_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs as pafs
 
-    cache: dict = {}
+    cache: dict = {}  # one filesystem per scheme://authority (namenode, bucket)
     for pdf in batches:
         out_path, out_exists, out_content = [], [], []
         for p in pdf["path"]:
             exists, data = False, None
             try:
-                key = p.split("://", 1)[0] if "://" in p else "local"
-                if key not in cache:
-                    cache[key] = pafs.FileSystem.from_uri(p)[0] if "://" in p else pafs.LocalFileSystem()
-                filesystem = cache[key]
-                local = pafs.FileSystem.from_uri(p)[1] if "://" in p else _strip_scheme(p)
-                info = filesystem.get_file_info(local)
-                if info.type == pafs.FileType.File:
+                if "://" in p:
+                    key = "/".join(p.split("/", 3)[:3])
+                    if key not in cache:
+                        cache[key] = pafs.FileSystem.from_uri(p)[0]
+                    filesystem, local = cache[key], pafs.FileSystem.from_uri(p)[1]
+                else:
+                    filesystem = cache.setdefault("local", pafs.LocalFileSystem())
+                    local = _strip_scheme(p)
+                if filesystem.get_file_info(local).type == pafs.FileType.File:
                     exists = True
                     with filesystem.open_input_stream(local) as f:
                         data = f.read()
             except (OSError, ValueError):
-                exists, data = exists, None
+                data = None  # unreadable: exists as found, no content
             out_path.append(p)
             out_exists.append(exists)
             out_content.append(data)
