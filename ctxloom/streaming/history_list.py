@@ -11,9 +11,8 @@ State is the list itself (at most ``cap`` strings per user), kept by
 most one trigger's worth) to one call, sorted by ``(ts, seq)``.  Events must
 arrive in event order per user across micro-batches (a topic keyed by user,
 or files written in order: the file source takes files by modification
-time).  An
-optional idle timeout drops the state of users without events (off by
-default).
+time).  An optional time-to-live (off by default) drops a user's list once
+the event-time watermark passes the user's last event plus the TTL.
 """
 
 from __future__ import annotations
@@ -55,7 +54,7 @@ def apply_events(entries: list[str], kinds, commands, cap: int) -> list[str]:
     return out
 
 
-def _updater(cap: int, idle_ms: int | None):
+def _updater(cap: int, ttl_ms: int | None):
     def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -65,8 +64,9 @@ def _updater(cap: int, idle_ms: int | None):
         batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
         entries = apply_events(entries, batch["kind"], batch["command"], cap)
         state.update((entries,))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
+        if ttl_ms:
+            last_ms = int(pd.Timestamp(batch["ts"].max()).value // 1_000_000)
+            state.setTimeoutTimestamp(last_ms + ttl_ms)
         yield pd.DataFrame({"user_id": [key[0]], "commands": [entries]})
     return update
 
@@ -83,14 +83,23 @@ def history_events(uses: DataFrame, forgets: DataFrame | None = None) -> DataFra
 
 
 def history_lists(spark: SparkSession, path: str, schema, cap: int = MAX_HISTORY, max_files: int = 1,
-                  idle_timeout_ms: int | None = None) -> DataFrame:
+                  ttl_ms: int | None = None) -> DataFrame:
     """Run the stream over the event files at ``path``; returns the current
-    list per user as ``(user_id, rank, command)``."""
+    list per user as ``(user_id, rank, command)``.
+
+    ``ttl_ms``: drop a user's list when the watermark (the latest event time
+    seen; events arrive in order) passes the user's last event plus
+    ``ttl_ms``.  Event time, not processing time, so a replay gives the same
+    result and the stream ends when its input does.
+    """
     ship_package(spark)
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_ms else GroupStateTimeout.NoTimeout
-    lists = events.select(*EVENT_COLUMNS).groupBy("user_id").applyInPandasWithState(
-        _updater(cap, idle_timeout_ms), OUTPUT_SCHEMA, STATE_SCHEMA, "update", timeout)
+    events = events.select(*EVENT_COLUMNS).withColumn("ts", F.col("ts").cast("timestamp"))
+    if ttl_ms:
+        events = events.withWatermark("ts", "0 seconds")
+    timeout = GroupStateTimeout.EventTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    lists = events.groupBy("user_id").applyInPandasWithState(
+        _updater(cap, ttl_ms), OUTPUT_SCHEMA, STATE_SCHEMA, "update", timeout)
     current = read_latest(spark, run_to_changelog(lists, "history-list"), ["user_id"])
     return current.select("user_id", F.posexplode("commands").alias("rank", "command")).select(
         "user_id", (F.col("rank") + 1).cast("int").alias("rank"), "command")

@@ -69,3 +69,19 @@ def test_apply_events_forget_leaves_a_hole():
     assert lst == ["c", "b"]
     assert apply_events(lst, ["forget"], ["b"], 2) == ["c"]          # a does not come back
     assert apply_events(lst, ["add", "clear", "add"], [" b ", None, "z"], 2) == ["z"]
+
+
+def test_history_list_ttl(spark):
+    from ctxloom.streaming import history_list
+    ev = history_list.history_events(views.history(spark, SF001))
+    path = jobs.stage_arrivals(ev, "seq", 2, "t-hl-ttl", ordered=True)
+    plain = history_list.history_lists(spark, path, ev.schema, cap=3)
+    long_ttl = history_list.history_lists(spark, path, ev.schema, cap=3, ttl_ms=10 * 365 * 86_400_000)
+    assert _same(long_ttl, plain)
+    ttl = 6 * 3_600_000
+    short = {r.user_id for r in history_list.history_lists(spark, path, ev.schema, cap=3, ttl_ms=ttl).collect()}
+    last = {r.user_id: r.t for r in ev.groupBy("user_id").agg(F.max("ts").alias("t")).collect()}
+    end = max(last.values())
+    import datetime
+    kept = {u for u, t in last.items() if end - t <= datetime.timedelta(milliseconds=ttl)}
+    assert short == kept and 0 < len(kept) < len(last)
