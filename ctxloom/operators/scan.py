@@ -15,9 +15,10 @@ from ctxloom.constants import MAX_FILES
 from ctxloom.functions.paths import path_prefixes
 from ctxloom.operators.joins import broadcast_if_small
 
-# Above this many distinct rule sets, match against a regex column instead of
-# inlining one literal regex per rule set.
-MAX_INLINE_RULE_SETS = 64
+# Up to this many distinct rule sets are inlined as literal regexes (in
+# batches of INLINE_BATCH); above it the regex is a column.
+MAX_INLINE_RULE_SETS = 1024
+INLINE_BATCH = 64
 
 
 def _rlike(rx: str):
@@ -56,27 +57,31 @@ def _mark_hits_per_project(pre: DataFrame, rules: DataFrame) -> DataFrame:
     sets = rules.select("regex").where(F.col("regex").isNotNull()).distinct()
     n_sets = sets.limit(MAX_INLINE_RULE_SETS + 1).count()
     if n_sets <= MAX_INLINE_RULE_SETS:
-        # Few rule sets (the common case): number them, then one CASE over
-        # literal regexes, so each pattern is compiled once per task.
+        # Up to MAX_INLINE_RULE_SETS rule sets (the usual case): number them and
+        # match with a two-level CASE over literal regexes (outer: a batch of 64
+        # sets, inner: the set), so each pattern is compiled at most once per
+        # task and a row tests at most n/64 + 64 conditions.
         regexes = sorted(r["regex"] for r in sets.collect())
-        ids = {rx: i for i, rx in enumerate(regexes)}
-        id_col = F.lit(None).cast("int")
-        for rx, i in ids.items():
-            id_col = F.when(F.col("regex") == F.lit(rx), F.lit(i)).otherwise(id_col)
-        proj = broadcast_if_small(rules.select("project_id", id_col.alias("_rule_set")))
-        joined = pre.join(proj, "project_id", "left")
-        matchers = None
-        for rx, i in ids.items():
-            hit_i = _first_match(F.col("_prefixes"), _rlike(rx))
-            matchers = (F.when(F.col("_rule_set") == F.lit(i), hit_i) if matchers is None
-                        else matchers.when(F.col("_rule_set") == F.lit(i), hit_i))
-        hit = matchers.otherwise(F.lit(None).cast("string")) if matchers is not None else F.lit(None).cast("string")
+        spark = pre.sparkSession
+        ids = spark.createDataFrame([(rx, i) for i, rx in enumerate(regexes)], "regex string, _rule_set int")
+        proj = rules.join(broadcast_if_small(ids), "regex", "left").select("project_id", "_rule_set")
+        joined = pre.join(broadcast_if_small(proj), "project_id", "left")
+        rs = F.col("_rule_set")
+        outer = None
+        for start in range(0, len(regexes), INLINE_BATCH):
+            inner = None
+            for i in range(start, min(start + INLINE_BATCH, len(regexes))):
+                hit_i = _first_match(F.col("_prefixes"), _rlike(regexes[i]))
+                inner = F.when(rs == F.lit(i), hit_i) if inner is None else inner.when(rs == F.lit(i), hit_i)
+            in_batch = (rs >= F.lit(start)) & (rs < F.lit(start + INLINE_BATCH))
+            outer = F.when(in_batch, inner) if outer is None else outer.when(in_batch, inner)
+        hit = outer if outer is not None else F.lit(None).cast("string")
         return joined.withColumn("hit", hit)
-    # Many rule sets: the pattern is a column (compiled per row by rlike).
+    # Very many rule sets: the pattern is a column (compiled per row by rlike).
     joined = pre.join(broadcast_if_small(rules.select("project_id", F.col("regex").alias("_regex"))),
                       "project_id", "left")
     hit = F.when(F.col("_regex").isNotNull(),
-                 _first_match(F.col("_prefixes"), lambda p: p.rlike(F.col("_regex"))))
+                 _first_match(F.col("_prefixes"), lambda p: F.regexp_like(p, F.col("_regex"))))
     return joined.withColumn("hit", hit)
 
 

@@ -120,3 +120,31 @@ def test_broadcast_check_bounds_rows_and_bytes(spark):
         assert "BroadcastHashJoin" not in strategy(broadcast_if_small(wide, max_rows=20, max_bytes=5_000))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_many_rule_sets_inline_and_column(spark, monkeypatch):
+    from ctxloom.functions.globs import matches
+    from ctxloom.operators import scan as scan_mod
+    rnd = random.Random(17)
+    projects = {f"p{i:03d}": _random_paths(rnd, 8) for i in range(150)}
+    names = ["a", "b", "src", "build", "lib", "deep", "m.rs", "n.py", "x.tmp", "t.lock"]
+    rule_of = {p: compile_rule_lines([f"{names[i % len(names)]}{i % 3}", f"*.{['rs', 'py', 'tmp'][i % 3]}", f"q{i}"])
+               for i, p in enumerate(sorted(projects))}
+    assert len(set(rule_of.values())) > 64
+    cat = spark.createDataFrame([(pid, p) for pid, ps in projects.items() for p in ps], "project_id string, rel_path string")
+    rules = spark.createDataFrame(list(rule_of.items()), "project_id string, regex string")
+
+    def expected(pid, path):
+        parts = path.split("/")
+        for i in range(len(parts) + 1):
+            pre = "/".join(parts[:i])
+            if matches(rule_of[pid], pre):
+                return pre
+        return None
+
+    want = {(pid, p): expected(pid, p) for pid, ps in projects.items() for p in ps}
+    got = {(r.project_id, r.rel_path): r.hit for r in scan_mod.mark_hits(cat, rules).collect()}
+    assert got == want                                          # two-level literal CASE
+    monkeypatch.setattr(scan_mod, "MAX_INLINE_RULE_SETS", 10)
+    got = {(r.project_id, r.rel_path): r.hit for r in scan_mod.mark_hits(cat, rules).collect()}
+    assert got == want                                          # regex column
