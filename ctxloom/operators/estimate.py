@@ -49,5 +49,6 @@ def budget(est: DataFrame) -> DataFrame:
     pct = budget_pct(F.col("estimate"))
     label = F.concat(F.lit("Token count (approx): "), F.format_number(F.col("estimate"), 0),
                      F.lit(" / 200,000 ("), pct.cast("string"), F.lit("%)"))
-    return est.select("project_id", "estimate", pct.alias("budget_pct"),
+    # exact decimal rounding, reported as a double (the label keeps the decimal text)
+    return est.select("project_id", "estimate", pct.cast("double").alias("budget_pct"),
                       (F.col("estimate") > TOKEN_BUDGET).alias("over_budget"), label.alias("label"))

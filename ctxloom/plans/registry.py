@@ -493,7 +493,7 @@ def q_estimate_tokens(spark, sf_dir):
 
 
 @register("budget_share", f"""WITH {ESTIMATE_SQL}
-SELECT project_id, estimate, CAST(round(CAST(estimate AS DECIMAL(20,0)) * 100 / 200000, 2) AS DECIMAL(12,2)) AS budget_pct,
+SELECT project_id, estimate, CAST(CAST(round(CAST(estimate AS DECIMAL(20,0)) * 100 / 200000, 2) AS DECIMAL(12,2)) AS DOUBLE) AS budget_pct,
   estimate > 200000 AS over_budget,
   'Token count (approx): ' || format('{{:,}}', estimate) || ' / 200,000 (' || CAST(CAST(round(CAST(estimate AS DECIMAL(20,0)) * 100 / 200000, 2) AS DECIMAL(12,2)) AS VARCHAR) || '%)' AS label
 FROM est2""")
