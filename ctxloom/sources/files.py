@@ -29,6 +29,17 @@ def _strip_scheme(p: str) -> str:
     return p[len("file:"):] if p.startswith("file:") and not p.startswith("file://") else p
 
 
+def relative_to(path_uri, base: str) -> F.Column:
+    """Part of a file URI below ``base`` (``file:/x/y``, ``s3a://bucket/x/y``,
+    ``hdfs://nn:8020/x/y``): scheme and authority dropped on both sides."""
+    base_path = _strip_scheme(base.rstrip("/"))
+    if "://" in base_path:
+        rest = base_path.split("://", 1)[1]
+        base_path = "/" + rest.split("/", 1)[1] if "/" in rest else ""
+    no_scheme = F.regexp_replace(path_uri, r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+    return F.substring(no_scheme, len(base_path) + 2, 1 << 30)
+
+
 def file_catalogue(spark: SparkSession, base: str, with_content: bool = False) -> DataFrame:
     """``(project_id, rel_path, length, is_symlink[, content])`` below ``base``.
 
@@ -36,12 +47,7 @@ def file_catalogue(spark: SparkSession, base: str, with_content: bool = False) -
     catalogue table that records links can carry the flag instead (F3).
     """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    # ``path`` is a URI (file:/x/y, s3a://bucket/x/y); keep what follows the base folder
-    base_path = _strip_scheme(base.rstrip("/"))
-    if "://" in base_path:
-        base_path = "/" + base_path.split("://", 1)[1].split("/", 1)[1]
-    no_scheme = F.regexp_replace(F.col("path"), r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
-    rel_all = F.substring(no_scheme, len(base_path) + 2, 1 << 30)
+    rel_all = relative_to(F.col("path"), base)
     cols = [F.regexp_extract(rel_all, r"^([^/]+)/", 1).alias("project_id"),
             F.regexp_replace(rel_all, r"^[^/]+/", "").alias("rel_path"),
             F.col("length"), F.lit(False).alias("is_symlink")]

@@ -79,3 +79,14 @@ def test_fragment_sink(spark):
     back = spark.read.parquet(out)
     assert sorted(back.columns) == ["ord", "project_id", "section", "text"]
     assert back.where(F.col("project_id") == "p").count() == 2
+
+
+def test_relative_to_uris(spark):
+    cases = [("file:/data/ws/p/a.rs", "/data/ws", "p/a.rs"),
+             ("file:/data/ws/p/a.rs", "file:/data/ws/", "p/a.rs"),
+             ("s3a://bucket/ws/p/d/a.rs", "s3a://bucket/ws", "p/d/a.rs"),
+             ("hdfs://nn:8020/ws/p/a.rs", "hdfs://nn:8020/ws", "p/a.rs"),
+             ("s3a://bucket/p/a.rs", "s3a://bucket", "p/a.rs")]
+    for uri, base, rel in cases:
+        got = spark.createDataFrame([(uri,)], "path string").select(files.relative_to(F.col("path"), base).alias("r")).first().r
+        assert got == rel, (uri, base)
