@@ -20,6 +20,7 @@ from ctxloom.session import materialize, ship_package
 # Up to this many distinct rule files are compiled on the driver (each is a
 # small text); more go through a vectorised UDF, one call per distinct text.
 MAX_DRIVER_COMPILED = 256
+MAX_DRIVER_COMPILED_BYTES = 16 * 1024 * 1024
 
 
 @F.pandas_udf(StringType())
@@ -43,8 +44,9 @@ def compile_project_rules(projects: DataFrame, rule_files: DataFrame | None) ->
                                "project_id", "left")
     present = F.coalesce(F.col("_present"), F.lit(False)) & F.col("text").isNotNull()
     distinct_texts = chosen.select(F.col("text"), present.alias("_p")).distinct()
-    n_texts = distinct_texts.limit(MAX_DRIVER_COMPILED + 1).count()
-    if n_texts <= MAX_DRIVER_COMPILED:
+    probe = distinct_texts.limit(MAX_DRIVER_COMPILED + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    if probe["n"] <= MAX_DRIVER_COMPILED and (probe["b"] or 0) <= MAX_DRIVER_COMPILED_BYTES:
         # few distinct rule files (the usual case): compile them on the driver
         rows = [(r["text"], r["_p"], compile_rule_text(r["text"] if r["_p"] else None))
                 for r in distinct_texts.collect()]

@@ -90,3 +90,14 @@ def test_relative_to_uris(spark):
     for uri, base, rel in cases:
         got = spark.createDataFrame([(uri,)], "path string").select(files.relative_to(F.col("path"), base).alias("r")).first().r
         assert got == rel, (uri, base)
+
+
+def test_rule_compile_udf_path_matches_driver_path(spark, monkeypatch):
+    from ctxloom.operators import rules as rules_mod
+    projects = spark.createDataFrame([("a",), ("b",), ("c",)], "project_id string")
+    texts = spark.createDataFrame([("a", "*.tmp\nbuild/\n"), ("b", "# none\n"), ("c", None)], "project_id string, text string")
+    driver = {r.project_id: r.regex for r in compile_project_rules(projects, texts).collect()}
+    monkeypatch.setattr(rules_mod, "MAX_DRIVER_COMPILED_BYTES", 0)
+    udf = {r.project_id: r.regex for r in rules_mod.compile_project_rules(projects, texts).collect()}
+    assert driver == udf
+    assert driver["b"] is None and driver["c"] == compile_rule_text(None)
