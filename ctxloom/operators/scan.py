@@ -18,6 +18,7 @@ from ctxloom.operators.joins import broadcast_if_small
 # Up to this many distinct rule sets are inlined as literal regexes (in
 # batches of INLINE_BATCH); above it the regex is a column.
 MAX_INLINE_RULE_SETS = 1024
+MAX_INLINE_REGEX_BYTES = 16 * 1024 * 1024
 INLINE_BATCH = 64
 
 
@@ -55,8 +56,9 @@ def mark_hits(files: DataFrame, rules) -> DataFrame:
 
 def _mark_hits_per_project(pre: DataFrame, rules: DataFrame) -> DataFrame:
     sets = rules.select("regex").where(F.col("regex").isNotNull()).distinct()
-    n_sets = sets.limit(MAX_INLINE_RULE_SETS + 1).count()
-    if n_sets <= MAX_INLINE_RULE_SETS:
+    probe = sets.limit(MAX_INLINE_RULE_SETS + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("regex")).alias("b")).first()
+    if probe["n"] <= MAX_INLINE_RULE_SETS and (probe["b"] or 0) <= MAX_INLINE_REGEX_BYTES:
         # Up to MAX_INLINE_RULE_SETS rule sets (the usual case): number them and
         # match with a two-level CASE over literal regexes (outer: a batch of 64
         # sets, inner: the set), so each pattern is compiled at most once per
