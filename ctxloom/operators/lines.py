@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ctxloom.constants import HEAD_LINES, OUTPUT_TRUNCATED_MARKER, TAIL_LINES
 from ctxloom.functions.text import rust_lines
@@ -46,19 +47,38 @@ def head_tail_lines(lines: DataFrame, first_n: int = HEAD_LINES, last_n: int = T
     return kept.withColumn("pos", F.col("pos").cast("long")).unionByName(markers)
 
 
+# Parts per range bucket in ``number_lines`` (integer part keys).
+PART_BUCKET = 1024
+
+
 def number_lines(parts: DataFrame) -> DataFrame:
     """Dense line numbers across ordered parts of one key.
 
     ``parts(key, part, text)`` (e.g. a conversation's turns) -> ``(key, line_no,
     line)``: each part's text is split like ``str::lines``, and a part's first
     line number is the running sum of the line counts of the parts before it.
-    The running sum is a window over the part rows only (one row per part),
-    never over the lines of a key.
+
+    The running sum never looks at lines, only at one narrow row per part.
+    With integer part keys it is two-level, so a key with a huge number of
+    parts is not sorted by one task: within each ``part div PART_BUCKET``
+    range (at most PART_BUCKET rows per window), then over the per-range
+    totals of the key.
     """
     split = parts.select("key", "part", rust_lines(F.col("text")).alias("_ls"))
     counts = split.select("key", "part", F.size("_ls").alias("_n"))
-    w = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("key", "part", "_off")
+    before = Window.unboundedPreceding
+    if isinstance(parts.schema["part"].dataType, IntegralType):
+        counts = counts.withColumn("_b", F.floor(F.col("part") / PART_BUCKET))
+        w_in = Window.partitionBy("key", "_b").orderBy("part").rowsBetween(before, -1)
+        counts = counts.withColumn("_in", F.coalesce(F.sum("_n").over(w_in), F.lit(0)))
+        totals = counts.groupBy("key", "_b").agg(F.sum("_n").alias("_bt"))
+        w_b = Window.partitionBy("key").orderBy("_b").rowsBetween(before, -1)
+        totals = totals.withColumn("_boff", F.coalesce(F.sum("_bt").over(w_b), F.lit(0)))
+        offsets = counts.join(totals, ["key", "_b"]).select(
+            "key", "part", (F.col("_boff") + F.col("_in")).alias("_off"))
+    else:
+        w = Window.partitionBy("key").orderBy("part").rowsBetween(before, -1)
+        offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("key", "part", "_off")
     return (split.join(offsets, ["key", "part"])
             .select("key", "_off", F.posexplode("_ls").alias("_pos", "line"))
             .select("key", (F.col("_off") + F.col("_pos")).cast("long").alias("line_no"), "line"))

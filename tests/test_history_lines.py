@@ -74,3 +74,14 @@ def test_number_lines_across_parts(spark):
                                   "key long, part long, text string")
     got = sorted((r.key, r.line_no, r.line) for r in lines.number_lines(parts).collect())
     assert got == [(1, 0, "a"), (1, 1, "c"), (1, 2, "d"), (2, 0, "x"), (2, 1, "y")]
+
+
+def test_number_lines_across_buckets(spark, monkeypatch):
+    monkeypatch.setattr(lines, "PART_BUCKET", 2)
+    parts = spark.createDataFrame([(1, p, f"l{p}a\nl{p}b") for p in [7, 0, 3, 1, 4, 2]] + [(2, 9, "z")],
+                                  "key long, part long, text string")
+    got = sorted((r.key, r.line_no, r.line) for r in lines.number_lines(parts).collect())
+    want = [(1, 2 * i + j, f"l{p}{'ab'[j]}") for i, p in enumerate([0, 1, 2, 3, 4, 7]) for j in range(2)] + [(2, 0, "z")]
+    assert got == sorted(want)
+    strs = parts.withColumn("part", parts["part"].cast("string"))
+    assert sorted((r.key, r.line_no, r.line) for r in lines.number_lines(strs).collect()) == sorted(want)
