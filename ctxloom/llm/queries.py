@@ -6,13 +6,13 @@ Each applies its operator with production parameters to its whole table;
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ctxloom.llm import decontaminate, pii, quality, simhash
-from ctxloom.session import ensure_checkpoint_dir
+from ctxloom.llm import decontaminate, packing, pii, planes, quality, separators, simhash
+from ctxloom.session import ensure_checkpoint_dir, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,6 +28,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _new_folder(spark: SparkSession, label: str) -> str:
+    return scratch_path(spark, "files", f"{label}-{uuid.uuid4().hex[:12]}")
+
+
 @_query
 def op2_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -60,17 +70,33 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+@_query
+def op3_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 @_query
 def op4_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+@_query
+def op5_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = planes.write(_table(spark, sf_dir, "documents"), _new_folder(spark, "planes"), _tokenizer("byte_bpe_50k.json"))
+    return planes.read(spark, files)
+
+
 @_query
 def op8_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@_query
+def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.counts(_table(spark, sf_dir, "documents"), _new_folder(spark, "flat"), _tokenizer("byte_bpe_50k.json"), 50256)
+
+
 @_query
 def op10_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
