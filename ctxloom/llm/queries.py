@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ctxloom.llm import decontaminate, packing, pii, planes, quality, separators, simhash
+from ctxloom.llm import decontaminate, dommodel, packing, pii, planes, quality, separators, simhash, warc
 from ctxloom.session import ensure_checkpoint_dir, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,30 @@ def _new_folder(spark: SparkSession, label: str) -> str:
     return scratch_path(spark, "files", f"{label}-{uuid.uuid4().hex[:12]}")
 
 
+@_query
+def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(_table(spark, sf_dir, "pages"), _new_folder(spark, "warc"))
+    return warc.read(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op1_warc_bundles"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT p.*, min(page_id) OVER (PARTITION BY h) AS first_id FROM p),
+b AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr(
+    '0000000100100011010001010110011110001001101010111100110111101111', 4 * instr('0123456789abcdef', substr(h, i, 1)) - 3, 4)), '') AS bits
+  FROM f)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT)
+           + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM b
+"""
+
+
 @_query
 def op2_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -87,6 +111,12 @@ def op5_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read(spark, files)
 
 
+@_query
+def op6_dom_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return dommodel.extract(pages, dommodel.train(pages))
+
+
 @_query
 def op8_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
