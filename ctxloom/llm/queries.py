@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ctxloom.llm import decontaminate, dommodel, packing, pii, planes, quality, separators, simhash, warc
+from ctxloom.llm import ctw, decontaminate, dommodel, packing, pii, planes, quality, separators, simhash, warc
 from ctxloom.session import ensure_checkpoint_dir, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +117,11 @@ def op6_dom_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dommodel.extract(pages, dommodel.train(pages))
 
 
+@_query
+def op7_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(_table(spark, sf_dir, "documents"), _new_folder(spark, "ctw"))
+
+
 @_query
 def op8_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
