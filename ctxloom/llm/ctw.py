@@ -14,15 +14,17 @@ its probability, a whole text's code length in another unit.
 
 How it is spread:
 
-1. A task counts, for each chunk of about ``CHUNK`` bytes, the distinct
+1. A task counts, for each chunk of ``CHUNK`` bytes at most, the distinct
    (context, byte) grams and the distinct words, and puts the chunk's texts into
    a file in the shared store.  Held-out texts name their grams with count 0.
-2. Grams are summed, then grouped by a hash of their nearest three context
-   bytes: a subtree is in one group, about ``GROUP`` grams to a group.  The
-   first pass hands the weighted probabilities at depth 3 up; the nodes of depth
-   0 to 2 are at most 65,536 * 255 (in fact a few ten thousand) whatever the
-   corpus, so the driver weighs them and broadcasts what is above each subtree.
-   The second pass gives every gram its log probability.
+   A chunk's grams go by a hash of their nearest three context bytes, words by
+   their hash, into groups (one for ``DOCS_PER_GROUP`` rows); a row is what a
+   chunk has for a group, as packed arrays (sorted keys as delta byte planes).
+2. A group sums its keys over all chunks; a subtree is in one group.  The first
+   pass hands the weighted probabilities at depth 3 up; the nodes of depth 0 to 2
+   are at most 65,536 * 255 (in fact a few ten thousand) whatever the corpus, so
+   the driver weighs them and broadcasts what is above each subtree.  The second
+   pass gives every gram its log probability.
 3. Each chunk gets the values of its own grams and words back, and its texts
    are scored against that table.
 
@@ -41,18 +43,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ctxloom.llm import store
 from ctxloom.llm.textops import FOLD, WS, flat, hash_spans, runs, slices
 from ctxloom.session import materialize, ship_package
 
-DEPTH = 4
+DEPTH = 5
 TOP = 2
 CHUNK = 64 << 20
-GROUP = 1 << 19
+DOCS_PER_GROUP = 1 << 14
 FOLDS, HELD = 7, 2
 MARK = 0xFF  # no byte of UTF-8: start and end of a text
 END_WORD = np.int64(-1)
@@ -215,7 +218,34 @@ def _flat_lower(col) -> tuple[np.ndarray, np.ndarray]:
     return FOLD[buf], offs
 
 
-def score(docs: DataFrame, work_dir: str, key: str = "doc_id", text: str = "text", depth: int = DEPTH, chunk: int = CHUNK) -> DataFrame:
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys: differences in byte planes, zstd."""
+    planes = np.diff(keys, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
+
+
+def pack(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+
+
+def unpack(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
+def group_of(keys: np.ndarray, groups: int, depth: int) -> np.ndarray:
+    """Group of each key: grams by their nearest TOP + 1 context bytes, words by themselves."""
+    near = np.where(keys < 0, keys, keys >> 8 * (depth - TOP)).view(np.uint64)
+    near = near * np.uint64(0x9E3779B97F4A7C15)
+    return ((near ^ near >> np.uint64(29)) % np.uint64(groups)).view(np.int64)
+
+
+def score(docs: DataFrame, work_dir: str, key: str = "doc_id", text: str = "text", depth: int = DEPTH, chunk: int = CHUNK,
+          docs_per_group: int = DOCS_PER_GROUP) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
     ``work_dir``: a folder in the shared store for the chunks' texts."""
     if not TOP < depth <= 6:
@@ -223,22 +253,27 @@ def score(docs: DataFrame, work_dir: str, key: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     ship_package(spark)
     src = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    groups = max(8, src.select("_key").count() // docs_per_group)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         name = task.partitionId() << 32 | (task.taskAttemptId() & 0xFFFFF) << 12
         held, size, found = [], 0, []
 
-        def close() -> Iterator[pa.RecordBatch]:
+        def close() -> pa.RecordBatch:
             nonlocal name, held, size, found
             with store.writing(f"{work_dir}/{name:x}.arrow") as f, pa.ipc.new_file(f, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 for b in held:
                     w.write_batch(b)
             keys, n = count(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))
-            for at in range(0, len(keys), 1 << 16):
-                part = keys[at:at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name, np.int64)), pa.array(part), pa.array(n[at:at + (1 << 16)])], ["chunk", "key", "n"])
+            number = 2 * group_of(keys, groups, depth) + (keys < 0)
+            by = np.argsort(number, kind="stable")  # keys ascend within a number
+            keys, n, number = keys[by], n[by], number[by]
+            edges = np.flatnonzero(np.diff(number)) + 1
+            rows = [(name, bool(g[0] & 1), int(g[0] >> 1), pack_keys(k), pack(c)) for k, c, g in
+                    zip(np.split(keys, edges), np.split(n, edges), np.split(number, edges), strict=True)]
             name, held, size, found = name + 1, [], 0, []
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["chunk", "word", "group", "keys", "n"])
 
         for b in slices(batches, "_text", 2 << 20):
             held.append(b)
@@ -256,31 +291,37 @@ def score(docs: DataFrame, work_dir: str, key: str = "doc_id", text: str = "text
                 found = [count(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))]
             size += int(offs[-1])
             if size >= chunk:
-                yield from close()
+                yield close()
         if held:
-            yield from close()
-
-    rows = materialize(src.mapInArrow(collect, "chunk long, key long, n long"), "ctw_rows")
+            yield close()
 
-    grams = materialize(rows.where("key >= 0").groupBy("key").agg(F.sum("n").alias("n")), "ctw_grams")
-    groups = max(1, grams.count() // GROUP)
-    near = F.shiftright("key", 8 * (depth - TOP))
-    grouped = grams.withColumn("group", F.pmod(F.xxhash64(near), F.lit(groups)))
+    rows = materialize(src.mapInArrow(collect, "chunk long, word boolean, group long, keys binary, n binary"), "ctw_rows")
+    grams, words = rows.where("NOT word").drop("word"), rows.where("word").drop("word")
 
-    def arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return table.column("key").to_numpy(), table.column("n").to_numpy()
+    def summed(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """(keys of each row, distinct keys of the group, their counts)."""
+        keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
+        n = [unpack(x, np.int64) for x in table.column("n").to_pylist()]
+        return keys, *count(np.concatenate(keys), np.concatenate(n))
 
     def summarise(table: pa.Table) -> pa.Table:
-        node, n0, n1, log_w, *_ = subtree(*arrays(table), depth)
+        node, n0, n1, log_w, *_ = subtree(*summed(table)[1:], depth)
         return pa.table({"node": node >> 16 << 8 | node & 255, "n0": n0, "n1": n1, "below": log_w})
 
-    top = (grouped.groupBy("group").applyInArrow(summarise, "node long, n0 double, n1 double, below double")
+    top = (grams.groupBy("group").applyInArrow(summarise, "node long, n0 double, n1 double, below double")
            .groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).orderBy("node").collect())
     columns = np.array([tuple(r)[1:] for r in top], float).reshape(-1, 3)
     ups = spark.sparkContext.broadcast(above(np.array([r["node"] for r in top], np.int64), *columns.T))
 
+    def back(table: pa.Table, keys: list[np.ndarray], known: np.ndarray, value: np.ndarray, word: bool, total: tuple[int, int] = (0, 0)) -> pa.Table:
+        """The values of each row's keys; the group's totals stand on its first row."""
+        n = len(keys)
+        return pa.table({"chunk": table.column("chunk"), "word": pa.array([word] * n), "keys": table.column("keys"),
+                         "value": pa.array([pack(value[np.searchsorted(known, k)]) for k in keys], pa.binary()),
+                         "n": pa.array([total[0]] + [0] * (n - 1), pa.int64()), "v": pa.array([total[1]] + [0] * (n - 1), pa.int64())})
+
     def weigh(table: pa.Table) -> pa.Table:
-        keys, n = arrays(table)
+        rows, keys, n = summed(table)
         node, _, _, _, one, place, leaf = subtree(keys, n, depth)
         known, share, left = ups.value
         at = np.searchsorted(known, node >> 16 << 8 | node & 255)[place]
@@ -288,17 +329,17 @@ def score(docs: DataFrame, work_dir: str, key: str = "doc_id", text: str = "text
         byte = keys & 255
         bit = np.concatenate([byte >> (7 - k) & 1 for k in range(8)]).astype(bool)
         logs = np.where(bit, np.log10(one)[leaf], np.log10(1 - one)[leaf]).reshape(8, -1).sum(axis=0)
-        return pa.table({"key": keys, "value": logs})
+        return back(table, rows, keys, logs.astype(np.float32), False)
 
-    logs = grouped.groupBy("group").applyInArrow(weigh, "key long, value double")
-    gram_values = rows.where("key >= 0").select("chunk", "key").join(logs, "key").select("chunk", "key", "value")
-    by_word = Window.partitionBy("key")
-    word_values = materialize(rows.where("key < 0").select("chunk", "key", F.sum("n").over(by_word).cast("double").alias("value"),
-                                                          (F.min("chunk").over(by_word) == F.col("chunk")).alias("first")), "ctw_words")
-    total = word_values.where("first").agg(F.sum("value").alias("n"), F.count(F.when(F.col("value") > 0, 1)).alias("v")).first()
-    n_train, n_types = int(total["n"] or 0), int(total["v"])
+    def total_words(table: pa.Table) -> pa.Table:
+        rows, keys, n = summed(table)
+        return back(table, rows, keys, n, True, (int(n.sum()), int((n > 0).sum())))
 
-    values = gram_values.unionByName(word_values.drop("first"))
+    out = "chunk long, word boolean, keys binary, value binary, n long, v long"
+    word_values = materialize(words.groupBy("group").applyInArrow(total_words, out), "ctw_words")
+    total = word_values.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    n_train, n_types = int(total["n"] or 0), int(total["v"] or 0)
+    values = grams.groupBy("group").applyInArrow(weigh, out).unionByName(word_values).drop("n", "v")
     schema = src.select(F.col("_key").alias(key), F.lit(True).alias("held_out"), *[F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known", "train_tokens")],
                         F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score")).schema
 
@@ -306,11 +347,11 @@ def score(docs: DataFrame, work_dir: str, key: str = "doc_id", text: str = "text
         from pyspark.sql.pandas.types import to_arrow_schema
 
         name = table.column("chunk")[0].as_py()
-        keys, value = table.column("key").to_numpy(), table.column("value").to_numpy()
-        keys, value = keys[by := np.argsort(keys)], value[by]
-        cut = int(np.searchsorted(keys, 0))
-        words, bytes_ = Table(keys[:cut], value[:cut]), Table(keys[cut:], value[cut:])
-        end = float(value[np.searchsorted(keys, END_WORD)])
+        parts: dict[bool, list] = {False: [], True: []}
+        for word, keys, value in zip(*(table.column(c).to_pylist() for c in ("word", "keys", "value")), strict=True):
+            parts[word].append((unpack_keys(keys), unpack(value, np.int64 if word else np.float32)))
+        bytes_, words = (Table(np.concatenate([k for k, _ in parts[w]]), np.concatenate([v for _, v in parts[w]])) for w in (False, True))
+        end = float(words.get(np.array([END_WORD]))[0])
         arrow, out = to_arrow_schema(schema), []
         with store.reading(f"{work_dir}/{name:x}.arrow") as f, pa.ipc.open_file(f) as r:
             for k in range(r.num_record_batches):
