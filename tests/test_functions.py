@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ctxloom.functions import (cdata_wrap, escape_xml_attr, file_class, html_to_text, rust_lines,
                                strip_comments, text_tokens, file_tokens)
-from tests.reference_models import rust_lines as py_lines
+from tests.reference_models import text_lines as py_lines
 from tests.reference_models import strip_comments as py_strip
 
 
