@@ -1,8 +1,11 @@
-"""Fixed values that must equal the original tool's for identical results.
+"""Fixed values that must equal the original tool's for identical results, and
+the names of files on disk (parameters of ours).
 
 FIXED VALUES (kept as plain text, in natural order):
 """
 
+from dataclasses import dataclass
+
 # Limits.
 MAX_FILES = 10_000                 # files loaded per project
 MAX_PER_FILE_BYTES = 512 * 1024    # head + tail cap per file in a document
@@ -16,21 +19,14 @@ WRAP_COLUMNS = 80                  # HTML to text wrap width
 # Rules used when a project has no readable ignore file.
 DEFAULT_IGNORE_GLOBS = ["**/target/**", "**/.git/**", "**/node_modules/**", "**/*.tmp"]
 
-# Rule file locations, checked at each folder from the project upward.
-RULE_FILE_NEW = ".prompt/.promptignore"
-RULE_FILE_LEGACY = ".promptignore"
-
-# Configuration files under a project.
-PROJECT_SYSTEM_PROMPT = ".prompt/system_prompt.txt"
-PROJECT_ADDON = ".prompt/system_prompt_addon.txt"
-
 # Marker texts.
 BINARY_MARKER = "[binary file omitted]\n"
 TRUNCATED_MARKER = "\n[... truncated ...]\n"
 READ_ERROR_MARKER = "[error reading file]\n"
 OUTPUT_TRUNCATED_MARKER = "[... output truncated ...]"
-SYSTEM_PROMPT_MISSING = "System prompt not found. Tried: "
-SYSTEM_PROMPT_FAILED = "System prompt failed to load. Please warn the user about this. error: "
+SYSTEM_TEXT_MISSING = "System prompt not found. Tried: "
+UNREADABLE_ERROR = 'Error { kind: InvalidData, message: "stream did not contain valid UTF-8" }'
+SYSTEM_TEXT_FAILED = "System prompt failed to load. Please warn the user about this. error: "
 
 # Tree drawing.
 TREE_BRANCH = "├─ "
@@ -70,3 +66,17 @@ TAG_FILE_OPEN, TAG_FILE_CLOSE = '<file path="', "</file>\n"
 TAG_COMMAND_OPEN, TAG_COMMAND_CLOSE = "<terminal_command>", "</terminal_command>\n"
 TAG_OUTPUT_OPEN, TAG_OUTPUT_CLOSE = "<terminal_output>", "</terminal_output>\n"
 CDATA_OPEN, CDATA_CLOSE, CDATA_SPLIT = "<![CDATA[", "]]>", "]]]]><![CDATA[>"
+
+
+@dataclass(frozen=True)
+class DiskNames:
+    """Where a project keeps its own files, relative to its folder.  Not fixed
+    values: pass others to the sources to read an existing workspace."""
+    rule_file: str = ".ctxloom/ignore"            # preferred at one level
+    rule_file_legacy: str = ".ctxignore"
+    system_file: str = ".ctxloom/system.txt"
+    addon_file: str = ".ctxloom/system_addon.txt"
+    history_file: str = ".ctxloom/terminal_history.json"
+
+
+NAMES = DiskNames()

@@ -56,6 +56,18 @@ def capped_text(content, cap: int = MAX_PER_FILE_BYTES) -> Column:
             .otherwise(F.concat(lossy_utf8(head), F.lit(TRUNCATED_MARKER), lossy_utf8(tail))))
 
 
+def capped_read_text(content, n_bytes, cap: int = MAX_PER_FILE_BYTES) -> Column:
+    """``capped_text`` of a file that ``sources.files.read_capped`` read by seek:
+    ``content`` is the whole file up to the cap, else its head and tail."""
+    c, n = _c(content), _c(n_bytes)
+    head = F.substring(c, F.lit(1), head_len(n, cap))
+    tail = F.substring(c, head_len(n, cap) + 1, F.lit(cap // 2))
+    return (F.when(c.isNull(), F.lit(READ_ERROR_MARKER))
+            .when(is_binary(c), F.lit(BINARY_MARKER))
+            .when(n <= cap, lossy_utf8(c))
+            .otherwise(F.concat(lossy_utf8(head), F.lit(TRUNCATED_MARKER), lossy_utf8(tail))))
+
+
 def capped_parts(files: DataFrame, cap: int) -> DataFrame:
     """Byte-level view of the cap: kind, head and tail as hex (for checks)."""
     c = F.col("content")

@@ -1,26 +1,26 @@
 """Filesystem sources and sinks.
 
-* ``file_catalogue``: every file below a base folder, one project per child
-  folder, through Spark's ``binaryFile`` source.  Without ``content`` in the
-  projection the scan reads only metadata (size-only scan, S2).  Spark's file
-  listing skips names starting with ``.`` or ``_``.
-* ``read_small_files``: the tool's own files (``.prompt/.promptignore``,
-  ``.prompt/system_prompt.txt``, ``.prompt/terminal_history.json``) are
-  dot-files that Spark's file sources never list, so candidate paths are a
-  DataFrame and each task reads its share with ``pyarrow.fs`` (local, HDFS,
-  S3, GCS URIs).  Missing files give ``exists = false``.
+* ``list_files`` / ``file_catalogue``: every file, folder and link below project
+  folders, listed by tasks level by level (Spark's own file listing skips names
+  starting with ``.`` or ``_`` and follows links).  Sizes only; no file is opened.
+* ``read_capped``: head and tail of files, read by seek.
+* ``read_small_files``: the tool's own files (rules, configuration, history; see
+  ``constants.DiskNames``): candidate paths are a DataFrame and each task reads
+  its share with ``pyarrow.fs`` (local, HDFS, S3, GCS URIs).  Missing files give
+  ``exists = false``.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxloom.constants import PROJECT_ADDON, PROJECT_SYSTEM_PROMPT, RULE_FILE_LEGACY, RULE_FILE_NEW
-from ctxloom.session import ship_package
+from ctxloom.constants import MAX_PER_FILE_BYTES, NAMES, SNIFF_BYTES, DiskNames
+from ctxloom.session import materialize, ship_package
 
 SMALL_FILE_SCHEMA = "path string, exists boolean, content binary"
 
@@ -29,31 +29,131 @@ def _strip_scheme(p: str) -> str:
     return p[len("file:"):] if p.startswith("file:") and not p.startswith("file://") else p
 
 
-def relative_to(path_uri, base: str) -> F.Column:
-    """Part of a file URI below ``base`` (``file:/x/y``, ``s3a://bucket/x/y``,
-    ``hdfs://nn:8020/x/y``): scheme and authority dropped on both sides."""
-    base_path = _strip_scheme(base.rstrip("/"))
-    if "://" in base_path:
-        rest = base_path.split("://", 1)[1]
-        base_path = "/" + rest.split("/", 1)[1] if "/" in rest else ""
-    no_scheme = F.regexp_replace(path_uri, r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
-    return F.substring(no_scheme, len(base_path) + 2, 1 << 30)
+LISTING_SCHEMA = "project_id string, root string, rel_path string, length long, is_dir boolean, is_symlink boolean"
 
 
-def file_catalogue(spark: SparkSession, base: str, with_content: bool = False) -> DataFrame:
-    """``(project_id, rel_path, length, is_symlink[, content])`` below ``base``.
+def _list_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of folders, links not followed; an unreadable folder has none."""
+    from pyarrow import fs as pafs
+
+    def local(folder: str) -> Iterator[tuple[str, int, bool, bool]]:
+        with os.scandir(folder) as entries:
+            for e in entries:
+                link = e.is_symlink()
+                folder_, file = e.is_dir(follow_symlinks=False), e.is_file(follow_symlinks=False)
+                if link or folder_ or file:  # sockets and devices are neither
+                    yield e.name, e.stat(follow_symlinks=False).st_size if file else 0, folder_ and not link, link
 
-    ``binaryFile`` follows symlinks, so ``is_symlink`` is false here; a
-    catalogue table that records links can carry the flag instead (F3).
+    def remote(folder: str) -> Iterator[tuple[str, int, bool, bool]]:
+        filesystem, path = pafs.FileSystem.from_uri(folder)
+        for i in filesystem.get_file_info(pafs.FileSelector(path)):
+            if i.type in (pafs.FileType.File, pafs.FileType.Directory):
+                yield i.base_name, i.size or 0, i.type == pafs.FileType.Directory, False
+
+    for pdf in batches:
+        rows = []
+        for project, root, folder in zip(pdf["project_id"], pdf["root"], pdf["rel_path"]):
+            where = _strip_scheme(root).rstrip("/") + ("/" + folder if folder else "")
+            where = where.removeprefix("file://") if where.startswith("file:///") else where
+            try:
+                for name, size, is_dir, link in (remote if "://" in where else local)(where or "/"):
+                    rows.append((project, root, f"{folder}/{name}" if folder else name, size, is_dir, link))
+            except OSError:
+                continue
+        yield pd.DataFrame(rows, columns=["project_id", "root", "rel_path", "length", "is_dir", "is_symlink"])
+
+
+def list_roots(spark: SparkSession, base: str) -> DataFrame:
+    """``(project_id, root)``: one project per child folder of ``base``."""
+    ship_package(spark)
+    top = spark.createDataFrame([("", base.rstrip("/") or "/", "")], "project_id string, root string, rel_path string")
+    return top.mapInPandas(_list_partition, LISTING_SCHEMA).where("is_dir").select(
+        F.col("rel_path").alias("project_id"), F.concat_ws("/", "root", "rel_path").alias("root"))
+
+
+def list_files(roots: DataFrame, rules=None) -> DataFrame:
+    """Every file, folder and link below each ``roots(project_id, root)`` with the
+    ignore rules applied: ``(project_id, path, rel_path, length, is_dir,
+    is_symlink, hit, dir_hit)``, the shape that ``scan.scan_stats`` and
+    ``scan.kept_files`` take.
+
+    Folders are listed by tasks, one level of all projects at a time; the driver
+    loops over the depth only.  Rules are tested on an entry's own path, as its
+    parents did not match; a folder below a matched one inherits the match and is
+    listed without tests, for the count of ignored files.  Links are entries,
+    never followed.  A listing opens no file.
     """
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    rel_all = relative_to(F.col("path"), base)
-    cols = [F.regexp_extract(rel_all, r"^([^/]+)/", 1).alias("project_id"),
-            F.regexp_replace(rel_all, r"^[^/]+/", "").alias("rel_path"),
-            F.col("length"), F.lit(False).alias("is_symlink")]
-    if with_content:
-        cols.append(F.col("content"))
-    return df.select(*cols).where(F.col("project_id") != "")
+    spark = roots.sparkSession
+    ship_package(spark)
+    levels, one = [], isinstance(rules, str) or rules is None
+    level = roots.select("project_id", "root", F.lit("").alias("rel_path"), F.lit(None).cast("string").alias("dir_hit"))
+    regex = (lambda d: d.withColumn("_regex", F.lit(rules).cast("string"))) if one else (
+        lambda d: d.join(rules.select("project_id", F.col("regex").alias("_regex")), "project_id", "left"))
+    # the root itself is tested too: a rule that matches it prunes the project
+    level = regex(level).withColumn("dir_hit", F.when(F.expr("regexp_like('', _regex)"), F.lit(""))).drop("_regex")
+    seed = level.select("project_id", "root", F.lit("").alias("rel_path"), F.lit(0).cast("long").alias("length"), F.lit(True).alias("is_dir"),
+                        F.lit(False).alias("is_symlink"), F.col("dir_hit").alias("hit"), F.lit(None).cast("string").alias("dir_hit"))
+    levels.append(seed.where("hit IS NOT NULL"))
+    while True:
+        folders = level.repartition("project_id", "rel_path")
+        found = folders.select("project_id", "root", "rel_path").mapInPandas(_list_partition, LISTING_SCHEMA)
+        parent = F.when(F.instr("rel_path", "/") > 0, F.regexp_replace("rel_path", "/[^/]*$", "")).otherwise("")
+        inherited = level.select("project_id", F.col("rel_path").alias("_parent"), "dir_hit")
+        entries = regex(found.withColumn("_parent", parent)).join(inherited, ["project_id", "_parent"])
+        own = F.when(F.col("_regex").isNotNull() & (F.regexp_instr("rel_path", F.col("_regex")) > 0), F.col("rel_path"))
+        entries = materialize(entries.withColumn("hit", F.coalesce("dir_hit", own)).drop("_parent", "_regex"), "listing")
+        levels.append(entries.select("project_id", "root", "rel_path", "length", "is_dir", "is_symlink", "hit", "dir_hit"))
+        level = entries.where("is_dir").select("project_id", "root", "rel_path", F.col("hit").alias("dir_hit"))
+        if level.isEmpty():
+            break
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("path", F.concat_ws("/", "root", "rel_path")).drop("root")
+
+
+def file_catalogue(spark: SparkSession, base: str, rules=None) -> DataFrame:
+    """Files and links below ``base``, one project per child folder; files
+    directly in ``base`` are project ``.``:
+    ``(project_id, path, rel_path, length, is_symlink)``, sizes only (S1, S2)."""
+    below = list_files(list_roots(spark, base), rules).where("NOT is_dir")
+    top = spark.createDataFrame([(".", base.rstrip("/") or "/", "")], "project_id string, root string, rel_path string")
+    own = top.mapInPandas(_list_partition, LISTING_SCHEMA).where("NOT is_dir").withColumn("path", F.concat_ws("/", "root", "rel_path"))
+    columns = ["project_id", "path", "rel_path", "length", "is_symlink"]
+    return below.select(*columns).unionByName(own.select(*columns))
+
+
+def read_capped(files: DataFrame, cap: int = MAX_PER_FILE_BYTES) -> DataFrame:
+    """``files`` (with ``path``) and ``content``: the bytes that a document shows,
+    read by seek.  A file over the cap is read at its head and tail only; its
+    content is head + tail with ``n_bytes`` its size, for ``capped_read_text``.
+    Missing or unreadable files have null content."""
+    ship_package(files.sparkSession)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as pafs
+        for pdf in batches:
+            rows = []
+            for path in pdf["path"]:
+                p = _strip_scheme(path)
+                try:
+                    filesystem, place = pafs.FileSystem.from_uri(p) if "://" in p else (pafs.LocalFileSystem(), p)
+                    with filesystem.open_input_file(place) as f:
+                        n = f.size()
+                        if n <= cap:
+                            rows.append((path, n, f.read()))
+                            continue
+                        first = f.read(max(cap // 2, min(SNIFF_BYTES, n)))
+                        if b"\0" not in first[:SNIFF_BYTES] and cap // 2:
+                            f.seek(n - cap // 2)
+                            first += f.read(cap // 2)
+                        rows.append((path, n, first))
+                except (OSError, ValueError):
+                    rows.append((path, None, None))
+            yield pd.DataFrame(rows, columns=["path", "n_bytes", "content"])
+
+    got = files.select("path").distinct().mapInPandas(read, "path string, n_bytes long, content binary")
+    return files.join(got, "path", "left")
 
 
 def _read_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,48 +197,50 @@ def utf8_text(content) -> F.Column:
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
 
 
-def rule_file_candidates(roots: DataFrame) -> DataFrame:
-    """Every ``.prompt/.promptignore`` and ``.promptignore`` from each project
-    root up to ``/`` (J3 input)."""
+def rule_file_candidates(roots: DataFrame, names: DiskNames = NAMES) -> DataFrame:
+    """Both rule file names in each project root and every folder above (J3 input)."""
     from ctxloom.operators.rules import ancestors
     up = roots.select(F.inline(ancestors("root"))).select("dir").distinct()
     d = F.when(F.col("dir") == "/", F.lit("")).otherwise(F.col("dir"))
-    return up.select(F.explode(F.array(F.concat(d, F.lit("/" + RULE_FILE_NEW)),
-                                       F.concat(d, F.lit("/" + RULE_FILE_LEGACY)))).alias("path"))
+    return up.select(F.explode(F.array(F.concat(d, F.lit("/" + names.rule_file)),
+                                       F.concat(d, F.lit("/" + names.rule_file_legacy)))).alias("path"))
 
 
-def rule_files(roots: DataFrame) -> DataFrame:
+def rule_files(roots: DataFrame, names: DiskNames = NAMES) -> DataFrame:
     """Existing rule files above the project roots: ``(path, text)``; text
     null when not valid UTF-8 (the tool then uses the default rules)."""
-    found = read_small_files(rule_file_candidates(roots)).where(F.col("exists"))
+    found = read_small_files(rule_file_candidates(roots, names)).where(F.col("exists"))
     return found.select("path", utf8_text(F.col("content")).alias("text"))
 
 
-def config_layers(roots: DataFrame, env_path: str | None, default_path: str | None) -> DataFrame:
-    """System-prompt candidates per project (J4 input): project file, then the
-    environment override, then the fixed default; text null when missing."""
-    layer_paths = [F.struct(F.lit(0).alias("layer"),
-                            F.concat(F.col("root"), F.lit("/" + PROJECT_SYSTEM_PROMPT)).alias("path"))]
-    if env_path:
-        layer_paths.append(F.struct(F.lit(1).alias("layer"), F.lit(env_path).alias("path")))
-    if default_path:
-        layer_paths.append(F.struct(F.lit(2).alias("layer"), F.lit(default_path).alias("path")))
-    cand = roots.select("project_id", F.inline(F.array(*layer_paths)))
-    read = read_small_files(cand.select("path"))
-    return cand.join(read, "path", "left").select(
-        "project_id", "layer", "path", F.when(F.col("exists"), utf8_text(F.col("content"))).alias("text"))
-
-
-def addons(roots: DataFrame) -> DataFrame:
-    cand = roots.select("project_id", F.concat(F.col("root"), F.lit("/" + PROJECT_ADDON)).alias("path"))
+def config_layers(roots: DataFrame, env_path: str | None, default_path: str | None, names: DiskNames = NAMES) -> DataFrame:
+    """System text candidates per project (J4 input): project file, then the
+    environment override, then the fixed default; ``exists`` apart from ``text``
+    (null when missing or unreadable).  The two shared files are read once and
+    broadcast as two rows."""
+    own = roots.select("project_id", F.lit(0).alias("layer"), F.concat(F.col("root"), F.lit("/" + names.system_file)).alias("path"))
+    own = own.join(read_small_files(own.select("path")), "path", "left")
+    shared = [(layer, path) for layer, path in ((1, env_path), (2, default_path)) if path]
+    out = own.select("project_id", "layer", "path", "exists", "content")
+    if shared:
+        two = roots.sparkSession.createDataFrame(shared, "layer int, path string")
+        two = two.join(read_small_files(two.select("path")), "path", "left").agg(
+            F.collect_list(F.struct("layer", "path", "exists", "content")).alias("_two"))  # two rows at most
+        out = out.unionByName(roots.select("project_id", F.inline(two.scalar())))
+    return out.select("project_id", "layer", "path", F.coalesce("exists", F.lit(False)).alias("exists"),
+                      F.when(F.col("exists"), utf8_text(F.col("content"))).alias("text"))
+
+
+def addons(roots: DataFrame, names: DiskNames = NAMES) -> DataFrame:
+    cand = roots.select("project_id", F.concat(F.col("root"), F.lit("/" + names.addon_file)).alias("path"))
     read = read_small_files(cand.select("path")).where(F.col("exists"))
     return cand.join(read, "path").select("project_id", utf8_text(F.col("content")).alias("text")).where(
         F.col("text").isNotNull())
 
 
-def history_documents(roots: DataFrame) -> DataFrame:
+def history_documents(roots: DataFrame, names: DiskNames = NAMES) -> DataFrame:
     """``(project_id, json)`` of each project's saved history (S5 source)."""
-    cand = roots.select("project_id", F.concat(F.col("root"), F.lit("/.prompt/terminal_history.json")).alias("path"))
+    cand = roots.select("project_id", F.concat(F.col("root"), F.lit("/" + names.history_file)).alias("path"))
     read = read_small_files(cand.select("path")).where(F.col("exists"))
     return cand.join(read, "path").select("project_id", utf8_text(F.col("content")).alias("json"))
 

@@ -6,7 +6,8 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from ctxloom.functions.globs import compile_rule_text
+from ctxloom.constants import NAMES, SYSTEM_TEXT_FAILED, UNREADABLE_ERROR
+from ctxloom.functions.globs import compile_rule_lines, compile_rule_text
 from ctxloom.operators import assemble, history, scan
 from ctxloom.operators.rules import compile_project_rules, nearest_rule_file
 from ctxloom.sources import files
@@ -20,27 +21,47 @@ def _tree(base, spec):
             f.write(data)
 
 
-def test_catalogue_and_rules_end_to_end(spark):
+def test_listing_keeps_every_name_and_follows_no_link(spark):
     ws = tempfile.mkdtemp(prefix="ws-")
     _tree(ws, {
-        "proj/a/main.rs": b"fn main() {}\n", "proj/a/x.tmp": b"t", "proj/target/out.o": b"\x00\x01",
-        "proj/.prompt/.promptignore": b"# mine\n*.tmp\n", "other/b.py": b"print(1)\n",
-        ".promptignore": b"target/\n", "other/target/k.txt": b"k"})
-    cat = files.file_catalogue(spark, ws)
-    assert "content" not in cat.columns
-    plan = cat._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<path:string,length:bigint>" in plan            # size-only scan (S2)
-    rows = sorted((r.project_id, r.rel_path, r.length) for r in cat.collect())
-    assert rows == [("other", "b.py", 9), ("other", "target/k.txt", 1), ("proj", "a/main.rs", 13),
-                    ("proj", "a/x.tmp", 1), ("proj", "target/out.o", 2)]
-    roots = spark.createDataFrame([("proj", ws + "/proj"), ("other", ws + "/other")], "project_id string, root string")
+        "proj/a/main.rs": b"fn main() {}\n", "proj/a/x.tmp": b"t", "proj/target/out.o": b"\x00\x01", "proj/target/deep/er.o": b"3",
+        "proj/pkg/__init__.py": b"", "proj/.github/ci.yml": b"on", "proj/_c.yml": b"c", f"proj/{NAMES.rule_file}": b"# mine\n*.tmp\ntarget/\nempty\n",
+        "other/b.py": b"print(1)\n", NAMES.rule_file_legacy: b"target/\n", "other/target/k.txt": b"k", "README": b"top"})
+    os.makedirs(ws + "/proj/empty")
+    os.symlink("main.rs", ws + "/proj/a/link.rs")
+    os.symlink("a", ws + "/proj/linkdir")
+    os.symlink("nowhere", ws + "/proj/target/broken")
+    os.symlink("nowhere", ws + "/other/broken")
+    roots = files.list_roots(spark, ws)
+    assert sorted(tuple(r) for r in roots.collect()) == [("other", ws + "/other"), ("proj", ws + "/proj")]
     found = nearest_rule_file(roots, files.rule_files(roots))
     got = {r.project_id: r.rule_path for r in found.collect()}
-    assert got == {"proj": ws + "/proj/.prompt/.promptignore", "other": ws + "/.promptignore"}
+    assert got == {"proj": f"{ws}/proj/{NAMES.rule_file}", "other": f"{ws}/{NAMES.rule_file_legacy}"}
     compiled = compile_project_rules(roots.select("project_id"), found.where("rule_path is not null").select("project_id", "text"))
-    stats = {r.project_id: r for r in scan.scan_stats(scan.mark_hits(cat, compiled)).collect()}
-    assert (stats["proj"].ignored, stats["proj"].loaded) == (1, 2)          # only *.tmp in proj
-    assert (stats["other"].ignored, stats["other"].ignored_dirs, stats["other"].loaded) == (1, 1, 1)
+    marked = files.list_files(roots, compiled)
+    stats = {r.project_id: r for r in scan.scan_stats(marked).collect()}
+    # files seen outside pruned folders: main.rs, x.tmp, __init__.py, ci.yml, _c.yml and the rule file
+    assert [stats["proj"][c] for c in ("scanned", "ignored", "ignored_dirs", "symlinks", "loaded")] == [6, 3, 2, 2, 5]
+    assert [stats["other"][c] for c in ("scanned", "ignored", "ignored_dirs", "symlinks", "loaded")] == [1, 1, 1, 1, 1]
+    kept = sorted(r.rel_path for r in scan.kept_files(marked).where("project_id = 'proj'").collect())
+    assert kept == sorted([NAMES.rule_file, ".github/ci.yml", "_c.yml", "a/main.rs", "pkg/__init__.py"])
+    cat = {(r.project_id, r.rel_path): (r.length, r.is_symlink) for r in files.file_catalogue(spark, ws).collect()}
+    assert cat[("proj", "a/link.rs")][1] and cat[("proj", "linkdir")][1] and cat[("proj", "a/main.rs")] == (13, False)
+    assert cat[(".", "README")] == (3, False) and ("proj", "linkdir/main.rs") not in cat
+    one = scan.scan_stats(files.list_files(roots, compile_rule_lines(["*"]))).collect()
+    assert sorted((r.ignored, r.ignored_dirs, r.loaded) for r in one) == [(2, 1, 0), (8, 1, 0)]
+
+
+def test_capped_read_by_seek(spark):
+    from ctxloom.operators.content import capped_read_text, capped_text
+    ws = tempfile.mkdtemp(prefix="ws-")
+    data = {"small": "é".encode() * 10, "big": bytes(range(1, 256)) * 40, "bin": b"ab\0" + b"x" * 5000, "edge": b"q" * 3000}
+    _tree(ws, data)
+    paths = spark.createDataFrame([(n, f"{ws}/{n}", bytearray(data.get(n, b""))) for n in [*data, "gone"]], "name string, path string, whole binary")
+    got = files.read_capped(paths, 3000).select(
+        "name", capped_read_text("content", "n_bytes", 3000).alias("a"), capped_text("whole", 3000).alias("b"), F.octet_length("content").alias("n")).collect()
+    assert {r.name: r.a for r in got if r.name != "gone"} == {r.name: r.b for r in got if r.name != "gone"}
+    assert {r.name: r.n for r in got} == {"small": 20, "big": 3000, "bin": 1500, "edge": 3000, "gone": None}
 
 
 def test_default_rules_when_no_file_and_invalid_utf8(spark):
@@ -48,7 +69,7 @@ def test_default_rules_when_no_file_and_invalid_utf8(spark):
     compiled = compile_project_rules(roots.select("project_id"), None).first()
     assert compiled.regex == compile_rule_text(None)
     ws = tempfile.mkdtemp(prefix="ws-")
-    _tree(ws, {"p/.promptignore": b"\xff\xfe bad"})
+    _tree(ws, {f"p/{NAMES.rule_file_legacy}": b"\xff\xfe bad"})
     roots = spark.createDataFrame([("p", ws + "/p")], "project_id string, root string")
     found = nearest_rule_file(roots, files.rule_files(roots))
     assert found.first().text is None
@@ -58,15 +79,15 @@ def test_default_rules_when_no_file_and_invalid_utf8(spark):
 
 def test_config_layers_and_history_files(spark):
     ws = tempfile.mkdtemp(prefix="ws-")
-    _tree(ws, {"a/.prompt/system_prompt.txt": b"A-SYS", "default.txt": b"DEF",
-               "b/.prompt/system_prompt_addon.txt": b"B-ADD",
-               "a/.prompt/terminal_history.json": b'{"commands": ["ls", 3, "make"], "max": 2}'})
-    roots = spark.createDataFrame([("a", ws + "/a"), ("b", ws + "/b")], "project_id string, root string")
+    _tree(ws, {f"a/{NAMES.system_file}": b"A-SYS", "default.txt": b"DEF",
+               f"b/{NAMES.addon_file}": b"B-ADD", f"c/{NAMES.system_file}": b"\xff bad",
+               f"a/{NAMES.history_file}": b'{"commands": ["ls", 3, "make"], "max": 2}'})
+    roots = spark.createDataFrame([("a", ws + "/a"), ("b", ws + "/b"), ("c", ws + "/c")], "project_id string, root string")
     from ctxloom.operators import config
     layers = files.config_layers(roots, ws + "/env-missing.txt", ws + "/default.txt")
-    sys_ = config.with_addon(config.system_prompt(layers), files.addons(roots))
+    sys_ = config.with_addon(config.system_text(layers), files.addons(roots))
     got = {r.project_id: r.system for r in sys_.collect()}
-    assert got == {"a": "A-SYS", "b": "DEF\n\nB-ADD"}
+    assert got == {"a": "A-SYS", "b": "DEF\n\nB-ADD", "c": SYSTEM_TEXT_FAILED + UNREADABLE_ERROR + f', path: "{ws}/c/{NAMES.system_file}"'}
     docs = files.history_documents(roots).withColumnRenamed("project_id", "user_id")
     h = {r.user_id: (r.commands, r.max) for r in history.read_history_json(docs).collect()}
     assert h == {"a": (["ls", "make"], 2)}
@@ -81,23 +102,8 @@ def test_fragment_sink(spark):
     assert back.where(F.col("project_id") == "p").count() == 2
 
 
-def test_relative_to_uris(spark):
-    cases = [("file:/data/ws/p/a.rs", "/data/ws", "p/a.rs"),
-             ("file:/data/ws/p/a.rs", "file:/data/ws/", "p/a.rs"),
-             ("s3a://bucket/ws/p/d/a.rs", "s3a://bucket/ws", "p/d/a.rs"),
-             ("hdfs://nn:8020/ws/p/a.rs", "hdfs://nn:8020/ws", "p/a.rs"),
-             ("s3a://bucket/p/a.rs", "s3a://bucket", "p/a.rs")]
-    for uri, base, rel in cases:
-        got = spark.createDataFrame([(uri,)], "path string").select(files.relative_to(F.col("path"), base).alias("r")).first().r
-        assert got == rel, (uri, base)
-
-
-def test_rule_compile_udf_path_matches_driver_path(spark, monkeypatch):
-    from ctxloom.operators import rules as rules_mod
-    projects = spark.createDataFrame([("a",), ("b",), ("c",)], "project_id string")
+def test_rules_compile_in_tasks(spark):
+    projects = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "project_id string")
     texts = spark.createDataFrame([("a", "*.tmp\nbuild/\n"), ("b", "# none\n"), ("c", None)], "project_id string, text string")
-    driver = {r.project_id: r.regex for r in compile_project_rules(projects, texts).collect()}
-    monkeypatch.setattr(rules_mod, "MAX_DRIVER_COMPILED_BYTES", 0)
-    udf = {r.project_id: r.regex for r in rules_mod.compile_project_rules(projects, texts).collect()}
-    assert driver == udf
-    assert driver["b"] is None and driver["c"] == compile_rule_text(None)
+    got = {r.project_id: r.regex for r in compile_project_rules(projects, texts).collect()}
+    assert got == {"a": compile_rule_text("*.tmp\nbuild/\n"), "b": None, "c": compile_rule_text(None), "d": compile_rule_text(None)}
