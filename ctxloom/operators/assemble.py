@@ -1,24 +1,22 @@
 """Context-document assembly.
 
 The primary result is the fragment table ``(project_id, section, ord, text)``;
-sorting by ``(section, ord)`` gives the document.  Collapsing to one string
-per project is done only for projects whose document stays under
-``max_doc_bytes`` (one row cannot exceed 2 GiB); larger ones keep their
-fragments and are flagged.
+sorting by ``(section, ord)`` gives the document.  ``documents`` joins fragments
+to text in ordered chunks, so a document of any size is whole and no task or row
+holds more than a chunk and one fragment.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxloom import constants as K
 from ctxloom.functions.text import cdata_wrap, escape_xml_attr
 from ctxloom.functions.tokens import document_tokens
 from ctxloom.operators.content import capped_text
-from ctxloom.operators.joins import broadcast_if_small
 
-DEFAULT_MAX_DOC_BYTES = 64 * 1024 * 1024
+CHUNK_BYTES = 64 * 1024 * 1024
 
 FRAGMENT_SCHEMA = "project_id string, section int, ord string, text string"
 
@@ -28,7 +26,8 @@ def _frag(section: int, text) -> F.Column:
 
 
 def fragments(projects: DataFrame, system: DataFrame, instructions: DataFrame | None, trees: DataFrame,
-              files: DataFrame, terminal: DataFrame | None = None, cap: int = K.MAX_PER_FILE_BYTES) -> DataFrame:
+              files: DataFrame, terminal: DataFrame | None = None, cap: int = K.MAX_PER_FILE_BYTES,
+              emit_tree: bool = True, emit_remotes: DataFrame | None = None) -> DataFrame:
     """Ordered document pieces.
 
     * ``projects(project_id)``: every project that gets a document;
@@ -36,7 +35,9 @@ def fragments(projects: DataFrame, system: DataFrame, instructions: DataFrame |
     * ``trees(project_id, tree)``: the rendered tree of all loaded files;
     * ``files(project_id, rel_path, content binary)``: selected files;
     * ``terminal(project_id, command, output)``: last command and its output.
-    Missing parts are empty strings.
+    Missing parts are empty strings.  ``emit_tree=False`` leaves the tree section
+    out; ``emit_remotes(project_id, url, content, include)`` adds the included
+    remote pages behind the files (the original never writes either choice).
     """
     p = projects.select("project_id").join(system.select("project_id", "system"), "project_id", "left")
     if instructions is not None:
@@ -61,36 +62,54 @@ def fragments(projects: DataFrame, system: DataFrame, instructions: DataFrame |
         _frag(9, instr),
     )
     fixed = p.select("project_id", F.inline(pieces))
+    if not emit_tree:
+        fixed = fixed.where(F.col("section") != 3)
     file_frags = files.select(
         "project_id", F.lit(5).alias("section"), F.col("rel_path").alias("ord"),
         F.concat(F.lit(K.TAG_FILE_OPEN), escape_xml_attr(F.col("rel_path")), F.lit('">'),
                  cdata_wrap(capped_text(F.col("content"), cap)), F.lit(K.TAG_FILE_CLOSE)).alias("text"))
-    return fixed.unionByName(file_frags)
-
-
-def documents(frags: DataFrame, max_doc_bytes: int = DEFAULT_MAX_DOC_BYTES) -> DataFrame:
-    """Per project: ``n_bytes``, ``n_tokens`` (bytes div 3, P5), ``n_fragments``
-    and the collapsed ``document`` (null when over ``max_doc_bytes``).
-
-    Sizes come from a partial aggregate over fragment lengths; only projects
-    under the limit are gathered into one string.  Callers that reuse
-    ``frags`` should persist it first.
+    out = fixed.unionByName(file_frags)
+    if emit_remotes is not None:
+        out = out.unionByName(emit_remotes.where(F.col("include")).select(
+            "project_id", F.lit(5).alias("section"), F.concat(F.lit("\U0010FFFF"), F.col("url")).alias("ord"),
+            F.concat(F.lit(K.TAG_FILE_OPEN), escape_xml_attr(F.col("url")), F.lit('">'),
+                     cdata_wrap(F.coalesce("content", F.lit(""))), F.lit(K.TAG_FILE_CLOSE)).alias("text")))
+    return out
+
+
+def documents(frags: DataFrame, chunk_bytes: int = CHUNK_BYTES, limits: DataFrame | None = None) -> DataFrame:
+    """Documents in ordered chunks: ``(project_id, chunk_no, n_chunks, n_bytes,
+    n_tokens, n_fragments, at_limit, text)``; the texts of a project in chunk
+    order are its document, whatever its size.
+
+    ``n_bytes``, ``n_tokens`` (bytes div 3, P5) and ``n_fragments`` are the whole
+    document's.  ``limits(project_id, at_limit)`` says which projects the file
+    limit cut (L1).  A fragment belongs to the chunk in which it starts; the
+    running offset is over narrow rows, so text meets only the tasks of its own
+    chunk.  Callers that reuse ``frags`` should write it first.
     """
-    sizes = frags.groupBy("project_id").agg(
-        F.sum(F.octet_length("text")).cast("bigint").alias("n_bytes"),
-        F.count(F.lit(1)).alias("n_fragments"))
-    # broadcast the (checked) list of projects to collapse, so fragments of a
-    # large project are dropped map-side instead of shuffled to one task
-    keep = broadcast_if_small(sizes.where(F.col("n_bytes") <= max_doc_bytes).select("project_id"))
-    small = frags.join(keep, "project_id", "left_semi")
-    collapsed = small.groupBy("project_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "ord", "text"))),
-                                 lambda x: x["text"]), "").alias("document"))
-    return sizes.join(collapsed, "project_id", "left").select(
-        "project_id", "n_bytes", document_tokens(F.col("n_bytes")).alias("n_tokens"), "n_fragments", "document")
+    narrow = frags.select("project_id", "section", "ord", F.octet_length("text").cast("bigint").alias("_n"))
+    order = Window.partitionBy("project_id").orderBy("section", "ord")
+    whole = Window.partitionBy("project_id")
+    start = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = narrow.withColumn("_slot", F.floor(start / F.lit(chunk_bytes))).select(
+        "project_id", "section", "ord", (F.dense_rank().over(whole.orderBy("_slot")) - 1).alias("chunk_no"),
+        F.sum("_n").over(whole).alias("n_bytes"), F.count(F.lit(1)).over(whole).alias("n_fragments"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "ord", "text"))), lambda x: x["text"]), "")
+    out = (frags.join(placed, ["project_id", "section", "ord"]).groupBy("project_id", "chunk_no")
+           .agg(F.first("n_bytes").alias("n_bytes"), F.first("n_fragments").alias("n_fragments"), text.alias("text")))
+    counts = placed.groupBy("project_id").agg((F.max("chunk_no") + 1).alias("n_chunks"))
+    out = out.join(counts, "project_id")
+    if limits is None:
+        out = out.withColumn("at_limit", F.lit(None).cast("boolean"))
+    else:
+        out = out.join(limits.select("project_id", "at_limit"), "project_id", "left")
+    return out.select("project_id", F.col("chunk_no").cast("int").alias("chunk_no"), F.col("n_chunks").cast("int").alias("n_chunks"), "n_bytes",
+                      document_tokens(F.col("n_bytes")).alias("n_tokens"), "n_fragments", "at_limit", "text")
 
 
 def write_fragments(frags: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Sink (S6): fragments partitioned by project, sorted within files."""
-    (frags.repartition("project_id").sortWithinPartitions("project_id", "section", "ord")
-     .write.mode(mode).partitionBy("project_id").parquet(path))
+    """Sink (S6): fragments in document order, cut into files by range, so a large
+    project spans as many files as it needs."""
+    (frags.repartitionByRange("project_id", "section", "ord").sortWithinPartitions("project_id", "section", "ord")
+     .write.mode(mode).parquet(path))

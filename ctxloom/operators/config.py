@@ -1,11 +1,11 @@
-"""Layered system-prompt pick (J4) and the project addon."""
+"""Layered system text pick (J4) and the project addon."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ctxloom.constants import SYSTEM_PROMPT_FAILED, SYSTEM_PROMPT_MISSING
+from ctxloom.constants import SYSTEM_TEXT_FAILED, SYSTEM_TEXT_MISSING, UNREADABLE_ERROR
 
 
 def debug_quote(s: Column) -> Column:
@@ -16,22 +16,25 @@ def debug_quote(s: Column) -> Column:
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 
-def system_prompt(layers: DataFrame) -> DataFrame:
-    """First existing layer per project (lowest ``layer``); otherwise the error
+def system_text(layers: DataFrame) -> DataFrame:
+    """First existing layer per project (lowest ``layer``); when that file
+    cannot be read, the error text with its path; when none exists, the error
     text naming every path tried, in layer order (J4).
 
-    ``layers(project_id, layer, path, text)``, ``text`` null = missing file.
-    Candidates per project are a handful, so this is one small grouped pass.
+    ``layers(project_id, layer, path, text[, exists])``; without ``exists`` a
+    null ``text`` means a missing file.  Candidates per project are a handful,
+    so this is one small grouped pass.
     """
+    exists = F.col("exists") if "exists" in layers.columns else F.col("text").isNotNull()
     agg = layers.groupBy("project_id").agg(
-        F.min_by("text", F.when(F.col("text").isNotNull(), F.col("layer"))).alias("_found"),
-        F.min(F.when(F.col("text").isNotNull(), F.col("layer"))).alias("_layer"),
+        F.min(F.when(exists, F.struct("layer", "path", "text"))).alias("_found"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("layer", "path"))), lambda x: x["path"]),
                      ", ").alias("_tried"))
-    missing = F.concat(F.lit(SYSTEM_PROMPT_FAILED), debug_quote(F.concat(F.lit(SYSTEM_PROMPT_MISSING), F.col("_tried"))))
+    missing = F.concat(F.lit(SYSTEM_TEXT_FAILED), debug_quote(F.concat(F.lit(SYSTEM_TEXT_MISSING), F.col("_tried"))))
+    unreadable = F.concat(F.lit(SYSTEM_TEXT_FAILED + UNREADABLE_ERROR + ", path: "), debug_quote(F.col("_found.path")))
     return agg.select("project_id",
-                      F.when(F.col("_layer").isNotNull(), F.col("_found")).otherwise(missing).alias("system"),
-                      F.col("_layer").alias("layer"))
+                      F.when(F.col("_found").isNull(), missing).otherwise(F.coalesce(F.col("_found.text"), unreadable)).alias("system"),
+                      F.col("_found.layer").alias("layer"))
 
 
 def with_addon(system: DataFrame, addons: DataFrame) -> DataFrame:

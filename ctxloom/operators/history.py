@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ctxloom.constants import MAX_HISTORY
 from ctxloom.functions.text import trim_unicode
-from ctxloom.operators.joins import broadcast_if_small
 
 
 def clean_commands(history: DataFrame) -> DataFrame:
@@ -34,24 +33,50 @@ def forget(uses: DataFrame, forgets: DataFrame | None) -> DataFrame:
     one = f.where(F.col("command").isNotNull()).groupBy("user_id", "command").agg(
         F.max(F.struct("ts", "seq")).alias("_f1"))
     every = f.where(F.col("command").isNull()).groupBy("user_id").agg(F.max(F.struct("ts", "seq")).alias("_f2"))
-    # one row per user with a clear-all: broadcast when small (checked) so a user
-    # with very many distinct commands is not one shuffle partition
-    out = uses.join(one, ["user_id", "command"], "left").join(broadcast_if_small(every), "user_id", "left")
+    out = uses.join(one, ["user_id", "command"], "left").join(every, "user_id", "left")
     keep = ((F.col("_f1").isNull() | (F.col("last") > F.col("_f1")))
             & (F.col("_f2").isNull() | (F.col("last") > F.col("_f2"))))
     return out.where(keep).drop("_f1", "_f2")
 
 
+def _ranked(uses: DataFrame, cap: int) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy(F.col("last").desc())
+    return uses.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
+
+
+def evicted(live: DataFrame, history: DataFrame, forgets: DataFrame, cap: int) -> DataFrame:
+    """Of the ranked ``live`` rows, those that the cap had pushed out before a
+    later forget made room (an entry that fell off the list never comes back).
+
+    After an entry's last use, the entries in front of it are the other commands
+    used since and not forgotten since: +1 when a command that is not in front is
+    used, -1 when one in front is forgotten.  The entry is gone once that count
+    reaches the cap.  At most ``cap`` entries a user are looked at, each against
+    the later events of that user, as joins and running sums.
+    """
+    f = forgets.where(F.col("command").isNotNull()).select("user_id", trim_unicode(F.col("command")).alias("command"), F.struct("ts", "seq").alias("at"), F.lit(-1).alias("step"))
+    e = clean_commands(history).select("user_id", "command", F.struct("ts", "seq").alias("at"), F.lit(1).alias("step")).unionByName(f)
+    entry = live.join(f.select("user_id").distinct(), "user_id", "left_semi").select("user_id", F.col("command").alias("_own"), "last")
+    later = entry.join(e, "user_id").where((F.col("at") > F.col("last")) & (F.col("command") != F.col("_own")))
+    own = Window.partitionBy("user_id", "_own", "command").orderBy("at")
+    before = F.coalesce(F.lag("step").over(own), F.lit(-1))
+    change = later.withColumn("_d", F.when(F.col("step") != before, F.col("step")).otherwise(0))
+    run = F.sum("_d").over(Window.partitionBy("user_id", "_own").orderBy("at"))
+    return (change.where("_d <> 0").withColumn("_n", run).where(F.col("_n") >= cap)
+            .select("user_id", F.col("_own").alias("command")).distinct())
+
+
 def recent_commands(history: DataFrame, cap: int = MAX_HISTORY, forgets: DataFrame | None = None) -> DataFrame:
-    """MRU list per user: move to front, no duplicates, at most ``cap`` (L4).
+    """MRU list per user: move to front, no duplicates, at most ``cap`` (L4);
+    with ``forgets`` exactly the list that the edits in event order leave (J6).
 
     ``rank`` 1 is the most recent.  ``row_number() <= cap`` lets Spark cut each
     user to ``cap`` rows per task before the window shuffle, so a user with a
     third of all rows costs ``cap`` rows per map task.
     """
-    uses = forget(latest_uses(history), forgets)
-    w = Window.partitionBy("user_id").orderBy(F.col("last").desc())
-    ranked = uses.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
+    ranked = _ranked(forget(latest_uses(history), forgets), cap)
+    if forgets is not None:
+        ranked = _ranked(ranked.join(evicted(ranked, history, forgets, cap), ["user_id", "command"], "left_anti"), cap)
     return ranked.select("user_id", "rank", "command", F.col("last.ts").alias("last_ts"),
                          F.col("last.seq").alias("last_seq"))
 

@@ -4,81 +4,88 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
 
 from ctxloom.constants import HEAD_LINES, OUTPUT_TRUNCATED_MARKER, TAIL_LINES
 from ctxloom.functions.text import rust_lines
-from ctxloom.operators.joins import broadcast_if_small
+from ctxloom.session import materialize
 
 
-def head_tail_text(text, first_n: int = HEAD_LINES, last_n: int = TAIL_LINES) -> Column:
+def _kept(lines: Column, total: Column, first_n: int, last_n: int) -> Column:
     """All lines when ``total <= first_n + last_n``; else the first ``first_n``,
-    a marker line, the last ``last_n``.  Each line ends in ``\\n``."""
+    a marker line, the last ``last_n``."""
+    tail = F.slice(lines, total - F.lit(last_n) + 1, last_n) if last_n > 0 else F.array().cast("array<string>")
+    cut = F.concat(F.slice(lines, 1, first_n), F.array(F.lit(OUTPUT_TRUNCATED_MARKER)), tail)
+    return F.when(total <= first_n + last_n, lines).otherwise(cut)
+
+
+def head_tail_text(text, first_n: int = HEAD_LINES, last_n: int = TAIL_LINES) -> Column:
+    """Head and tail lines of a text, each ended by ``\\n``."""
     lines = rust_lines(text)
-    total = F.size(lines)
-    cut = F.concat(F.slice(lines, 1, first_n), F.array(F.lit(OUTPUT_TRUNCATED_MARKER)),
-                   F.slice(lines, total - F.lit(last_n) + 1, last_n) if last_n > 0
-                   else F.array().cast("array<string>"))
-    kept = F.when(total <= first_n + last_n, lines).otherwise(cut)
+    kept = _kept(lines, F.size(lines), first_n, last_n)
     # join + final newline instead of a per-line lambda: no lambda keeps the
     # expression in generated code, where the split is computed once
     return F.concat(F.array_join(kept, "\n"), F.when(F.size(kept) > 0, F.lit("\n")).otherwise(F.lit("")))
 
 
-def head_tail_lines(lines: DataFrame, first_n: int = HEAD_LINES, last_n: int = TAIL_LINES) -> DataFrame:
-    """Row form over ``lines(key, line_no, line)`` with dense ``line_no`` from 0.
-
-    Totals come from a grouped count (partial aggregation, no window over a
-    whole key); output ``(key, pos, line)`` with the marker at ``pos = first_n``.
-    """
-    totals = lines.groupBy("key").agg(F.count(F.lit(1)).alias("_total"))
-    # one key may hold a third of all lines: join its total without a shuffle
-    j = lines.join(broadcast_if_small(totals), "key")
-    short = F.col("_total") <= first_n + last_n
-    head = F.col("line_no") < first_n
-    tail = F.col("line_no") >= F.col("_total") - last_n
-    kept = j.where(short | head | tail).select(
-        "key",
-        F.when(short | head, F.col("line_no"))
-         .otherwise(F.col("line_no") - (F.col("_total") - last_n) + first_n + 1).alias("pos"),
-        "line")
-    markers = totals.where(F.col("_total") > first_n + last_n).select(
-        "key", F.lit(first_n).cast("long").alias("pos"), F.lit(OUTPUT_TRUNCATED_MARKER).alias("line"))
-    return kept.withColumn("pos", F.col("pos").cast("long")).unionByName(markers)
+def head_tail_rows(texts: DataFrame, first_n: int = HEAD_LINES, last_n: int = TAIL_LINES) -> DataFrame:
+    """Row form over ``texts(key, text)``: ``(key, pos, line)`` with the marker at
+    ``pos = first_n``.  The cut is made on the row, so only kept lines are
+    exploded; no shuffle."""
+    split = texts.select("key", rust_lines(F.col("text")).alias("_ls"))
+    kept = split.select("key", _kept(F.col("_ls"), F.size("_ls"), first_n, last_n).alias("_kept"))
+    return kept.select("key", F.posexplode("_kept").alias("pos", "line")).select("key", F.col("pos").cast("long").alias("pos"), "line")
 
 
-# Parts per range bucket in ``number_lines`` (integer part keys).
-PART_BUCKET = 1024
+def part_offsets(counts: DataFrame) -> DataFrame:
+    """``counts(key, part, _n)`` with ``_off``, the sum of ``_n`` over the key's
+    parts before, and ``_total``.
 
+    Narrow rows only, and two levels for part keys of any type: ranges of
+    (key, part) are summed inside first, then the few range totals of a key, so a
+    key with very many parts is not sorted by one task."""
+    # written once: both levels must see the same ranges
+    ranged = materialize(counts.repartitionByRange("key", "part").withColumn("_b", F.spark_partition_id()), "part-counts")
+    before = (Window.unboundedPreceding, -1)
+    inside = ranged.withColumn("_in", F.coalesce(F.sum("_n").over(Window.partitionBy("key", "_b").orderBy("part").rowsBetween(*before)), F.lit(0)))
+    totals = ranged.groupBy("key", "_b").agg(F.sum("_n").alias("_bt"))
+    by_key = Window.partitionBy("key")
+    totals = totals.select("key", "_b", F.coalesce(F.sum("_bt").over(by_key.orderBy("_b").rowsBetween(*before)), F.lit(0)).alias("_boff"),
+                           F.sum("_bt").over(by_key).alias("_total"))
+    return inside.join(totals, ["key", "_b"]).select("key", "part", (F.col("_boff") + F.col("_in")).alias("_off"), "_total")
 
-def number_lines(parts: DataFrame) -> DataFrame:
-    """Dense line numbers across ordered parts of one key.
-
-    ``parts(key, part, text)`` (e.g. a conversation's turns) -> ``(key, line_no,
-    line)``: each part's text is split like ``str::lines``, and a part's first
-    line number is the running sum of the line counts of the parts before it.
-
-    The running sum never looks at lines, only at one narrow row per part.
-    With integer part keys it is two-level, so a key with a huge number of
-    parts is not sorted by one task: within each ``part div PART_BUCKET``
-    range (at most PART_BUCKET rows per window), then over the per-range
-    totals of the key.
-    """
+
+def _numbered(parts: DataFrame) -> DataFrame:
+    """Parts with their lines ``_ls``, offset ``_off`` and the key's ``_total``."""
     split = parts.select("key", "part", rust_lines(F.col("text")).alias("_ls"))
-    counts = split.select("key", "part", F.size("_ls").alias("_n"))
-    before = Window.unboundedPreceding
-    if isinstance(parts.schema["part"].dataType, IntegralType):
-        counts = counts.withColumn("_b", F.floor(F.col("part") / PART_BUCKET))
-        w_in = Window.partitionBy("key", "_b").orderBy("part").rowsBetween(before, -1)
-        counts = counts.withColumn("_in", F.coalesce(F.sum("_n").over(w_in), F.lit(0)))
-        totals = counts.groupBy("key", "_b").agg(F.sum("_n").alias("_bt"))
-        w_b = Window.partitionBy("key").orderBy("_b").rowsBetween(before, -1)
-        totals = totals.withColumn("_boff", F.coalesce(F.sum("_bt").over(w_b), F.lit(0)))
-        offsets = counts.join(totals, ["key", "_b"]).select(
-            "key", "part", (F.col("_boff") + F.col("_in")).alias("_off"))
-    else:
-        w = Window.partitionBy("key").orderBy("part").rowsBetween(before, -1)
-        offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("key", "part", "_off")
-    return (split.join(offsets, ["key", "part"])
-            .select("key", "_off", F.posexplode("_ls").alias("_pos", "line"))
+    return split.join(part_offsets(split.select("key", "part", F.size("_ls").alias("_n"))), ["key", "part"])
+
+
+def number_lines(parts: DataFrame) -> DataFrame:
+    """Dense line numbers across ordered parts of one key: ``parts(key, part,
+    text)`` (e.g. a conversation's turns) -> ``(key, line_no, line)``."""
+    return (_numbered(parts).select("key", "_off", F.posexplode("_ls").alias("_pos", "line"))
             .select("key", (F.col("_off") + F.col("_pos")).cast("long").alias("line_no"), "line"))
+
+
+def head_tail_parts(parts: DataFrame, first_n: int = HEAD_LINES, last_n: int = TAIL_LINES) -> DataFrame:
+    """``(key, pos, line)`` of the head and tail over a key's ordered parts.
+
+    A part keeps the lines at its front that fall into the head and those at its
+    end that fall into the tail, by ``slice``; parts in the middle keep none."""
+    p = _numbered(parts)
+    off, total, size = F.col("_off"), F.col("_total"), F.size("_ls")
+    short = total <= first_n + last_n
+    head = F.when(short, size).otherwise(F.least(size, F.greatest(F.lit(0), first_n - off)))
+    tail = F.when(short, F.lit(0)).otherwise(F.least(size, F.greatest(F.lit(0), off + size - (total - last_n))))
+    cut = p.select("key", "_off", "_total", "_ls", head.cast("int").alias("_h"), tail.cast("int").alias("_t"), short.alias("_short"))
+    front = cut.where("_h > 0").select("key", "_off", F.posexplode(F.slice("_ls", F.lit(1), F.col("_h"))).alias("_pos", "line")).select(
+        "key", (F.col("_off") + F.col("_pos")).cast("long").alias("pos"), "line")
+    start = F.col("_off") + F.size("_ls") - F.col("_t")
+    back = cut.where("_t > 0").select(
+        "key", (start - (F.col("_total") - last_n) + first_n + 1).alias("_from"),
+        F.posexplode(F.slice("_ls", F.size("_ls") - F.col("_t") + 1, F.col("_t"))).alias("_pos", "line")).select(
+        "key", (F.col("_from") + F.col("_pos")).cast("long").alias("pos"), "line")
+    # the marker stands once per key: with the part that holds line 0
+    marker = cut.where("NOT _short AND _off = 0 AND size(_ls) > 0").select(
+        "key", F.lit(first_n).cast("long").alias("pos"), F.lit(OUTPUT_TRUNCATED_MARKER).alias("line"))
+    return front.unionByName(back).unionByName(marker)

@@ -1,31 +1,31 @@
 """Rule files (S3) and nearest-ancestor rule lookup.
 
-The glob compiler runs once per distinct rule file text (a small Python helper
-over a small table), never per catalogue row.
+The glob compiler runs in tasks over one row per project (a small Python
+helper), never per catalogue row.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ctxloom.constants import RULE_FILE_LEGACY, RULE_FILE_NEW
+from ctxloom.constants import NAMES, DiskNames
 from ctxloom.functions.globs import compile_rule_text
-from ctxloom.operators.joins import broadcast_if_small
 from ctxloom.session import materialize, ship_package
 
 
-# Up to this many distinct rule files are compiled on the driver (each is a
-# small text); more go through a vectorised UDF, one call per distinct text.
-MAX_DRIVER_COMPILED = 256
-MAX_DRIVER_COMPILED_BYTES = 16 * 1024 * 1024
+@lru_cache(maxsize=4096)
+def _compiled(text: str) -> str | None:
+    return compile_rule_text(text)
 
 
 @F.pandas_udf(StringType())
-def _compile_texts(texts: pd.Series, present: pd.Series) -> pd.Series:
-    return pd.Series([compile_rule_text(t if p else None) for t, p in zip(texts, present)])
+def _compile_texts(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else _compiled(t))
 
 
 def compile_project_rules(projects: DataFrame, rule_files: DataFrame | None) -> DataFrame:
@@ -33,32 +33,17 @@ def compile_project_rules(projects: DataFrame, rule_files: DataFrame | None) ->
 
     ``rule_files(project_id, text)``: the project's chosen rule file, ``text``
     null when unreadable.  A project without a row (no rule file found) or
-    with unreadable text gets the default rules; a file without usable lines
-    gives no rules (``regex`` null).
+    with unreadable text gets the default rules (one literal); a file without
+    usable lines gives no rules (``regex`` null).  Texts are compiled in tasks,
+    a repeated one once per worker.
     """
+    default = F.lit(compile_rule_text(None))
     if rule_files is None:
-        chosen = projects.select("project_id", F.lit(None).cast("string").alias("text"),
-                                 F.lit(False).alias("_present"))
-    else:
-        chosen = projects.join(rule_files.select("project_id", "text", F.lit(True).alias("_present")),
-                               "project_id", "left")
-    present = F.coalesce(F.col("_present"), F.lit(False)) & F.col("text").isNotNull()
-    distinct_texts = chosen.select(F.col("text"), present.alias("_p")).distinct()
-    probe = distinct_texts.limit(MAX_DRIVER_COMPILED + 1).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
-    if probe["n"] <= MAX_DRIVER_COMPILED and (probe["b"] or 0) <= MAX_DRIVER_COMPILED_BYTES:
-        # few distinct rule files (the usual case): compile them on the driver
-        rows = [(r["text"], r["_p"], compile_rule_text(r["text"] if r["_p"] else None))
-                for r in distinct_texts.collect()]
-        compiled = chosen.sparkSession.createDataFrame(rows, "text string, _p boolean, regex string")
-    else:
-        ship_package(chosen.sparkSession)
-        compiled = distinct_texts.select("text", "_p", _compile_texts(F.col("text"), F.col("_p")).alias("regex"))
-    keyed = chosen.select("project_id", "text", present.alias("_p"))
-    compiled = broadcast_if_small(compiled)
-    out = keyed.join(compiled, keyed["text"].eqNullSafe(compiled["text"]) & (keyed["_p"] == compiled["_p"]),
-                     "left").select(keyed["project_id"], compiled["regex"])
-    # one narrow row per project, read again by the matcher's checks: write once
+        return projects.select("project_id", default.alias("regex"))
+    ship_package(projects.sparkSession)
+    chosen = projects.select("project_id").join(rule_files.select("project_id", "text"), "project_id", "left")
+    out = chosen.select("project_id", F.when(F.col("text").isNull(), default).otherwise(_compile_texts("text")).alias("regex"))
+    # one narrow row per project, read by the folder and the file match: write once
     return materialize(out, "project-rules")
 
 
@@ -71,26 +56,22 @@ def ancestors(path_col: str) -> F.Column:
                            F.concat(F.lit("/"), F.array_join(F.slice(segs, 1, i), "/")).alias("dir")))
 
 
-def nearest_rule_file(roots: DataFrame, rule_files: DataFrame) -> DataFrame:
+def nearest_rule_file(roots: DataFrame, rule_files: DataFrame, names: DiskNames = NAMES) -> DataFrame:
     """Nearest rule file from each project root upward.
 
     ``roots(project_id, root)``; ``rule_files(path, text)`` with paths like
-    ``<dir>/.prompt/.promptignore`` (preferred at one level) or
-    ``<dir>/.promptignore``.  Result ``(project_id, rule_dir, rule_path, text)``,
-    with nulls when nothing is found.  One equi-join on the folder; the
-    ``row_number`` window is per project over at most 2 x depth candidates.
+    ``<dir>/<names.rule_file>`` (preferred at one level) or
+    ``<dir>/<names.rule_file_legacy>``.  Result ``(project_id, rule_dir,
+    rule_path, text)``, with nulls when nothing is found.  One equi-join on the
+    folder; the best candidate of a project is one grouped maximum.
     """
-    rf = rule_files.select(
-        "path", "text",
-        F.when(F.col("path").endswith("/" + RULE_FILE_NEW), F.lit(True))
-         .when(F.col("path").endswith("/" + RULE_FILE_LEGACY), F.lit(False)).alias("is_new"))
-    rf = rf.where(F.col("is_new").isNotNull()).withColumn(
-        "dir", F.regexp_replace(
-            F.regexp_replace(F.col("path"), r"/(?:\.prompt/)?\.promptignore$", ""), r"^$", "/"))
+    new, legacy = "/" + names.rule_file, "/" + names.rule_file_legacy
+    is_new, path = F.col("path").endswith(new), F.col("path")
+    suffix = F.when(is_new, F.lit(len(new))).when(path.endswith(legacy), F.lit(len(legacy)))
+    rf = rule_files.select("path", "text", is_new.alias("is_new"), path.substr(F.lit(1), F.char_length("path") - suffix).alias("dir"))
+    rf = rf.where(F.col("dir").isNotNull()).withColumn("dir", F.when(F.col("dir") == "", F.lit("/")).otherwise(F.col("dir")))
     up = roots.select("project_id", F.inline(ancestors("root")))
-    cand = up.join(rf, "dir")
-    w = Window.partitionBy("project_id").orderBy(F.col("depth").desc(), F.col("is_new").desc())
-    best = cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
-    return roots.select("project_id").join(
-        best.select("project_id", F.col("dir").alias("rule_dir"), F.col("path").alias("rule_path"), "text"),
-        "project_id", "left")
+    best = up.join(rf, "dir").groupBy("project_id").agg(
+        F.max_by(F.struct("dir", "path", "text"), F.struct("depth", "is_new")).alias("_b"))
+    return roots.select("project_id").join(best, "project_id", "left").select(
+        "project_id", F.col("_b.dir").alias("rule_dir"), F.col("_b.path").alias("rule_path"), F.col("_b.text").alias("text"))

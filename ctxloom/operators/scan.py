@@ -12,79 +12,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxloom.constants import MAX_FILES
-from ctxloom.functions.paths import path_prefixes
-from ctxloom.operators.joins import broadcast_if_small
+from ctxloom.functions.paths import normalize_path, parent_path, path_prefixes
 
-# Up to this many distinct rule sets are inlined as literal regexes (in
-# batches of INLINE_BATCH); above it the regex is a column.
-MAX_INLINE_RULE_SETS = 1024
-MAX_INLINE_REGEX_BYTES = 16 * 1024 * 1024
-INLINE_BATCH = 64
-
-
-def _rlike(rx: str):
-    return lambda p: p.rlike(rx)
+# A rule set shared by very many folders (the defaults) is matched by this many tasks.
+RULE_SALTS = 32
 
 
 def _first_match(prefixes: Column, matcher) -> Column:
     return F.get(F.filter(prefixes, matcher), 0)
 
 
+def _hits(path: Column, regex: Column) -> Column:
+    """Match against a pattern column; Spark keeps the compiled pattern while it repeats."""
+    return F.regexp_instr(path, regex) > 0
+
+
 def mark_hits(files: DataFrame, rules) -> DataFrame:
     """Add ``hit`` (shallowest matching prefix or null) and ``dir_hit`` (the
     same over strict ancestors only, which decides whether a symlink is seen).
 
-    ``rules`` is either one regex string shared by all projects (inlined as a
-    literal, compiled once per task) or a DataFrame ``(project_id, regex)``
-    with one compiled rule set per project (see ``ctxloom.operators.rules``).
+    ``rules`` is either one regex string shared by all projects (a literal,
+    compiled once per task) or a DataFrame ``(project_id, regex)`` with one
+    compiled rule set per project (see ``ctxloom.operators.rules``).
     """
-    pre = files.withColumn("_prefixes", path_prefixes(F.col("rel_path")))
     if rules is None or isinstance(rules, str):
-        if rules is None:
-            matcher = lambda p: F.lit(False)
-        else:
-            matcher = lambda p: p.rlike(rules)
+        matcher = (lambda p: F.lit(False)) if rules is None else (lambda p: p.rlike(rules))
+        pre = files.withColumn("_prefixes", path_prefixes(F.col("rel_path")))
         out = pre.withColumn("hit", _first_match(F.col("_prefixes"), matcher))
-    else:
-        out = _mark_hits_per_project(pre, rules)
-    n = F.size("_prefixes")
-    # dir_hit: the hit when it is a strict ancestor (the file itself excluded)
-    out = out.withColumn("dir_hit", F.when(F.col("hit").isNotNull() & (F.col("hit") != F.element_at("_prefixes", n)),
-                                           F.col("hit")))
-    return out.drop("_prefixes", "_regex", "_rule_set")
-
-
-def _mark_hits_per_project(pre: DataFrame, rules: DataFrame) -> DataFrame:
-    sets = rules.select("regex").where(F.col("regex").isNotNull()).distinct()
-    probe = sets.limit(MAX_INLINE_RULE_SETS + 1).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("regex")).alias("b")).first()
-    if probe["n"] <= MAX_INLINE_RULE_SETS and (probe["b"] or 0) <= MAX_INLINE_REGEX_BYTES:
-        # Up to MAX_INLINE_RULE_SETS rule sets (the usual case): number them and
-        # match with a two-level CASE over literal regexes (outer: a batch of 64
-        # sets, inner: the set), so each pattern is compiled at most once per
-        # task and a row tests at most n/64 + 64 conditions.
-        regexes = sorted(r["regex"] for r in sets.collect())
-        spark = pre.sparkSession
-        ids = spark.createDataFrame([(rx, i) for i, rx in enumerate(regexes)], "regex string, _rule_set int")
-        proj = rules.join(broadcast_if_small(ids), "regex", "left").select("project_id", "_rule_set")
-        joined = pre.join(broadcast_if_small(proj), "project_id", "left")
-        rs = F.col("_rule_set")
-        outer = None
-        for start in range(0, len(regexes), INLINE_BATCH):
-            inner = None
-            for i in range(start, min(start + INLINE_BATCH, len(regexes))):
-                hit_i = _first_match(F.col("_prefixes"), _rlike(regexes[i]))
-                inner = F.when(rs == F.lit(i), hit_i) if inner is None else inner.when(rs == F.lit(i), hit_i)
-            in_batch = (rs >= F.lit(start)) & (rs < F.lit(start + INLINE_BATCH))
-            outer = F.when(in_batch, inner) if outer is None else outer.when(in_batch, inner)
-        hit = outer if outer is not None else F.lit(None).cast("string")
-        return joined.withColumn("hit", hit)
-    # Very many rule sets: the pattern is a column (compiled per row by rlike).
-    joined = pre.join(broadcast_if_small(rules.select("project_id", F.col("regex").alias("_regex"))),
-                      "project_id", "left")
-    hit = F.when(F.col("_regex").isNotNull(),
-                 _first_match(F.col("_prefixes"), lambda p: F.regexp_like(p, F.col("_regex"))))
-    return joined.withColumn("hit", hit)
+        # dir_hit: the hit when it is a strict ancestor (the file itself excluded)
+        out = out.withColumn("dir_hit", F.when(F.col("hit") != F.element_at("_prefixes", -1), F.col("hit")))
+        return out.drop("_prefixes")
+    return _mark_hits_per_project(files, rules)
+
+
+def _mark_hits_per_project(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """One plan for any number of rule sets: distinct folders first, clustered
+    by rule set so that a pattern is compiled once per run of rows, then the
+    file's own path for files below unmatched folders only."""
+    keyed = files.withColumn("_dir", parent_path(F.col("rel_path"))).withColumn("_path", normalize_path(F.col("rel_path")))
+    known = rules.select("project_id", F.col("regex").alias("_regex"))
+    folders = (keyed.select("project_id", "_dir").distinct().join(known, "project_id", "left")
+               .withColumn("_salt", F.pmod(F.xxhash64("_dir"), F.lit(RULE_SALTS)))
+               .repartition("_regex", "_salt").sortWithinPartitions("_regex"))
+    marked = folders.select("project_id", "_dir", "_regex", F.when(
+        F.col("_regex").isNotNull(), _first_match(path_prefixes(F.col("_dir")), lambda p: _hits(p, F.col("_regex")))).alias("dir_hit"))
+    out = keyed.join(marked, ["project_id", "_dir"], "left")
+    own = F.when(F.col("_regex").isNotNull() & (F.col("_path") != "") & _hits(F.col("_path"), F.col("_regex")), F.col("_path"))
+    return out.withColumn("hit", F.coalesce(F.col("dir_hit"), own)).select(*files.columns, "hit", "dir_hit")
 
 
 def _symlink(df: DataFrame) -> Column:
@@ -106,11 +80,14 @@ def scan_stats(marked: DataFrame, limit: int = MAX_FILES) -> DataFrame:
     then per project over the few (project, hit) rows.
     """
     sym = _symlink(marked)
-    per_hit = marked.groupBy("project_id", "hit", "dir_hit").agg(
-        F.count_if(~sym & (F.col("dir_hit").isNull())).alias("n_scanned"),
-        F.count_if(~sym & F.col("hit").isNotNull()).alias("n_ignored"),
+    # a listing also has rows for folders (``is_dir``): an ignored one counts even when empty
+    folder = F.coalesce(F.col("is_dir"), F.lit(False)) if "is_dir" in marked.columns else F.lit(False)
+    file = ~sym & ~folder
+    per_hit = marked.withColumn("dir_hit", F.when(folder & ~sym, F.col("hit")).otherwise(F.col("dir_hit"))).groupBy("project_id", "hit", "dir_hit").agg(
+        F.count_if(file & (F.col("dir_hit").isNull())).alias("n_scanned"),
+        F.count_if(file & F.col("hit").isNotNull()).alias("n_ignored"),
         F.count_if(sym & F.col("dir_hit").isNull()).alias("n_symlinks"),
-        F.count_if(~sym & F.col("hit").isNull()).alias("n_loaded"),
+        F.count_if(file & F.col("hit").isNull()).alias("n_loaded"),
     )
     out = per_hit.groupBy("project_id").agg(
         F.sum("n_scanned").cast("bigint").alias("scanned"),
@@ -124,8 +101,10 @@ def scan_stats(marked: DataFrame, limit: int = MAX_FILES) -> DataFrame:
 
 def kept_files(marked: DataFrame) -> DataFrame:
     """Files that survive the rules and are not symlinks."""
-    sym = _symlink(marked)
-    return marked.where(F.col("hit").isNull() & ~sym).drop("hit", "dir_hit")
+    keep = F.col("hit").isNull() & ~_symlink(marked)
+    if "is_dir" in marked.columns:
+        keep = keep & ~F.col("is_dir")
+    return marked.where(keep).drop("hit", "dir_hit", "is_dir")
 
 
 def limit_files(files: DataFrame, limit: int = MAX_FILES, salt_buckets: int = 64) -> DataFrame:
@@ -135,8 +114,12 @@ def limit_files(files: DataFrame, limit: int = MAX_FILES, salt_buckets: int = 64
     sorted by one task: first per (project, salt) with ``salt`` a hash of the
     path, then per project over at most ``limit x salt_buckets`` survivors.
     ``row_number() <= limit`` lets Spark cut each group to ``limit`` rows per
-    map task before each shuffle (window group limit).
+    map task before each shuffle (window group limit); Spark does so only up to
+    a threshold of its own, which is raised to the limit in use.
     """
+    conf, name = files.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(conf.get(name)) < limit:
+        conf.set(name, str(limit))
     salt = F.pmod(F.xxhash64("rel_path"), F.lit(salt_buckets))
     w1 = Window.partitionBy("project_id", "_salt").orderBy("rel_path")
     stage1 = (files.withColumn("_salt", salt).withColumn("_rn", F.row_number().over(w1))

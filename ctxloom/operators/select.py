@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ctxloom.functions.paths import path_prefixes
-from ctxloom.operators.joins import broadcast_if_small
 
 
 def carry_over(files: DataFrame, saved: DataFrame) -> DataFrame:
-    """Keep the earlier tick by path; new files start unticked."""
-    s = saved.select("project_id", "rel_path", F.col("selected").alias("_saved"))
+    """Keep the earlier tick by path; new files start unticked.
+
+    Several saved rows of a path count as the one with the largest ``seq``
+    (without that column: as ticked when any is)."""
+    last = F.max_by("selected", "seq") if "seq" in saved.columns else F.max("selected")
+    s = saved.groupBy("project_id", "rel_path").agg(last.alias("_saved"))
     return (files.drop("selected").join(s, ["project_id", "rel_path"], "left")
             .withColumn("selected", F.coalesce(F.col("_saved"), F.lit(False))).drop("_saved"))
 
@@ -22,19 +25,21 @@ def apply_ticks(files: DataFrame, actions: DataFrame) -> DataFrame:
 
     ``actions(project_id, folder, value, seq)``: ``folder = ''`` is clear-all,
     a folder path sets everything below it, a file path sets that file.
-    Actions are first reduced to the latest per (project, folder), so the
-    prefix join matches at most one action per prefix.
+    Actions are first reduced to the latest per (project, folder), so a file
+    meets at most one action per prefix.  One explode, one join and one grouped
+    maximum; the root prefix, which every file has, is not exploded: the latest
+    clear-all is one row per project.
     """
-    latest = broadcast_if_small(actions.groupBy("project_id", "folder").agg(
-        F.max(F.struct("seq", "value")).alias("_a")))
-    # every file has the root prefix '', so without a broadcast the (project, '')
-    # key of a large project is one hot shuffle partition (AQE splits it then)
-    pre = files.select("project_id", "rel_path", F.explode(path_prefixes(F.col("rel_path"))).alias("folder"))
-    hits = pre.join(latest, ["project_id", "folder"]).groupBy("project_id", "rel_path").agg(
-        F.max("_a").alias("_a"))
-    out = files.join(hits, ["project_id", "rel_path"], "left")
+    latest = actions.groupBy("project_id", "folder").agg(F.max(F.struct("seq", "value")).alias("_a"))
+    below = latest.where(F.col("folder") != "")
+    root = latest.where(F.col("folder") == "").select("project_id", F.col("_a").alias("_root"))
+    others = [c for c in files.columns if c not in ("project_id", "rel_path")]
+    steps = F.filter(path_prefixes(F.col("rel_path")), lambda p: p != F.lit(""))
+    hits = (files.select("*", F.explode_outer(steps).alias("folder")).join(below, ["project_id", "folder"], "left")
+            .groupBy("project_id", "rel_path").agg(F.max("_a").alias("_a"), *[F.any_value(c).alias(c) for c in others]))
+    out = hits.join(root, "project_id", "left").withColumn("_a", F.array_max(F.array("_a", "_root")))
     base = F.coalesce(F.col("selected"), F.lit(False)) if "selected" in files.columns else F.lit(False)
-    return out.withColumn("selected", F.coalesce(F.col("_a.value"), base)).drop("_a")
+    return out.withColumn("selected", F.coalesce(F.col("_a.value"), base)).drop("_a", "_root")
 
 
 def selected_only(files: DataFrame) -> DataFrame:

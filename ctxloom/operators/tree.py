@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxloom.constants import TREE_BLANK, TREE_BRANCH, TREE_LAST, TREE_PIPE
-from ctxloom.functions.paths import dir_prefixes, root_label, segments
+from ctxloom.functions.paths import basename, dir_prefixes, root_label, segments
 from ctxloom.functions.tokens import file_tokens
 from ctxloom.session import materialize
 
@@ -22,15 +22,16 @@ def tree_nodes(files: DataFrame) -> DataFrame:
     ``is_file`` is part of the key: URL-like data can hold a file and a folder
     of one name.  Files with no path segment are not placed (as in the tool).
     """
-    segs = files.select("project_id", segments(F.col("rel_path")).alias("segs")).where(F.size("segs") > 0)
+    segs = files.select("project_id", segments(F.col("rel_path")).alias("segs"), basename(F.col("rel_path")).alias("raw")).where(F.size("segs") > 0)
     exploded = segs.select(
-        "project_id", "segs",
+        "project_id", "segs", "raw",
         F.explode(F.sequence(F.lit(1), F.size("segs"))).alias("depth"))
     nodes = exploded.select(
         "project_id",
         F.array_join(F.slice("segs", 1, F.col("depth")), "/").alias("path"),
         F.array_join(F.slice("segs", 1, F.col("depth") - 1), "/").alias("parent"),
-        F.element_at("segs", F.col("depth")).alias("name"),
+        # a file's label is its raw name behind the last slash, as the tool prints it
+        F.when(F.col("depth") == F.size("segs"), F.col("raw")).otherwise(F.element_at("segs", F.col("depth"))).alias("name"),
         "depth",
         (F.col("depth") == F.size("segs")).alias("is_file"),
     )

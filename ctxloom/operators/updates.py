@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_WIDTH, _HALF = Decimal(2**64), Decimal(2**63)
+
 
 def latest_by_key(updates: DataFrame, key: str = "url_key") -> DataFrame:
     """Newest ``content`` per key by ``(ts, seq)``: a late record cannot
-    overwrite a newer one.  One grouped pass with map-side partials."""
-    return updates.groupBy(key).agg(
-        F.max_by("content", F.struct("ts", "seq")).alias("content"),
-        F.max(F.struct("ts", "seq"))["seq"].alias("last_seq"),
-        F.count(F.lit(1)).alias("n_versions"))
+    overwrite a newer one.  The grouped maximum has no content in it; the
+    content is joined for the winners (``seq`` names one update of a key)."""
+    last = updates.groupBy(key).agg(newest().alias("_last"), F.count(F.lit(1)).alias("n_versions"))
+    return with_content(last, updates, key)
+
+
+def newest() -> Column:
+    """Largest ``(ts, seq)`` as one number (microseconds * 2^64 + seq + 2^63), which
+    a hash aggregate can hold; a struct would be sorted."""
+    return F.max(F.unix_micros("ts").cast("decimal(38,0)") * F.lit(_WIDTH) + F.col("seq") + F.lit(_HALF))
+
+
+def with_content(last: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """``last(key, _last, n_versions)``, ``_last`` by ``newest``, with the content of that update."""
+    seq = F.pmod(F.col("_last"), F.lit(_WIDTH)) - F.lit(_HALF)
+    won = last.select(key, seq.cast("long").alias("seq"), "n_versions")
+    return updates.select(key, "seq", "content").join(won, [key, "seq"]).select(
+        key, "content", F.col("seq").alias("last_seq"), "n_versions")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ctxloom.constants import NAMES
 from ctxloom.functions.globs import compile_rule_lines
 from ctxloom.operators import scan, select
-from ctxloom.operators.joins import broadcast_if_small
 from ctxloom.sources import views
 from ctxloom.sources.tables import table
 
@@ -18,6 +18,7 @@ DOC_RULES = ["# generated and scratch files", "", "*.tmp", "*.lock", "en/1/", "f
 WEB_RULES = ["*.html", "fr/", "de", "  # indented comment", "es/7*"]
 SMALL_LIMIT = 7
 SMALL_CAP = 1024
+SMALL_CHUNK = 8192
 
 
 def doc_rules_regex() -> str:
@@ -50,18 +51,18 @@ def web_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_content(files: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Join content by key onto the surviving selected files: content last."""
     text = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
-    # broadcast the chosen keys when few, so the text column is not shuffled;
-    # otherwise a shuffle join (with a runtime bloom filter on the text side)
+    # the chosen keys come from a written table, so Spark knows their size: few
+    # are broadcast and the text column is not shuffled, more are a shuffle join
     # (right outer join: the broadcast side must be the preserved one)
-    return text.join(broadcast_if_small(files), "doc_id", "right")
+    return text.join(files, "doc_id", "right")
 
 
 def workspace(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Project roots and rule files laid out from the docs projects.
 
-    Root of project p: ``/ws/<lang>/<p>``.  Rule files: ``.prompt/.promptignore``
-    in the project root when ``k % 4 = 0``; a legacy ``.promptignore`` there when
-    ``k % 4 in (0, 1)``; ``.prompt/.promptignore`` in ``/ws/en`` (comments only)
+    Root of project p: ``/ws/<lang>/<p>``.  Rule files: the preferred name
+    in the project root when ``k % 4 = 0``; the legacy name there when
+    ``k % 4 in (0, 1)``; the preferred name in ``/ws/en`` (comments only)
     and ``/ws/fr``.  Others find nothing and get the default rules.
     """
     p = views.projects(spark, sf_dir)
@@ -70,16 +71,16 @@ def workspace(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ext = F.element_at(F.array(*[F.lit(s) for s in views.DOC_SUFFIXES[:-1]]),
                        (F.col("k") % (len(views.DOC_SUFFIXES) - 1) + 1).cast("int"))
     new = roots.where(F.col("k") % 4 == 0).select(
-        F.concat(F.col("root"), F.lit("/.prompt/.promptignore")).alias("path"),
+        F.concat(F.col("root"), F.lit("/" + NAMES.rule_file)).alias("path"),
         F.concat(F.lit("# project rules\n*"), ext, F.lit("\n"), F.col("lang"), F.lit("/"),
                  (F.col("k") % 3).cast("string"), F.lit("/\n")).alias("text"))
     legacy = roots.where((F.col("k") % 4).isin(0, 1)).select(
-        F.concat(F.col("root"), F.lit("/.promptignore")).alias("path"),
+        F.concat(F.col("root"), F.lit("/" + NAMES.rule_file_legacy)).alias("path"),
         F.concat(F.lit("*.tmp\n"), F.col("lang"), F.lit("/"), ((F.col("k") + 1) % 3).cast("string"),
                  F.lit("\n")).alias("text"))
     langs = table(spark, sf_dir, "documents").select("lang").distinct().where(F.col("lang").isin("en", "fr"))
     shared = langs.select(
-        F.concat(F.lit("/ws/"), F.col("lang"), F.lit("/.prompt/.promptignore")).alias("path"),
+        F.concat(F.lit("/ws/"), F.col("lang"), F.lit("/" + NAMES.rule_file)).alias("path"),
         F.when(F.col("lang") == "en", F.lit("# nothing but comments\n\n   # indented\n"))
          .otherwise(F.lit("*.md\n")).alias("text"))
     return roots.select("project_id", "root"), new.unionByName(legacy).unionByName(shared)

@@ -3,6 +3,7 @@
 
 from pyspark.sql import functions as F
 
+from ctxloom import constants as K
 from ctxloom.operators import assemble, config, content, select
 
 
@@ -48,16 +49,15 @@ def test_carry_over_and_ticks(spark):
     assert got == {("p", "a/x"): False, ("p", "a/y"): True, ("p", "b/z"): False, ("q", "a/x"): True}
 
 
-def test_system_prompt_layers(spark):
+def test_system_text_layers(spark):
     layers = spark.createDataFrame([
-        ("p", 0, "/p/.prompt/system_prompt.txt", None), ("p", 1, "/env", "ENV"), ("p", 2, "/def", "DEF"),
-        ("q", 0, "/q/.prompt/system_prompt.txt", None), ("q", 2, "/def", None)],
+        ("p", 0, "/p/system.txt", None), ("p", 1, "/env", "ENV"), ("p", 2, "/def", "DEF"),
+        ("q", 0, "/q/system.txt", None), ("q", 2, "/def", None)],
         "project_id string, layer int, path string, text string")
     addons = spark.createDataFrame([("p", "ADD")], "project_id string, text string")
-    got = {r.project_id: r.system for r in config.with_addon(config.system_prompt(layers), addons).collect()}
+    got = {r.project_id: r.system for r in config.with_addon(config.system_text(layers), addons).collect()}
     assert got["p"] == "ENV\n\nADD"
-    assert got["q"] == ('System prompt failed to load. Please warn the user about this. error: '
-                        '"System prompt not found. Tried: /q/.prompt/system_prompt.txt, /def"')
+    assert got["q"] == K.SYSTEM_TEXT_FAILED + '"' + K.SYSTEM_TEXT_MISSING + '/q/system.txt, /def"'
 
 
 def test_document_golden(spark):
@@ -68,14 +68,32 @@ def test_document_golden(spark):
     files = spark.createDataFrame([("p", "a&b", bytearray(b"x<1>"))], "project_id string, rel_path string, content binary")
     frags = assemble.fragments(projects, system, instr, trees, files)
     doc = assemble.documents(frags).first()
-    expected = ("<system_prompt>\n<![CDATA[SYS]]]]><![CDATA[>]]>\n</system_prompt>\n"
+    expected = (K.TAG_SYSTEM_OPEN + "<![CDATA[SYS]]]]><![CDATA[>]]>" + K.TAG_SYSTEM_CLOSE +
+                ""
                 "<instruction><![CDATA[do it]]></instruction>\n"
                 "<file_tree>\n<![CDATA[p/\n└─ a&b\n]]>\n</file_tree>\n"
                 "<code>\n<file path=\"a&amp;b\"><![CDATA[x<1>]]></file>\n</code>\n\n"
                 "<terminal_command><![CDATA[]]></terminal_command>\n"
                 "<terminal_output><![CDATA[]]></terminal_output>\n"
                 "<instruction><![CDATA[do it]]></instruction>\n")
-    assert doc.document == expected
+    assert doc.text == expected
     assert doc.n_bytes == len(expected.encode()) and doc.n_tokens == len(expected.encode()) // 3
-    small = assemble.documents(frags, max_doc_bytes=10).first()
-    assert small.document is None and small.n_bytes == len(expected.encode())
+    rows = sorted(assemble.documents(frags, chunk_bytes=40).collect(), key=lambda r: r.chunk_no)
+    assert [r.chunk_no for r in rows] == list(range(rows[0].n_chunks)) and len(rows) > 3
+    assert "".join(r.text for r in rows) == expected and all(r.n_bytes == len(expected.encode()) for r in rows)
+    extra = spark.createDataFrame([("p", "u1", "page", True), ("p", "u2", "no", False)], "project_id string, url string, content string, include boolean")
+    other = assemble.documents(assemble.fragments(projects, system, instr, trees, files, emit_tree=False, emit_remotes=extra)).first().text
+    assert "<file_tree>" not in other and '<file path="u1"><![CDATA[page]]></file>\n</code>' in other and "u2" not in other
+
+
+def test_unreadable_layer_gives_its_error(spark):
+    layers = spark.createDataFrame([("p", 0, "/p/s", False, None), ("p", 1, "/e/s", True, None), ("p", 2, "/d/s", True, "DEF")],
+                                   "project_id string, layer int, path string, exists boolean, text string")
+    row = config.system_text(layers).first()
+    assert row.layer == 1 and row.system == K.SYSTEM_TEXT_FAILED + K.UNREADABLE_ERROR + ', path: "/e/s"'
+
+
+def test_repeated_saved_rows_do_not_repeat_files(spark):
+    files = spark.createDataFrame([("p", "a"), ("p", "b")], "project_id string, rel_path string")
+    saved = spark.createDataFrame([("p", "a", True, 1), ("p", "a", False, 2)], "project_id string, rel_path string, selected boolean, seq long")
+    assert sorted(tuple(r) for r in select.carry_over(files, saved).collect()) == [("p", "a", False), ("p", "b", False)]

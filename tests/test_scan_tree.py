@@ -6,8 +6,7 @@ import random
 
 from ctxloom.functions.globs import compile_rule_lines
 from ctxloom.operators import scan, tree
-from tests.reference_models import render_tree as py_render
-from tests.reference_models import walk
+from tests.reference_models import counters, tree_text
 
 
 def _catalogue(spark, projects):
@@ -36,7 +35,7 @@ def test_counters_match_walk(spark):
     for rules in rule_sets:
         rx = compile_rule_lines(rules)
         for pid, (paths, syms) in projects.items():
-            expected[pid] = walk(paths, syms, rx)
+            expected[pid] = counters(paths, syms, rx)
         cat = _catalogue(spark, projects)
         marked = scan.mark_hits(cat, rx)
         got = {r.project_id: r for r in scan.scan_stats(marked).collect()}
@@ -86,7 +85,7 @@ def test_tree_render_matches_recursive(spark):
     df = spark.createDataFrame(rows, "project_id string, rel_path string")
     got = {r.project_id: r.tree for r in tree.render_tree(df).collect()}
     for pid, ps in projects.items():
-        assert got[pid] == py_render(ps, pid), pid
+        assert got[pid] == tree_text(ps, pid), pid
 
 
 def test_tree_root_label_and_file_folder_clash(spark):
@@ -103,26 +102,12 @@ def test_folder_rollup_and_tristate(spark):
     assert got == {"": (3, 2, 4, "some"), "a": (2, 1, 3, "some"), "b": (1, 1, 1, "all")}
 
 
-def test_broadcast_check_bounds_rows_and_bytes(spark):
-    from ctxloom.operators.joins import broadcast_if_small
-    small = spark.createDataFrame([(i, "x") for i in range(10)], "k int, v string")
-    wide = spark.createDataFrame([(i, "x" * 1000) for i in range(10)], "k int, v string")
-    big = spark.range(50).withColumnRenamed("id", "k")
-    target = spark.range(100).withColumnRenamed("id", "k")
+def test_tree_label_is_the_raw_name(spark):
+    df = spark.createDataFrame([("p", "a\\b"), ("p", "c/d\\e")], "project_id string, rel_path string")
+    assert tree.render_tree(df).first().tree == tree_text(["a\\b", "c/d\\e"], "p")
 
-    def strategy(side):
-        return target.join(side, "k")._jdf.queryExecution().executedPlan().toString()
 
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert "BroadcastHashJoin" in strategy(broadcast_if_small(small, max_rows=20, max_bytes=10_000))
-        assert "BroadcastHashJoin" not in strategy(broadcast_if_small(big, max_rows=20))
-        assert "BroadcastHashJoin" not in strategy(broadcast_if_small(wide, max_rows=20, max_bytes=5_000))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
-def test_many_rule_sets_inline_and_column(spark, monkeypatch):
+def test_many_rule_sets_on_one_plan(spark):
     from ctxloom.functions.globs import matches
     from ctxloom.operators import scan as scan_mod
     rnd = random.Random(17)
@@ -143,8 +128,14 @@ def test_many_rule_sets_inline_and_column(spark, monkeypatch):
         return None
 
     want = {(pid, p): expected(pid, p) for pid, ps in projects.items() for p in ps}
-    got = {(r.project_id, r.rel_path): r.hit for r in scan_mod.mark_hits(cat, rules).collect()}
-    assert got == want                                          # two-level literal CASE
-    monkeypatch.setattr(scan_mod, "MAX_INLINE_RULE_SETS", 10)
-    got = {(r.project_id, r.rel_path): r.hit for r in scan_mod.mark_hits(cat, rules).collect()}
-    assert got == want                                          # regex column
+    marked = scan_mod.mark_hits(cat, rules)
+    assert {(r.project_id, r.rel_path): r.hit for r in marked.collect()} == want
+
+    def shape(df):
+        return [line.strip(" +-:").split(" ")[0] for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n")]
+
+    many = spark.range(5000).selectExpr("concat('r', id) AS project_id", "concat('(?s)^(?:x', id, ')\\\\z') AS regex")
+    files = spark.range(5000).selectExpr("concat('r', id) AS project_id", "concat('x', id, '/a') AS rel_path")
+    assert scan_mod.mark_hits(files, many).where("hit = dir_hit AND hit = concat('x', substr(project_id, 2))").count() == 5000
+    few = rules.limit(2)
+    assert [x for x in shape(scan_mod.mark_hits(cat, few)) if x == "Join"] == [x for x in shape(scan_mod.mark_hits(files, many)) if x == "Join"]

@@ -1,6 +1,6 @@
 """One project holding a third of all rows goes through rules, limit, rollup,
-tree and document assembly with whole results; only its document is flagged
-instead of gathered into one row."""
+tree and document assembly with whole results; its document comes
+in chunks."""
 
 from pyspark.sql import functions as F
 
@@ -34,8 +34,10 @@ def test_hot_project_end_to_end(spark):
     system = projects.select("project_id", F.lit("S").alias("system"))
     files = loaded.select("project_id", "rel_path", F.lit(bytearray(b"x" * 200)).alias("content"))
     frags = assemble.fragments(projects, system, None, trees=tree.render_tree(loaded), files=files)
-    docs = {r.project_id: r for r in assemble.documents(frags, max_doc_bytes=100_000).collect()}
-    assert docs["hot"].document is None and docs["hot"].n_bytes > 100_000      # flagged, fragments kept
-    assert docs["hot"].n_fragments == 8 + 1000
-    assert all(docs[f"c{p}"].document is not None for p in range(20))
-    assert all(len(docs[f"c{p}"].document.encode()) == docs[f"c{p}"].n_bytes for p in range(20))
+    rows = {}
+    for r in assemble.documents(frags, chunk_bytes=20_000).collect():
+        rows.setdefault(r.project_id, {})[r.chunk_no] = r
+    whole = {p: "".join(c[k].text for k in range(len(c))) for p, c in rows.items()}
+    assert rows["hot"][0].n_chunks == len(rows["hot"]) > 10 and rows["hot"][0].n_fragments == 8 + 1000
+    assert all(len(whole[p].encode()) == c[0].n_bytes for p, c in rows.items()) and len(whole) == 21
+    assert whole["hot"].count("<file path=") == 1000 and whole["hot"].endswith("</instruction>\n")
