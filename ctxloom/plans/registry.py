@@ -7,12 +7,15 @@ Column names and types match between the two sides.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxloom.constants import FILE_CLASSES, MAX_FILES, OTHER_CLASS
+from ctxloom.constants import (FILE_CLASSES, HEAD_LINES, MAX_FILES, MAX_HISTORY, NAMES, OTHER_CLASS, SYSTEM_TEXT_FAILED, SYSTEM_TEXT_MISSING,
+                               TAG_SYSTEM_CLOSE, TAG_SYSTEM_OPEN, TAIL_LINES)
 from ctxloom.functions.paths import basename, parent_path, segments
 from ctxloom.functions.tokens import file_tokens
 from ctxloom.functions.text import (HTML_BLOCK_TAGS, HTML_ENTITIES, file_class, html_to_text,
@@ -22,7 +25,7 @@ from ctxloom.operators.lines import head_tail_text
 from ctxloom.plans import common as C
 from ctxloom.plans import sqlviews as V
 from ctxloom.sources import views
-from ctxloom.session import materialize
+from ctxloom.session import materialize, scratch_path
 from ctxloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -350,13 +353,13 @@ CONFIG_SQL = f"""{V.PROJECTS},
 {V.numbered_text('t2', 2)},
 {V.numbered_text('t3', 3)},
 layers AS (
-  SELECT p.project_id, 0 AS layer, '/ws/' || p.project_id || '/.prompt/system_prompt.txt' AS path,
+  SELECT p.project_id, 0 AS layer, '/ws/' || p.project_id || '/{NAMES.system_file}' AS path,
          CASE WHEN p.k % 3 = 0 THEN t1.text END AS text FROM projects p LEFT JOIN t1 USING (project_id)
   UNION ALL
-  SELECT p.project_id, 1, '/etc/ctx/system_prompt.txt', CASE WHEN p.k % 3 = 1 THEN t2.text END
+  SELECT p.project_id, 1, '{views.ENV_SYSTEM_FILE}', CASE WHEN p.k % 3 = 1 THEN t2.text END
   FROM projects p LEFT JOIN t2 USING (project_id)
   UNION ALL
-  SELECT project_id, 2, '/opt/ctx/config/system_prompt.txt', NULL FROM projects),
+  SELECT project_id, 2, '{views.DEFAULT_SYSTEM_FILE}', NULL FROM projects),
 sys0 AS (
   SELECT project_id, min(layer) FILTER (WHERE text IS NOT NULL) AS layer,
          arg_min(text, layer) FILTER (WHERE text IS NOT NULL) AS found,
@@ -366,8 +369,8 @@ addons AS (SELECT p.project_id, t3.text FROM projects p JOIN t3 USING (project_i
 sys AS (
   SELECT s.project_id, s.layer,
     CASE WHEN s.layer IS NOT NULL THEN s.found
-         ELSE 'System prompt failed to load. Please warn the user about this. error: "'
-              || replace(replace(replace(replace(replace('System prompt not found. Tried: ' || s.tried, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')
+         ELSE '{SYSTEM_TEXT_FAILED}"'
+              || replace(replace(replace(replace(replace('{SYSTEM_TEXT_MISSING}' || s.tried, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')
               || '"' END
     || CASE WHEN a.text IS NOT NULL THEN chr(10) || chr(10) || a.text ELSE '' END AS system
   FROM sys0 s LEFT JOIN addons a USING (project_id))"""
@@ -376,8 +379,8 @@ sys AS (
 @register("system_prompts", f"""WITH {CONFIG_SQL}
 SELECT project_id, system, layer FROM sys""")
 def q_system_prompts(spark, sf_dir):
-    """Layered system prompt with error text, plus the addon."""
-    s = config.with_addon(config.system_prompt(views.config_layers(spark, sf_dir)), views.addons(spark, sf_dir))
+    """Layered system text with error text, plus the addon."""
+    s = config.with_addon(config.system_text(views.config_layers(spark, sf_dir)), views.addons(spark, sf_dir))
     return s.select("project_id", "system", "layer")
 
 
@@ -391,24 +394,24 @@ def _terminal(spark, sf_dir):
     cmd = p.join(last, p["k"] == last["user_id"], "left").select("project_id", "command")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = p.join(docs, p["k"] == docs["doc_id"], "left").select(
-        "project_id", head_tail_text(F.col("text"), 5, 5).alias("output"))
+        "project_id", head_tail_text(F.col("text")).alias("output"))
     return cmd.join(out, "project_id")
 
 
 TERMINAL_SQL = f"""hist AS (SELECT user_id, event_type || ' ' || props AS command, ts, event_id AS seq FROM events WHERE event_type <> 'error'),
 last_cmd AS (SELECT user_id, arg_max(command, (ts, seq)) AS command FROM hist GROUP BY user_id),
 terminal AS (
-  SELECT p.project_id, c.command, {_head_tail_sql('d.text', 5, 5)} AS output
+  SELECT p.project_id, c.command, {_head_tail_sql('d.text', HEAD_LINES, TAIL_LINES)} AS output
   FROM projects p LEFT JOIN last_cmd c ON c.user_id = p.k LEFT JOIN documents d ON d.doc_id = p.k)"""
 
 
-def _fragments(spark, sf_dir, cap: int | None = None):
+def _fragments(spark, sf_dir, cap: int | None = None, state=None):
     # the loaded files with their ticks feed the tree and the file list: write once
-    state = materialize(C.docs_selected_state(spark, sf_dir), "docs-state")
+    state = materialize(C.docs_selected_state(spark, sf_dir), "docs-state") if state is None else state
     trees = tree.render_tree(state)
     chosen = select.selected_only(state).select("project_id", "rel_path", "doc_id")
     files = C.with_content(chosen, spark, sf_dir)
-    system = config.with_addon(config.system_prompt(views.config_layers(spark, sf_dir)), views.addons(spark, sf_dir))
+    system = config.with_addon(config.system_text(views.config_layers(spark, sf_dir)), views.addons(spark, sf_dir))
     kwargs = {} if cap is None else {"cap": cap}
     return assemble.fragments(views.projects(spark, sf_dir), system, views.instructions(spark, sf_dir), trees,
                               files, _terminal(spark, sf_dir), **kwargs)
@@ -426,7 +429,7 @@ head AS (
   FROM projects p LEFT JOIN instr i USING (project_id) LEFT JOIN sys s USING (project_id)
   LEFT JOIN trees tr USING (project_id) LEFT JOIN terminal t USING (project_id)),
 frags AS (
-  SELECT project_id, 1 AS section, '' AS ord, '<system_prompt>' || chr(10) || {V.cdata("coalesce(system, '')")} || chr(10) || '</system_prompt>' || chr(10) AS text FROM head
+  SELECT project_id, 1 AS section, '' AS ord, '{TAG_SYSTEM_OPEN}' || {V.cdata("coalesce(system, '')")} || '{TAG_SYSTEM_CLOSE}' AS text FROM head
   UNION ALL SELECT project_id, 2, '', '<instruction>' || ci || '</instruction>' || chr(10) FROM head
   UNION ALL SELECT project_id, 3, '', '<file_tree>' || chr(10) || {V.cdata("coalesce(tree, '')")} || chr(10) || '</file_tree>' || chr(10) FROM head
   UNION ALL SELECT project_id, 4, '', '<code>' || chr(10) FROM head
@@ -446,15 +449,48 @@ def q_context_fragments(spark, sf_dir):
     return _fragments(spark, sf_dir)
 
 
-@register("context_document", f"""WITH {FRAGMENTS_SQL}
-SELECT project_id, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, CAST(sum(strlen(text)) // 3 AS BIGINT) AS n_tokens,
-  CAST(count(*) AS BIGINT) AS n_fragments, string_agg(text, '' ORDER BY section, ord) AS document
-FROM frags GROUP BY project_id""")
+def _chunks_sql(chunk_bytes: int) -> str:
+    return f"""WITH {FRAGMENTS_SQL},
+limits AS (SELECT project_id, count(*) >= {MAX_FILES} AS at_limit FROM ticked GROUP BY project_id),
+placed AS (
+  SELECT *, dense_rank() OVER (PARTITION BY project_id ORDER BY slot) - 1 AS chunk_no
+  FROM (SELECT *, coalesce(sum(strlen(text)) OVER (PARTITION BY project_id ORDER BY section, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                  // {chunk_bytes} AS slot FROM frags)),
+whole AS (SELECT project_id, sum(strlen(text)) AS n, count(*) AS f, max(chunk_no) + 1 AS c FROM placed GROUP BY project_id)
+SELECT p.project_id, CAST(p.chunk_no AS INTEGER) AS chunk_no, CAST(any_value(w.c) AS INTEGER) AS n_chunks, CAST(any_value(w.n) AS BIGINT) AS n_bytes,
+  CAST(any_value(w.n) // 3 AS BIGINT) AS n_tokens, CAST(any_value(w.f) AS BIGINT) AS n_fragments, any_value(l.at_limit) AS at_limit,
+  string_agg(p.text, '' ORDER BY p.section, p.ord) AS text
+FROM placed p JOIN whole w USING (project_id) LEFT JOIN limits l USING (project_id)
+GROUP BY p.project_id, p.chunk_no"""
+
+
+def _documents(spark, sf_dir, chunk_bytes):
+    state = materialize(C.docs_selected_state(spark, sf_dir), "docs-state")
+    # the fragment table is the primary output (S6); the documents are built from it
+    frags = materialize(_fragments(spark, sf_dir, state=state), "fragments")
+    limits = state.groupBy("project_id").agg((F.count(F.lit(1)) >= MAX_FILES).alias("at_limit"))
+    return assemble.documents(frags, chunk_bytes, limits)
+
+
+@register("context_document", _chunks_sql(assemble.CHUNK_BYTES))
 def q_context_document(spark, sf_dir):
     """The flagship: one context document per project with its token count."""
-    # the fragment table is the primary output (S6); the document is built from it
-    frags = materialize(_fragments(spark, sf_dir), "fragments")
-    return assemble.documents(frags)
+    return _documents(spark, sf_dir, assemble.CHUNK_BYTES)
+
+
+@register("context_chunks", _chunks_sql(C.SMALL_CHUNK))
+def q_context_chunks(spark, sf_dir):
+    """The same documents in chunks small enough to split most of them."""
+    return _documents(spark, sf_dir, C.SMALL_CHUNK)
+
+
+@register("fragment_sink", f"""WITH {FRAGMENTS_SQL}
+SELECT project_id, section, ord, text FROM frags""")
+def q_fragment_sink(spark, sf_dir):
+    """The fragment table written by the sink and read back."""
+    path = scratch_path(spark, "tables", f"fragment-sink-{uuid.uuid4().hex[:12]}")
+    assemble.write_fragments(_fragments(spark, sf_dir), path)
+    return spark.read.parquet(path)
 
 
 # ------------------------------------------------------------ step 6: sizes
@@ -538,14 +574,24 @@ def q_recent_commands(spark, sf_dir):
     return history.recent_commands(views.history(spark, sf_dir)).select("user_id", "rank", "command", "last_seq")
 
 
-@register("forget_commands", f"""WITH {HIST_SQL},
-forgets AS (SELECT user_id, 'view ' || props AS command, max(ts) AS fts, arg_max(event_id, (ts, event_id)) AS fseq
-            FROM events WHERE event_type = 'error' GROUP BY user_id, 'view ' || props),
-live AS (SELECT u.* FROM uses u LEFT JOIN forgets f USING (user_id, command)
-         WHERE f.fts IS NULL OR (u.mts, u.last_seq) > (f.fts, f.fseq))
-SELECT user_id, CAST(rank AS INTEGER) AS rank, command, last_seq FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY mts DESC, last_seq DESC) AS rank FROM live)
-WHERE rank <= 50""")
+LIST_SQL = f"""ev AS (
+  SELECT user_id, event_type = 'error' AS forgets, CASE WHEN event_type = 'error' THEN 'view ' || props ELSE trim(event_type || ' ' || props) END AS command,
+         event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events),
+lists AS (
+  SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS l FROM (SELECT DISTINCT user_id FROM ev)
+  UNION ALL
+  SELECT s.user_id, e.rn, CASE WHEN e.forgets THEN list_filter(s.l, lambda x: x <> e.command)
+                               ELSE list_concat([e.command], list_filter(s.l, lambda x: x <> e.command))[1:{MAX_HISTORY}] END
+  FROM lists s JOIN ev e ON e.user_id = s.user_id AND e.rn = s.rn + 1),
+final AS (
+  SELECT user_id, unnest(l) AS command, unnest(generate_series(1, len(l))) AS rank
+  FROM (SELECT user_id, arg_max(l, rn) AS l FROM lists GROUP BY user_id))"""
+
+
+@register("forget_commands", f"""WITH RECURSIVE {LIST_SQL},
+{HIST_SQL}
+SELECT f.user_id, CAST(f.rank AS INTEGER) AS rank, f.command, u.last_seq FROM final f JOIN uses u USING (user_id, command)""")
 def q_forget_commands(spark, sf_dir):
     """History with forgotten commands removed."""
     r = history.recent_commands(views.history(spark, sf_dir), forgets=views.forgets(spark, sf_dir))
@@ -570,7 +616,8 @@ UNION ALL
 SELECT key, CAST(3 AS BIGINT), '[... output truncated ...]' FROM l WHERE total > 5 GROUP BY key""")
 def q_head_tail_lines(spark, sf_dir):
     """First 3 and last 2 lines of every document, with the marker."""
-    return lines.head_tail_lines(views.lines(spark, sf_dir), 3, 2)
+    d = table(spark, sf_dir, "documents")
+    return lines.head_tail_rows(d.select(F.col("doc_id").alias("key"), "text"), 3, 2)
 
 
 @register("head_tail_text", f"""SELECT doc_id, {_head_tail_sql('text', 3, 2)} AS output FROM documents""")
@@ -582,13 +629,15 @@ def q_head_tail_text(spark, sf_dir):
 
 # ------------------------------------------------------------ step 9: latest
 UPDATES_SQL = f"""upd AS (
-  SELECT regexp_extract(url, '{V.SCHEME}([^/?#]*)', 1) || '/' || regexp_extract(url, '{V.SCHEME}[^/?#]*/+([^/?#]*)', 1) AS url_key,
-         html AS content, {V.EPOCH} + (page_id * 7919) % 10007 AS tsec, page_id AS seq
+  SELECT regexp_extract(url, '{V.SCHEME}([^?#]*)', 1) AS url_key, html AS content, {V.EPOCH} + (page_id * 7919) % 10007 AS tsec, 2 * page_id AS seq
+  FROM pages
+  UNION ALL
+  SELECT regexp_extract(url, '{V.SCHEME}([^?#]*)', 1), {_html_text_sql('html')}, {V.EPOCH} + (page_id * 6007) % 10007, 2 * page_id + 1
   FROM pages)"""
 
 
 @register("latest_update", f"""WITH {UPDATES_SQL}
-SELECT url_key, arg_max(content, (tsec, seq)) AS content, arg_max(seq, (tsec, seq)) AS last_seq, CAST(count(*) AS BIGINT) AS n_versions
+SELECT url_key, arg_max(content, (tsec, seq)) AS content, CAST(arg_max(seq, (tsec, seq)) AS BIGINT) AS last_seq, CAST(count(*) AS BIGINT) AS n_versions
 FROM upd GROUP BY url_key""")
 def q_latest_update(spark, sf_dir):
     """Newest content per URL key by (ts, seq)."""
@@ -599,11 +648,11 @@ NEAREST_SQL = f"""{V.PROJECTS},
 roots AS (SELECT project_id, k, lang, '/ws/' || lang || '/' || project_id AS root FROM projects),
 langs AS (SELECT DISTINCT lang FROM documents),
 rule_files AS (
-  SELECT root || '/.prompt/.promptignore' AS path, project_id AS owner FROM roots WHERE k % 4 = 0
-  UNION ALL SELECT root || '/.promptignore', project_id FROM roots WHERE k % 4 IN (0, 1)
-  UNION ALL SELECT '/ws/' || lang || '/.prompt/.promptignore', NULL FROM langs WHERE lang IN ('en', 'fr')),
-rf AS (SELECT path, ends_with(path, '/.prompt/.promptignore') AS is_new,
-              regexp_replace(path, '/(?:\\.prompt/)?\\.promptignore$', '') AS dir FROM rule_files),
+  SELECT root || '/{NAMES.rule_file}' AS path, project_id AS owner FROM roots WHERE k % 4 = 0
+  UNION ALL SELECT root || '/{NAMES.rule_file_legacy}', project_id FROM roots WHERE k % 4 IN (0, 1)
+  UNION ALL SELECT '/ws/' || lang || '/{NAMES.rule_file}', NULL FROM langs WHERE lang IN ('en', 'fr')),
+rf AS (SELECT path, ends_with(path, '/{NAMES.rule_file}') AS is_new,
+              regexp_replace(path, '/(?:{re.escape(NAMES.rule_file)}|{re.escape(NAMES.rule_file_legacy)})$', '') AS dir FROM rule_files),
 up AS (
   SELECT project_id, depth, '/' || array_to_string(segs[1:depth], '/') AS dir
   FROM (SELECT project_id, segs, unnest(generate_series(len(segs), 0, -1)) AS depth
@@ -658,19 +707,21 @@ def q_project_scan_stats(spark, sf_dir):
 @register("stream_latest_update", ORACLE_SQL["latest_update"])
 def q_stream_latest_update(spark, sf_dir):
     """The update stream replayed as 8 file arrivals; equals ``latest_update``."""
+    from ctxloom.plans.replay import stage_arrivals
     from ctxloom.streaming import jobs
     upd = views.updates(spark, sf_dir)
-    path = jobs.stage_arrivals(upd, "seq", 8, "updates")
-    return jobs.latest_content(spark, path, upd.schema)
+    path = stage_arrivals(upd, "seq", 8, "updates")
+    return jobs.latest_content(spark, path, upd.schema, max_files=1)
 
 
 @register("stream_recent_commands", ORACLE_SQL["recent_commands"])
 def q_stream_recent_commands(spark, sf_dir):
     """Command uses replayed as 8 file arrivals; equals ``recent_commands``."""
+    from ctxloom.plans.replay import stage_arrivals
     from ctxloom.streaming import jobs
     h = views.history(spark, sf_dir)
-    path = jobs.stage_arrivals(h, "seq", 8, "history")
-    return jobs.recent_commands(spark, path, h.schema)
+    path = stage_arrivals(h, "seq", 8, "history")
+    return jobs.recent_commands(spark, path, h.schema, max_files=1)
 
 
 @register("stream_file_estimate", f"""WITH {DOCS_LOADED},
@@ -682,21 +733,23 @@ SELECT project_id, CAST(count(*) AS BIGINT) AS n_files,
 FROM ticked GROUP BY project_id""")
 def q_stream_file_estimate(spark, sf_dir):
     """Loaded files with ticks arriving in 8 batches; running estimate parts."""
+    from ctxloom.plans.replay import stage_arrivals
     from ctxloom.streaming import jobs
     state = C.docs_selected_state(spark, sf_dir).select("project_id", "rel_path", "length", "selected", "doc_id")
-    path = jobs.stage_arrivals(state, "doc_id", 8, "files")
-    return jobs.running_estimate(spark, path, state.schema)
+    path = stage_arrivals(state, "doc_id", 8, "files")
+    return jobs.running_estimate(spark, path, state.schema, max_files=1)
 
 
-@register("stream_history_list")
+@register("stream_history_list", f"""WITH RECURSIVE {LIST_SQL}
+SELECT user_id, CAST(rank AS INTEGER) AS rank, command FROM final""")
 def q_stream_history_list(spark, sf_dir):
     """Exact history lists (add / forget in event order, cap 50) from the
-    ``events`` stream; stateful per user.  No SQL form: the list edits are
-    sequential, so it is tested against a plain-Python list on whole tables."""
-    from ctxloom.streaming import history_list, jobs
+    ``events`` stream; stateful per user."""
+    from ctxloom.plans.replay import stage_arrivals
+    from ctxloom.streaming import history_list
     ev = history_list.history_events(views.history(spark, sf_dir), views.forgets(spark, sf_dir))
-    path = jobs.stage_arrivals(ev, "seq", 8, "history-events", ordered=True)
-    return history_list.history_lists(spark, path, ev.schema)
+    path = stage_arrivals(ev, "seq", 8, "history-events", ordered=True)
+    return history_list.history_lists(spark, path, ev.schema, max_files=1)
 
 
 @register("conversation_head_tail", f"""WITH t AS (
@@ -715,4 +768,4 @@ def q_conversation_head_tail(spark, sf_dir):
     ordered fragments)."""
     c = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("key"), F.col("turn").alias("part"), "text")
-    return lines.head_tail_lines(lines.number_lines(c), 3, 2)
+    return lines.head_tail_parts(c, 3, 2)

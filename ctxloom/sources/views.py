@@ -2,7 +2,7 @@
 
 Each view is a lazy DataFrame derived from the parquet tables, so its work
 grows with them.  The definitions are the contract that the DuckDB oracle
-queries in ``ctxloom.plans.oracle`` restate in SQL (see FIXTURES.md).
+queries in ``ctxloom.plans.registry`` restate in SQL (see FIXTURES.md).
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxloom.constants import FILE_CLASSES
+from ctxloom.constants import FILE_CLASSES, NAMES
 from ctxloom.functions.paths import normalize_path
 from ctxloom.functions.text import html_to_text
 from ctxloom.sources.tables import table
@@ -20,6 +20,7 @@ from ctxloom.sources.tables import table
 DOC_SUFFIXES = [s for _, sufs in FILE_CLASSES for s in sufs] + [""]
 N_PROJECT_SLOTS = 20          # pages are spread over projects src0..src19
 URL_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://"
+ENV_SYSTEM_FILE, DEFAULT_SYSTEM_FILE = "/etc/ctx/system.txt", "/opt/ctx/config/system.txt"
 EPOCH_2024 = 1704067200       # 2024-01-01 00:00:00 UTC
 
 
@@ -93,7 +94,7 @@ def _numbered_text(spark: SparkSession, sf_dir: str, offset: int) -> DataFrame:
 
 
 def config_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate system-prompt files per project (J4 input).
+    """Candidate system text files per project (J4 input).
 
     ``layer`` 0 = project file, 1 = environment override, 2 = fixed default.
     ``text`` null = the file does not exist.  Project file exists when
@@ -106,14 +107,14 @@ def config_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = p.join(t1, "project_id", "left").join(t2, "project_id", "left")
     root = F.concat(F.lit("/ws/"), F.col("project_id"))
     layers = F.array(
-        F.struct(F.lit(0).alias("layer"), F.concat(root, F.lit("/.prompt/system_prompt.txt")).alias("path"),
+        F.struct(F.lit(0).alias("layer"), F.concat(root, F.lit("/" + NAMES.system_file)).alias("path"),
                  F.when(F.col("k") % 3 == 0, F.col("t1")).alias("text")),
-        F.struct(F.lit(1).alias("layer"), F.lit("/etc/ctx/system_prompt.txt").alias("path"),
+        F.struct(F.lit(1).alias("layer"), F.lit(ENV_SYSTEM_FILE).alias("path"),
                  F.when(F.col("k") % 3 == 1, F.col("t2")).alias("text")),
-        F.struct(F.lit(2).alias("layer"), F.lit("/opt/ctx/config/system_prompt.txt").alias("path"),
+        F.struct(F.lit(2).alias("layer"), F.lit(DEFAULT_SYSTEM_FILE).alias("path"),
                  F.lit(None).cast("string").alias("text")),
     )
-    return p.select("project_id", F.inline(layers))
+    return p.select("project_id", F.inline(layers)).withColumn("exists", F.col("text").isNotNull())
 
 
 def addons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,17 +148,15 @@ def forgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page updates keyed by ``host/first-segment``, several per key, with an
-    event time that is not in arrival (``seq``) order."""
+    """Page updates keyed by host and full path, two per page: the raw page and
+    its text, with event times that are not in arrival (``seq``) order and whose
+    order within a page varies."""
     p = table(spark, sf_dir, "pages")
-    host = F.regexp_extract("url", URL_SCHEME + r"([^/?#]*)", 1)
-    first = F.regexp_extract("url", URL_SCHEME + r"[^/?#]*/+([^/?#]*)", 1)
-    return p.select(
-        F.concat(host, F.lit("/"), first).alias("url_key"),
-        F.col("html").alias("content"),
-        F.timestamp_seconds(F.lit(EPOCH_2024) + (F.col("page_id") * 7919) % 10007).alias("ts"),
-        F.col("page_id").alias("seq"),
-    )
+    key = F.regexp_extract("url", URL_SCHEME + r"([^?#]*)", 1)
+    at = lambda step: F.timestamp_seconds(F.lit(EPOCH_2024) + (F.col("page_id") * step) % 10007)
+    two = F.array(F.struct(F.col("html").alias("content"), at(7919).alias("ts"), (2 * F.col("page_id")).alias("seq")),
+                  F.struct(html_to_text(F.col("html")).alias("content"), at(6007).alias("ts"), (2 * F.col("page_id") + 1).alias("seq")))
+    return p.select(key.alias("url_key"), F.inline(two))
 
 
 def folder_actions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ctxloom.constants import MAX_HISTORY
 from ctxloom.functions.globs import rust_trim
 from ctxloom.session import ship_package
-from ctxloom.streaming.jobs import read_latest, run_to_changelog
+from ctxloom.streaming.jobs import file_stream, read_latest, run_to_changelog
 
 EVENT_COLUMNS = ["user_id", "kind", "command", "ts", "seq"]
 STATE_SCHEMA = "entries array<string>"
@@ -47,8 +47,9 @@ def apply_events(entries: list[str], kinds, commands, cap: int) -> list[str]:
             out.insert(0, c)
             del out[cap:]
         elif kind == "forget":
-            if cmd in out:
-                out.remove(cmd)
+            c = rust_trim(cmd or "")
+            if c in out:
+                out.remove(c)
         elif kind == "clear":
             out = []
     return out
@@ -82,7 +83,7 @@ def history_events(uses: DataFrame, forgets: DataFrame | None = None) -> DataFra
     return adds.unionByName(f)
 
 
-def history_lists(spark: SparkSession, path: str, schema, cap: int = MAX_HISTORY, max_files: int = 1,
+def history_lists(spark: SparkSession, path: str, schema, cap: int = MAX_HISTORY, max_files: int | None = None,
                   ttl_ms: int | None = None) -> DataFrame:
     """Run the stream over the event files at ``path``; returns the current
     list per user as ``(user_id, rank, command)``.
@@ -93,7 +94,7 @@ def history_lists(spark: SparkSession, path: str, schema, cap: int = MAX_HISTORY
     result and the stream ends when its input does.
     """
     ship_package(spark)
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    events = file_stream(spark, path, schema, max_files)
     events = events.select(*EVENT_COLUMNS).withColumn("ts", F.col("ts").cast("timestamp"))
     if ttl_ms:
         events = events.withWatermark("ts", "0 seconds")

@@ -5,8 +5,7 @@ State is one row per key, kept by Spark's streaming aggregation in update
 mode: each micro-batch emits only the keys it changed, and ``foreachBatch``
 writes them to their own ``epoch=<id>`` folder of a changelog table
 (overwrite, so a replayed epoch writes the same files).  Readers take the
-latest row per key (``read_latest``), which is also how the changelog would
-be compacted.  Checkpoint and changelog live under the shared checkpoint
+latest row per key (``read_latest``), which is also how ``compact`` rewrites it.  Checkpoint and changelog live under the shared checkpoint
 folder, so a restarted query resumes where it stopped.
 """
 
@@ -20,31 +19,10 @@ from pyspark.sql import functions as F
 from ctxloom.constants import MAX_HISTORY
 from ctxloom.functions.tokens import chars_to_tokens, file_tokens
 from ctxloom.operators.history import clean_commands
+from ctxloom.operators.updates import newest, with_content
 from ctxloom.session import scratch_path
 
 
-def stage_arrivals(df: DataFrame, order_col: str, n_files: int, label: str, ordered: bool = False) -> str:
-    """Write ``df`` as about ``n_files`` parquet files split by ranges of
-    ``order_col`` (the arrival order); returns the folder.
-
-    The file source takes files in modification-time order; files written by
-    one job get no reliable order, which is fine for the commutative
-    aggregates.  ``ordered=True`` writes the ranges one after another (range
-    bounds from ``percentile_approx``) for jobs that need arrival order.
-    """
-    path = scratch_path(df.sparkSession, "streams", f"{label}-in-{uuid.uuid4().hex[:12]}")
-    if not ordered:
-        df.repartitionByRange(n_files, order_col).write.mode("overwrite").parquet(path)
-        return path
-    qs = [i / n_files for i in range(1, n_files)]
-    bounds = df.agg(F.percentile_approx(order_col, qs).alias("b")).first()["b"] or []
-    bucket = sum((F.col(order_col) > F.lit(b)).cast("int") for b in bounds) if bounds else F.lit(0)
-    tagged = df.withColumn("_arrival", bucket)
-    for i in range(len(bounds) + 1):
-        tagged.where(F.col("_arrival") == i).drop("_arrival").coalesce(1).write.mode("append").parquet(path)
-    return path
-
-
 def run_to_changelog(agg: DataFrame, label: str) -> str:
     """Run an aggregating stream in update mode until the input is drained;
     return the changelog folder (``epoch`` partitions of changed keys)."""
@@ -55,17 +33,19 @@ def run_to_changelog(agg: DataFrame, label: str) -> str:
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{log}/epoch={epoch_id}")
 
+    # an epoch without rows first: a stream without input leaves an empty table, not a missing one
+    spark.createDataFrame([], agg.schema).write.mode("overwrite").parquet(f"{log}/epoch=-1")
     q = (agg.writeStream.outputMode("update").foreachBatch(write_batch)
          .option("checkpointLocation", base + "/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    if not _exists(spark, log):  # no input arrived: an empty table, not a missing one
-        spark.createDataFrame([], agg.schema).write.mode("overwrite").parquet(f"{log}/epoch=-1")
     return log
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+def compact(spark: SparkSession, log: str, keys: list[str], out: str) -> str:
+    """Rewrite a changelog as one epoch with the latest row per key (to a new
+    folder; the reader switches over and the old one can go)."""
+    read_latest(spark, log, keys).write.mode("overwrite").parquet(f"{out}/epoch=0")
+    return out
 
 
 def read_latest(spark: SparkSession, log: str, keys: list[str]) -> DataFrame:
@@ -76,26 +56,27 @@ def read_latest(spark: SparkSession, log: str, keys: list[str]) -> DataFrame:
     return latest.select(*keys, *[F.col("_v")[c].alias(c) for c in values])
 
 
-def _source(spark: SparkSession, path: str, schema, max_files: int) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
+    """Files as they arrive; ``max_files`` per micro-batch only where a caller asks for it."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
-def latest_content(spark: SparkSession, path: str, schema, key: str = "url_key", max_files: int = 1) -> DataFrame:
+def latest_content(spark: SparkSession, path: str, schema, key: str = "url_key", max_files: int | None = None) -> DataFrame:
     """Newest content per key by ``(ts, seq)``; arrival order does not
-    matter, so late records cannot overwrite newer ones."""
-    s = _source(spark, path, schema, max_files)
-    agg = s.groupBy(key).agg(
-        F.max_by("content", F.struct("ts", "seq")).alias("content"),
-        F.max(F.struct("ts", "seq"))["seq"].alias("last_seq"),
-        F.count(F.lit(1)).alias("n_versions"))
-    return read_latest(spark, run_to_changelog(agg, "latest"), [key])
+    matter, so late records cannot overwrite newer ones.  The state is the time
+    and number of the newest update of a key; content is read for the winners."""
+    agg = file_stream(spark, path, schema, max_files).groupBy(key).agg(
+        newest().alias("_last"), F.count(F.lit(1)).alias("n_versions"))
+    current = read_latest(spark, run_to_changelog(agg, "latest"), [key])
+    return with_content(current, spark.read.schema(schema).parquet(path), key)
 
 
-def recent_commands(spark: SparkSession, path: str, schema, cap: int = MAX_HISTORY, max_files: int = 1) -> DataFrame:
+def recent_commands(spark: SparkSession, path: str, schema, cap: int = MAX_HISTORY, max_files: int | None = None) -> DataFrame:
     """Most-recently-used commands per user.  The stream keeps the last
     use per (user, command); the top ``cap`` per user is a window over the
     current table (row-number windows are not allowed on streams)."""
-    s = clean_commands(_source(spark, path, schema, max_files))
+    s = clean_commands(file_stream(spark, path, schema, max_files))
     agg = s.groupBy("user_id", "command").agg(F.max(F.struct("ts", "seq")).alias("last"))
     current = read_latest(spark, run_to_changelog(agg, "history"), ["user_id", "command"])
     w = Window.partitionBy("user_id").orderBy(F.col("last").desc())
@@ -103,10 +84,10 @@ def recent_commands(spark: SparkSession, path: str, schema, cap: int = MAX_HISTO
     return r.select("user_id", "rank", "command", F.col("last.seq").alias("last_seq"))
 
 
-def running_estimate(spark: SparkSession, path: str, schema, max_files: int = 1) -> DataFrame:
+def running_estimate(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
     """Per project, files seen so far, tokens of the ticked ones and the
     tree estimate, updated as file batches arrive."""
-    s = _source(spark, path, schema, max_files)
+    s = file_stream(spark, path, schema, max_files)
     agg = s.groupBy("project_id").agg(
         F.count(F.lit(1)).alias("n_files"),
         F.sum(F.when(F.col("selected"), file_tokens(F.col("length"))).otherwise(0)).cast("bigint").alias("file_tokens"),

@@ -3,6 +3,8 @@
 import re
 
 import __spark_entry__ as E
+from ctxloom.constants import TAG_SYSTEM_OPEN
+from ctxloom.plans.registry import QUERIES
 from tests.conftest import SF001
 
 
@@ -10,7 +12,7 @@ def test_registry_keys():
     qs, sqls = E.queries(), E.oracle_sql()
     assert set(sqls) <= set(qs)
     assert len(qs) >= 30
-    for name in qs:
+    for name in QUERIES:
         assert not re.match(r"op\d+_", name) and "pipeline" not in name
 
 
@@ -18,10 +20,10 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert len(rows) == 20
-    assert df.columns == ["project_id", "n_bytes", "n_tokens", "n_fragments", "document"]
+    assert df.columns == ["project_id", "chunk_no", "n_chunks", "n_bytes", "n_tokens", "n_fragments", "at_limit", "text"]
     for r in rows:
-        assert r.document.startswith("<system_prompt>\n") and r.document.endswith("</instruction>\n")
-        assert r.n_bytes == len(r.document.encode())
+        assert r.text.startswith(TAG_SYSTEM_OPEN) and r.text.endswith("</instruction>\n") and r.n_chunks == 1
+        assert r.n_bytes == len(r.text.encode())
 
 
 def _plan(df):
@@ -44,7 +46,26 @@ def test_no_python_udf_over_catalogue_rows(spark):
 
 
 def test_pushdown_and_pruning(spark):
-    plan = _plan(E.queries()["forget_commands"](spark, SF001))
+    plan = _plan(E.queries()["recent_commands"](spark, SF001))
     assert "PushedFilters: [IsNotNull(event_type), Not(EqualTo(event_type,error))" in plan or \
            "EqualTo(event_type,error)" in plan
     assert "value" not in re.findall(r"FileScan parquet \[([^\]]*)\]", plan)[0]
+
+
+def test_group_limit_applies_at_the_default(spark):
+    for name in ["loaded_files", "folder_select", "folder_tristate"]:
+        assert "WindowGroupLimit" in _plan(E.queries()[name](spark, SF001)), name
+
+
+def test_latest_update_state_is_narrow(spark):
+    assert "SortAggregate" not in _plan(E.queries()["latest_update"](spark, SF001))
+
+
+def test_head_tail_lines_needs_no_shuffle(spark):
+    plan = _plan(E.queries()["head_tail_lines"](spark, SF001))
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_estimate_shuffles(spark):
+    df = E.queries()["estimate_tokens"](spark, SF001)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 14

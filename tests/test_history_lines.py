@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from ctxloom.operators import history, lines
-from tests.reference_models import head_tail, mru
+from tests.reference_models import edited_list, head_tail, last_uses
 
 
 def test_mru_matches_list_model(spark):
@@ -16,7 +16,7 @@ def test_mru_matches_list_model(spark):
                 for _ in range(rnd.randint(0, 40))]
         for seq, c in enumerate(cmds):
             rows.append((user, c, seq, seq))
-        expected[user] = mru(cmds, 4)
+        expected[user] = last_uses(cmds, 4)
     df = spark.createDataFrame(rows, "user_id long, command string, ts long, seq long")
     got = {}
     for r in history.recent_commands(df, cap=4).orderBy("user_id", "rank").collect():
@@ -59,14 +59,54 @@ def test_head_tail_text_matches_model(spark):
         assert all(got[i] == head_tail(t, n, m) for i, t in enumerate(texts)), (n, m)
 
 
+def test_exact_list_with_forgets(spark):
+    rnd = random.Random(23)
+    uses, forgets, expected = [], [], {}
+    for user in range(60):
+        events = []
+        for seq in range(rnd.randint(1, 60)):
+            kind = rnd.choices(["add", "forget", "clear"], [8, 3, 0.3])[0]
+            cmd = None if kind == "clear" else f"c{rnd.randint(0, 8)}"
+            events.append((kind, cmd))
+            (uses if kind == "add" else forgets).append((user, cmd, seq, seq))
+        expected[user] = edited_list(events, 4)
+    schema = "user_id long, command string, ts long, seq long"
+    got = {}
+    for r in history.recent_commands(spark.createDataFrame(uses, schema), 4, spark.createDataFrame(forgets, schema)).orderBy("user_id", "rank").collect():
+        got.setdefault(r.user_id, []).append(r.command)
+    assert got == {u: v for u, v in expected.items() if v}
+
+
+def test_evicted_command_does_not_come_back(spark):
+    schema = "user_id long, command string, ts long, seq long"
+    uses = spark.createDataFrame([(1, c, i, i) for i, c in enumerate("abc")], schema)
+    forgets = spark.createDataFrame([(1, "b", 9, 9)], schema)
+    assert [r.command for r in history.recent_commands(uses, 2, forgets).collect()] == ["c"]
+
+
 def test_head_tail_rows(spark):
-    rows = [(1, i, f"l{i}") for i in range(10)] + [(2, i, f"m{i}") for i in range(4)]
-    df = spark.createDataFrame(rows, "key long, line_no long, line string")
+    texts = spark.createDataFrame([(1, "\n".join(f"l{i}" for i in range(10))), (2, "m0\nm1\nm2\nm3\n"), (3, "")], "key long, text string")
     got = {}
-    for r in lines.head_tail_lines(df, 3, 2).orderBy("key", "pos").collect():
-        got.setdefault(r.key, []).append(r.line)
-    assert got[1] == ["l0", "l1", "l2", "[... output truncated ...]", "l8", "l9"]
-    assert got[2] == ["m0", "m1", "m2", "m3"]
+    for r in lines.head_tail_rows(texts, 3, 2).orderBy("key", "pos").collect():
+        got.setdefault(r.key, []).append((r.pos, r.line))
+    assert got[1] == [*enumerate(["l0", "l1", "l2", "[... output truncated ...]", "l8", "l9"])]
+    assert got[2] == [*enumerate(["m0", "m1", "m2", "m3"])] and 3 not in got
+
+
+def test_head_tail_parts_equal_the_joined_text(spark):
+    rnd = random.Random(4)
+    rows, whole = [], {}
+    for key in range(40):
+        parts = ["".join(f"k{key}p{p}l{i}\n" for i in range(rnd.choice([0, 0, 1, 2, 7]))) for p in range(rnd.randint(1, 6))]
+        rows += [(key, f"{p:02d}", t) for p, t in enumerate(parts)]
+        whole[key] = "".join(parts)
+    df = spark.createDataFrame(rows, "key long, part string, text string").repartition(5)
+    for n, m in [(3, 2), (0, 2), (2, 0), (1, 1)]:
+        got = {}
+        for r in lines.head_tail_parts(df, n, m).orderBy("key", "pos").collect():
+            assert r.pos == len(got.setdefault(r.key, []))
+            got[r.key].append(r.line)
+        assert {k: "".join(x + "\n" for x in v) for k, v in got.items()} == {k: head_tail(t, n, m) for k, t in whole.items() if t}, (n, m)
 
 
 def test_number_lines_across_parts(spark):
@@ -76,12 +116,9 @@ def test_number_lines_across_parts(spark):
     assert got == [(1, 0, "a"), (1, 1, "c"), (1, 2, "d"), (2, 0, "x"), (2, 1, "y")]
 
 
-def test_number_lines_across_buckets(spark, monkeypatch):
-    monkeypatch.setattr(lines, "PART_BUCKET", 2)
+def test_number_lines_any_part_type(spark):
     parts = spark.createDataFrame([(1, p, f"l{p}a\nl{p}b") for p in [7, 0, 3, 1, 4, 2]] + [(2, 9, "z")],
-                                  "key long, part long, text string")
-    got = sorted((r.key, r.line_no, r.line) for r in lines.number_lines(parts).collect())
+                                  "key long, part long, text string").repartition(4)
     want = [(1, 2 * i + j, f"l{p}{'ab'[j]}") for i, p in enumerate([0, 1, 2, 3, 4, 7]) for j in range(2)] + [(2, 0, "z")]
-    assert got == sorted(want)
-    strs = parts.withColumn("part", parts["part"].cast("string"))
-    assert sorted((r.key, r.line_no, r.line) for r in lines.number_lines(strs).collect()) == sorted(want)
+    for df in (parts, parts.withColumn("part", parts["part"].cast("string"))):
+        assert sorted((r.key, r.line_no, r.line) for r in lines.number_lines(df).collect()) == sorted(want)

@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ctxloom.operators import history, updates
+from ctxloom.plans.replay import stage_arrivals
 from ctxloom.session import scratch_path
 from ctxloom.sources import views
 from ctxloom.streaming import jobs
@@ -17,7 +18,7 @@ def _same(a, b):
 
 def test_latest_update_stream_equals_batch(spark):
     upd = views.updates(spark, SF001)
-    path = jobs.stage_arrivals(upd, "seq", 5, "t-upd")
+    path = stage_arrivals(upd, "seq", 5, "t-upd")
     got = jobs.latest_content(spark, path, upd.schema)
     assert _same(got.select("url_key", "content", "last_seq", "n_versions"),
                  updates.latest_by_key(upd).select("url_key", "content", "last_seq", "n_versions"))
@@ -36,7 +37,7 @@ def test_latest_update_late_files_first(spark):
 
 def test_recent_commands_stream_equals_batch(spark):
     h = views.history(spark, SF001)
-    path = jobs.stage_arrivals(h, "seq", 4, "t-hist")
+    path = stage_arrivals(h, "seq", 4, "t-hist")
     got = jobs.recent_commands(spark, path, h.schema, cap=3)
     want = history.recent_commands(h, cap=3).select("user_id", "rank", "command", "last_seq")
     assert _same(got, want)
@@ -52,7 +53,7 @@ def test_empty_input_gives_empty_result(spark):
 def test_history_list_stream_matches_list_model(spark):
     from ctxloom.streaming import history_list
     ev = history_list.history_events(views.history(spark, SF001), views.forgets(spark, SF001))
-    path = jobs.stage_arrivals(ev, "seq", 4, "t-hl", ordered=True)
+    path = stage_arrivals(ev, "seq", 4, "t-hl", ordered=True)
     got = {}
     for r in history_list.history_lists(spark, path, ev.schema, cap=5).orderBy("user_id", "rank").collect():
         got.setdefault(r.user_id, []).append(r.command)
@@ -74,7 +75,7 @@ def test_apply_events_forget_leaves_a_hole():
 def test_history_list_ttl(spark):
     from ctxloom.streaming import history_list
     ev = history_list.history_events(views.history(spark, SF001))
-    path = jobs.stage_arrivals(ev, "seq", 2, "t-hl-ttl", ordered=True)
+    path = stage_arrivals(ev, "seq", 2, "t-hl-ttl", ordered=True)
     plain = history_list.history_lists(spark, path, ev.schema, cap=3)
     long_ttl = history_list.history_lists(spark, path, ev.schema, cap=3, ttl_ms=10 * 365 * 86_400_000)
     assert _same(long_ttl, plain)
@@ -85,3 +86,13 @@ def test_history_list_ttl(spark):
     import datetime
     kept = {u for u, t in last.items() if end - t <= datetime.timedelta(milliseconds=ttl)}
     assert short == kept and 0 < len(kept) < len(last)
+
+
+def test_compacted_changelog_reads_the_same(spark):
+    h = views.history(spark, SF001)
+    path = stage_arrivals(h, "seq", 3, "t-cl")
+    agg = jobs.file_stream(spark, path, h.schema, 1).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    log = jobs.run_to_changelog(agg, "t-cl")
+    small = jobs.compact(spark, log, ["user_id"], scratch_path(spark, "streams", f"compact-{uuid.uuid4().hex[:8]}"))
+    assert _same(jobs.read_latest(spark, log, ["user_id"]), jobs.read_latest(spark, small, ["user_id"]))
+    assert spark.read.parquet(small).count() < spark.read.parquet(log).count()
