@@ -2,9 +2,9 @@
 
 The regression reads word 1- and 2-grams and byte 3- and 5-grams, hashed into
 four blocks of ``BLOCK`` weights; a block's features are shares (they sum to
-one), so long and short texts compare.  It is fitted with numpy on the driver
+one), so long and short texts compare.  It is fitted with numpy in one task
 from a bounded sample of labelled rows (``SAMPLE`` a class, drawn by hash of
-the key; the features are made in tasks), then calibrated (Platt scaling) on
+the key), then calibrated (Platt scaling) on
 the quarter of the sample that the fit did not see.  The model is
 4 * ``BLOCK`` floats whatever the corpus, so it is broadcast.  Every text is
 scored whole, in Arrow batches, against fixed thresholds on the probability.
@@ -29,7 +29,7 @@ from ctxloom.session import ship_package
 
 BLOCK = 1 << 16
 #: Labelled rows of each class that the fit may see.
-SAMPLE = 1_500
+SAMPLE = 1_000
 #: Kept at this calibrated probability of good quality, or more.
 THRESHOLD = 0.3
 SCALE = 30.0
@@ -181,28 +181,43 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     drawn = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(
         F.broadcast(spark.createDataFrame(ids, known.schema)), "_id")
     one = drawn.groupBy("_id", "_y").agg(F.min("_text").alias("_text")).select("_y", "_text")  # a repeated key gives one text
-    got = one.mapInArrow(_features, "_y int, _num binary, _val binary").collect()
-    y = np.array([r["_y"] for r in got], float)
-    if len(set(y.tolist())) < 2:
+    features = one.mapInArrow(_features, "_y int, _num binary, _val binary").withColumn("_all", F.lit(0))
+
+    def fit(table: pa.Table) -> pa.Table:  # one task: the sample is bounded
+        found = _fit(table, steps)
+        return pa.table({"weights": pa.array([found.weights.tobytes()], pa.binary()), "bias": [found.bias], "slope": [found.slope],
+                         "shift": [found.shift], "trained": [found.trained]})
+
+    rows = features.groupBy("_all").applyInArrow(fit, "weights binary, bias double, slope double, shift double, trained boolean").collect()
+    if not rows:
         return model
-    nums = [np.frombuffer(r["_num"], np.int32) for r in got]
-    vals = [np.frombuffer(r["_val"], np.float32) for r in got]
-    # the order of collected rows may differ between runs: take them in an order of their own
-    order = sorted(range(len(got)), key=lambda i: (y[i], len(nums[i]), nums[i][:64].tobytes(), vals[i].tobytes()[:256]))
-    held = np.zeros(len(got), bool)
+    (r,) = rows
+    return Model(np.frombuffer(r["weights"], np.float32), r["bias"], r["slope"], r["shift"], r["trained"])
+
+
+def _fit(table: pa.Table, steps: int) -> Model:
+    """Fit on three quarters of the rows, calibrate on the rest."""
+    y = np.array(table.column("_y").to_pylist(), float)
+    if len(set(y.tolist())) < 2:
+        return Model(np.zeros(4 * BLOCK, np.float32))
+    nums = [np.frombuffer(x, np.int32) for x in table.column("_num").to_pylist()]
+    vals = [np.frombuffer(x, np.float32) for x in table.column("_val").to_pylist()]
+    # the order of shuffled rows may differ between runs: take them in an order of their own
+    order = sorted(range(len(y)), key=lambda i: (y[i], len(nums[i]), nums[i][:64].tobytes(), vals[i].tobytes()[:256]))
+    held = np.zeros(len(y), bool)
     held[np.array(order)[np.arange(len(order)) % 4 == 3]] = True
 
     def pack(sel):
         sel = [i for i in order if sel[i]]
-        rows = np.repeat(np.arange(len(sel)), [len(nums[i]) for i in sel])
+        rows = np.repeat(np.arange(len(sel), dtype=np.int32), [len(nums[i]) for i in sel])
         return y[sel], rows, np.concatenate([nums[i] for i in sel]), np.concatenate([vals[i] for i in sel])
 
     w, bias = _descend(*pack(~held), n_weights=4 * BLOCK, steps=steps)
     yh, rows, n, v = pack(held if held.any() and len(set(y[held])) == 2 else ~held)
     z = np.bincount(rows, v * w[n], minlength=len(yh)) + bias
-    ones = np.arange(len(yh))
-    (slope,), shift = _descend(yh, ones, np.zeros(len(yh), np.int64), z / max(1e-9, np.abs(z).mean()), 1, 400, rate=0.05, penalty=1e-3)
-    return Model(w.astype(np.float32), float(bias), float(slope) / max(1e-9, float(np.abs(z).mean())), float(shift), True)
+    scale = max(1e-9, float(np.abs(z).mean()))
+    (slope,), shift = _descend(yh, np.arange(len(yh)), np.zeros(len(yh), np.int64), z / scale, 1, 400, rate=0.05, penalty=1e-3)
+    return Model(w.astype(np.float32), float(bias), float(slope) / scale, float(shift), True)
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
