@@ -52,7 +52,7 @@ from ctxloom.llm import store
 from ctxloom.llm.textops import FOLD, WS, flat, hash_spans, runs, slices
 from ctxloom.session import materialize, ship_package
 
-DEPTH = 5
+DEPTH = 6
 TOP = 2
 CHUNK = 64 << 20
 DOCS_PER_GROUP = 1 << 14
