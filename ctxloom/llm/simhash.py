@@ -37,6 +37,8 @@ SHINGLE = 4
 MAX_BITS = 4
 #: Variants spelled out at a time in one task (16 bytes each).
 PART = 4_000_000
+#: Keys (8 bytes each) that may be broadcast.
+BROADCAST_KEYS = 100_000
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = 42) -> list[int]:
@@ -236,8 +238,14 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     count = first.groupBy("_key").agg(F.count("*").alias("_n"))
     boxed = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_id"), F.col(text).alias("_text"))  # no name clashes
     single = boxed.join(count.where("_n = 1 AND _key IS NOT NULL"), F.col("_id") == F.col("_key"), "left_semi")
-    # rows that share the smallest key, or have none: one for each key and component
-    again = boxed.join(count.where("_n > 1 OR _key IS NULL"), F.col("_id").eqNullSafe(F.col("_key")), "left_semi")
+    # rows that share the smallest key, or have none: one for each key and component.  Mostly there are none
+    # (then no second pass over the texts), or few keys (then the texts are not shuffled for them)
+    several = count.where("_n > 1 OR _key IS NULL").select("_key")
+    n = several.count()
+    if not n:
+        return single.select("_row.*")
+    several = F.broadcast(several) if n <= BROADCAST_KEYS else several
+    again = boxed.join(several, F.col("_id").eqNullSafe(F.col("_key")), "left_semi")
     marked = fingerprints(again, "_text", shingle)
     named = first.groupBy("_key", "_root").agg(F.min("_fp").alias("_fp"))
     one = (marked.join(named.select("_key", F.col("_fp").alias("_one")),
