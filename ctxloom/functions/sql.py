@@ -72,6 +72,14 @@ FUNCTIONS = {
                       f"concat(slice(ctx_lines(t), 1, n), array({sql_str(K.OUTPUT_TRUNCATED_MARKER)}), "
                       "CASE WHEN m > 0 THEN slice(ctx_lines(t), size(ctx_lines(t)) - m + 1, m) "
                       "ELSE CAST(array() AS ARRAY<STRING>) END) END, x -> concat(x, '\\n')), '')"),
+    "ctx_tree_tokens": ("chars BIGINT", "BIGINT", "CAST(ceil(CAST(chars + 16 AS FLOAT) * CAST(0.25 AS FLOAT)) AS BIGINT)"),
+    "ctx_lossy_utf8": ("b BINARY", "STRING", "make_valid_utf8(CAST(b AS STRING))"),
+    "ctx_capped_text": ("b BINARY, cap INT", "STRING",
+                        f"CASE WHEN b IS NULL THEN {sql_str(K.READ_ERROR_MARKER)} "
+                        f"WHEN contains(substring(b, 1, {K.SNIFF_BYTES}), X'00') THEN {sql_str(K.BINARY_MARKER)} "
+                        "WHEN octet_length(b) <= cap THEN ctx_lossy_utf8(b) ELSE concat("
+                        f"ctx_lossy_utf8(substring(b, 1, greatest(cap div 2, least({K.SNIFF_BYTES}, octet_length(b))))), {sql_str(K.TRUNCATED_MARKER)}, "
+                        "ctx_lossy_utf8(substring(b, octet_length(b) - cap div 2 + 1, cap div 2))) END"),
     "ctx_path_prefixes": ("p STRING", "ARRAY<STRING>",
                           "transform(sequence(0, size(filter(split(replace(p, '\\\\', '/'), '/'), s -> s <> ''))), "
                           "i -> array_join(slice(filter(split(replace(p, '\\\\', '/'), '/'), s -> s <> ''), 1, i), '/'))"),

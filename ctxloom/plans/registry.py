@@ -18,7 +18,7 @@ from ctxloom.constants import (FILE_CLASSES, HEAD_LINES, MAX_FILES, MAX_HISTORY,
                                TAG_SYSTEM_CLOSE, TAG_SYSTEM_OPEN, TAIL_LINES)
 from ctxloom.functions.paths import basename, parent_path, segments
 from ctxloom.functions.tokens import file_tokens
-from ctxloom.functions.text import (HTML_BLOCK_TAGS, HTML_ENTITIES, file_class, html_to_text,
+from ctxloom.functions.text import (HTML_BLOCK_TAGS, HTML_ENTITIES, cdata_wrap, file_class, html_to_text,
                                     strip_comments)
 from ctxloom.operators import assemble, config, content, estimate, history, lines, scan, select, tree, updates
 from ctxloom.operators.lines import head_tail_text
@@ -384,6 +384,50 @@ def q_system_prompts(spark, sf_dir):
     return s.select("project_id", "system", "layer")
 
 
+@register("lossy_cap", f"""WITH {V.DOCS},
+h AS (SELECT project_id, rel_path, CAST(strlen(text) AS BIGINT) AS n, hex(encode(text)) AS hx FROM docs),
+c AS (SELECT *, substr(hx, 1, 2 * greatest({C.SMALL_CAP // 2}, least(1024, n))) AS head, right(hx, {C.SMALL_CAP // 2 * 2}) AS tail FROM h)
+SELECT project_id, rel_path, CASE WHEN n <= {C.SMALL_CAP} THEN decode(unhex(hx)) ELSE
+  decode(unhex(regexp_replace(head, '^((?:..)*?)(?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].)?(?:[89AB].)?)$', '\\1EFBFBD')))
+  || {V.TRUNCATED}
+  || decode(unhex(repeat('EFBFBD', CAST(len(regexp_extract(tail, '^(?:[89AB].)*')) // 2 AS INTEGER)) || regexp_replace(tail, '^(?:[89AB].)*', ''))) END AS text
+FROM c""")
+def q_lossy_cap(spark, sf_dir):
+    """Text under a small cap: characters broken at the two cuts decode lossily."""
+    return views.docs(spark, sf_dir).select("project_id", "rel_path", content.capped_text("content", C.SMALL_CAP).alias("text"))
+
+
+EDGE_TEXT_SQL = """CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN repeat('A', 1023) || chr(0) || text WHEN 2 THEN repeat('A', 1024) || chr(0) || text
+  WHEN 3 THEN text || ']]>' || text ELSE text END"""
+
+
+@register("content_edges", f"""WITH e AS (SELECT doc_id, {EDGE_TEXT_SQL} AS t FROM documents),
+k AS (SELECT doc_id, t, CASE WHEN t IS NULL THEN 'missing' WHEN doc_id % 5 = 1 THEN 'binary' ELSE 'whole' END AS kind FROM e)
+SELECT doc_id, kind, {V.cdata("CASE kind WHEN 'missing' THEN '[error reading file]' || chr(10) WHEN 'binary' THEN '[binary file omitted]' || chr(10) ELSE t END")} AS wrapped
+FROM k""")
+def q_content_edges(spark, sf_dir):
+    """Missing content, a NUL on either side of the sniff window and ``]]>`` in the text."""
+    d = table(spark, sf_dir, "documents")
+    a = lambda n: F.concat(F.repeat(F.lit("A"), F.lit(n)), F.lit("\0"), F.col("text"))
+    k = F.col("doc_id") % 5
+    t = F.when(k == 1, a(1023)).when(k == 2, a(1024)).when(k == 3, F.concat("text", F.lit("]]>"), "text")).when(k == 4, F.col("text"))
+    c = t.cast("binary")
+    return d.select("doc_id", content.content_kind(c).alias("kind"), cdata_wrap(content.capped_text(c)).alias("wrapped"))
+
+
+@register("path_edges", f"""WITH p AS (SELECT doc_id, lang || '\\' || CAST(doc_id // 100 AS VARCHAR) || '//' || source || '\\' || CAST(doc_id AS VARCHAR) || '.md' AS rel_path FROM documents)
+SELECT doc_id, regexp_extract(rel_path, '[^/]*$') AS name,
+  array_to_string({V.segments('rel_path')}[1:greatest(len({V.segments('rel_path')}) - 1, 0)], '/') AS parent,
+  CAST(len({V.segments('rel_path')}) AS INTEGER) AS depth
+FROM p""")
+def q_path_edges(spark, sf_dir):
+    """Paths with backslashes and empty segments."""
+    rel = F.concat("lang", F.lit("\\"), F.floor(F.col("doc_id") / 100).cast("string"), F.lit("//"), "source", F.lit("\\"), F.col("doc_id").cast("string"), F.lit(".md"))
+    p = table(spark, sf_dir, "documents").select("doc_id", rel.alias("rel_path"))
+    return p.select("doc_id", basename(F.col("rel_path")).alias("name"), parent_path(F.col("rel_path")).alias("parent"),
+                    F.size(segments(F.col("rel_path"))).alias("depth"))
+
+
 def _terminal(spark, sf_dir):
     """Per project: the latest command of user ``k`` and head/tail lines of
     document ``k`` as its output."""
@@ -598,6 +642,33 @@ def q_forget_commands(spark, sf_dir):
     return r.select("user_id", "rank", "command", "last_seq")
 
 
+EDGE_LIST_SQL = LIST_SQL.replace("trim(event_type || ' ' || props) END AS command", "CASE WHEN event_id % 11 = 0 THEN '' ELSE event_type || ' ' || props END END AS command").replace(
+    "event_id AS seq,", "event_id AS seq, event_type = 'error' AND event_id % 5 = 0 AS clears,").replace(
+    "CASE WHEN e.forgets THEN", "CASE WHEN e.clears THEN CAST([] AS VARCHAR[]) WHEN e.command = '' THEN s.l WHEN e.forgets THEN")
+
+
+@register("history_edges", f"""WITH RECURSIVE {EDGE_LIST_SQL}
+SELECT user_id, CAST(rank AS INTEGER) AS rank, command FROM final""")
+def q_history_edges(spark, sf_dir):
+    """Blank commands and clear-alls among the edits."""
+    h = views.history(spark, sf_dir).withColumn("command", F.when(F.col("seq") % 11 == 0, F.lit(" \t ")).otherwise(F.col("command")))
+    f = views.forgets(spark, sf_dir).withColumn("command", F.when(F.col("seq") % 5 != 0, F.col("command")))
+    return history.recent_commands(h, forgets=f).select("user_id", "rank", "command")
+
+
+@register("history_read", f"""WITH {HIST_SQL}
+SELECT user_id, CAST(rank AS INTEGER) AS rank, command, CAST(50 AS BIGINT) AS max FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY mts DESC, last_seq DESC) AS rank FROM uses)
+WHERE rank <= 50""")
+def q_history_read(spark, sf_dir):
+    """Saved histories written by the sink and read back."""
+    from ctxloom.sources.files import write_history
+    path = scratch_path(spark, "tables", f"history-{uuid.uuid4().hex[:12]}")
+    write_history(history.history_json(history.recent_commands(views.history(spark, sf_dir))), path)
+    docs = spark.read.text(path).select(F.from_json("value", "user_id long, json string").alias("d")).select("d.*")
+    return history.read_history_json(docs).select("user_id", F.posexplode("commands").alias("rank", "command"), "max").withColumn("rank", F.col("rank") + 1)
+
+
 @register("history_json", f"""WITH {HIST_SQL},
 ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY mts DESC, last_seq DESC) AS rank FROM uses) WHERE rank <= 50)
 SELECT user_id, to_json({{'commands': list(command ORDER BY rank), 'max': CAST(50 AS BIGINT)}})::VARCHAR AS json

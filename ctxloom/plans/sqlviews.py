@@ -75,3 +75,4 @@ def text_tokens(x: str) -> str:
 
 
 EPOCH = EPOCH_2024
+TRUNCATED = "chr(10) || '[... truncated ...]' || chr(10)"

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from ctxloom.functions import (budget_pct, cdata_wrap, escape_xml_attr, file_class, file_tokens, html_to_text,
                                path_prefixes, rust_lines, strip_comments, text_tokens)
 from ctxloom.functions.sql import register_sql_functions
+from ctxloom.functions.tokens import chars_to_tokens
+from ctxloom.operators.content import capped_text, lossy_utf8
 from ctxloom.operators.lines import head_tail_text
 from tests.conftest import SF001
 
@@ -26,6 +28,10 @@ def test_sql_functions_match_columns(spark):
         (p, "ctx_xml_attr(url)", escape_xml_attr(F.col("url"))),
         (p, "ctx_file_class(url)", file_class(F.col("url"))),
         (p, "ctx_path_prefixes(url)", path_prefixes(F.col("url"))),
+        (d, "ctx_tree_tokens(n_chars)", chars_to_tokens(F.col("n_chars") + 16)),
+        (d, "ctx_lossy_utf8(substring(CAST(text AS BINARY), 2, 1001))", lossy_utf8(F.substring(F.col("text").cast("binary"), 2, 1001))),
+        (d, "ctx_capped_text(CAST(text AS BINARY), 1500)", capped_text(F.col("text").cast("binary"), 1500)),
+        (d, "ctx_capped_text(CAST(concat('a\\0', text) AS BINARY), 1500)", capped_text(F.concat(F.lit("a\0"), F.col("text")).cast("binary"), 1500)),
     ]
     for df, sql, col in pairs:
         diff = df.select(F.expr(sql).alias("a"), col.alias("b")).where(~F.col("a").eqNullSafe(F.col("b")))
