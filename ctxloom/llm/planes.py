@@ -16,7 +16,8 @@ partition in ascending key order (null first; rows that repeat a key in order of
 their text): file k's ids all come before file k + 1's.  The number of files
 follows the rows and is ``MAX_FILES`` at most, which bounds what the driver
 holds (a row for each file).  A file is written as a stream and appears under
-its name when it is whole, so a task that runs again leaves the same file.
+its name when it is whole; the name is the task attempt's, so a task that runs
+again, or twice at a time, never touches a file that the result names.
 
 Null and empty texts are one end id.
 """
@@ -177,7 +178,7 @@ def write(docs: DataFrame, out_dir: str, tokenizer: str, key: str = "doc_id", te
         first = next(parts, None)
         if first is None:  # an empty partition has no file
             return
-        enc, path = tokens.encoder(sent), f"{out_dir}/part-{part:06d}.planes"
+        enc, path = tokens.encoder(sent), f"{out_dir}/part-{part:06d}-{TaskContext.get().taskAttemptId()}.planes"
         with store.writing(path) as f:
             writer = Writer(f, bits)
             for b in itertools.chain((first,), parts):

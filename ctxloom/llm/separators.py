@@ -41,7 +41,8 @@ def write_flat(docs: DataFrame, out_dir: str, tokenizer: str, end: int, key: str
     schema = src.select(F.lit("").alias("path"), F.lit(0).cast("long").alias("ordinal"), F.when(F.lit(True), F.col("_key")).alias("_key"), F.lit(None).cast("long").alias("n_bytes")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = f"{out_dir}/part-{TaskContext.get().partitionId():06d}.u{8 * width}"
+        task = TaskContext.get()
+        path = f"{out_dir}/part-{task.partitionId():06d}-{task.taskAttemptId()}.u{8 * width}"
         enc, at, n_bytes, key_type = tokens.encoder(sent), 0, 0, pa.int64()
         with store.writing(path) as f:
             for b in slices(batches, "_text", 2 << 20):

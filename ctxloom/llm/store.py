@@ -15,8 +15,7 @@ def locate(uri: str) -> tuple[pafs.FileSystem, str]:
 
 @contextmanager
 def writing(uri: str) -> Iterator:
-    """A stream to ``uri`` that appears there whole, when it is closed: a task
-    that runs again, or twice at a time, leaves the same file."""
+    """A stream to ``uri`` that appears there whole, when it is closed."""
     fs, path = locate(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.tmp"

@@ -143,7 +143,9 @@ def write(pages: DataFrame, out_dir: str, key: str = "page_id", uri: str = "url"
         b = next(parts, None)
         if b is None:
             return
-        path = f"{out_dir}/part-{TaskContext.get().partitionId():06d}.warc.zst"
+        task = TaskContext.get()
+        # a name of this attempt: the index names the file it was written with
+        path = f"{out_dir}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.zst"
         with store.writing(path) as f:
             bundle = BundleWriter(f, frame)
             while b is not None:
