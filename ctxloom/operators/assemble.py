@@ -15,6 +15,7 @@ from ctxloom import constants as K
 from ctxloom.functions.text import cdata_wrap, escape_xml_attr
 from ctxloom.functions.tokens import document_tokens
 from ctxloom.operators.content import capped_text
+from ctxloom.session import materialize
 
 CHUNK_BYTES = 64 * 1024 * 1024
 
@@ -89,22 +90,23 @@ def documents(frags: DataFrame, chunk_bytes: int = CHUNK_BYTES, limits: DataFram
     chunk.  Callers that reuse ``frags`` should write it first.
     """
     narrow = frags.select("project_id", "section", "ord", F.octet_length("text").cast("bigint").alias("_n"))
+    sizes = narrow.groupBy("project_id").agg(F.sum("_n").alias("n_bytes"), F.count(F.lit(1)).alias("n_fragments"))
+    # only documents above a chunk need offsets; written, so that Spark knows how small they are
+    large = narrow.join(sizes.where(F.col("n_bytes") > chunk_bytes).select("project_id"), "project_id", "left_semi")
     order = Window.partitionBy("project_id").orderBy("section", "ord")
-    whole = Window.partitionBy("project_id")
     start = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = narrow.withColumn("_slot", F.floor(start / F.lit(chunk_bytes))).select(
-        "project_id", "section", "ord", (F.dense_rank().over(whole.orderBy("_slot")) - 1).alias("chunk_no"),
-        F.sum("_n").over(whole).alias("n_bytes"), F.count(F.lit(1)).over(whole).alias("n_fragments"))
+    slots = large.withColumn("_slot", F.floor(start / F.lit(chunk_bytes)))
+    placed = materialize(slots.select("project_id", "section", "ord", (
+        F.dense_rank().over(Window.partitionBy("project_id").orderBy("_slot")) - 1).alias("chunk_no")), "chunks")
+    whole = sizes.join(placed.groupBy("project_id").agg((F.max("chunk_no") + 1).alias("n_chunks")), "project_id", "left")
+    whole = whole.withColumn("at_limit", F.lit(None).cast("boolean")) if limits is None else whole.join(
+        limits.select("project_id", "at_limit"), "project_id", "left")
+    whole = materialize(whole, "document-sizes")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "ord", "text"))), lambda x: x["text"]), "")
-    out = (frags.join(placed, ["project_id", "section", "ord"]).groupBy("project_id", "chunk_no")
-           .agg(F.first("n_bytes").alias("n_bytes"), F.first("n_fragments").alias("n_fragments"), text.alias("text")))
-    counts = placed.groupBy("project_id").agg((F.max("chunk_no") + 1).alias("n_chunks"))
-    out = out.join(counts, "project_id")
-    if limits is None:
-        out = out.withColumn("at_limit", F.lit(None).cast("boolean"))
-    else:
-        out = out.join(limits.select("project_id", "at_limit"), "project_id", "left")
-    return out.select("project_id", F.col("chunk_no").cast("int").alias("chunk_no"), F.col("n_chunks").cast("int").alias("n_chunks"), "n_bytes",
+    out = (frags.join(placed, ["project_id", "section", "ord"], "left")
+           .groupBy("project_id", F.coalesce("chunk_no", F.lit(0)).cast("int").alias("chunk_no")).agg(text.alias("text"))
+           .join(whole, "project_id"))
+    return out.select("project_id", "chunk_no", F.coalesce("n_chunks", F.lit(1)).cast("int").alias("n_chunks"), "n_bytes",
                       document_tokens(F.col("n_bytes")).alias("n_tokens"), "n_fragments", "at_limit", "text")
 
 

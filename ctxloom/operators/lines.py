@@ -31,9 +31,11 @@ def head_tail_rows(texts: DataFrame, first_n: int = HEAD_LINES, last_n: int = TA
     """Row form over ``texts(key, text)``: ``(key, pos, line)`` with the marker at
     ``pos = first_n``.  The cut is made on the row, so only kept lines are
     exploded; no shuffle."""
-    split = texts.select("key", rust_lines(F.col("text")).alias("_ls"))
-    kept = split.select("key", _kept(F.col("_ls"), F.size("_ls"), first_n, last_n).alias("_kept"))
-    return kept.select("key", F.posexplode("_kept").alias("pos", "line")).select("key", F.col("pos").cast("long").alias("pos"), "line")
+    lines = rust_lines(F.col("text"))
+    kept = _kept(lines, F.size(lines), first_n, last_n)
+    # one string in between: generated code splits the text once, and lines hold no \n
+    cut = texts.select("key", F.when(F.size(kept) > 0, F.array_join(kept, "\n")).alias("_cut"))
+    return cut.select("key", F.posexplode(F.split("_cut", "\n", -1)).alias("pos", "line")).select("key", F.col("pos").cast("long").alias("pos"), "line")
 
 
 def part_offsets(counts: DataFrame) -> DataFrame:

@@ -153,10 +153,13 @@ def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     order within a page varies."""
     p = table(spark, sf_dir, "pages")
     key = F.regexp_extract("url", URL_SCHEME + r"([^?#]*)", 1)
-    at = lambda step: F.timestamp_seconds(F.lit(EPOCH_2024) + (F.col("page_id") * step) % 10007)
-    two = F.array(F.struct(F.col("html").alias("content"), at(7919).alias("ts"), (2 * F.col("page_id")).alias("seq")),
-                  F.struct(html_to_text(F.col("html")).alias("content"), at(6007).alias("ts"), (2 * F.col("page_id") + 1).alias("seq")))
-    return p.select(key.alias("url_key"), F.inline(two))
+
+    def side(content, step: int, number: int) -> DataFrame:
+        return p.select(key.alias("url_key"), content.alias("content"),
+                        F.timestamp_seconds(F.lit(EPOCH_2024) + (F.col("page_id") * step) % 10007).alias("ts"),
+                        (2 * F.col("page_id") + number).alias("seq"))
+
+    return side(F.col("html"), 7919, 0).unionByName(side(html_to_text(F.col("html")), 6007, 1))
 
 
 def folder_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
