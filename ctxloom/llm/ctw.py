@@ -54,8 +54,10 @@ from ctxloom.session import materialize, ship_package
 
 DEPTH = 6
 TOP = 2
-CHUNK = 64 << 20
-DOCS_PER_GROUP = 1 << 14
+CHUNK = 32 << 20
+DOCS_PER_GROUP = 1 << 13
+#: Keys that a task gathers before it merges them.
+MERGE = 3_000_000
 FOLDS, HELD = 7, 2
 MARK = 0xFF  # no byte of UTF-8: start and end of a text
 END_WORD = np.int64(-1)
@@ -123,15 +125,16 @@ def word_keys(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.where(key == END_WORD, np.int64(-2), key), first
 
 
-def _nodes(keys: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes of full depth: (context << 8 | bits so far, n0, n1, node of each (bit, gram))."""
-    byte, ctx = keys & 255, keys >> 8 << 8
-    node = np.concatenate([ctx | 1 << k | byte >> (8 - k) for k in range(8)])
-    bit = np.concatenate([byte >> (7 - k) & 1 for k in range(8)])
-    node, inverse = np.unique(node, return_inverse=True)
-    both = np.tile(n, 8).astype(np.float64)
-    n1 = np.bincount(inverse, both * bit, len(node))
-    return node, np.bincount(inverse, both, len(node)) - n1, n1, inverse
+def _nodes(keys: np.ndarray, n: np.ndarray, k: int):
+    """Nodes of full depth for a byte's bit ``k``, in the order of the ascending
+    grams: (context << 8 | bits so far, n0, n1, node of each gram, bit of each gram)."""
+    node = keys >> 8 << 8 | 1 << k | (keys & 255) >> (8 - k)
+    new = np.ones(len(keys), bool)
+    new[1:] = node[1:] != node[:-1]
+    start = np.flatnonzero(new)
+    bit = (keys >> (7 - k) & 1).astype(bool)
+    n1 = np.add.reduceat(n * bit, start).astype(np.float64)
+    return node[start], np.add.reduceat(n, start) - n1, n1, (np.cumsum(new) - 1).astype(np.int32), bit
 
 
 def climb(node, n0, n1, below) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -143,10 +146,11 @@ def climb(node, n0, n1, below) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return parent, a, b, both, np.exp(own - np.log(2) - both), inverse
 
 
-def subtree(keys: np.ndarray, n: np.ndarray, depth: int):
-    """(nodes at depth TOP + 1 with counts and log P_w; for each leaf the
-    probability of a one from there down, and its node up there; leaf of each (bit, gram))."""
-    node, n0, n1, leaf = _nodes(keys, n, depth)
+def subtree(keys: np.ndarray, n: np.ndarray, depth: int, k: int):
+    """For a byte's bit ``k`` (the trees of different bits share no node): (nodes at
+    depth TOP + 1 with counts and log P_w; for each leaf the probability of a one
+    from there down, and its node up there; leaf and bit of each gram)."""
+    node, n0, n1, leaf, bit = _nodes(keys, n, k)
     level = [((n1 + 0.5) / (n0 + n1 + 1), np.ones(len(node)), np.arange(len(node)))]
     log_w, place = log_kt(n0, n1), np.arange(len(node))
     for _ in range(depth - TOP - 1):
@@ -156,7 +160,7 @@ def subtree(keys: np.ndarray, n: np.ndarray, depth: int):
     one = level[0][0]
     for estimate, weight, at in level[1:]:
         one = weight[at] * estimate[at] + (1 - weight[at]) * one
-    return node, n0, n1, log_w, one, place, leaf
+    return node, n0, n1, log_w, one, place, leaf, bit
 
 
 def above(node: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray):
@@ -178,37 +182,45 @@ def above(node: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray):
 
 
 class Table:
-    """Values by key, looked up with a few vectorised probes."""
+    """Values by key, looked up with a few vectorised probes: a table of places
+    for all keys, then ever smaller ones for those that met an occupied place."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.keys, self.values = keys, values
-        self.shift = np.uint64(64 - max(8, int(2 * len(keys) + 1).bit_length()))
-        self.slots = []
-        left = np.arange(len(keys))
-        seed = np.uint64(0x9E3779B97F4A7C15)
+        self.probes = []
+        left, seed = np.arange(len(keys), dtype=np.int32), 0x9E3779B97F4A7C15
         while len(left):
-            slot = self._slot(keys[left], seed)
-            table = np.full(1 << int(np.uint64(64) - self.shift), -1, np.int32)
+            bits = max(8, int(2 * len(left) + 1).bit_length())
+            probe = np.uint64(seed), np.uint64(64 - bits)
+            slot = self._slot(keys[left], *probe)
+            table = np.full(1 << bits, -1, np.int32)
             table[slot] = left
-            self.slots.append((seed, table))
+            self.probes.append((probe, table))
             left = left[table[slot] != left]
-            seed = np.uint64(int(seed) * 0xBF58476D1CE4E5B9 % 2**64 | 1)
+            seed = seed * 0xBF58476D1CE4E5B9 % 2**64 | 1
 
-    def _slot(self, keys: np.ndarray, seed: np.uint64) -> np.ndarray:
+    @staticmethod
+    def _slot(keys: np.ndarray, seed: np.uint64, shift: np.uint64) -> np.ndarray:
         x = keys.view(np.uint64) * seed
-        return ((x ^ x >> np.uint64(32)) * np.uint64(0x94D049BB133111EB) >> self.shift).view(np.int64)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x94D049BB133111EB)
+        return (x >> shift).view(np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys))
-        who = np.arange(len(keys))
-        for seed, table in self.slots:
-            at = table[self._slot(keys[who] if len(who) < len(keys) else keys, seed)]
-            hit = (at >= 0) & (self.keys[at] == keys[who])
-            out[who[hit]] = self.values[at[hit]]
-            who = who[~hit]
+        out, who = np.zeros(len(keys)), None
+        for probe, table in self.probes:
+            mine = keys if who is None else keys[who]
+            at = table[self._slot(mine, *probe)]
+            hit = (at >= 0) & (self.keys[at] == mine)
+            if who is None:
+                out[hit] = self.values[at[hit]]
+                who = np.flatnonzero(~hit)
+            else:
+                out[who[hit]] = self.values[at[hit]]
+                who = who[~hit]
             if not len(who):
                 return out
-        if len(who):
+        if len(keys):
             raise KeyError("a gram or word that the chunk did not name")
         return out
 
@@ -266,16 +278,15 @@ def score(docs: DataFrame, work_dir: str, key: str = "doc_id", text: str = "text
                 for b in held:
                     w.write_batch(b)
             keys, n = count(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))
+            found = []
             number = 2 * group_of(keys, groups, depth) + (keys < 0)
             by = np.argsort(number, kind="stable")  # keys ascend within a number
-            keys, n, number = keys[by], n[by], number[by]
-            edges = np.flatnonzero(np.diff(number)) + 1
-            rows = [(name, bool(g[0] & 1), int(g[0] >> 1), pack_keys(k), pack(c)) for k, c, g in
-                    zip(np.split(keys, edges), np.split(n, edges), np.split(number, edges), strict=True)]
+            parts = np.split(by, np.flatnonzero(np.diff(number[by])) + 1)
+            rows = [(name, bool(number[i[0]] & 1), int(number[i[0]] >> 1), pack_keys(keys[i]), pack(n[i])) for i in parts]
             name, held, size, found = name + 1, [], 0, []
             return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["chunk", "word", "group", "keys", "n"])
 
-        for b in slices(batches, "_text", 2 << 20):
+        for b in slices(batches, "_text", 1 << 20):
             held.append(b)
             buf, offs = _flat_lower(b.column(1))
             train = ~np.fromiter(map(held_out, b.column(0).to_pylist()), bool, b.num_rows)
@@ -287,7 +298,7 @@ def score(docs: DataFrame, work_dir: str, key: str = "doc_id", text: str = "text
                 rest, _ = count(keys[~own])
                 found.append((rest, np.zeros(len(rest), np.int64)))
             found.append((np.array([END_WORD]), np.array([int(train.sum())], np.int64)))
-            if len(found) >= 40:
+            if sum(len(k) for k, _ in found) > MERGE:
                 found = [count(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))]
             size += int(offs[-1])
             if size >= chunk:
@@ -305,7 +316,9 @@ def score(docs: DataFrame, work_dir: str, key: str = "doc_id", text: str = "text
         return keys, *count(np.concatenate(keys), np.concatenate(n))
 
     def summarise(table: pa.Table) -> pa.Table:
-        node, n0, n1, log_w, *_ = subtree(*summed(table)[1:], depth)
+        _, keys, n = summed(table)
+        found = [subtree(keys, n, depth, k)[:4] for k in range(8)]
+        node, n0, n1, log_w = map(np.concatenate, zip(*found, strict=True))
         return pa.table({"node": node >> 16 << 8 | node & 255, "n0": n0, "n1": n1, "below": log_w})
 
     top = (grams.groupBy("group").applyInArrow(summarise, "node long, n0 double, n1 double, below double")
@@ -322,13 +335,13 @@ def score(docs: DataFrame, work_dir: str, key: str = "doc_id", text: str = "text
 
     def weigh(table: pa.Table) -> pa.Table:
         rows, keys, n = summed(table)
-        node, _, _, _, one, place, leaf = subtree(keys, n, depth)
         known, share, left = ups.value
-        at = np.searchsorted(known, node >> 16 << 8 | node & 255)[place]
-        one = share[at] + left[at] * one
-        byte = keys & 255
-        bit = np.concatenate([byte >> (7 - k) & 1 for k in range(8)]).astype(bool)
-        logs = np.where(bit, np.log10(one)[leaf], np.log10(1 - one)[leaf]).reshape(8, -1).sum(axis=0)
+        logs = np.zeros(len(keys))
+        for k in range(8):
+            node, _, _, _, one, place, leaf, bit = subtree(keys, n, depth, k)
+            at = np.searchsorted(known, node >> 16 << 8 | node & 255)[place]
+            one = share[at] + left[at] * one
+            logs += np.where(bit, np.log10(one)[leaf], np.log10(1 - one)[leaf])
         return back(table, rows, keys, logs.astype(np.float32), False)
 
     def total_words(table: pa.Table) -> pa.Table:
