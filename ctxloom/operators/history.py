@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ctxloom.constants import MAX_HISTORY
 from ctxloom.functions.text import trim_unicode
+from ctxloom.session import materialize
 
 
 def clean_commands(history: DataFrame) -> DataFrame:
@@ -44,19 +45,22 @@ def _ranked(uses: DataFrame, cap: int) -> DataFrame:
     return uses.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
 
 
-def evicted(live: DataFrame, history: DataFrame, forgets: DataFrame, cap: int) -> DataFrame:
-    """Of the ranked ``live`` rows, those that the cap had pushed out before a
+def evicted(live: DataFrame, uses: DataFrame, history: DataFrame, forgets: DataFrame, cap: int) -> DataFrame:
+    """Of the ranked ``live`` rows (``uses`` without forgotten ones), those that the cap had pushed out before a
     later forget made room (an entry that fell off the list never comes back).
 
     After an entry's last use, the entries in front of it are the other commands
     used since and not forgotten since: +1 when a command that is not in front is
     used, -1 when one in front is forgotten.  The entry is gone once that count
-    reaches the cap.  At most ``cap`` entries a user are looked at, each against
-    the later events of that user, as joins and running sums.
+    reaches the cap.  The count never exceeds the number of commands used since,
+    so only entries outside the first ``cap`` of all uses can be gone: those that
+    forgets moved up.  They are looked at against the later events of their user,
+    as joins and running sums.
     """
     f = forgets.where(F.col("command").isNotNull()).select("user_id", trim_unicode(F.col("command")).alias("command"), F.struct("ts", "seq").alias("at"), F.lit(-1).alias("step"))
     e = clean_commands(history).select("user_id", "command", F.struct("ts", "seq").alias("at"), F.lit(1).alias("step")).unionByName(f)
-    entry = live.join(f.select("user_id").distinct(), "user_id", "left_semi").select("user_id", F.col("command").alias("_own"), "last")
+    first = _ranked(uses, cap).select("user_id", "command")
+    entry = live.join(first, ["user_id", "command"], "left_anti").select("user_id", F.col("command").alias("_own"), "last")
     later = entry.join(e, "user_id").where((F.col("at") > F.col("last")) & (F.col("command") != F.col("_own")))
     own = Window.partitionBy("user_id", "_own", "command").orderBy("at")
     before = F.coalesce(F.lag("step").over(own), F.lit(-1))
@@ -74,9 +78,13 @@ def recent_commands(history: DataFrame, cap: int = MAX_HISTORY, forgets: DataFra
     user to ``cap`` rows per task before the window shuffle, so a user with a
     third of all rows costs ``cap`` rows per map task.
     """
-    ranked = _ranked(forget(latest_uses(history), forgets), cap)
-    if forgets is not None:
-        ranked = _ranked(ranked.join(evicted(ranked, history, forgets, cap), ["user_id", "command"], "left_anti"), cap)
+    uses = latest_uses(history)
+    if forgets is None:
+        ranked = _ranked(uses, cap)
+    else:  # both are read by several branches: written once
+        uses = materialize(uses, "last-uses")
+        live = materialize(_ranked(forget(uses, forgets), cap), "live-commands")
+        ranked = _ranked(live.join(evicted(live, uses, history, forgets, cap), ["user_id", "command"], "left_anti"), cap)
     return ranked.select("user_id", "rank", "command", F.col("last.ts").alias("last_ts"),
                          F.col("last.seq").alias("last_seq"))
 
