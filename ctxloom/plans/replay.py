@@ -11,18 +11,18 @@ from ctxloom.session import scratch_path
 
 
 def stage_arrivals(df: DataFrame, order_col: str, n_files: int, label: str, ordered: bool = False) -> str:
-    """Write ``df`` as about ``n_files`` parquet files split by ranges of
-    ``order_col`` (the arrival order); returns the folder.
+    """Write ``df`` as about ``n_files`` parquet files; returns the folder.
 
     The file source takes files in modification-time order; files written by
     one job get no reliable order, which is fine for the commutative
-    aggregates.  ``ordered=True`` runs the plan once, cut into ranges (bounds from
+    aggregates (rows are dealt by a hash of ``order_col``: ranges would run the
+    plan twice, for their bounds).  ``ordered=True`` runs the plan once, cut into ranges (bounds from
     ``percentile_approx``), then lets the ranges arrive one after another.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "streams", f"{label}-in-{uuid.uuid4().hex[:12]}")
     if not ordered:
-        df.repartitionByRange(n_files, order_col).write.mode("overwrite").parquet(path)
+        df.repartition(n_files, order_col).write.mode("overwrite").parquet(path)
         return path
     qs = [i / n_files for i in range(1, n_files)]
     bounds = df.agg(F.percentile_approx(order_col, qs).alias("b")).first()["b"] or []
