@@ -8,20 +8,27 @@ probability, calibrated on candidates that the fit did not see; those at
 ``THRESHOLD`` or more are added, the best of overlapping ones only, and none
 that overlaps a base span.
 
-The trees learn from the corpus itself: candidates that a base rule accepts are
-positives, candidates of the same generators that every rule rejects are
-negatives, and the checks which decide that (Luhn, the number range) are no
-features, so the trees learn how such spans look and where they stand.  The fit
-sees the candidates of at most ``SAMPLE_DOCS`` documents (smallest hash of the
-key), at most ``SAMPLE_ROWS`` of them; all else covers every whole text.
+The trees learn from the corpus itself, each kind from candidates as its own
+generator proposes them (``verdict``): numbers that a base rule accepts, or that
+are grouped as a phone without its +; addresses that write out the at, the dot
+or both; mixed tokens that a cue word assigns.  Candidates that these reject are
+negatives, those that they cannot judge are left out, and the checks which decide
+(Luhn, the number range) are no features.  A corpus may hold few of a kind, so
+every sampled text also gets ``planted`` examples of all kinds and labels in its
+own words.  The calibration is one for each kind.  The fit sees the candidates
+of at most ``SAMPLE_DOCS`` documents (smallest hash of the key), at most
+``SAMPLE_ROWS`` of them, of each kind and label as many while they last; all else
+covers every whole text.
 
 Offsets are code points, ends exclusive.  Null and empty texts have no spans.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,7 +36,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxloom.llm.textops import slices
@@ -52,11 +59,16 @@ _ANY = re.compile(r"[0-9@]|\(at\)| at ", re.I)
 _NUMBER = re.compile(r"[0-9](?:[ ().:/-]{0,2}[0-9])++")
 _CONTACT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]++)+", re.I)
 _SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+")
+#: A name and = in front of a token, which stand in the same run as it.
+_KEYED = re.compile(r"[A-Za-z0-9_-]*[A-Za-z_-]=+(?=[^=]{16})")
+_ASSIGNED = re.compile(r"(?:token|secret|password|passwd|pwd|credentials?|bearer|key)[\"'`]?\s{0,2}(?:=>|:=|[=:])\s{0,2}[\"'`]?$", re.I)
+_GROUPED = re.compile(r"(?:[0-9]{1,3}[ .-]{1,2}\(?)?[0-9]{3}(?:\) ?|[ .-])[0-9]{3}[ .-][0-9]{4}")
+_MARK = re.compile(r"\((?:at|dot)\)|\[(?:at|dot)\]| dot ", re.I)
 _DIGITS = str.maketrans("", "", " ().-:/")
 _WORD_BEFORE = re.compile(r"([^\W\d_]+)\W*$")
 
 #: Words in front of a span that say what it is.
-CUES = ("token", "key", "secret", "password", "tel", "phone", "fax", "call", "mail", "contact", "ip", "host", "address",
+CUES = ("token", "key", "secret", "password", "passwd", "pwd", "credential", "credentials", "bearer", "tel", "phone", "fax", "call", "mail", "contact", "ip", "host", "address",
         "card", "account", "iban", "no", "version", "license", "isbn", "page", "year")
 
 
@@ -102,13 +114,17 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Proposed spans of all generators, overlaps included."""
     out = [("number", *m.span()) for m in _NUMBER.finditer(text) if m.end() - m.start() >= 2]
-    out += [("secret", *m.span()) for m in _SECRET.finditer(text) if any(c.isdigit() for c in m[0])]
+    for m in _SECRET.finditer(text):
+        keyed = _KEYED.match(text, *m.span())
+        a = keyed.end() if keyed else m.start()
+        if any(c.isdigit() for c in text[a:m.end()]):
+            out.append(("secret", a, m.end()))
     if "at" in text:
         out += [("contact", *m.span()) for m in _CONTACT.finditer(text)]
     return out
 
 
-FEATURES = 20
+FEATURES = 23
 
 
 def features(text: str, kind: str, a: int, b: int) -> list[float]:
@@ -130,7 +146,8 @@ def features(text: str, kind: str, a: int, b: int) -> list[float]:
             float(left == "+") or 2 * float(left in "\"'") or 3 * float(left.isalpha()),
             float(after in "\"'" and after != "") or 2 * float(after == ".") or 3 * float(after.isalpha()),
             CUES.index(word) + 1 if word in CUES else 0, float("=" in before[-4:] or ":" in before[-4:]),
-            sum(c in "0123456789abcdefABCDEF" for c in span) / len(span)]
+            sum(c in "0123456789abcdefABCDEF" for c in span) / len(span),
+            len(_MARK.findall(span)), span.count(". "), sum(c in ".:/" for c in span) + 100 * float("(" in before[-1:])]
 
 
 @dataclass
@@ -141,6 +158,7 @@ class Trees:
     start: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
+    kinds: dict = field(default_factory=dict)    # (slope, shift) by the first feature's value
 
     def bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)], axis=1) if len(x) else np.zeros((0, FEATURES), int)
@@ -158,7 +176,22 @@ class Trees:
     def probability(self, x: np.ndarray) -> np.ndarray:
         if not self.trees:
             return np.zeros(len(x))
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(self.bins(x)) + self.shift, -500, 500)))
+        slope, shift = np.full(len(x), self.slope), np.full(len(x), self.shift)
+        for kind, (a, b) in self.kinds.items():
+            slope[x[:, 0] == kind], shift[x[:, 0] == kind] = a, b
+        return 1 / (1 + np.exp(-np.clip(slope * self.raw(self.bins(x)) + shift, -500, 500)))
+
+
+def _platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a calibration: Newton steps with a little ridge."""
+    slope, shift = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(slope * raw + shift, -500, 500)))
+        w = np.maximum(p * (1 - p), 1e-9)
+        grad = np.array([((p - y) * raw).sum() + 0.1 * (slope - 1), (p - y).sum() + 0.1 * shift])
+        hess = np.array([[(w * raw * raw).sum() + 0.1, (w * raw).sum()], [(w * raw).sum(), w.sum() + 0.1]])
+        slope, shift = np.array([slope, shift]) - np.linalg.solve(hess, grad)
+    return float(slope), float(shift)
 
 
 def boost(x: np.ndarray, y: np.ndarray, n_trees: int = 40, rate: float = 0.2, n_bins: int = 32, ridge: float = 1.0) -> Trees:
@@ -192,28 +225,92 @@ def boost(x: np.ndarray, y: np.ndarray, n_trees: int = 40, rate: float = 0.2, n_
         z += leaf[node - 7]
         out.trees.append((feature, cut, leaf))
     raw, yh = out.raw(binned[held]), y[held]
-    slope, shift = 1.0, 0.0
-    for _ in range(50):  # Newton steps of the calibration, with a little ridge
-        p = 1 / (1 + np.exp(-np.clip(slope * raw + shift, -500, 500)))
-        w = np.maximum(p * (1 - p), 1e-9)
-        grad = np.array([((p - yh) * raw).sum() + 0.1 * (slope - 1), (p - yh).sum() + 0.1 * shift])
-        hess = np.array([[(w * raw * raw).sum() + 0.1, (w * raw).sum()], [(w * raw).sum(), w.sum() + 0.1]])
-        slope, shift = np.array([slope, shift]) - np.linalg.solve(hess, grad)
-    out.slope, out.shift = float(slope), float(shift)
+    out.slope, out.shift = _platt(raw, yh)
+    for kind in range(len(ADDED)):
+        own = x[held, 0] == kind
+        if len(set(yh[own])) == 2:
+            out.kinds[kind] = _platt(raw[own], yh[own])
     return out
 
 
+def verdict(text: str, kind: str, a: int, b: int) -> int | None:
+    """Label of a candidate that overlaps no base span; None if nothing tells."""
+    span = text[a:b]
+    if kind == "secret":
+        mixed = any(c.isalpha() for c in span) and any(c.isdigit() for c in span)
+        return int(mixed and bool(_ASSIGNED.search(text[max(0, a - 24):a])))
+    if kind == "contact":
+        return 1 if _MARK.search(span) else 0 if ". " in span else None
+    if _GROUPED.fullmatch(span):
+        return 1
+    return None if 9 <= len(span.translate(_DIGITS)) <= 15 and re.search("[ ()-]", span) else 0
+
+
+def planted(text: str) -> Iterator[tuple[str, int, str, int, int]]:
+    """(text around it, label, kind, start, end) of examples of every kind, set
+    into ``text``; the same for the same text."""
+    rng = random.Random(text)
+    words = re.findall(r"[a-z]{2,12}", text[:4096].lower()) or ["a"]
+    word = lambda: rng.choice(words)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    chars = rng.choice(("0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+    token = rng.choice(("", "", "sk_", "AKIA")) + "a7" + "".join(rng.choices(chars, k=rng.choice((18, 22, 30, 38, 62))))
+    cue = rng.choice(("token", "key", "secret", "password", "api_key", "access_token", "DB_PASSWORD", "client-secret", "pwd"))
+    quote = rng.choice(('"', "'", ""))
+    sign = rng.choice((" = ", "=", ": ", ":", " := ", '": '))
+    plain = rng.choice(("commit ", "sha256: ", "id = ", "file ", word() + " ", word() + ": ", word() + " = "))
+    slug = "-".join([word(), word(), word(), digits(4), word()])
+    at, dot = rng.choice(((" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "."), (" (at) ", "."), (" at ", " dot "), ("(at)", " dot ")))
+    name = rng.choice((word(), f"{word()}.{word()}", f"{word()}_{digits(2)}"))
+    host = dot.join([word(), *([word()] if rng.random() < 0.3 else []), rng.choice(("com", "org", "net", "de", "io"))])
+    mail = f"{name}{at}{host}"
+    x = rng.choice((" ", ".", "-"))
+    phone = f"{rng.choice(('', '', '1' + x, '49' + x))}{digits(3)}{rng.choice((x, x, ') '))}{digits(3)}{x}{digits(4)}"
+    year, day = f"{rng.choice((19, 20))}{digits(2)}", f"{rng.randint(1, 12):02}{rng.choice('-./')}{rng.randint(1, 28):02}"
+    number = rng.choice((f"{year}-{day}", f"{day}-{year}", f"{year}-{day} {digits(2)}:{digits(2)}:{digits(2)}", f"{year}-{int(year) + 4}", f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}",
+                         digits(rng.randint(2, 12)), f"{digits(1)}.{digits(1)}.{digits(2)}", f"{digits(3)}.{digits(2)}"))
+    for label, kind, lead, span, tail in (
+            (1, "secret", f"{cue}{sign}{quote}", token, quote), (0, "secret", f"{plain}{quote}", token, quote), (0, "secret", "", slug, ""),
+            (1, "contact", rng.choice(("", "mail ", "contact: ", word() + " ")), mail, ""), (0, "contact", "", f"{word()} at {word()}. {word().capitalize()}", ""),
+            (1, "number", rng.choice(("", "tel ", "call ", "phone: ", "fax ")) + "(" * (")" in phone and phone.index(")") == 3), phone, ""),
+            (0, "number", rng.choice(("", "version ", "page ", "year ", "isbn ", "no ", word() + " ")), number, "")):
+        where = text.find(" ", rng.randrange(len(text))) + 1
+        before = text[max(0, where - 40):where]
+        yield f"{before}{lead}{span}{tail} {text[where:where + 40]}", label, kind, len(before) + len(lead), len(before) + len(lead) + len(span)
+
+
+def rewritten(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, str, int, int]]:
+    """As ``planted``: the base phones without their +, the base emails written out."""
+    for kind, a, b in base:
+        before, after = text[max(0, a - 40):a], text[b:b + 40]
+        if kind == "phone":
+            yield before + text[a + 1:b] + after, 1, "number", len(before), len(before) + b - a - 1
+        elif kind == "email" and b - a <= 320:
+            at, dot = ((" (at) ", "."), ("[at]", "[dot]"), (" at ", " dot "))[(b - a) % 3]
+            name, host = text[a:b].split("@")
+            span = name + at + host.replace(".", dot)
+            yield before + span + after, 1, "contact", len(before), len(before) + len(span)
+
+
 def examples(text: str) -> Iterator[tuple[list[float], int]]:
-    """Training rows of a text: base spans are positives as their generator would
-    propose them, candidates that overlap none are negatives."""
+    """Training rows of a text: its candidates as their generator proposes them,
+    those of base spans positive, then the rewritten and the planted ones."""
     base = base_spans(text)
-    shape = {"email": "contact"}
-    for kind, a, b in base:
-        yield features(text, shape.get(kind, "number"), a, b), 1
     taken = sorted((a, b) for _, a, b in base)
+    starts, ends = [a for a, _ in taken], dict(taken)
+    reach = np.maximum.accumulate([b for _, b in taken]).tolist() if taken else []
     for kind, a, b in candidates(text):
-        if not any(s < b and a < e for s, e in taken):
-            yield features(text, kind, a, b), 0
+        i = bisect.bisect_left(starts, b) - 1
+        if i < 0 or reach[i] <= a:
+            y = verdict(text, kind, a, b)
+        else:  # a phone's + is no part of a number
+            y = 1 if kind == "number" and any(ends.get(s, b + 1) <= b for s in (a, a - 1)) else None
+        if y is not None:
+            yield features(text, kind, a, b), y
+    for around, y, kind, a, b in (*rewritten(text, base), *planted(text)):
+        for k, s, e in candidates(around):
+            if k == kind and (s <= a and b <= e if y else s < b and a < e):
+                yield features(around, k, s, e), y
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMPLE_ROWS) -> Trees:
@@ -229,7 +326,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs:
             packed = [(np.array(x, np.float64).tobytes(), y) for x, y in rows]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in packed], pa.binary()), pa.array([y for _, y in packed], pa.int32())], ["x", "y"])
 
-    got = drawn.mapInArrow(run, "x binary, y int").orderBy(F.xxhash64("x"), "x", "y").limit(sample_rows).collect()
+    each = Window.partitionBy(F.substring("x", 1, 8), "y").orderBy(F.xxhash64("x"), "x")  # the first feature is the kind
+    found = drawn.mapInArrow(run, "x binary, y int").withColumn("_n", F.row_number().over(each)).where(F.col("_n") <= sample_rows)
+    got = found.orderBy("_n", F.xxhash64("x"), "x", "y").limit(sample_rows).collect()
+    got.sort(key=lambda r: hashlib.md5(r["x"]).digest())  # so that what calibrates is no pattern of the ranks
     if not got:
         return Trees()
     return boost(np.array([np.frombuffer(r["x"]) for r in got]), np.array([float(r["y"]) for r in got]))
@@ -251,7 +351,6 @@ def added_spans(text: str, base: list[tuple[str, int, int]], trees: Trees, thres
     p = trees.probability(np.array([features(text, *c) for c in found]))
     best = sorted((-x, a, b, k) for x, (k, a, b) in zip(p.tolist(), found, strict=True) if x >= threshold)
     out: list[tuple[str, int, int]] = []
-    import bisect
     chosen: list[tuple[int, int]] = []  # disjoint, ascending
     for _, a, b, k in best:
         i = bisect.bisect_left(chosen, (a, b))

@@ -67,3 +67,19 @@ def test_edge_rows(spark):
     assert texts[3] == "mail <EMAIL> or <PHONE>, ip <IP> no 1.2.3.256" and texts[1] is None and texts[6] == "<EMAIL>" and texts[None] == "<CARD>"
     assert pii.spans(docs.limit(0), pii.Trees()).count() == 0
     assert not pii.train(docs.limit(0)).trees
+
+
+def test_planted_candidates_are_redacted(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    trees = pii.train(docs)
+    texts = [r["text"] for r in docs.select("text").collect()]
+    tokens = [t for t in texts if t and re.search(r'token = "[0-9a-f]{40}"', t)]
+    assert tokens and not any(re.search(r'token = "[0-9a-f]{40}"', pii.redacted(t, trees)) for t in tokens)
+    for text, want in [
+        ('the token = "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e" is', 'the token = "<SECRET>" is'), ("api_key: sk_live_9aB3dE7fG1hJ2kL4mN6p now", "api_key: <SECRET> now"),
+        ("DB_PASSWORD=hunter2hunter2Zq81x ok", "DB_PASSWORD=<SECRET> ok"), ("ask jane.doe (at) example (dot) org today 1", "ask <CONTACT> today 1"),
+        ("jane at example dot org is 1", "<CONTACT> is 1"), ("call 310-555-4510 now", "call <NUMBER> now"), ("tel 1 (310) 555-4510 now", "tel <NUMBER> now"),
+    ]:
+        assert pii.redacted(text, trees) == want
+    for text in ("commit 7c72db563d7f6e50cec00950f7bab1f2223b6afd for it", "on 2024-01-15 12:30:11 at noon", "Version 2.0.13 of it", "we met at home. Then 5 left", "page 1914-1918"):
+        assert pii.redacted(text, trees) == text
