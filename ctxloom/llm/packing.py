@@ -159,9 +159,9 @@ def _pieces(starts: np.ndarray, doc_ends: np.ndarray, ids: np.ndarray, ends: lis
             for d, x, y, w, f in zip(doc.tolist(), a.tolist(), b.tolist(), window.tolist(), from_.tolist(), strict=True)]
 
 
-def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END, special: bool = False) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
-    ``sequence_id`` is the task's number times 2^32 plus a count."""
+    ``sequence_id`` is the task's number times 2^32 plus a count; ``special`` as in ``tokens``."""
     spark = docs.sparkSession
     ship_package(spark)
     sent = tokens.send(spark, tokenizer)
@@ -170,7 +170,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     schema = src.select(key, *[F.lit(0).cast("long").alias(c) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(sent)
+        enc = tokens.encoder(sent, special)
         number = TaskContext.get().partitionId() << 32
         keys, starts, sizes, ids, held = [], [], [], [], 0
 

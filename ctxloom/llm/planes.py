@@ -162,9 +162,9 @@ class Reader:
 
 
 def write(docs: DataFrame, out_dir: str, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = 0,
-          bits: bool = False, docs_per_file: int = DOCS_PER_FILE) -> DataFrame:
+          bits: bool = False, docs_per_file: int = DOCS_PER_FILE, special: bool = False) -> DataFrame:
     """Write the files; returns part, path, n_docs, n_ids and first_id (ids of
-    all files before it) of each."""
+    all files before it) of each; ``special`` as in ``tokens``."""
     spark = docs.sparkSession
     ship_package(spark)
     sent = tokens.send(spark, tokenizer)
@@ -178,7 +178,7 @@ def write(docs: DataFrame, out_dir: str, tokenizer: str, key: str = "doc_id", te
         first = next(parts, None)
         if first is None:  # an empty partition has no file
             return
-        enc, path = tokens.encoder(sent), f"{out_dir}/part-{part:06d}-{TaskContext.get().taskAttemptId()}.planes"
+        enc, path = tokens.encoder(sent, special), f"{out_dir}/part-{part:06d}-{TaskContext.get().taskAttemptId()}.planes"
         with store.writing(path) as f:
             writer = Writer(f, bits)
             for b in itertools.chain((first,), parts):

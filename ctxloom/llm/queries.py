@@ -96,7 +96,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 
 @_query
 def op3_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), special=True)
 
 
 @_query
@@ -107,7 +107,7 @@ def op4_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = planes.write(_table(spark, sf_dir, "documents"), _new_folder(spark, "planes"), _tokenizer("byte_bpe_50k.json"))
+    files = planes.write(_table(spark, sf_dir, "documents"), _new_folder(spark, "planes"), _tokenizer("byte_bpe_50k.json"), special=True)
     return planes.read(spark, files)
 
 

@@ -7,13 +7,15 @@ neither looks back.)  The pieces are hashed, the distinct new ones are encoded
 by the library, and a bounded cache that lives as long as the Python worker has
 the rest.  The ids equal those of the whole text.
 
-Special token strings in a text are ordinary text.  Null is the empty text,
-which has no ids.
+Special token strings in a text are ordinary text, or with ``special`` the
+tokens that the library by default finds in them: pieces of their own.  Null is
+the empty text, which has no ids.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 from pyspark.sql import SparkSession
@@ -55,13 +57,18 @@ def cuts(buf: np.ndarray, n: int) -> np.ndarray:
 class Encoder:
     """Encodes batches of texts; holds the ids of pieces seen."""
 
-    def __init__(self, spec: bytes, cache: int = CACHE):
+    def __init__(self, spec: bytes, cache: int = CACHE, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(spec)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        found = self.tokenizer.get_added_tokens_decoder().values() if special else ()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in found):
+            raise ValueError("added tokens that are not found as plain strings")
+        self.literals = sorted((t.content.encode() for t in found if t.content), key=len, reverse=True)
+        self.literal = re.compile(b"|".join(map(re.escape, self.literals)))
         self.limit = cache
         self._clear()
 
@@ -95,6 +102,13 @@ class Encoder:
         n = int(offs[-1])
         first = cuts(buf, n)
         first[offs[:-1][offs[1:] > offs[:-1]]] = True
+        body = None
+        if self.literals and any(x in (body := buf.tobytes()) for x in self.literals):
+            for a, b in zip(offs.tolist(), offs[1:].tolist(), strict=False):
+                for m in self.literal.finditer(body, a, b):
+                    first[m.start():m.end()] = False
+                    first[m.start()] = True
+                    first[m.end():m.end() + 1] = True
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], n)[:len(starts)]
         hashes, where, inverse = np.unique(hash_spans(buf, starts, ends), return_index=True, return_inverse=True)
@@ -105,7 +119,7 @@ class Encoder:
         inside = near < len(self.known)
         new[inside] = self.known[near[inside]] != hashes[inside]
         if new.any():
-            body = buf.tobytes()
+            body = body or buf.tobytes()
             self._learn(hashes[new], [body[starts[i]:ends[i]] for i in where[new].tolist()])
             near = np.searchsorted(self.known, hashes)
         size = self.size[near][inverse]
@@ -114,16 +128,16 @@ class Encoder:
         return ids, total[np.searchsorted(starts, offs)]
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[tuple[int, bool], Encoder] = {}
 
 
-def encoder(sent) -> Encoder:
+def encoder(sent, special: bool = False) -> Encoder:
     """The worker's encoder of a broadcast tokenizer file."""
     spec = sent.value
-    key = hash(spec)
+    key = hash(spec), special
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(spec)
+        _ENCODERS[key] = Encoder(spec, special=special)
     return _ENCODERS[key]
 
 

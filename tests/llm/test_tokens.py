@@ -2,6 +2,7 @@
 
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -182,3 +183,31 @@ def test_separator_counts_edge_rows(spark, tmp_path):
     want = [(k, len(i) + 1) for (k, _), i in zip(rows, whole("byte_bpe_50k.json", [t for _, t in rows]), strict=True)]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert separators.counts(docs.limit(0), str(tmp_path / "g"), path, 50256).count() == 0
+
+
+SPECIAL = ["a<|endoftext|>b", "<|endoftext|><|startoftext|> <|endoftext|>", "x  <|endoftext|>\n y, <|EndOfText|>", "cut <|endof", "text|> here", "é<|endoftext|>\u0338 ", "<|endoftext|", "> a", None, "w <|startoftext|>" * 500]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_special_strings_are_the_librarys_tokens(name):
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    with open(public_tokenizers.path(name), "rb") as f:
+        enc = tokens.Encoder(f.read(), special=True)
+    texts = SPECIAL + ODD
+    ids, offs = enc.encode(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(offs, offs[1:], strict=False)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_queries_encode_special_strings(spark, tmp_path):
+    docs = list(enumerate(SPECIAL))
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    word, byte = (Tokenizer.from_file(public_tokenizers.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    want = [word.encode(x or "", add_special_tokens=False).ids for x in SPECIAL]
+    check_packing(QUERIES["op3_dp_packing"](spark, str(tmp_path)).collect(), docs, want)
+    check_packing(corpus_pipeline.pack_sequences(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect(), docs, want)
+    planes_want, start = [], 0
+    for k, x in docs:
+        ids = [*byte.encode(x or "", add_special_tokens=False).ids, 0]
+        planes_want.append((k, start, len(ids), crc(ids)))
+        start += len(ids)
+    assert sorted(map(tuple, QUERIES["op5_plane_files"](spark, str(tmp_path)).collect())) == planes_want
