@@ -15,7 +15,12 @@ without such names are judged by text and neighbours.  The names themselves have
 most, a text feature's least), and a child may differ from its parent with at
 least 2.5 %, whatever the sample.  The sample's tables are all that the driver sees.
 
-Comments, declarations, scripts, styles and other elements that show no text
+An inline element with class, id or role names is a node too, judged by these
+names and its parent; its text counts for the block around it, and it tells that
+block nothing unless blocks stand in it.  Controls (button, select, option, ...)
+are nodes named as a form.
+
+Comments, declarations, scripts, styles and other raw text elements (``RAW``)
 are markup and never text.  Null and empty pages give the empty text.  Broken
 markup is read to its end: unclosed and misnested elements, stray ends and
 quotes, a tag or comment that the page's end cuts off.
@@ -45,18 +50,23 @@ CONTENT = frozenset("article main content post entry story".split())
 OTHER = frozenset(("nav menu navbar header footer sidebar aside notice cookie banner ad ads advert advertisement sponsored promo form "
                    "comment comments reply replies related share social breadcrumb breadcrumbs dialog").split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noframes select option svg math canvas object audio video button".split())
+RAW = frozenset("script style textarea title noscript iframe noframes".split())
+CONTROL = frozenset("button select option optgroup datalist template".split())
+#: Elements of formulas and drawings, which a /> ends.
+FOREIGN = frozenset(("math semantics annotation mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mtable mtr mtd "
+                     "mpadded mphantom menclose svg g path circle ellipse rect line polyline polygon text tspan textpath defs use symbol desc "
+                     "lineargradient radialgradient stop clippath mask pattern filter marker").split())
 INLINE = frozenset(("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
-                    "strike strong sub sup time tt u var").split())
+                    "strike strong sub sup time tt u var").split()) | FOREIGN
 #: Elements that an open one of the second kind ends.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
-          "thead": ("tr",), "tbody": ("thead", "tr"), "tfoot": ("tbody", "tr")}
+          "option": ("option",), "optgroup": ("option", "optgroup"), "button": ("button",), "thead": ("tr",), "tbody": ("thead", "tr"), "tfoot": ("tbody", "tr")}
 #: An end does not reach beyond these.
 FENCE = frozenset("table ul ol dl body html article section div".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _EDGE = re.compile(r"[>\"']")
-_ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTR = re.compile(r"(?<=[\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -67,6 +77,8 @@ class Node:
     chars: int = 0
     links: int = 0
     points: int = 0
+    inline: bool = False  # with no block in it
+    block: int = 0        # an inline node's block
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -86,21 +98,24 @@ def _tag_end(page: str, at: int) -> int:
     return len(page)
 
 
-def read_page(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
-    """(block nodes, parents first; text blocks in page order with their node)."""
+def read_page(page: str | None) -> tuple[list[Node], list[list[tuple[int, str]]]]:
+    """(nodes, parents first; text blocks in page order, each as runs of a node and its text)."""
     nodes, blocks = [Node(-1, ("html",))], []
-    stack: list[tuple[str, int]] = []  # open elements and the block node each stands in
+    stack: list[tuple[str, int]] = []  # open elements and the node each stands in
     opened: Counter = Counter()
     here, links, parts = 0, 0, []
     page = page or ""
 
+    def block() -> Node:
+        return nodes[nodes[here].block if nodes[here].inline else here]
+
     def close_block() -> None:
         nonlocal parts
         if parts:
-            text = " ".join("".join(parts).split())
+            text = " ".join("".join(t for _, t in parts).split())
             if text:
-                blocks.append((here, text))
-                node = nodes[here]
+                blocks.append(parts)
+                node = block()
                 node.chars += len(text)
                 node.points += sum(text.count(c) for c in ",.;:!?")
             parts = []
@@ -109,10 +124,10 @@ def read_page(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
         nonlocal here, links
         name, outer = stack.pop()
         opened[name] -= 1
-        if name == "a":
-            links -= 1
-        elif name not in INLINE:
-            close_block()
+        links -= name == "a"
+        if here != outer:
+            if not nodes[here].inline:
+                close_block()
             here = outer
         return name
 
@@ -135,9 +150,9 @@ def read_page(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             lt = n
         if lt > at:
             text = html.unescape(page[at:lt])
-            parts.append(text)
+            parts.append((here, text))
             if links:
-                nodes[here].links += len(text.strip())
+                block().links += len(text.strip())
         if lt >= n:
             break
         c = page[lt + 1:lt + 2]
@@ -152,7 +167,7 @@ def read_page(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
         closing = c == "/"
         m = _NAME.match(page, lt + 1 + closing)
         if not m:  # a bare <
-            parts.append("<")
+            parts.append((here, "<"))
             at = lt + 1
             continue
         tag = m[0].lower()
@@ -173,22 +188,28 @@ def read_page(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                 stop = page.lower().find("</" + tag, at) if len(page) - at < 4096 else _find_end(page, tag, at)
                 at = n if stop < 0 else _tag_end(page, stop + 2 + len(tag))
             continue
+        words = [w for a in _ATTR.finditer(page, m.end(), at) for w in _WORD.findall((a[1] or a[2] or a[3] or "").lower())]
         if tag in INLINE:
+            if tag in FOREIGN and page[at - 2:at] == "/>":
+                continue
             stack.append((tag, here))
             opened[tag] += 1
             links += tag == "a"
+            if words and (tag not in FOREIGN or tag in ("svg", "math")):
+                nodes.append(Node(here, tuple(dict.fromkeys(words)), inline=True, block=nodes[here].block if nodes[here].inline else here))
+                here = len(nodes) - 1
             continue
         close_block()
         if tag in CLOSES:
             end(CLOSES[tag])
         if opened["p"]:
             end(("p",))
-        words = [tag]
-        for a in _ATTR.finditer(page, m.end(), at):
-            words += _WORD.findall((a[1] or a[2] or a[3] or "").lower())
+        outer = here
+        while nodes[outer].inline:  # a block in it: they are blocks as well
+            nodes[outer].inline, outer = False, nodes[outer].parent
         stack.append((tag, here))
         opened[tag] += 1
-        nodes.append(Node(here, tuple(dict.fromkeys(words))))
+        nodes.append(Node(here, tuple(dict.fromkeys([tag, *(("form",) if tag in CONTROL else ()), *words]))))
         here = len(nodes) - 1
     while stack:
         pop()
@@ -255,6 +276,8 @@ def marginals(nodes: list[Node], pot: Potentials) -> list[float]:
         return math.log(r + s * e) - math.log(p + q * e)
 
     for k in range(len(nodes) - 1, 0, -1):
+        if nodes[k].inline:
+            continue
         sent[k] = through(up[k], a, b, c, d)
         up[nodes[k].parent] += sent[k]
     both = up[:]
@@ -269,7 +292,8 @@ def main_text(page: str | None, pot: Potentials) -> str:
     if not blocks:
         return ""
     p = marginals(nodes, pot)
-    return " ".join(text for k, text in blocks if p[k] > 0.5)
+    kept = (" ".join("".join(t for k, t in runs if p[k] > 0.5).split()) for runs in blocks)
+    return " ".join(text for text in kept if text)
 
 
 def train(pages: DataFrame, key: str = "page_id", text: str = "html", sample: int = SAMPLE) -> Potentials:

@@ -77,3 +77,17 @@ def test_edge_rows(spark):
     got = sorted(((r["page_id"], r["n_chars"]) for r in dommodel.extract(pages, dommodel.train(pages)).collect()), key=repr)
     assert got == sorted([(1, 0), (None, 5), (1, 999_999), (2, 0)], key=repr)
     assert dommodel.extract(pages.limit(0), dommodel.train(pages.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<form><input list=s><datalist id=s><option value=a><option value=b></datalist></form><article>all of it</article>", "all of it"),
+    ("<nav><button>no</nav><article>all <p>of it</article>", "all of it"),
+    ("<object data=x><article>a<button>no</button><select><option>no<option>no</select> b", "a b"),
+    ("<article><p>let <math><mi>x</mi><mo>=</mo><mn>2</mn><mspace/></math> be</p><canvas>shown</canvas><video src=v>words</video></article>", "let x=2 be shown words"),
+    ("<article><svg viewBox='0'><title>no</title><path d=x /><g/></svg><p>rest</article>", "rest"),
+    ('<article><p>H<span class="low">2</span>O <span class="ad">buy</span> is <a class="sponsored" href=x>here</a> wet.</p></article>', "H2O is wet."),
+    ('<article><p>a <a href="/?id=ad">link</a> <span class="x"><div>in</div> it</span> out', "a link in it out"),
+    ("<article>" + '<span class="x">' * 20_000 + "deep", "deep"),
+])
+def test_nothing_is_lost_behind_unclosed_controls_and_inline_names_tell(page, text):
+    assert dommodel.main_text(page, POT) == text
