@@ -55,7 +55,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_ANY = re.compile(r"[0-9@]|\(at\)| at ", re.I)
+_ANY = re.compile(r"[0-9@]|\(at\)|\[at\]| at ", re.I)
+_AT = re.compile("at", re.I)
 _NUMBER = re.compile(r"[0-9](?:[ ().:/-]{0,2}[0-9])++")
 _CONTACT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]++)+", re.I)
 _SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+")
@@ -119,7 +120,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         a = keyed.end() if keyed else m.start()
         if any(c.isdigit() for c in text[a:m.end()]):
             out.append(("secret", a, m.end()))
-    if "at" in text:
+    if _AT.search(text):
         out += [("contact", *m.span()) for m in _CONTACT.finditer(text)]
     return out
 
@@ -416,7 +417,7 @@ def redact(docs: DataFrame, trees: Trees, text: str = "text", threshold: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
             i = b.schema.get_field_index(text)
-            has = pc.fill_null(pc.match_substring_regex(b.column(i), r"[0-9@]|\([aA][tT]\)| [aA][tT] "), False)
+            has = pc.fill_null(pc.match_substring_regex(b.column(i), r"[0-9@]|\([aA][tT]\)|\[[aA][tT]\]| [aA][tT] "), False)
             if pc.any(has).as_py():
                 col = pa.array([redacted(t, sent.value, threshold) if h else t for t, h in zip(b.column(i).to_pylist(), has.to_pylist(), strict=True)], b.schema.field(i).type)
                 b = b.set_column(i, b.schema.field(i), col)

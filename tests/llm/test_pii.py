@@ -83,3 +83,13 @@ def test_planted_candidates_are_redacted(spark):
         assert pii.redacted(text, trees) == want
     for text in ("commit 7c72db563d7f6e50cec00950f7bab1f2223b6afd for it", "on 2024-01-15 12:30:11 at noon", "Version 2.0.13 of it", "we met at home. Then 5 left", "page 1914-1918"):
         assert pii.redacted(text, trees) == text
+
+
+def test_written_out_at_in_any_form_is_proposed(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [e for r in docs.select("text").collect() if r["text"] for e in pii.examples(r["text"])]
+    trees = pii.boost(np.array([x for x, _ in rows]), np.array([float(y) for _, y in rows]))
+    texts = ["ask jane [at] example [dot] org", "ASK JANE (AT) EXAMPLE.ORG", "ask jane [At] example.org now"]
+    assert [[c[0] for c in pii.candidates(t)] for t in texts] == [["contact"]] * 3
+    got = pii.redact(spark.createDataFrame([(t,) for t in texts], "text string"), trees).collect()
+    assert sorted(r["text"] for r in got) == sorted(["ask <CONTACT>", "ASK <CONTACT>", "ask <CONTACT> now"])
