@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ctxloom.llm import ctw, decontaminate, dommodel, packing, pii, planes, quality, separators, simhash, warc
+from ctxloom.llm import ctw, decontaminate, dommodel, langid, packing, pii, planes, quality, separators, simhash, warc
 from ctxloom.session import ensure_checkpoint_dir, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,9 @@ def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return pii.spans(docs, pii.train(docs))
+
+
+@_query
+def op11_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
