@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ctxloom.llm import ctw, decontaminate, dommodel, langid, packing, pii, planes, quality, separators, simhash, warc
+from ctxloom.llm import ctw, decontaminate, dommodel, langid, merkle, packing, pii, planes, quality, separators, simhash, warc, whitening
 from ctxloom.session import ensure_checkpoint_dir, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,56 @@ def op10_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
+
+
+@_query
+def op12_midstate_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"), merkle.tampered())
+
+
+ORACLE_SQL["op12_midstate_manifest"] = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c // 2, (c % 2) * 3988292384))) AS tab),
+d AS (
+  SELECT doc_id, source, lang, n_chars, text,
+         list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                     lambda c, b: xor(c // 256, tab[(xor(c, b) & 255) + 1])) % 2 = 1 AS even
+  FROM documents, crc_table),
+v AS (
+  SELECT doc_id, source, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+         text, CASE WHEN even THEN replace(text, chr(10), '') ELSE text END AS found
+  FROM d),
+leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(found) || ':' || found, '-')) AS again
+  FROM v),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n,
+                  dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM leaves),
+low(tree, level, pos, n, h) AS (
+  SELECT tree, 0, pos, n, leaf FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY tree, level, pos // 3, n),
+trees AS (SELECT tree, level AS top, h AS subroot FROM low WHERE n = 1),
+high(level, pos, n, h) AS (
+  SELECT 0, tree, (SELECT count(*) FROM trees), subroot FROM trees
+  UNION ALL
+  SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY level, pos // 3, n),
+steps AS (SELECT tree, top, top + (SELECT max(level) FROM high) AS height FROM trees),
+way(doc_id, source, leaf, tree, level, pos, top, height, h, sib) AS (
+  SELECT doc_id, source, leaf, p.tree, 0, pos, top, height, again, '' FROM placed p JOIN steps USING (tree)
+  UNION ALL
+  SELECT w.doc_id, w.source, w.leaf, w.tree, w.level + 1, spot // 3, w.top, w.height,
+         sha256(string_agg(CASE WHEN s.pos = spot THEN w.h ELSE s.h END, '' ORDER BY s.pos)),
+         w.sib || coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (WHERE s.pos <> spot), '')
+  FROM (SELECT *, CASE WHEN level = top THEN tree ELSE pos END AS spot FROM way WHERE level < height) w
+  JOIN (SELECT low.tree, low.level, low.pos, low.h, true AS below FROM low UNION ALL SELECT -1, high.level, high.pos, high.h, false FROM high) s
+    ON s.pos // 3 = spot // 3 AND ((w.level < w.top AND s.below AND s.tree = w.tree AND s.level = w.level) OR (w.level >= w.top AND NOT s.below AND s.level = w.level - w.top))
+  GROUP BY w.doc_id, w.source, w.leaf, w.tree, w.level, spot, w.top, w.height, w.h, w.sib)
+SELECT doc_id, leaf, subroot, root, sha256(sib) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM way JOIN trees USING (tree), (SELECT h AS root FROM high WHERE n = 1) WHERE level = height
+"""
+
+
+@_query
+def op13_multiplicity_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
