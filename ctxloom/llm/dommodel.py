@@ -89,7 +89,10 @@ def _tag_end(page: str, at: int) -> int:
         if page[c] == ">":
             return c + 1
         at = c + 1
-        if page[begin:c].rstrip()[-1:] == "=" if c - begin < 200 else page[c - 200:c].rstrip()[-1:] == "=":
+        value = c  # white space before a quote reaches back to the last quote at most: walked once
+        while value > begin and page[value - 1].isspace():
+            value -= 1
+        if value > begin and page[value - 1] == "=":
             close = page.find(page[c], c + 1)
             if close < 0:  # the quote never ends: the tag does at its first >
                 end = page.find(">", begin)
@@ -185,7 +188,7 @@ def read_page(page: str | None) -> tuple[list[Node], list[list[tuple[int, str]]]
             continue
         if tag in RAW:
             if page[at - 2:at] != "/>":
-                stop = page.lower().find("</" + tag, at) if len(page) - at < 4096 else _find_end(page, tag, at)
+                stop = _find_end(page, tag, at)
                 at = n if stop < 0 else _tag_end(page, stop + 2 + len(tag))
             continue
         words = [w for a in _ATTR.finditer(page, m.end(), at) for w in _WORD.findall((a[1] or a[2] or a[3] or "").lower())]
@@ -218,7 +221,7 @@ def read_page(page: str | None) -> tuple[list[Node], list[list[tuple[int, str]]]
 
 
 def _find_end(page: str, tag: str, at: int) -> int:
-    m = re.compile("</" + re.escape(tag), re.I).search(page, at)
+    m = re.compile("</" + re.escape(tag), re.I | re.A).search(page, at)
     return m.start() if m else -1
 
 

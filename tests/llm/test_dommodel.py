@@ -91,3 +91,17 @@ def test_edge_rows(spark):
 ])
 def test_nothing_is_lost_behind_unclosed_controls_and_inline_names_tell(page, text):
     assert dommodel.main_text(page, POT) == text
+
+
+@pytest.mark.parametrize("pad", [0, 5_000])
+@pytest.mark.parametrize("tag", ["script", "SCRIPT", "ScRipt"])
+def test_raw_elements_end_where_they_end_whatever_the_length_of_the_page(pad, tag):
+    page = "<article><p>" + "\u0130" * 12 + f"</p><script>x</{tag}>kept text here<p>more</p>" + " " * pad + "</article>"
+    assert dommodel.main_text(page, POT) == "\u0130" * 12 + " kept text here more"
+    assert dommodel.main_text(f"<article>a<script>x</\u017fcript>y</{tag}>b" + " " * pad, POT) == "ab"
+
+
+@pytest.mark.parametrize("gap", [0, 1, 150, 250, 10_000])
+def test_white_space_before_a_quoted_value_may_be_long(gap):
+    page = f"<article><p title={' ' * gap}'a>b'>text</p><p {' ' * gap}>more</article>"
+    assert dommodel.main_text(page, POT) == "text more"
