@@ -30,6 +30,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -134,8 +135,8 @@ def features(text: str, kind: str, a: int, b: int) -> list[float]:
     digits = sum(c.isdigit() for c in span)
     alpha = sum(c.isalpha() for c in span)
     groups = [len(g) for g in re.split(r"[^0-9A-Za-z]+", span) if g]
-    counts = {c: span.count(c) for c in set(span[:256])}
-    n = sum(counts.values())
+    counts = Counter(span)
+    n = len(span)
     before, after = text[max(0, a - 24):a], text[b:b + 1]
     cue = _WORD_BEFORE.search(before)
     word = cue[1].lower() if cue else ""

@@ -1,6 +1,7 @@
 """Base spans against plain regular expressions; boosted candidates on held-out texts."""
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -93,3 +94,10 @@ def test_written_out_at_in_any_form_is_proposed(spark):
     assert [[c[0] for c in pii.candidates(t)] for t in texts] == [["contact"]] * 3
     got = pii.redact(spark.createDataFrame([(t,) for t in texts], "text string"), trees).collect()
     assert sorted(r["text"] for r in got) == sorted(["ask <CONTACT>", "ASK <CONTACT>", "ask <CONTACT> now"])
+
+
+def test_features_count_the_whole_span():
+    span = "a" * 300 + "bcdefgh" * 10
+    x = pii.features(f"x {span} y", "secret", 2, 2 + len(span))
+    share = [300 / 370] + [10 / 370] * 7
+    assert x[13] == 8 and abs(x[14] + sum(p * math.log2(p) for p in share)) < 1e-9
