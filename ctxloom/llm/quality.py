@@ -1,8 +1,8 @@
 """Quality rules: base counts and a hashed n-gram logistic regression.
 
-The regression reads word 1- and 2-grams and byte 3- and 5-grams, hashed into
-four blocks of ``BLOCK`` weights; a block's features are shares (they sum to
-one), so long and short texts compare.  It is fitted with numpy in one task
+The regression reads word 1- and 2-grams and character (code point) 3- and
+5-grams, hashed into four blocks of ``BLOCK`` weights; a block's features are
+shares (they sum to one), so long and short texts compare.  It is fitted with numpy in one task
 from a bounded sample of labelled rows (``SAMPLE`` a class, drawn by hash of
 the key), then calibrated (Platt scaling) on
 the quarter of the sample that the fit did not see.  The model is
@@ -29,7 +29,7 @@ from ctxloom.session import ship_package
 
 BLOCK = 1 << 16
 #: Labelled rows of each class that the fit may see.
-SAMPLE = 1_000
+SAMPLE = 1_500
 #: Kept at this calibrated probability of good quality, or more.
 THRESHOLD = 0.3
 SCALE = 30.0
@@ -96,17 +96,19 @@ def base_counts(buf: np.ndarray, offs: np.ndarray, texts: list[bytes], hashes: n
 
 def grams(buf: np.ndarray, offs: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each block: (weight numbers, first of each row, end of each row)."""
-    n = int(offs[-1])
+    body = buf[:int(offs[-1])]
     top = np.uint64(48)
-    b = buf.astype(np.uint64)
+    chars = np.concatenate(([0], np.cumsum((body & 0xC0) != 0x80)))[offs]  # first character of each row
+    points = np.zeros(int(chars[-1]) + 4, np.uint64)
+    points[:int(chars[-1])] = np.frombuffer(body.tobytes().decode().encode("utf-32-le"), "<u4")
     for k, size in enumerate((3, 5)):
-        key = np.zeros(n, np.uint64)
-        for i in range(size):  # the PAD bytes lie behind the last text
-            key = key << np.uint64(8) | b[i:n + i]
-        key *= np.uint64(0x9E3779B97F4A7C15)
-        yield (key >> top).astype(np.int64) + k * BLOCK, offs[:-1], np.maximum(offs[:-1], offs[1:] - size + 1)
+        key = np.zeros(int(chars[-1]), np.uint64)
+        for i in range(size):  # the zeros lie behind the last text
+            key = (key ^ points[i:len(points) - 4 + i]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(32)
+        yield (key >> top).astype(np.int64) + k * BLOCK, chars[:-1], np.maximum(chars[:-1], chars[1:] - size + 1)
     yield (hashes >> top).astype(np.int64) + 2 * BLOCK, first[:-1], first[1:]
-    pair = _mix(hashes[:-1], hashes[1:]) if len(hashes) else hashes
+    pair = _mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15), hashes[1:]) if len(hashes) else hashes  # in order
     yield (pair >> top).astype(np.int64) + 3 * BLOCK, first[:-1], np.maximum(first[:-1], first[1:] - 1)
 
 

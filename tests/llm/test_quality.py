@@ -56,3 +56,31 @@ def test_labels_of_one_class_keep_all(spark):
     model = quality.train(docs, labels)
     assert not model.trained and model.weights.size == 4 * quality.BLOCK
     assert quality.train(docs, labels.limit(0)).trained is False
+
+
+def plain_features(text):
+    """Shares of word and character n-grams by their own names, no hashing."""
+    text = text or ""
+    words = re.findall("[^\x20\x09-\x0D]+", text)
+    lists = [[text[i:i + n] for i in range(len(text) - n + 1)] for n in (3, 5)] + [words, list(zip(words, words[1:]))]
+    return [{g: x.count(g) / len(x) for g in set(x)} for x in lists]
+
+
+def test_hashed_features_are_those_of_a_plain_dictionary():
+    import pyarrow as pa
+
+    texts = ["", None, "ab", "abc", "abcab cab", "żółw żółw a", "漢字漢字漢 b", "x y x y x", "😀😀😀😀 é"]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["_y", "_text"])
+    (out,) = quality._features(iter([batch]))
+    for i, t in enumerate(texts):
+        numbers = np.frombuffer(out.column(1)[i].as_py(), np.int32)
+        values = np.frombuffer(out.column(2)[i].as_py(), np.float32) / quality.SCALE
+        for block, want in enumerate(plain_features(t)):
+            own = values[numbers // quality.BLOCK == block]
+            assert np.allclose(sorted(own), sorted(want.values()), atol=1e-6), (t, block)  # no two of these few collide
+
+    def numbers(x):
+        return set(np.frombuffer(next(quality._features(iter([pa.record_batch([pa.array([0]), pa.array([x])], ["_y", "_text"])]))).column(1)[0].as_py(), np.int32).tolist())
+
+    a, b, c = map(numbers, ("żół", "żół", "żóv"))
+    assert a == b and not {n for n in a if n < quality.BLOCK} & {n for n in c if n < quality.BLOCK}
