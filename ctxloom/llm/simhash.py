@@ -37,8 +37,8 @@ SHINGLE = 4
 MAX_BITS = 4
 #: Variants spelled out at a time in one task (16 bytes each).
 PART = 4_000_000
-#: Keys (8 bytes each) that may be broadcast.
-BROADCAST_KEYS = 100_000
+#: Keys over which the members of one component are dealt when they get its name.
+SALT = 16
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = 42) -> list[int]:
@@ -213,11 +213,16 @@ def _rooted(docs: DataFrame, key: str, text: str, shingle: int, max_bits: int) -
     """_key, _fp, _root (smallest fingerprint reachable) and component_id of each row."""
     marked = materialize(fingerprints(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", shingle), "fingerprints")
     classes = materialize(marked.groupBy("_fp").agg(F.min("_key").alias("_least")), "classes")
-    roots = components(links(classes, max_bits))
-    rooted = classes.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").withColumn("root", F.coalesce("root", "_fp"))
-    named = (rooted.join(rooted.groupBy("root").agg(F.min("_least").alias("component_id")), "root")
-             .select("_fp", F.col("root").alias("_root"), "component_id"))
-    return marked.join(named, "_fp")
+    roots = components(links(classes, max_bits)).select(F.col("node").alias("_fp"), "root")
+    roots = roots.union(roots.select(F.col("root").alias("_fp"), "root").distinct())  # a root is a member too
+    rooted = materialize(classes.join(roots, "_fp", "left"), "rooted")
+    alone = rooted.where("root IS NULL").select("_fp", F.col("_fp").alias("_root"), F.col("_least").alias("component_id"))
+    # only linked fingerprints need a component's name; a component of any size is dealt over SALT keys for it
+    linked = rooted.where("root IS NOT NULL").withColumn("_salt", F.pmod("_fp", F.lit(SALT)).cast("int"))
+    names = (linked.groupBy("root").agg(F.min("_least").alias("component_id"))
+             .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))))
+    named = linked.join(names, ["root", "_salt"]).select("_fp", F.col("root").alias("_root"), "component_id")
+    return marked.join(alone.unionByName(named), "_fp")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
@@ -239,12 +244,10 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     boxed = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_id"), F.col(text).alias("_text"))  # no name clashes
     single = boxed.join(count.where("_n = 1 AND _key IS NOT NULL"), F.col("_id") == F.col("_key"), "left_semi")
     # rows that share the smallest key, or have none: one for each key and component.  Mostly there are none
-    # (then no second pass over the texts), or few keys (then the texts are not shuffled for them)
-    several = count.where("_n > 1 OR _key IS NULL").select("_key")
-    n = several.count()
-    if not n:
+    # (then no second pass over the texts); they are written, so that Spark knows their size for the join
+    several = materialize(count.where("_n > 1 OR _key IS NULL").select("_key"), "several")
+    if several.isEmpty():
         return single.select("_row.*")
-    several = F.broadcast(several) if n <= BROADCAST_KEYS else several
     again = boxed.join(several, F.col("_id").eqNullSafe(F.col("_key")), "left_semi")
     marked = fingerprints(again, "_text", shingle)
     named = first.groupBy("_key", "_root").agg(F.min("_fp").alias("_fp"))

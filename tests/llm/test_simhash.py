@@ -108,3 +108,11 @@ def test_keep_first(spark):
 def test_odd_radius_is_refused(spark):
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([], "_fp long"), 3)
+
+
+def test_one_component_of_many_fingerprints(spark):
+    """A chain of fingerprints, each two bits from the next, is one component whatever keys it is dealt over."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1000 - k, " ".join(words[:390] + ["w390x"] * k)) for k in range(1, 60)]
+    docs = spark.createDataFrame(rows + [(5, "quite another text of its own here")], "doc_id long, text string").repartition(7)
+    assert order(simhash.near_duplicates(docs).collect()) == order(plain_components(rows + [(5, "quite another text of its own here")]))
