@@ -19,7 +19,8 @@ holds (a row for each file).  A file is written as a stream and appears under
 its name when it is whole; the name is the task attempt's, so a task that runs
 again, or twice at a time, never touches a file that the result names.
 
-Null and empty texts are one end id.
+Null and empty texts are one end id.  Keys are integers: the index holds them as
+64-bit numbers, and a key that does not cast to one stops the job.
 """
 
 from __future__ import annotations

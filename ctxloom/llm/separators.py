@@ -47,6 +47,8 @@ def write_flat(docs: DataFrame, out_dir: str, tokenizer: str, end: int, key: str
         with store.writing(path) as f:
             for b in slices(batches, "_text", 2 << 20):
                 ids, _ = tokens.with_end(*enc.encode(b.column(1)), end)
+                if len(ids) and int(ids.max()) >= 1 << 8 * width:
+                    raise ValueError(f"id {int(ids.max())} does not fit {width} bytes: take a larger width")
                 f.write(ids.astype(f"<u{width}").tobytes())
                 n_bytes += width * len(ids)
                 n, at, key_type = b.num_rows, at + b.num_rows, b.column(0).type

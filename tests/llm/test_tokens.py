@@ -211,3 +211,14 @@ def test_queries_encode_special_strings(spark, tmp_path):
         planes_want.append((k, start, len(ids), crc(ids)))
         start += len(ids)
     assert sorted(map(tuple, QUERIES["op5_plane_files"](spark, str(tmp_path)).collect())) == planes_want
+
+
+def test_flat_files_refuse_ids_wider_than_theirs(spark, tmp_path):
+    import public_tokenizers
+    from ctxloom.llm import separators
+
+    docs = spark.createDataFrame([(1, "many words here")], "doc_id long, text string")
+    with pytest.raises(Exception, match="does not fit 1 bytes"):
+        separators.counts(docs, f"file://{tmp_path}/narrow", public_tokenizers.path("byte_bpe_50k.json"), 50256, width=1).collect()
+    wide = separators.counts(docs, f"file://{tmp_path}/wide", public_tokenizers.path("byte_bpe_50k.json"), 50256, width=4).collect()
+    assert [tuple(r) for r in wide] == [tuple(r) for r in separators.counts(docs, f"file://{tmp_path}/two", public_tokenizers.path("byte_bpe_50k.json"), 50256).collect()]
