@@ -711,8 +711,22 @@ UPDATES_SQL = f"""upd AS (
 SELECT url_key, arg_max(content, (tsec, seq)) AS content, CAST(arg_max(seq, (tsec, seq)) AS BIGINT) AS last_seq, CAST(count(*) AS BIGINT) AS n_versions
 FROM upd GROUP BY url_key""")
 def q_latest_update(spark, sf_dir):
-    """Newest content per URL key by (ts, seq)."""
-    return updates.latest_by_key(views.updates(spark, sf_dir))
+    """Newest content per URL key by (ts, seq) (J7); text is made for the winners only."""
+    rows = updates.latest_rows(views.raw_updates(spark, sf_dir))
+    return updates.latest_content(rows.withColumn("content", views.update_content()), "url_key")
+
+
+@register("repeated_updates", f"""WITH upd AS (
+  SELECT CASE WHEN page_id % 41 <> 0 THEN regexp_extract(url, '{V.SCHEME}([^/?#]*)', 1) END AS url_key, url || ' ' || html AS content,
+         CASE WHEN page_id % 13 <> 0 THEN {V.EPOCH} + page_id * 7919 % 5 END AS tsec, page_id % 50 AS seq,
+         unnest(CASE WHEN page_id % 7 = 0 THEN [0, 0] ELSE [0] END) AS copy
+  FROM pages)
+SELECT url_key, content, CAST(seq AS BIGINT) AS last_seq, n_versions
+FROM (SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY tsec DESC NULLS LAST, seq DESC, content DESC) AS rn,
+             count(*) OVER (PARTITION BY url_key) AS n_versions FROM upd) WHERE rn = 1""")
+def q_repeated_updates(spark, sf_dir):
+    """Newest content per key where records repeat, share numbers and miss keys and times."""
+    return updates.latest_by_key(views.repeated_updates(spark, sf_dir))
 
 
 NEAREST_SQL = f"""{V.PROJECTS},

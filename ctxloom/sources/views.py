@@ -7,7 +7,7 @@ queries in ``ctxloom.plans.registry`` restate in SQL (see FIXTURES.md).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctxloom.constants import FILE_CLASSES, NAMES
@@ -147,19 +147,39 @@ def forgets(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("event_id").alias("seq"))
 
 
-def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page updates keyed by host and full path, two per page: the raw page and
-    its text, with event times that are not in arrival (``seq``) order and whose
-    order within a page varies."""
+    its text (``as_text``), with event times that are not in arrival (``seq``)
+    order and whose order within a page varies."""
     p = table(spark, sf_dir, "pages")
     key = F.regexp_extract("url", URL_SCHEME + r"([^?#]*)", 1)
+    sides = F.array(*[F.struct(F.timestamp_seconds(F.lit(EPOCH_2024) + (F.col("page_id") * step) % 10007).alias("ts"),
+                               (2 * F.col("page_id") + number).alias("seq"), F.lit(bool(number)).alias("as_text"))
+                      for step, number in ((7919, 0), (6007, 1))])
+    return p.select(key.alias("url_key"), "html", F.inline(sides))
+
+
+def update_content() -> Column:
+    """Content of a ``raw_updates`` row."""
+    return F.when(F.col("as_text"), html_to_text(F.col("html"))).otherwise(F.col("html"))
+
+
+def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_updates`` with their content: ``url_key, content, ts, seq``."""
+    return raw_updates(spark, sf_dir).select("url_key", update_content().alias("content"), "ts", "seq")
 
-    def side(content, step: int, number: int) -> DataFrame:
-        return p.select(key.alias("url_key"), content.alias("content"),
-                        F.timestamp_seconds(F.lit(EPOCH_2024) + (F.col("page_id") * step) % 10007).alias("ts"),
-                        (2 * F.col("page_id") + number).alias("seq"))
 
-    return side(F.col("html"), 7919, 0).unionByName(side(html_to_text(F.col("html")), 6007, 1))
+def repeated_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates as an unreliable channel delivers them: keyed by host (none for
+    every 41st page), sequence numbers that pages share, times of which a few
+    are missing, every seventh record delivered twice."""
+    p = table(spark, sf_dir, "pages")
+    k = F.col("page_id")
+    host = F.regexp_extract("url", URL_SCHEME + r"([^/?#]*)", 1)
+    one = p.select(F.when(k % 41 != 0, host).alias("url_key"), F.concat("url", F.lit(" "), F.col("html")).alias("content"),
+                   F.when(k % 13 != 0, F.timestamp_seconds(F.lit(EPOCH_2024) + k * 7919 % 5)).alias("ts"), (k % 50).alias("seq"),
+                   F.array_repeat(F.lit(0), F.when(k % 7 == 0, 2).otherwise(1)).alias("copies"))
+    return one.withColumn("copy", F.explode("copies")).drop("copy", "copies")
 
 
 def folder_actions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ctxloom.constants import MAX_HISTORY
 from ctxloom.functions.tokens import chars_to_tokens, file_tokens
 from ctxloom.operators.history import clean_commands
-from ctxloom.operators.updates import newest, with_content
+from ctxloom.operators import updates
 from ctxloom.session import scratch_path
 
 
@@ -64,12 +64,13 @@ def file_stream(spark: SparkSession, path: str, schema, max_files: int | None =
 
 def latest_content(spark: SparkSession, path: str, schema, key: str = "url_key", max_files: int | None = None) -> DataFrame:
     """Newest content per key by ``(ts, seq)``; arrival order does not
-    matter, so late records cannot overwrite newer ones.  The state is the time
-    and number of the newest update of a key; content is read for the winners."""
+    matter, so late records cannot overwrite newer ones, and a record delivered
+    twice changes nothing but ``n_versions``.  The state is the time and number
+    of the newest update of a key; content is read for the winners."""
     agg = file_stream(spark, path, schema, max_files).groupBy(key).agg(
-        newest().alias("_last"), F.count(F.lit(1)).alias("n_versions"))
+        updates.newest().alias("_last"), F.count(F.lit(1)).alias("n_versions"))
     current = read_latest(spark, run_to_changelog(agg, "latest"), [key])
-    return with_content(current, spark.read.schema(schema).parquet(path), key)
+    return updates.latest_content(updates.with_content(current, spark.read.schema(schema).parquet(path), key), key)
 
 
 def recent_commands(spark: SparkSession, path: str, schema, cap: int = MAX_HISTORY, max_files: int | None = None) -> DataFrame:

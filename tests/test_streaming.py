@@ -35,6 +35,17 @@ def test_latest_update_late_files_first(spark):
                  updates.latest_by_key(upd).select("url_key", "content", "last_seq"))
 
 
+def test_repeated_records_leave_one_newest_row(spark):
+    upd = views.repeated_updates(spark, SF001)
+    want = updates.latest_by_key(upd)
+    path = stage_arrivals(upd, "seq", 3, "t-rep")
+    assert _same(jobs.latest_content(spark, path, upd.schema, max_files=1), want)
+    rows = spark.createDataFrame([("a", "old", 1, 7), ("a", "new", 2, 7), ("a", "new", 2, 7), (None, "x", 1, 1), (None, "y", None, 9), ("b", "p", 3, 3), ("b", "q", 3, 3),
+                                  ("c", None, 1, None)], "k string, content string, t long, seq long")
+    got = updates.latest_by_key(rows.select("k", "content", F.timestamp_seconds("t").alias("ts"), "seq"), "k").collect()
+    assert sorted(map(tuple, got), key=repr) == [("a", "new", 7, 3), ("b", "q", 3, 2), ("c", None, None, 1), (None, "x", 1, 2)]
+
+
 def test_recent_commands_stream_equals_batch(spark):
     h = views.history(spark, SF001)
     path = stage_arrivals(h, "seq", 4, "t-hist")
