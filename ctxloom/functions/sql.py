@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ctxloom import constants as K
-from ctxloom.functions.text import HTML_ENTITIES, HTML_SPACE_STEPS, HTML_STEPS, HTML_TRIM_CHARS, STRIP_LINE_RE
+from ctxloom.functions.text import HTML_C1, HTML_NAMES, HTML_REFERENCE, HTML_SPACE_STEPS, HTML_STEPS, HTML_TRIM_CHARS, STRIP_LINE_RE
 
 
 def sql_str(s: str) -> str:
@@ -33,8 +33,7 @@ def _html_body(width: int = K.WRAP_COLUMNS) -> str:
     out = "html"
     for pat, rep in HTML_STEPS:
         out = f"regexp_replace({out}, {sql_str(pat)}, {sql_str(rep)})"
-    for ent, ch in HTML_ENTITIES:
-        out = f"replace({out}, {sql_str(ent)}, {sql_str(ch)})"
+    out = f"ctx_decode_references({out})"
     for pat, rep in HTML_SPACE_STEPS:
         out = f"regexp_replace({out}, {sql_str(pat)}, {sql_str(rep)})"
     out = f"btrim({out}, {sql_str(HTML_TRIM_CHARS)})"
@@ -42,6 +41,19 @@ def _html_body(width: int = K.WRAP_COLUMNS) -> str:
     return f"regexp_replace({out}, {sql_str(chr(92) + 'n' + chr(92) + 'z')}, '')"
 
 
+def _references_body() -> str:
+    found = (f"transform(split(t, '&', -1), (p, i) -> named_struct('p', p, 'name', CASE WHEN i > 0 THEN regexp_extract(p, {sql_str(HTML_REFERENCE)}, 1) END))")
+    read = (f"transform({found}, x -> named_struct('p', x.p, 'name', x.name, 'n', CAST(CASE WHEN startswith(lower(x.name), '#x') THEN conv(substring(x.name, 3), 16, 10) "
+            "WHEN startswith(x.name, '#') THEN substring(x.name, 2) END AS BIGINT)))")
+    code = ("CASE WHEN x.n = 0 OR x.n > 1114111 OR x.n BETWEEN 55296 AND 57343 THEN 65533 WHEN x.n = 160 THEN 32 "
+            f"WHEN x.n BETWEEN 128 AND 159 THEN get(array({', '.join(map(str, HTML_C1))}), CAST(x.n - 128 AS INT)) ELSE x.n END")
+    names = "map(" + ", ".join(f"{sql_str(k)}, {sql_str(v)}" for k, v in HTML_NAMES.items()) + ")"
+    rest = "substring(x.p, length(x.name) + 2)"
+    return (f"array_join(transform({read}, x -> CASE WHEN x.name IS NULL THEN x.p "
+            f"WHEN x.n IS NOT NULL THEN concat(decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32'), {rest}) "
+            f"ELSE coalesce(concat(try_element_at({names}, x.name), {rest}), concat('&', x.p)) END), '')")
+
+
 def _lines_body(t: str) -> str:
     parts = f"split({t}, {sql_str(chr(13) + '?' + chr(10))}, -1)"
     return (f"CASE WHEN {t} = '' THEN CAST(array() AS ARRAY<STRING>) "
@@ -65,6 +77,7 @@ FUNCTIONS = {
                            f"array_join(filter(transform(split(t, {sql_str(chr(10))}, -1), "
                            f"l -> regexp_replace(regexp_extract(l, {sql_str(STRIP_LINE_RE)}, 0), "
                            f"{sql_str('(?U)' + chr(92) + 's+' + chr(92) + 'z')}, '')), l -> l <> ''), {sql_str(chr(10))})"),
+    "ctx_decode_references": ("t STRING", "STRING", _references_body()),
     "ctx_html_to_text": ("html STRING", "STRING", _html_body()),
     "ctx_lines": ("t STRING", "ARRAY<STRING>", _lines_body("t")),
     "ctx_head_tail": ("t STRING, n INT, m INT", "STRING",

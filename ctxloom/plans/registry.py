@@ -18,7 +18,7 @@ from ctxloom.constants import (FILE_CLASSES, HEAD_LINES, MAX_FILES, MAX_HISTORY,
                                TAG_SYSTEM_CLOSE, TAG_SYSTEM_OPEN, TAIL_LINES)
 from ctxloom.functions.paths import basename, parent_path, segments
 from ctxloom.functions.tokens import file_tokens
-from ctxloom.functions.text import (HTML_BLOCK_TAGS, HTML_ENTITIES, cdata_wrap, file_class, html_to_text,
+from ctxloom.functions.text import (HTML_BLOCK_TAGS, HTML_C1, HTML_NAMES, HTML_REFERENCE, cdata_wrap, decode_references, file_class, html_to_text,
                                     strip_comments)
 from ctxloom.operators import assemble, config, content, estimate, history, lines, scan, select, tree, updates
 from ctxloom.operators.lines import head_tail_text
@@ -107,16 +107,29 @@ def _class_case(name: str) -> str:
     return "CASE " + " ".join(whens) + f" ELSE '{OTHER_CLASS}' END"
 
 
+def _references_sql(x: str) -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    names = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in HTML_NAMES.items()) + "}"
+    name = f"regexp_extract(p, '{HTML_REFERENCE}', 1)"
+    rest = f"substr(p, length({name}) + 2)"
+    n = f"(CASE WHEN lower({name}[1:2]) = '#x' THEN CAST('0x' || {name}[3:] AS BIGINT) ELSE CAST({name}[2:] AS BIGINT) END)"
+    code = (f"(CASE WHEN {n} = 0 OR {n} > 1114111 OR {n} BETWEEN 55296 AND 57343 THEN 65533 WHEN {n} = 160 THEN 32 "
+            f"WHEN {n} BETWEEN 128 AND 159 THEN [{', '.join(map(str, HTML_C1))}][{n} - 127] ELSE {n} END)")
+    part = (f"CASE WHEN i = 1 THEN p WHEN {name}[1:1] = '#' THEN chr(CAST({code} AS INTEGER)) || {rest} "
+            f"ELSE coalesce({names}[{name}] || {rest}, '&' || p) END")
+    return f"array_to_string(list_transform(string_split({x}, '&'), lambda p, i: {part}), '')"
+
+
 def _html_text_sql(x: str, width: int = 80) -> str:
     tag_rest = r"(?:[\t\n\x0B\f\r /][^>]*)?>"
     out = x
     out = f"regexp_replace({out}, '(?s)<!--.*?-->', '', 'g')"
-    out = (f"regexp_replace({out}, '(?is)<(?:script|style|head){tag_rest}.*?</(?:script|style|head)"
-           r"[\t\n\x0B\f\r ]*>', '', 'g')")
+    raw = [rf"<{t}{tag_rest}.*?</{t}[\t\n\x0B\f\r ]*>" for t in ("script", "style", "head")]
+    out = f"regexp_replace({out}, '(?is){raw[0]}|{raw[1]}', '', 'g')"
+    out = f"regexp_replace({out}, '(?is){raw[2]}', '', 'g')"
     out = f"regexp_replace({out}, '(?i)</?(?:{'|'.join(HTML_BLOCK_TAGS)}){tag_rest}', chr(10), 'g')"
     out = f"regexp_replace({out}, '<[^>]*>', '', 'g')"
-    for ent, ch in HTML_ENTITIES:
-        out = f"replace({out}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
+    out = _references_sql(out)
     out = rf"regexp_replace({out}, '[\t\x0B\f\r ]{{2,}}|[\t\x0B\f\r]', ' ', 'g')"
     out = rf"regexp_replace({out}, ' +\n *|\n +', chr(10), 'g')"
     out = rf"regexp_replace({out}, '\n{{2,}}', chr(10), 'g')"
@@ -597,6 +610,20 @@ def q_strip_comments_web(spark, sf_dir):
     return p.select("page_id", strip_comments(F.concat(F.col("url"), F.lit("\n"), F.col("html"))).alias("stripped"))
 
 
+REFERENCE_CASES = ["&#8217;", "&#x2014;", "&#X2014;", "&eacute;", "&Eacute;t&eacute;", "&amp;lt;", "&amp;amp;", "&nosuch;", "&eacute", "&;", "&", "&&lt;&", "&#;",
+                   "&#x;", "&#xZZ;", "&#0;", "&#128;", "&#x9F;", "&#129;", "&#55296;", "&#x10FFFF;", "&#x110000;", "&#999999999;", "&#9999999999;", "&#000000000000065;",
+                   "&#x000000000000041;", "&nbsp;", "&#160;", "&#xA0;", "&apos;&#39;", "&quot;", "a&lt;b&gt;c", "&copy;&middot;", "&thetasym;", "&#128512;", "&#10;"]
+
+
+@register("html_references", f"""SELECT page_id, {_references_sql('t')} AS text FROM (
+  SELECT page_id, [{", ".join("'" + c + "'" for c in REFERENCE_CASES)}][page_id % {len(REFERENCE_CASES)} + 1] || ' ' || html AS t FROM pages)""")
+def q_html_references(spark, sf_dir):
+    """Character references decoded in every page, each with one of the hard cases in front."""
+    cases = F.array(*map(F.lit, REFERENCE_CASES))
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", decode_references(F.concat(F.get(cases, (F.col("page_id") % len(REFERENCE_CASES)).cast("int")), F.lit(" "), F.col("html"))).alias("text"))
+
+
 @register("html_text", f"""SELECT page_id, {_html_text_sql('html')} AS text FROM pages""")
 def q_html_text(spark, sf_dir):
     """HTML to wrapped text for every page."""

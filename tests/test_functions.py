@@ -55,6 +55,23 @@ def test_rust_lines(spark):
         assert list(got) == py_lines(t), repr(t)
 
 
+def test_character_references(spark):
+    import html as std
+
+    from ctxloom.functions.text import decode_references
+    from ctxloom.plans.registry import REFERENCE_CASES
+    # as the standard library reads them, but for: a no-break space, a missing ;, numbers of any length, names of HTML 5
+    want = {c: std.unescape(c).replace("\xa0", " ") for c in REFERENCE_CASES}
+    want |= {c: c for c in ("&eacute", "&#9999999999;", "&#x;", "&#;", "", None)} | {"&#129;": "\x81", "&#x10FFFF;": "\U0010ffff"}
+    df = spark.createDataFrame([(c,) for c in want], "x string")
+    assert {r.x: r.y for r in df.select("x", decode_references(F.col("x")).alias("y")).collect()} == want
+
+
+def test_raw_elements_have_their_own_ends(spark):
+    assert _one(spark, html_to_text, "<html><head><style>p{}</style><title>T</title></head><body>x</body>") == "x"
+    assert _one(spark, html_to_text, "a<script>'</style>'</script>b<style>s</script></style>c") == "abc"
+
+
 def test_html_to_text(spark):
     html = ("<html><head><title>T</title><style>p{}</style></head><body><!-- ad --><nav><ul><li>A</li>"
             "<li>B</li></ul></nav><p>Hello &amp; <b>bye</b>&nbsp;now</p><script>x=1</script>"
