@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctxloom.constants import TOKEN_BUDGET
@@ -14,32 +14,33 @@ def estimate(projects: DataFrame, loaded: DataFrame, instructions: DataFrame | N
     """``2 x P3(instruction) + P4(tree) + sum P2(selected files) + sum P3(included remotes)``.
 
     ``loaded(project_id, rel_path, length, selected)`` is every loaded file;
-    ``remotes(project_id, content, include)``.  Each part is a grouped partial
-    aggregate joined on ``project_id`` (one row per project on every side).
+    ``remotes(project_id, content, include)``; ``projects`` may carry their
+    instruction as ``text``.  All parts are rows of one table
+    (project, its instruction, a file, a page) and one grouped sum by project,
+    with map-side partials; no part is joined to another.
     """
-    sel = F.coalesce(F.col("selected"), F.lit(False))
-    f = loaded.groupBy("project_id").agg(
-        F.sum(F.octet_length("rel_path") + 4).cast("bigint").alias("_tree_chars"),
-        F.sum(F.when(sel, file_tokens(F.col("length"))).otherwise(0)).cast("bigint").alias("file_tokens"))
-    out = projects.select("project_id").join(f, "project_id", "left")
+    zero, number = F.lit(0).cast("bigint"), "bigint"
+    names = ["_known", "_it", "_tree_chars", "file_tokens", "remote_tokens"]
+
+    def part(df: DataFrame, **found: Column) -> DataFrame:
+        return df.select("project_id", *[found.get(n, zero).cast(number).alias(n) for n in names])
+
+    own = {"_it": text_tokens(F.col("text"))} if "text" in projects.columns else {}
+    rows = part(projects, _known=F.lit(1), **own).unionByName(part(
+        loaded, _tree_chars=F.octet_length("rel_path") + 4,
+        file_tokens=F.when(F.coalesce(F.col("selected"), F.lit(False)), file_tokens(F.col("length"))).otherwise(0)))
     if instructions is not None:
-        out = out.join(instructions.select("project_id", text_tokens(F.col("text")).alias("_it")), "project_id", "left")
-    else:
-        out = out.withColumn("_it", F.lit(0).cast("bigint"))
+        rows = rows.unionByName(part(instructions, _it=text_tokens(F.col("text"))))
     if remotes is not None:
-        r = remotes.where(F.col("include")).groupBy("project_id").agg(
-            F.sum(text_tokens(F.col("content"))).cast("bigint").alias("remote_tokens"))
-        out = out.join(r, "project_id", "left")
-    else:
-        out = out.withColumn("remote_tokens", F.lit(0).cast("bigint"))
-    z = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
-    tree = chars_to_tokens(z("_tree_chars") + F.lit(16)) if include_tree else F.lit(0).cast("bigint")
+        rows = rows.unionByName(part(remotes.where(F.col("include")), remote_tokens=text_tokens(F.col("content"))))
+    out = rows.groupBy("project_id").agg(*[F.coalesce(F.sum(n), zero).cast(number).alias(n) for n in names]).where("_known > 0")
+    tree = chars_to_tokens(F.col("_tree_chars") + F.lit(16)) if include_tree else zero
     out = out.select(
         "project_id",
-        z("_it").alias("instruction_tokens"),
+        F.col("_it").alias("instruction_tokens"),
         tree.cast("bigint").alias("tree_tokens"),
-        z("file_tokens").alias("file_tokens"),
-        z("remote_tokens").alias("remote_tokens"))
+        "file_tokens",
+        "remote_tokens")
     total = (F.col("instruction_tokens") * 2 + F.col("tree_tokens") + F.col("file_tokens") + F.col("remote_tokens"))
     return out.withColumn("estimate", total.cast("bigint"))
 

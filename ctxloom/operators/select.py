@@ -3,10 +3,11 @@ selected-file filter (F5)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ctxloom.functions.paths import path_prefixes
+from ctxloom.functions.paths import segments
+from ctxloom.operators.intervals import END, SLASH, in_order, inside, last_set, path_key
 
 
 def carry_over(files: DataFrame, saved: DataFrame) -> DataFrame:
@@ -20,26 +21,49 @@ def carry_over(files: DataFrame, saved: DataFrame) -> DataFrame:
             .withColumn("selected", F.coalesce(F.col("_saved"), F.lit(False))).drop("_saved"))
 
 
-def apply_ticks(files: DataFrame, actions: DataFrame) -> DataFrame:
+def tick_rows(files: DataFrame, actions: DataFrame, saved: DataFrame | None = None) -> DataFrame:
+    """``apply_ticks`` with the rows in path order (``_key``, ``_part``, ``_at``,
+    ``_dirs`` as ``tree.folder_rollup`` takes them)."""
+    def rows(df: DataFrame, path: str, kind: int, seq: Column, value: Column, file: Column) -> DataFrame:
+        return df.select(path_key(F.col("project_id"), segments(F.col(path))).alias("_key"), F.lit(kind).alias("_kind"), seq.cast("bigint").alias("_seq"),
+                         value.alias("_value"), file.alias("_file"))
+
+    file = F.struct(*files.columns)
+    none = F.lit(None).cast(files.select(file.alias("f")).schema["f"].dataType)
+    base = F.coalesce(F.col("selected"), F.lit(False)) if "selected" in files.columns else F.lit(False)
+    every = rows(files, "rel_path", 2, F.lit(0), base, file).unionByName(rows(actions, "folder", 1, F.col("seq"), F.col("value"), none))
+    if saved is not None:
+        seq = F.col("seq") if "seq" in saved.columns else F.lit(0)
+        every = every.unionByName(rows(saved, "rel_path", 0, seq, F.col("selected"), none))
+    every = in_order(every.withColumn("_dirs", F.split(F.element_at(F.split("_key", END, 2), 2), SLASH)), "_kind", "_seq", "_value", label="ticks")
+    depth = F.when(F.endswith("_key", F.lit(END)), 0).otherwise(F.size("_dirs"))
+    deepest = every.where("_kind = 1").agg(F.max(depth)).first()[0]
+    # of each depth the action last seen: open as long as its folder is a prefix
+    ticks = {f"_tick{d}": F.when((F.col("_kind") == 1) & (depth == d), F.struct("_key", "_seq", "_value")) for d in range(0 if deepest is None else deepest + 1)}
+    carried = last_set(every, ticks | {"_saved": F.when(F.col("_kind") == 0, F.struct("_key", "_value"))})
+    carried = carried.where("_kind = 2")
+    value = F.when(F.col("_saved._key") == F.col("_key"), F.coalesce("_saved._value", "_value")).otherwise(F.col("_value"))
+    if ticks:
+        open_ones = F.filter(F.array(*ticks), lambda t: t.isNotNull() & inside(F.col("_key"), t["_key"]))
+        last = F.array_max(F.transform(open_ones, lambda t: F.struct(t["_seq"].alias("seq"), t["_value"].alias("value"))))
+        value = F.coalesce(last["value"], value)
+    kept = [F.col("_file")[c].alias(c) for c in files.columns if c != "selected"]
+    above = F.slice("_dirs", F.lit(1), F.greatest(F.size("_dirs") - 1, F.lit(0)))
+    return carried.select(*kept, value.alias("selected"), "_key", "_part", "_at", above.alias("_dirs"))
+
+
+def apply_ticks(files: DataFrame, actions: DataFrame, saved: DataFrame | None = None) -> DataFrame:
     """Apply folder/file tick actions; the latest action above a file wins.
 
     ``actions(project_id, folder, value, seq)``: ``folder = ''`` is clear-all,
-    a folder path sets everything below it, a file path sets that file.
-    Actions are first reduced to the latest per (project, folder), so a file
-    meets at most one action per prefix.  One explode, one join and one grouped
-    maximum; the root prefix, which every file has, is not exploded: the latest
-    clear-all is one row per project.
+    a folder path sets everything below it, a file path sets that file; of
+    equal ``seq`` a tick wins over an untick.  ``saved`` are earlier ticks to
+    carry over first (J1, as ``carry_over``).  Files, saved ticks and actions
+    are one table in path order; an action is an interval of it, and a file
+    asks the last action of each depth whether it is still open.  Every row of
+    ``files`` comes back, rows that repeat a path each by itself.
     """
-    latest = actions.groupBy("project_id", "folder").agg(F.max(F.struct("seq", "value")).alias("_a"))
-    below = latest.where(F.col("folder") != "")
-    root = latest.where(F.col("folder") == "").select("project_id", F.col("_a").alias("_root"))
-    others = [c for c in files.columns if c not in ("project_id", "rel_path")]
-    steps = F.filter(path_prefixes(F.col("rel_path")), lambda p: p != F.lit(""))
-    hits = (files.select("*", F.explode_outer(steps).alias("folder")).join(below, ["project_id", "folder"], "left")
-            .groupBy("project_id", "rel_path").agg(F.max("_a").alias("_a"), *[F.any_value(c).alias(c) for c in others]))
-    out = hits.join(root, "project_id", "left").withColumn("_a", F.array_max(F.array("_a", "_root")))
-    base = F.coalesce(F.col("selected"), F.lit(False)) if "selected" in files.columns else F.lit(False)
-    return out.withColumn("selected", F.coalesce(F.col("_a.value"), base)).drop("_a", "_root")
+    return tick_rows(files, actions, saved).drop("_key", "_part", "_at", "_dirs")
 
 
 def selected_only(files: DataFrame) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxloom.constants import TREE_BLANK, TREE_BRANCH, TREE_LAST, TREE_PIPE
-from ctxloom.functions.paths import basename, dir_prefixes, root_label, segments
+from ctxloom.functions.paths import basename, root_label, segments
 from ctxloom.functions.tokens import file_tokens
+from ctxloom.operators.intervals import files_in_order, folder_edges
 from ctxloom.session import materialize
 
 
@@ -100,15 +101,16 @@ def render_tree(files: DataFrame, roots: DataFrame | None = None) -> DataFrame:
 
 def folder_rollup(files: DataFrame) -> DataFrame:
     """Per folder (root ``''`` included): files, tokens and selected files below
-    it (A2, A3).  One explode and one grouped sum with map-side partials."""
+    it (A2, A3).
+
+    A folder is an interval of the files in path order: its sums are the running
+    sums where it ends minus those where it begins (``operators.intervals``), so
+    what is grouped is two rows a folder, not a row for each file and folder."""
     sel = F.coalesce(F.col("selected"), F.lit(False)) if "selected" in files.columns else F.lit(False)
     toks = F.col("tokens") if "tokens" in files.columns else file_tokens(F.col("length"))
-    rows = files.select("project_id", toks.alias("_t"), sel.alias("_s"),
-                        F.explode(dir_prefixes(F.col("rel_path"))).alias("folder"))
-    out = rows.groupBy("project_id", "folder").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if("_s").alias("selected"),
-        F.sum("_t").cast("bigint").alias("tokens"))
+    rows = files_in_order(files.withColumn("_t", toks).withColumn("_s", sel.cast("int")))
+    edges = folder_edges(rows, {"total": F.lit(1), "selected": F.col("_s"), "tokens": F.col("_t")})
+    out = edges.groupBy("project_id", "folder").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("total", "selected", "tokens")])
     state = (F.when(F.col("selected") == F.col("total"), F.lit("all"))
              .when(F.col("selected") > 0, F.lit("some")).otherwise(F.lit("none")))
     return out.withColumn("state", state)

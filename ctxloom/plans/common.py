@@ -39,9 +39,12 @@ def docs_loaded(spark: SparkSession, sf_dir: str, limit: int | None = None) -> D
 
 def docs_selected_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loaded docs with their tick state: carried-over selection, then ticks."""
-    loaded = docs_loaded(spark, sf_dir)
-    kept = select.carry_over(loaded, views.selection(spark, sf_dir))
-    return select.apply_ticks(kept, views.folder_actions(spark, sf_dir))
+    return docs_ticked(spark, sf_dir).drop("_key", "_part", "_at", "_dirs")
+
+
+def docs_ticked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, in path order for the rollups."""
+    return select.tick_rows(docs_loaded(spark, sf_dir), views.folder_actions(spark, sf_dir), views.selection(spark, sf_dir))
 
 
 def web_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:

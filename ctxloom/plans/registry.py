@@ -313,7 +313,7 @@ FROM (SELECT *, unnest({V.dir_prefixes('rel_path')}) AS folder FROM ticked)
 GROUP BY project_id, folder""")
 def q_folder_tristate(spark, sf_dir):
     """Per folder: files, ticked files, tokens and the tri-state (A2, A3)."""
-    r = tree.folder_rollup(C.docs_selected_state(spark, sf_dir))
+    r = tree.folder_rollup(C.docs_ticked(spark, sf_dir))
     return r.select("project_id", "folder", "total", "selected", "tokens", "state")
 
 
@@ -574,8 +574,7 @@ est2 AS (SELECT *, CAST(2 * instruction_tokens + tree_tokens + file_tokens + rem
 
 
 def _estimate(spark, sf_dir):
-    return estimate.estimate(views.projects(spark, sf_dir), C.docs_selected_state(spark, sf_dir),
-                             views.instructions(spark, sf_dir), views.remotes(spark, sf_dir))
+    return estimate.estimate(views.instructed_projects(spark, sf_dir), C.docs_selected_state(spark, sf_dir), remotes=views.remotes(spark, sf_dir))
 
 
 @register("estimate_tokens", f"""WITH {ESTIMATE_SQL}

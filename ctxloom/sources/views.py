@@ -86,11 +86,16 @@ def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered_text(spark, sf_dir, 0)
 
 
-def _numbered_text(spark: SparkSession, sf_dir: str, offset: int) -> DataFrame:
+def instructed_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every project with its instruction (null where it has none)."""
+    return _numbered_text(spark, sf_dir, 0, "left")
+
+
+def _numbered_text(spark: SparkSession, sf_dir: str, offset: int, how: str = "inner") -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     n_items = b.select(F.count(F.lit(1))).scalar()          # scalar subquery, no join
     p = projects(spark, sf_dir).withColumn("item_id", F.pmod(F.col("k") + F.lit(offset), n_items))
-    return p.join(b, "item_id").select("project_id", "text")
+    return p.join(b, "item_id", how).select("project_id", "text")
 
 
 def config_layers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,10 @@
 import re
 
 import __spark_entry__ as E
+import pytest
 from ctxloom.constants import TAG_SYSTEM_OPEN
 from ctxloom.plans.registry import QUERIES
+from ctxloom.session import materialize
 from tests.conftest import SF001
 
 
@@ -30,6 +32,24 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture
+def plans_of(spark, monkeypatch):
+    """Plans of a query and of every table that it writes on the way."""
+    from ctxloom.operators import intervals
+
+    def all_plans(name):
+        written = []
+
+        def noted(df, label):
+            written.append(_plan(df))
+            return materialize(df, label)
+
+        monkeypatch.setattr(intervals, "materialize", noted)
+        last = _plan(E.queries()[name](spark, SF001))
+        return "\n".join([*written, last])
+    return all_plans
+
+
 def test_metadata_queries_do_not_read_text(spark):
     for name in ["scan_stats", "tree_nodes", "nearest_rules", "recent_commands"]:
         plan = _plan(E.queries()[name](spark, SF001))
@@ -52,9 +72,9 @@ def test_pushdown_and_pruning(spark):
     assert "value" not in re.findall(r"FileScan parquet \[([^\]]*)\]", plan)[0]
 
 
-def test_group_limit_applies_at_the_default(spark):
+def test_group_limit_applies_at_the_default(plans_of):
     for name in ["loaded_files", "folder_select", "folder_tristate"]:
-        assert "WindowGroupLimit" in _plan(E.queries()[name](spark, SF001)), name
+        assert "WindowGroupLimit" in plans_of(name), name
 
 
 def test_latest_update_state_is_narrow(spark):
@@ -66,6 +86,13 @@ def test_head_tail_lines_needs_no_shuffle(spark):
     assert "Exchange" not in plan and "Join" not in plan
 
 
-def test_estimate_shuffles(spark):
-    df = E.queries()["estimate_tokens"](spark, SF001)
-    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 14
+def test_estimate_shuffles(plans_of):
+    plan = plans_of("estimate_tokens")
+    assert plan.count("Exchange hashpartitioning") <= 6 and plan.count("Exchange rangepartitioning") == 1
+    assert "explode" not in plan.lower() and "Generate" not in plan
+
+
+def test_folders_are_intervals_not_spelled_out(plans_of):
+    for name in ["folder_select", "selected_files"]:
+        assert "Generate" not in plans_of(name), name
+    assert plans_of("folder_tristate").count("Generate") == 1  # where folders begin and end
