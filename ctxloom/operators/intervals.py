@@ -18,9 +18,8 @@ So a project of any size is spread over as many parts as it fills.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from ctxloom.functions.paths import segments
 from ctxloom.session import materialize
@@ -28,16 +27,10 @@ from ctxloom.session import materialize
 #: Ends the project in a key; stands for the slash behind a folder.
 END, SLASH = "\x00", "\x01"
 
-
-def _within(end: int | None = None) -> WindowSpec:
-    """A part's rows in order: all up to the row (``end`` 0), or before it (-1)."""
-    w = Window.partitionBy("_part").orderBy("_at")
-    return w if end is None else w.rowsBetween(Window.unboundedPreceding, end)
-
-
-def _parts_before() -> WindowSpec:
-    """The parts before one, over one row a part."""
-    return Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+#: A part's rows up to one, or before it; the parts before one, over one row a part.
+_UP_TO = "OVER (PARTITION BY _part ORDER BY _at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_BEFORE = "OVER (PARTITION BY _part ORDER BY _at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_PARTS_BEFORE = "OVER (ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
 def path_key(project: Column, segs: Column) -> Column:
@@ -45,10 +38,9 @@ def path_key(project: Column, segs: Column) -> Column:
     return F.concat(F.coalesce(project.cast("string"), F.lit("")), F.lit(END), F.array_join(segs, SLASH))
 
 
-def inside(key: Column, folder: Column) -> Column:
-    """``key`` is the folder, or a path below it."""
-    rest = F.substring(key, F.length(folder) + 1, F.lit(1))
-    return F.startswith(key, folder) & ((rest == F.lit("")) | (rest == F.lit(SLASH)) | F.endswith(folder, F.lit(END)))
+def inside(key: str, folder: str) -> str:
+    """SQL text: ``key`` is the folder, or a path below it."""
+    return f"(startswith({key}, {folder}) AND (substring({key}, length({folder}) + 1, 1) IN ('', '{SLASH}') OR endswith({folder}, '{END}')))"
 
 
 def in_order(rows: DataFrame, *then: str, label: str = "path-order") -> DataFrame:
@@ -59,61 +51,54 @@ def in_order(rows: DataFrame, *then: str, label: str = "path-order") -> DataFram
                        .withColumn("_part", F.shiftright("_at", 33)), label)
 
 
-def last_set(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """Each value as it was last set (not null) at or before a row, over all parts."""
-    ends = rows.groupBy("_part").agg(*[F.max_by(v, F.when(v.isNotNull(), F.col("_at"))).alias(n) for n, v in values.items()])
-    before = ends.select("_part", *[F.last(n, ignorenulls=True).over(_parts_before()).alias("_in" + n) for n in values])
-    out = rows.withColumns({n: F.last(v, ignorenulls=True).over(_within(0)) for n, v in values.items()})
-    out = out.join(before, "_part").withColumns({n: F.coalesce(n, "_in" + n) for n in values})
-    return out.drop(*["_in" + n for n in values])
-
-
-def running(rows: DataFrame, sums: dict[str, Column], row: Column) -> DataFrame:
-    """With the sums over all rows before a row (``_<name>``), the row before it
-    (``_prev``, null at the start) and whether it is the last one (``_final``)."""
-    parts = rows.groupBy("_part").agg(*[F.sum(v).alias(n) for n, v in sums.items()], F.max_by(row, "_at").alias("_tail"), F.max("_at").alias("_end"))
-    before = parts.select("_part", *[F.coalesce(F.sum(n).over(_parts_before()), F.lit(0)).alias("_in" + n) for n in sums],
-                          F.last("_tail").over(_parts_before()).alias("_intail"), (F.max("_end").over(Window.partitionBy(F.lit(0))) == F.col("_end")).alias("_lastpart"), "_end")
-    out = rows.withColumns({"_" + n: F.sum(v).over(_within(-1)) for n, v in sums.items()} | {"_prev": F.lag(row).over(_within())})
-    out = out.join(before, "_part").withColumns({"_" + n: F.coalesce(F.col("_" + n), F.lit(0)) + F.col("_in" + n) for n in sums})
-    out = out.withColumn("_prev", F.coalesce("_prev", "_intail")).withColumn("_final", F.col("_lastpart") & (F.col("_at") == F.col("_end")))
-    return out.drop(*["_in" + n for n in sums], "_intail", "_lastpart", "_end")
+def last_set(rows: DataFrame, values: dict[str, str]) -> DataFrame:
+    """Each value (SQL text) as it was last set (not null) at or before a row, over all parts."""
+    if not values:
+        return rows
+    ends = rows.groupBy("_part").agg(*[F.expr(f"max_by({v}, CASE WHEN {v} IS NOT NULL THEN _at END) AS {n}") for n, v in values.items()])
+    before = ends.selectExpr("_part", *[f"last({n}, true) {_PARTS_BEFORE} AS _in{n}" for n in values])
+    out = rows.selectExpr("*", *[f"last({v}, true) {_UP_TO} AS {n}" for n, v in values.items()]).join(before, "_part")
+    return out.selectExpr(*rows.columns, *[f"coalesce({n}, _in{n}) AS {n}" for n in values])
 
 
-def _shared(a: Column, b: Column) -> Column:
-    """Number of leading folders that two arrays of segments share."""
-    return F.size(F.filter(F.sequence(F.lit(1), F.least(F.size(a), F.size(b))), lambda i: (i > 0) & (F.slice(a, F.lit(1), i) == F.slice(b, F.lit(1), i))))
+def running(rows: DataFrame, sums: list[str], tail: list[str]) -> DataFrame:
+    """With the sums of columns over all rows before a row (``_<name>``), the
+    ``tail`` columns of the row before it (struct ``_prev``, null at the start)
+    and whether it is the last row of all (``_final``)."""
+    row = f"struct({', '.join(tail)})"
+    parts = rows.groupBy("_part").agg(*[F.expr(f"sum({n}) AS {n}") for n in sums], F.expr(f"max_by({row}, _at) AS _tail"), F.expr("max(_at) AS _end"))
+    before = parts.selectExpr("_part", *[f"coalesce(sum({n}) {_PARTS_BEFORE}, 0) AS _in_{n}" for n in sums], f"last(_tail) {_PARTS_BEFORE} AS _intail",
+                              "lead(1) OVER (ORDER BY _part) IS NULL AS _lastpart", "_end")
+    out = rows.selectExpr("*", *[f"sum({n}) {_BEFORE} AS _own_{n}" for n in sums], f"lag({row}) OVER (PARTITION BY _part ORDER BY _at) AS _lag").join(before, "_part")
+    return out.selectExpr(*rows.columns, *[f"coalesce(_own_{n}, 0) + _in_{n} AS _{n}" for n in sums], "coalesce(_lag, _intail) AS _prev", "_lastpart AND _at = _end AS _final")
 
 
-def folder_edges(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
+def folder_edges(rows: DataFrame, sums: list[str]) -> DataFrame:
     """One row where a folder begins and one where it ends: ``project_id, folder,
     depth, begins`` and each sum over the rows before, negative at the beginning.
 
     ``rows`` in order with ``project_id`` and ``_dirs`` (the folders above a row)."""
-    row = F.struct(F.col("project_id").alias("project"), F.col("_dirs").alias("dirs"))
-    r = running(rows, sums, row)
-    same = F.col("_prev").isNotNull() & F.col("_prev.project").eqNullSafe(F.col("project_id"))
+    shared = ("size(filter(sequence(1, least(size(_dirs), size(_prev._dirs))), i -> slice(_dirs, 1, i) = slice(_prev._dirs, 1, i)))")
     # folders down to this depth (0 is the root) go on; -1: none does
-    r = r.withColumn("_on", F.when(same, F.when((F.size("_dirs") == 0) | (F.size("_prev.dirs") == 0), 0).otherwise(_shared(F.col("_dirs"), F.col("_prev.dirs")))).otherwise(-1))
+    on = (f"CASE WHEN _prev IS NULL OR NOT (_prev.project_id <=> project_id) THEN -1 WHEN size(_dirs) = 0 OR size(_prev._dirs) = 0 THEN 0 ELSE {shared} END AS _on")
 
-    def edges(project: Column, dirs: Column, lowest: Column, sign: int, own: bool) -> Column:
-        depths = F.filter(F.sequence(F.lit(0), F.size(dirs)), lambda d: d > lowest)
-        return F.transform(depths, lambda d: F.struct(
-            project.alias("project_id"), F.array_join(F.slice(dirs, F.lit(1), d), "/").alias("folder"), d.alias("depth"), F.lit(sign < 0).alias("begins"),
-            *[(F.lit(sign) * (F.col("_" + n) + (F.coalesce(v, F.lit(0)) if own else F.lit(0)))).cast("bigint").alias(n) for n, v in sums.items()]))
+    def edges(project: str, dirs: str, lowest: str, begins: bool, own: bool = False) -> str:
+        values = ", ".join(f"'{n}', CAST({'-' if begins else ''}(_{n}{f' + coalesce({n}, 0)' if own else ''}) AS BIGINT)" for n in sums)
+        return (f"transform(filter(sequence(0, size({dirs})), d -> d > {lowest}), d -> named_struct('project_id', {project}, "
+                f"'folder', array_join(slice({dirs}, 1, d), '/'), 'depth', d, 'begins', {begins}, {values}))")
 
-    kind = F.array().cast(r.select(edges(F.col("project_id"), F.col("_dirs"), F.col("_on"), -1, False).alias("e")).schema["e"].dataType)
-    begin = edges(F.col("project_id"), F.col("_dirs"), F.col("_on"), -1, False)
-    end = F.when(F.col("_prev").isNotNull(), edges(F.col("_prev.project"), F.col("_prev.dirs"), F.col("_on"), 1, False)).otherwise(kind)
-    close = F.when(F.col("_final"), edges(F.col("project_id"), F.col("_dirs"), F.lit(-1), 1, True)).otherwise(kind)
-    return r.select(F.inline(F.concat(begin, end, close)))
+    end = edges("_prev.project_id", "_prev._dirs", "_on", False)
+    close = edges("project_id", "_dirs", "-1", False, own=True)
+    return (running(rows, sums, ["project_id", "_dirs"]).selectExpr("*", on)
+            .selectExpr(f"inline(concat({edges('project_id', '_dirs', '_on', True)}, CASE WHEN _prev IS NOT NULL THEN {end} ELSE array() END, "
+                        f"CASE WHEN _final THEN {close} ELSE array() END))"))
 
 
 def files_in_order(files: DataFrame) -> DataFrame:
     """Files by path, with ``_dirs``; files that are in order already stay so."""
     if {"_key", "_part", "_at", "_dirs"} <= set(files.columns):
         return files
-    segs = segments(F.col("rel_path"))
-    keyed = files.withColumn("_segs", segs).withColumn("_key", path_key(F.col("project_id"), F.col("_segs"))).withColumn(
-        "_dirs", F.slice("_segs", F.lit(1), F.greatest(F.size("_segs") - 1, F.lit(0))))
-    return in_order(keyed.drop("_segs"), "rel_path")
+    segs = F.col("_segs")
+    dirs = F.slice(segs, F.lit(1), F.greatest(F.size(segs) - 1, F.lit(0)))
+    keyed = files.withColumn("_segs", segments(F.col("rel_path"))).select(*files.columns, path_key(F.col("project_id"), segs).alias("_key"), dirs.alias("_dirs"))
+    return in_order(keyed, "rel_path")

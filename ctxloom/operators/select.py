@@ -36,20 +36,17 @@ def tick_rows(files: DataFrame, actions: DataFrame, saved: DataFrame | None = No
         seq = F.col("seq") if "seq" in saved.columns else F.lit(0)
         every = every.unionByName(rows(saved, "rel_path", 0, seq, F.col("selected"), none))
     every = in_order(every.withColumn("_dirs", F.split(F.element_at(F.split("_key", END, 2), 2), SLASH)), "_kind", "_seq", "_value", label="ticks")
-    depth = F.when(F.endswith("_key", F.lit(END)), 0).otherwise(F.size("_dirs"))
-    deepest = every.where("_kind = 1").agg(F.max(depth)).first()[0]
+    depth = f"CASE WHEN endswith(_key, '{END}') THEN 0 ELSE size(_dirs) END"
+    deepest = every.where("_kind = 1").selectExpr(f"max({depth})").first()[0]
     # of each depth the action last seen: open as long as its folder is a prefix
-    ticks = {f"_tick{d}": F.when((F.col("_kind") == 1) & (depth == d), F.struct("_key", "_seq", "_value")) for d in range(0 if deepest is None else deepest + 1)}
-    carried = last_set(every, ticks | {"_saved": F.when(F.col("_kind") == 0, F.struct("_key", "_value"))})
-    carried = carried.where("_kind = 2")
-    value = F.when(F.col("_saved._key") == F.col("_key"), F.coalesce("_saved._value", "_value")).otherwise(F.col("_value"))
+    ticks = {f"_tick{d}": f"CASE WHEN _kind = 1 AND {depth} = {d} THEN struct(_key, _seq, _value) END" for d in range(0 if deepest is None else deepest + 1)}
+    carried = last_set(every, ticks | ({} if saved is None else {"_saved": "CASE WHEN _kind = 0 THEN struct(_key, _value) END"})).where("_kind = 2")
+    value = "_value" if saved is None else "CASE WHEN _saved._key = _key THEN coalesce(_saved._value, _value) ELSE _value END"
     if ticks:
-        open_ones = F.filter(F.array(*ticks), lambda t: t.isNotNull() & inside(F.col("_key"), t["_key"]))
-        last = F.array_max(F.transform(open_ones, lambda t: F.struct(t["_seq"].alias("seq"), t["_value"].alias("value"))))
-        value = F.coalesce(last["value"], value)
+        still = f"t -> t IS NOT NULL AND {inside('_key', 't._key')}"
+        value = f"coalesce(array_max(transform(filter(array({', '.join(ticks)}), {still}), t -> struct(t._seq, t._value)))._value, {value})"
     kept = [F.col("_file")[c].alias(c) for c in files.columns if c != "selected"]
-    above = F.slice("_dirs", F.lit(1), F.greatest(F.size("_dirs") - 1, F.lit(0)))
-    return carried.select(*kept, value.alias("selected"), "_key", "_part", "_at", above.alias("_dirs"))
+    return carried.select(*kept, F.expr(value).alias("selected"), "_key", "_part", "_at", F.expr("slice(_dirs, 1, greatest(size(_dirs) - 1, 0))").alias("_dirs"))
 
 
 def apply_ticks(files: DataFrame, actions: DataFrame, saved: DataFrame | None = None) -> DataFrame:

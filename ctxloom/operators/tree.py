@@ -108,8 +108,9 @@ def folder_rollup(files: DataFrame) -> DataFrame:
     what is grouped is two rows a folder, not a row for each file and folder."""
     sel = F.coalesce(F.col("selected"), F.lit(False)) if "selected" in files.columns else F.lit(False)
     toks = F.col("tokens") if "tokens" in files.columns else file_tokens(F.col("length"))
-    rows = files_in_order(files.withColumn("_t", toks).withColumn("_s", sel.cast("int")))
-    edges = folder_edges(rows, {"total": F.lit(1), "selected": F.col("_s"), "tokens": F.col("_t")})
+    own = [c for c in ("_key", "_part", "_at", "_dirs") if c in files.columns]
+    rows = files_in_order(files.select("project_id", "rel_path", *own, F.lit(1).alias("total"), sel.cast("int").alias("selected"), toks.alias("tokens")))
+    edges = folder_edges(rows, ["total", "selected", "tokens"])
     out = edges.groupBy("project_id", "folder").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("total", "selected", "tokens")])
     state = (F.when(F.col("selected") == F.col("total"), F.lit("all"))
              .when(F.col("selected") > 0, F.lit("some")).otherwise(F.lit("none")))

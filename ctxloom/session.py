@@ -76,7 +76,7 @@ def materialize(df, label: str):
     spark = df.sparkSession
     path = scratch_path(spark, "tables", f"{label}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # its schema is known: no job to look for it
 
 
 def ship_package(spark: SparkSession) -> None:

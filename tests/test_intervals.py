@@ -84,10 +84,10 @@ def test_rollup_matches_a_plain_loop(spark, many_parts):
 def test_a_hot_project_is_spread_and_a_folder_is_two_rows(spark, many_parts):
     hot = spark.range(20_000).selectExpr("'hot' AS project_id", "concat('d', id % 3, '/deep/er/still/e', id % 50, '/f', id) AS rel_path", "id % 7 AS length")
     cold = spark.range(400).selectExpr("concat('c', id % 20) AS project_id", "concat('x/f', id) AS rel_path", "id AS length")
-    ordered = intervals.files_in_order(hot.unionByName(cold).withColumn("_s", F.lit(0)))
+    ordered = intervals.files_in_order(hot.unionByName(cold).withColumn("total", F.lit(1)))
     sizes = [r["count"] for r in ordered.groupBy("_part").count().collect()]
     assert len(sizes) >= 10 and max(sizes) <= 2 * sum(sizes) / len(sizes) + 400
-    edges = intervals.folder_edges(ordered, {"total": F.lit(1)})
+    edges = intervals.folder_edges(ordered, ["total"])
     folders = 1 + 3 * 4 + 150 + 20 * 2
     assert edges.count() == 2 * folders  # not files times depth
     totals = {(r.project_id, r.folder): r.total for r in edges.groupBy("project_id", "folder").agg(F.sum("total").alias("total")).collect()}
