@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType, TimestampType
 
 from ctxloom.constants import MAX_HISTORY
 from ctxloom.functions.text import trim_unicode
-from ctxloom.session import materialize
+from ctxloom.operators.edit_scripts import edits, scripts
 
 
 def clean_commands(history: DataFrame) -> DataFrame:
@@ -23,70 +24,32 @@ def latest_uses(history: DataFrame) -> DataFrame:
         F.max(F.struct("ts", "seq")).alias("last"))
 
 
-def forget(uses: DataFrame, forgets: DataFrame | None) -> DataFrame:
-    """Drop entries forgotten after their last use.
-
-    ``forgets(user_id, command, ts, seq)``; ``command`` null = clear all.
-    """
-    if forgets is None:
-        return uses
-    f = forgets.withColumn("command", F.when(F.col("command").isNotNull(), trim_unicode(F.col("command"))))
-    one = f.where(F.col("command").isNotNull()).groupBy("user_id", "command").agg(
-        F.max(F.struct("ts", "seq")).alias("_f1"))
-    every = f.where(F.col("command").isNull()).groupBy("user_id").agg(F.max(F.struct("ts", "seq")).alias("_f2"))
-    out = uses.join(one, ["user_id", "command"], "left").join(every, "user_id", "left")
-    keep = ((F.col("_f1").isNull() | (F.col("last") > F.col("_f1")))
-            & (F.col("_f2").isNull() | (F.col("last") > F.col("_f2"))))
-    return out.where(keep).drop("_f1", "_f2")
-
-
 def _ranked(uses: DataFrame, cap: int) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy(F.col("last").desc())
+    """Newest first; of equal (ts, seq) the larger command, as the edits in order leave them."""
+    w = Window.partitionBy("user_id").orderBy(F.col("last").desc(), F.col("command").desc())
     return uses.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
 
 
-def evicted(live: DataFrame, uses: DataFrame, history: DataFrame, forgets: DataFrame, cap: int) -> DataFrame:
-    """Of the ranked ``live`` rows (``uses`` without forgotten ones), those that the cap had pushed out before a
-    later forget made room (an entry that fell off the list never comes back).
-
-    After an entry's last use, the entries in front of it are the other commands
-    used since and not forgotten since: +1 when a command that is not in front is
-    used, -1 when one in front is forgotten.  The entry is gone once that count
-    reaches the cap.  The count never exceeds the number of commands used since,
-    so only entries outside the first ``cap`` of all uses can be gone: those that
-    forgets moved up.  They are looked at against the later events of their user,
-    as joins and running sums.
-    """
-    f = forgets.where(F.col("command").isNotNull()).select("user_id", trim_unicode(F.col("command")).alias("command"), F.struct("ts", "seq").alias("at"), F.lit(-1).alias("step"))
-    e = clean_commands(history).select("user_id", "command", F.struct("ts", "seq").alias("at"), F.lit(1).alias("step")).unionByName(f)
-    first = _ranked(uses, cap).select("user_id", "command")
-    entry = live.join(first, ["user_id", "command"], "left_anti").select("user_id", F.col("command").alias("_own"), "last")
-    later = entry.join(e, "user_id").where((F.col("at") > F.col("last")) & (F.col("command") != F.col("_own")))
-    own = Window.partitionBy("user_id", "_own", "command").orderBy("at")
-    before = F.coalesce(F.lag("step").over(own), F.lit(-1))
-    change = later.withColumn("_d", F.when(F.col("step") != before, F.col("step")).otherwise(0))
-    run = F.sum("_d").over(Window.partitionBy("user_id", "_own").orderBy("at"))
-    return (change.where("_d <> 0").withColumn("_n", run).where(F.col("_n") >= cap)
-            .select("user_id", F.col("_own").alias("command")).distinct())
-
-
 def recent_commands(history: DataFrame, cap: int = MAX_HISTORY, forgets: DataFrame | None = None) -> DataFrame:
     """MRU list per user: move to front, no duplicates, at most ``cap`` (L4);
     with ``forgets`` exactly the list that the edits in event order leave (J6).
 
-    ``rank`` 1 is the most recent.  ``row_number() <= cap`` lets Spark cut each
+    ``forgets(user_id, command, ts, seq)``: ``command`` null clears the list.
+    Edits are reduced to scripts that compose (``operators.edit_scripts``), so a
+    user's events are spread over tasks like any others.
+
+    ``rank`` 1 is the most recent.  Without forgets ``row_number() <= cap`` lets Spark cut each
     user to ``cap`` rows per task before the window shuffle, so a user with a
     third of all rows costs ``cap`` rows per map task.
     """
-    uses = latest_uses(history)
-    if forgets is None:
-        ranked = _ranked(uses, cap)
-    else:  # both are read by several branches: written once
-        uses = materialize(uses, "last-uses")
-        live = materialize(_ranked(forget(uses, forgets), cap), "live-commands")
-        ranked = _ranked(live.join(evicted(live, uses, history, forgets, cap), ["user_id", "command"], "left_anti"), cap)
-    return ranked.select("user_id", "rank", "command", F.col("last.ts").alias("last_ts"),
-                         F.col("last.seq").alias("last_seq"))
+    if forgets is not None:
+        lists = scripts(edits(history, forgets), cap).select("user_id", F.posexplode("front").alias("rank", "_e"))
+        kind = history.schema["ts"].dataType
+        ts = (F.timestamp_micros("_e.ts") if isinstance(kind, (TimestampType, TimestampNTZType)) else F.col("_e.ts")).cast(kind)
+        return lists.select("user_id", (F.col("rank") + 1).cast("int").alias("rank"), "_e.command", ts.alias("last_ts"),
+                            F.col("_e.seq").cast(history.schema["seq"].dataType).alias("last_seq"))
+    return _ranked(latest_uses(history), cap).select("user_id", "rank", "command", F.col("last.ts").alias("last_ts"),
+                                                     F.col("last.seq").alias("last_seq"))
 
 
 def history_json(recent: DataFrame, cap: int = MAX_HISTORY) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ctxloom.constants import MAX_HISTORY
@@ -48,9 +48,10 @@ def compact(spark: SparkSession, log: str, keys: list[str], out: str) -> str:
     return out
 
 
-def read_latest(spark: SparkSession, log: str, keys: list[str]) -> DataFrame:
-    """Current result: per key the row of the latest epoch (one grouped pass)."""
-    ch = spark.read.parquet(log)
+def read_latest(spark: SparkSession, log: str, keys: list[str], schema: str | None = None, epochs: Column | None = None) -> DataFrame:
+    """Current result: per key the row of the latest epoch (one grouped pass), of some ``epochs`` only if told."""
+    ch = spark.read.schema(f"{schema}, epoch int").parquet(log) if schema else spark.read.parquet(log)
+    ch = ch if epochs is None else ch.where(epochs)
     values = [c for c in ch.columns if c not in keys and c != "epoch"]
     latest = ch.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col("epoch")).alias("_v"))
     return latest.select(*keys, *[F.col("_v")[c].alias(c) for c in values])
@@ -80,7 +81,7 @@ def recent_commands(spark: SparkSession, path: str, schema, cap: int = MAX_HISTO
     s = clean_commands(file_stream(spark, path, schema, max_files))
     agg = s.groupBy("user_id", "command").agg(F.max(F.struct("ts", "seq")).alias("last"))
     current = read_latest(spark, run_to_changelog(agg, "history"), ["user_id", "command"])
-    w = Window.partitionBy("user_id").orderBy(F.col("last").desc())
+    w = Window.partitionBy("user_id").orderBy(F.col("last").desc(), F.col("command").desc())
     r = current.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
     return r.select("user_id", "rank", "command", F.col("last.seq").alias("last_seq"))
 
