@@ -3,7 +3,7 @@
 * ``list_files`` / ``file_catalogue``: every file, folder and link below project
   folders, listed by tasks level by level (Spark's own file listing skips names
   starting with ``.`` or ``_`` and follows links).  Sizes only; no file is opened.
-* ``read_capped``: head and tail of files, read by seek.
+* ``read_capped``: head and tail of files, read by seek; tasks and batches are planned by bytes.
 * ``read_small_files``: the tool's own files (rules, configuration, history; see
   ``constants.DiskNames``): candidate paths are a DataFrame and each task reads
   its share with ``pyarrow.fs`` (local, HDFS, S3, GCS URIs).  Missing files give
@@ -16,12 +16,16 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctxloom.constants import MAX_PER_FILE_BYTES, NAMES, SNIFF_BYTES, DiskNames
+from ctxloom.operators.intervals import in_order, running
 from ctxloom.session import materialize, ship_package
 
+#: Bytes that a task reads, that it hands on at a time, that opening a file counts as, and rows of a listing handed on.
+TASK_BYTES, BATCH_BYTES, OPEN_BYTES, LISTING_ROWS = 256 << 20, 64 << 20, 4 << 10, 10_000
 SMALL_FILE_SCHEMA = "path string, exists boolean, content binary"
 
 
@@ -50,17 +54,20 @@ def _list_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if i.type in (pafs.FileType.File, pafs.FileType.Directory):
                 yield i.base_name, i.size or 0, i.type == pafs.FileType.Directory, False
 
+    columns, rows = ["project_id", "root", "rel_path", "length", "is_dir", "is_symlink"], []
     for pdf in batches:
-        rows = []
         for project, root, folder in zip(pdf["project_id"], pdf["root"], pdf["rel_path"]):
             where = _strip_scheme(root).rstrip("/") + ("/" + folder if folder else "")
             where = where.removeprefix("file://") if where.startswith("file:///") else where
             try:
                 for name, size, is_dir, link in (remote if "://" in where else local)(where or "/"):
                     rows.append((project, root, f"{folder}/{name}" if folder else name, size, is_dir, link))
+                    if len(rows) >= LISTING_ROWS:  # a folder of any size is handed on in pieces
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
             except OSError:
                 continue
-        yield pd.DataFrame(rows, columns=["project_id", "root", "rel_path", "length", "is_dir", "is_symlink"])
+    yield pd.DataFrame(rows, columns=columns)
 
 
 def list_roots(spark: SparkSession, base: str) -> DataFrame:
@@ -123,45 +130,99 @@ def file_catalogue(spark: SparkSession, base: str, rules=None) -> DataFrame:
     return below.select(*columns).unionByName(own.select(*columns))
 
 
-def read_capped(files: DataFrame, cap: int = MAX_PER_FILE_BYTES) -> DataFrame:
-    """``files`` (with ``path``) and ``content``: the bytes that a document shows,
-    read by seek.  A file over the cap is read at its head and tail only; its
-    content is head + tail with ``n_bytes`` its size, for ``capped_read_text``.
-    Missing or unreadable files have null content."""
+def plan_reads(files: DataFrame, cap: int = MAX_PER_FILE_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``files`` in path order, dealt so that a task reads about ``task_bytes``.
+
+    What a file costs is its listed ``length`` up to the cap (the cap where the
+    length is not known) and a little for opening it; the running cost over the
+    listing says which task reads it.  One project of any size is read by as
+    many tasks as it needs, and small ones share a task."""
+    length = F.coalesce(F.col("length"), F.lit(cap)) if "length" in files.columns else F.lit(cap)
+    cost = (F.least(F.greatest(length, F.lit(0)), F.lit(cap)) + OPEN_BYTES).cast("bigint")
+    ordered = in_order(files.withColumn("_key", F.coalesce("path", F.lit(""))).withColumn("_cost", cost), label="reads")
+    dealt = running(ordered, ["_cost"], ["path"]).withColumn("_task", F.expr(f"CAST(__cost div {task_bytes} AS INT)"))
+    last = ordered.agg(F.sum("_cost")).first()[0]
+    return dealt.repartitionById(1 if last is None else int(last // task_bytes) + 1, F.col("_task")).select(*files.columns)
+
+
+def _capped(path: str | None, cap: int):
+    """(size, a function that reads what is shown) of a file, or (None, None)."""
+    from pyarrow import fs as pafs
+
+    try:
+        p = _strip_scheme(path or "")
+        filesystem, place = pafs.FileSystem.from_uri(p) if "://" in p else (pafs.LocalFileSystem(), p)
+        f = filesystem.open_input_file(place)
+        n = f.size()
+    except (OSError, ValueError):
+        return None, None
+
+    def read() -> bytes | None:
+        try:
+            with f:
+                if n <= cap:
+                    return f.read()
+                first = f.read(max(cap // 2, min(SNIFF_BYTES, n)))
+                if b"\0" not in first[:SNIFF_BYTES] and cap // 2:
+                    f.seek(n - cap // 2)
+                    first += f.read(cap // 2)
+                return first
+        except (OSError, ValueError):
+            return None
+    return n, read
+
+
+def _read_capped_batches(batches: Iterator[pa.RecordBatch], at: int, cap: int, batch_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows with ``n_bytes`` and ``content``; a batch ends before its contents
+    would pass ``batch_bytes`` (one larger file is a batch of its own)."""
+    for b in batches:
+        paths, start, held, sizes, total = b.column(at).to_pylist(), 0, [], [], 0
+
+        def out(end: int) -> pa.RecordBatch:
+            own = b.slice(start, end - start)
+            return pa.RecordBatch.from_arrays([*own.columns, pa.array(sizes, pa.int64()), pa.array(held, pa.binary())], [*b.schema.names, "n_bytes", "content"])
+
+        for i, path in enumerate(paths):
+            n, read = _capped(path, cap)
+            most = 0 if n is None else min(n, max(cap, SNIFF_BYTES))
+            if held and total + most > batch_bytes:
+                yield out(i)
+                start, held, sizes, total = i, [], [], 0
+            data = read() if read else None
+            held.append(data)
+            sizes.append(None if data is None else n)
+            total += len(data or b"")
+        if held:
+            yield out(len(paths))
+
+
+def read_capped(files: DataFrame, cap: int = MAX_PER_FILE_BYTES, task_bytes: int = TASK_BYTES, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """``files`` (with ``path``, and ``length`` if the listing has it), ``n_bytes``
+    and ``content``: the bytes that a document shows, read by seek.
+
+    A file over the cap is read at its head and tail only; its content is head +
+    tail with ``n_bytes`` its size, for ``capped_read_text``.  Missing or
+    unreadable files have null content.  Reads are planned by bytes
+    (``plan_reads``), and a task hands its files on in batches of bounded bytes,
+    so neither a project's size nor the number of its files sets what a task
+    holds.  The files' columns go with them: content is not joined or shuffled."""
     ship_package(files.sparkSession)
+    planned = plan_reads(files, cap, task_bytes)
+    at = planned.columns.index("path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _read_capped_batches(batches, at, cap, batch_bytes)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs as pafs
-        for pdf in batches:
-            rows = []
-            for path in pdf["path"]:
-                p = _strip_scheme(path)
-                try:
-                    filesystem, place = pafs.FileSystem.from_uri(p) if "://" in p else (pafs.LocalFileSystem(), p)
-                    with filesystem.open_input_file(place) as f:
-                        n = f.size()
-                        if n <= cap:
-                            rows.append((path, n, f.read()))
-                            continue
-                        first = f.read(max(cap // 2, min(SNIFF_BYTES, n)))
-                        if b"\0" not in first[:SNIFF_BYTES] and cap // 2:
-                            f.seek(n - cap // 2)
-                            first += f.read(cap // 2)
-                        rows.append((path, n, first))
-                except (OSError, ValueError):
-                    rows.append((path, None, None))
-            yield pd.DataFrame(rows, columns=["path", "n_bytes", "content"])
-
-    got = files.select("path").distinct().mapInPandas(read, "path string, n_bytes long, content binary")
-    return files.join(got, "path", "left")
+    schema = planned.withColumns({"n_bytes": F.lit(None).cast("long"), "content": F.lit(None).cast("binary")}).schema
+    return planned.mapInArrow(run, schema)
 
 
 def _read_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs as pafs
 
     cache: dict = {}  # one filesystem per scheme://authority (namenode, bucket)
+    found, total = [], 0
     for pdf in batches:
-        out_path, out_exists, out_content = [], [], []
         for p in pdf["path"]:
             exists, data = False, None
             try:
@@ -179,10 +240,12 @@ def _read_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         data = f.read()
             except (OSError, ValueError):
                 data = None  # unreadable: exists as found, no content
-            out_path.append(p)
-            out_exists.append(exists)
-            out_content.append(data)
-        yield pd.DataFrame({"path": out_path, "exists": out_exists, "content": out_content})
+            if found and total + len(data or b"") > BATCH_BYTES:
+                yield pd.DataFrame(found, columns=["path", "exists", "content"])
+                found, total = [], 0
+            found.append((p, exists, data))
+            total += len(data or b"")
+    yield pd.DataFrame(found, columns=["path", "exists", "content"])
 
 
 def read_small_files(paths: DataFrame) -> DataFrame:

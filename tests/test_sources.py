@@ -64,6 +64,50 @@ def test_capped_read_by_seek(spark):
     assert {r.name: r.n for r in got} == {"small": 20, "big": 3000, "bin": 1500, "edge": 3000, "gone": None}
 
 
+def test_reads_are_planned_by_bytes(spark):
+    ws = tempfile.mkdtemp(prefix="ws-")
+    sizes = {f"f{i:04d}": 700 * (i % 40) for i in range(500)} | {"huge": 5_000_000}
+    _tree(ws, {n: b"x" * k for n, k in sizes.items()})
+    listed = spark.createDataFrame([("p", f"{ws}/{n}", k if i % 9 else None, i) for i, (n, k) in enumerate(sorted(sizes.items()))], "project_id string, path string, length long, k int")
+    got = files.read_capped(listed.repartition(3), 20_000, task_bytes=200_000).withColumn("task", F.spark_partition_id())
+    rows = got.select("path", "n_bytes", F.octet_length("content").alias("n"), "task", "k").collect()
+    assert {r.path.rsplit("/")[-1]: (r.n_bytes, r.n) for r in rows} == {n: (k, min(k, 20_000)) for n, k in sizes.items()}
+    by = {}
+    for r in rows:
+        by.setdefault(r.task, []).append(r)
+    assert len(by) >= 20 and max(sum(r.n for r in own) for own in by.values()) <= 200_000 + 20_000
+    ends = sorted((min(r.path for r in own), max(r.path for r in own)) for own in by.values())
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))  # a task reads neighbours
+    assert files.read_capped(listed.limit(0)).count() == 0
+    unknown = files.read_capped(listed.drop("length").limit(5), 20_000).collect()
+    assert len(unknown) == 5 and all(r.content is not None for r in unknown)
+
+
+def test_batches_of_ten_thousand_files_stay_below_64_mb():
+    import pyarrow as pa
+    ws = tempfile.mkdtemp(prefix="ws-")
+    _tree(ws, {"one": b"y" * (512 << 10), "big": b"z" * (3 << 20)})
+    paths = [f"{ws}/one"] * 10_000
+    paths[5_000], paths[7_000] = f"{ws}/big", f"{ws}/none"
+    batch = pa.record_batch([pa.array(range(10_000)), pa.array(paths)], ["k", "path"])
+    n, rows, most = 0, 0, 0
+    for b in files._read_capped_batches(iter([batch]), 1, 512 << 10, 64 << 20):
+        contents = b.column(3)
+        assert b.schema.names == ["k", "path", "n_bytes", "content"] and b.column(0)[0].as_py() == rows
+        n, rows, most = n + 1, rows + b.num_rows, max(most, sum(len(x) for x in contents.to_pylist() if x is not None))
+        assert contents.null_count == (rows > 7_000 >= rows - b.num_rows)
+    assert rows == 10_000 and most <= 64 << 20 and n >= 10_000 * 512 // (64 << 10)
+
+
+def test_a_folder_of_many_entries_is_listed_in_pieces(monkeypatch):
+    import pandas as pd
+    ws = tempfile.mkdtemp(prefix="ws-")
+    _tree(ws, {f"n{i}": b"" for i in range(1_050)})
+    monkeypatch.setattr(files, "LISTING_ROWS", 100)
+    out = list(files._list_partition(iter([pd.DataFrame({"project_id": ["p"], "root": [ws], "rel_path": [""]})])))
+    assert [len(x) for x in out] == [100] * 10 + [50] and len({r for x in out for r in x["rel_path"]}) == 1_050
+
+
 def test_default_rules_when_no_file_and_invalid_utf8(spark):
     roots = spark.createDataFrame([("p", "/nonexistent/p")], "project_id string, root string")
     compiled = compile_project_rules(roots.select("project_id"), None).first()
