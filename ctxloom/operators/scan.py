@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ctxloom.constants import MAX_FILES
 from ctxloom.functions.paths import normalize_path, parent_path, path_prefixes
+from ctxloom.session import materialize
 
-# A rule set shared by very many folders (the defaults) is matched by this many tasks.
-RULE_SALTS = 32
+# Folders of one rule set that a task matches; a set shared by more (the defaults) is dealt over more tasks.
+RULE_FOLDERS = 50_000
 
 
 def _first_match(prefixes: Column, matcher) -> Column:
@@ -48,17 +49,32 @@ def mark_hits(files: DataFrame, rules) -> DataFrame:
 def _mark_hits_per_project(files: DataFrame, rules: DataFrame) -> DataFrame:
     """One plan for any number of rule sets: distinct folders first, clustered
     by rule set so that a pattern is compiled once per run of rows, then the
-    file's own path for files below unmatched folders only."""
+    file's own path for files below unmatched folders only.
+
+    Folders carry the name of their rule set, not its pattern: patterns, one
+    row a set (and task), are joined where they are used.  Each set is dealt
+    over as many tasks as its folders fill."""
     keyed = files.withColumn("_dir", parent_path(F.col("rel_path"))).withColumn("_path", normalize_path(F.col("rel_path")))
-    known = rules.select("project_id", F.col("regex").alias("_regex"))
-    folders = (keyed.select("project_id", "_dir").distinct().join(known, "project_id", "left")
-               .withColumn("_salt", F.pmod(F.xxhash64("_dir"), F.lit(RULE_SALTS)))
-               .repartition("_regex", "_salt").sortWithinPartitions("_regex"))
-    marked = folders.select("project_id", "_dir", "_regex", F.when(
-        F.col("_regex").isNotNull(), _first_match(path_prefixes(F.col("_dir")), lambda p: _hits(p, F.col("_regex")))).alias("dir_hit"))
+    known = rules.where("regex IS NOT NULL").select("project_id", F.sha2("regex", 256).alias("_set"), F.col("regex").alias("_regex"))
+    folders = keyed.select("project_id", "_dir").distinct()
+    per_project = folders.groupBy("project_id").agg(F.count("*").alias("_folders"))
+    shares = (known.join(per_project, "project_id").groupBy("_set").agg(F.sum("_folders").alias("_folders"), F.any_value("_regex").alias("_regex"))
+              .withColumn("_shares", (F.floor(F.col("_folders") / RULE_FOLDERS) + 1).cast("int")))
+    shares = materialize(shares.select("_set", "_shares", "_regex"), "rule-sets")  # a row a set: read for its shares and its pattern
+    patterns = shares.select("_set", "_regex", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share"))
+    named = known.select("project_id", "_set").join(shares.select("_set", "_shares"), "_set")
+    dealt = folders.join(named, "project_id").withColumn("_share", F.pmod(F.xxhash64("_dir"), F.col("_shares")).cast("int"))
+    marked = (dealt.join(patterns, ["_set", "_share"]).sortWithinPartitions("_set")
+              .select("project_id", "_dir", "_set", "_shares", _first_match(path_prefixes(F.col("_dir")), lambda p: _hits(p, F.col("_regex"))).alias("dir_hit")))
     out = keyed.join(marked, ["project_id", "_dir"], "left")
-    own = F.when(F.col("_regex").isNotNull() & (F.col("_path") != "") & _hits(F.col("_path"), F.col("_regex")), F.col("_path"))
-    return out.withColumn("hit", F.coalesce(F.col("dir_hit"), own)).select(*files.columns, "hit", "dir_hit")
+    # a file's own path: only below unmatched folders of projects with rules
+    inside = F.col("_set").isNotNull() & F.col("dir_hit").isNull() & (F.col("_path") != "")
+    test = out.where(inside).withColumn("_share", F.pmod(F.xxhash64("_path"), F.col("_shares")).cast("int"))
+    test = (test.join(patterns, ["_set", "_share"]).sortWithinPartitions("_set")
+            .withColumn("hit", F.when(_hits(F.col("_path"), F.col("_regex")), F.col("_path"))))
+    rest = out.where(~inside | inside.isNull()).withColumn("hit", F.col("dir_hit"))
+    columns = [*files.columns, "hit", "dir_hit"]
+    return test.select(*columns).unionByName(rest.select(*columns))
 
 
 def _symlink(df: DataFrame) -> Column:
