@@ -73,24 +73,29 @@ WITH d AS (
                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
 i AS (
-  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  SELECT row_number() OVER () AS no, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark),
+  FROM (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, text FROM benchmark WHERE text IS NOT NULL)),
 win AS (
-  SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(list_slice(w, s, s + least(13, len(w)) - 1), ' ') AS words
-  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+  SELECT no, item_id, s, least(13, len(w)) AS n, array_to_string(list_slice(w, s, s + least(13, len(w)) - 1), ' ') AS words
+  FROM (SELECT no, item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
 dw AS (
   SELECT doc_id, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') AS words
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
-occ AS (SELECT dw.doc_id, dw.p, dw.n, win.item_id FROM dw JOIN win ON dw.n = win.n AND dw.words = win.words),
+occ AS (SELECT dw.doc_id, dw.p, dw.n, win.item_id, win.no, win.s FROM dw JOIN win ON dw.n = win.n AND dw.words = win.words),
+matches AS (
+  SELECT doc_id, item_id, min(p) AS p, count(*) + n - 1 AS words
+  FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, no, p - s ORDER BY p) AS run FROM occ) GROUP BY doc_id, no, item_id, n, p - s, run),
 hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit
-        FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT doc_id, p, n FROM occ)) GROUP BY doc_id),
+        FROM (SELECT doc_id, unnest(range(p, p + words)) AS q FROM matches) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
-          FROM (SELECT DISTINCT doc_id, item_id FROM occ) GROUP BY doc_id)
+          FROM (SELECT DISTINCT doc_id, item_id FROM occ) GROUP BY doc_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, p, item_id) AS rn, count(*) OVER (PARTITION BY doc_id) AS n_matches FROM matches)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated,
+       coalesce(n_matches, 0) AS n_matches, CAST(words AS BIGINT) AS longest_words, best.item_id AS longest_item, CAST(p - 1 AS BIGINT) AS longest_at
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN best ON best.doc_id = d.doc_id AND best.rn = 1
 """
 
 
