@@ -66,15 +66,12 @@ def _mark_hits_per_project(files: DataFrame, rules: DataFrame) -> DataFrame:
     dealt = folders.join(named, "project_id").withColumn("_share", F.pmod(F.xxhash64("_dir"), F.col("_shares")).cast("int"))
     marked = (dealt.join(patterns, ["_set", "_share"]).sortWithinPartitions("_set")
               .select("project_id", "_dir", "_set", "_shares", _first_match(path_prefixes(F.col("_dir")), lambda p: _hits(p, F.col("_regex"))).alias("dir_hit")))
+    # a file's own path is tested below unmatched folders of projects with rules; other files go their way evenly
     out = keyed.join(marked, ["project_id", "_dir"], "left")
-    # a file's own path: only below unmatched folders of projects with rules
-    inside = F.col("_set").isNotNull() & F.col("dir_hit").isNull() & (F.col("_path") != "")
-    test = out.where(inside).withColumn("_share", F.pmod(F.xxhash64("_path"), F.col("_shares")).cast("int"))
-    test = (test.join(patterns, ["_set", "_share"]).sortWithinPartitions("_set")
-            .withColumn("hit", F.when(_hits(F.col("_path"), F.col("_regex")), F.col("_path"))))
-    rest = out.where(~inside | inside.isNull()).withColumn("hit", F.col("dir_hit"))
-    columns = [*files.columns, "hit", "dir_hit"]
-    return test.select(*columns).unionByName(rest.select(*columns))
+    test = F.col("_set").isNotNull() & F.col("dir_hit").isNull() & (F.col("_path") != "")
+    out = out.withColumn("_share", F.pmod(F.xxhash64("_path"), F.when(test, F.col("_shares")).otherwise(1 << 16)).cast("int")).withColumn("_set", F.when(test, F.col("_set")).otherwise(""))
+    out = out.join(patterns, ["_set", "_share"], "left").sortWithinPartitions("_set")
+    return out.withColumn("hit", F.coalesce("dir_hit", F.when(_hits(F.col("_path"), F.col("_regex")), F.col("_path")))).select(*files.columns, "hit", "dir_hit")
 
 
 def _symlink(df: DataFrame) -> Column:
