@@ -24,9 +24,7 @@ BINARY_MARKER = "[binary file omitted]\n"
 TRUNCATED_MARKER = "\n[... truncated ...]\n"
 READ_ERROR_MARKER = "[error reading file]\n"
 OUTPUT_TRUNCATED_MARKER = "[... output truncated ...]"
-SYSTEM_TEXT_MISSING = "System prompt not found. Tried: "
 UNREADABLE_ERROR = 'Error { kind: InvalidData, message: "stream did not contain valid UTF-8" }'
-SYSTEM_TEXT_FAILED = "System prompt failed to load. Please warn the user about this. error: "
 
 # Tree drawing.
 TREE_BRANCH = "├─ "
@@ -58,7 +56,6 @@ FILE_CLASSES = [
 OTHER_CLASS = "other"
 
 # Document tags, in document order.
-TAG_SYSTEM_OPEN, TAG_SYSTEM_CLOSE = "<system_prompt>\n", "\n</system_prompt>\n"
 TAG_INSTRUCTION_OPEN, TAG_INSTRUCTION_CLOSE = "<instruction>", "</instruction>\n"
 TAG_TREE_OPEN, TAG_TREE_CLOSE = "<file_tree>\n", "\n</file_tree>\n"
 TAG_CODE_OPEN, TAG_CODE_CLOSE = "<code>\n", "</code>\n\n"
@@ -80,3 +77,23 @@ class DiskNames:
 
 
 NAMES = DiskNames()
+
+
+@dataclass(frozen=True)
+class Wording:
+    """How a document names its system text, and what stands there when it could
+    not be loaded.  Not fixed values: pass others to write another tool's documents."""
+    system_tag: str = "system"
+    system_missing: str = "No system text found. Tried: "
+    system_failed: str = "The system text could not be loaded; tell the user. error: "
+
+    @property
+    def system_open(self) -> str:
+        return f"<{self.system_tag}>\n"
+
+    @property
+    def system_close(self) -> str:
+        return f"\n</{self.system_tag}>\n"
+
+
+WORDS = Wording()

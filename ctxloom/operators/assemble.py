@@ -28,7 +28,7 @@ def _frag(section: int, text) -> F.Column:
 
 def fragments(projects: DataFrame, system: DataFrame, instructions: DataFrame | None, trees: DataFrame,
               files: DataFrame, terminal: DataFrame | None = None, cap: int = K.MAX_PER_FILE_BYTES,
-              emit_tree: bool = True, emit_remotes: DataFrame | None = None) -> DataFrame:
+              emit_tree: bool = True, emit_remotes: DataFrame | None = None, words: K.Wording = K.WORDS) -> DataFrame:
     """Ordered document pieces.
 
     * ``projects(project_id)``: every project that gets a document;
@@ -39,6 +39,7 @@ def fragments(projects: DataFrame, system: DataFrame, instructions: DataFrame |
     Missing parts are empty strings.  ``emit_tree=False`` leaves the tree section
     out; ``emit_remotes(project_id, url, content, include)`` adds the included
     remote pages behind the files (the original never writes either choice).
+    ``words`` names the system text's tag.
     """
     p = projects.select("project_id").join(system.select("project_id", "system"), "project_id", "left")
     if instructions is not None:
@@ -53,7 +54,7 @@ def fragments(projects: DataFrame, system: DataFrame, instructions: DataFrame |
     e = lambda c: F.coalesce(F.col(c), F.lit(""))
     instr = F.concat(F.lit(K.TAG_INSTRUCTION_OPEN), cdata_wrap(e("_instr")), F.lit(K.TAG_INSTRUCTION_CLOSE))
     pieces = F.array(
-        _frag(1, F.concat(F.lit(K.TAG_SYSTEM_OPEN), cdata_wrap(e("system")), F.lit(K.TAG_SYSTEM_CLOSE))),
+        _frag(1, F.concat(F.lit(words.system_open), cdata_wrap(e("system")), F.lit(words.system_close))),
         _frag(2, instr),
         _frag(3, F.concat(F.lit(K.TAG_TREE_OPEN), cdata_wrap(e("tree")), F.lit(K.TAG_TREE_CLOSE))),
         _frag(4, F.lit(K.TAG_CODE_OPEN)),

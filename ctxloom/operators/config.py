@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ctxloom.constants import SYSTEM_TEXT_FAILED, SYSTEM_TEXT_MISSING, UNREADABLE_ERROR
+from ctxloom.constants import UNREADABLE_ERROR, WORDS, Wording
 
 
 def debug_quote(s: Column) -> Column:
@@ -16,7 +16,7 @@ def debug_quote(s: Column) -> Column:
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 
-def system_text(layers: DataFrame) -> DataFrame:
+def system_text(layers: DataFrame, words: Wording = WORDS) -> DataFrame:
     """First existing layer per project (lowest ``layer``); when that file
     cannot be read, the error text with its path; when none exists, the error
     text naming every path tried, in layer order (J4).
@@ -30,8 +30,8 @@ def system_text(layers: DataFrame) -> DataFrame:
         F.min(F.when(exists, F.struct("layer", "path", "text"))).alias("_found"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("layer", "path"))), lambda x: x["path"]),
                      ", ").alias("_tried"))
-    missing = F.concat(F.lit(SYSTEM_TEXT_FAILED), debug_quote(F.concat(F.lit(SYSTEM_TEXT_MISSING), F.col("_tried"))))
-    unreadable = F.concat(F.lit(SYSTEM_TEXT_FAILED + UNREADABLE_ERROR + ", path: "), debug_quote(F.col("_found.path")))
+    missing = F.concat(F.lit(words.system_failed), debug_quote(F.concat(F.lit(words.system_missing), F.col("_tried"))))
+    unreadable = F.concat(F.lit(words.system_failed + UNREADABLE_ERROR + ", path: "), debug_quote(F.col("_found.path")))
     return agg.select("project_id",
                       F.when(F.col("_found").isNull(), missing).otherwise(F.coalesce(F.col("_found.text"), unreadable)).alias("system"),
                       F.col("_found.layer").alias("layer"))

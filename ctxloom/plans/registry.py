@@ -14,8 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxloom.constants import (FILE_CLASSES, HEAD_LINES, MAX_FILES, MAX_HISTORY, NAMES, OTHER_CLASS, SYSTEM_TEXT_FAILED, SYSTEM_TEXT_MISSING,
-                               TAG_SYSTEM_CLOSE, TAG_SYSTEM_OPEN, TAIL_LINES)
+from ctxloom.constants import (FILE_CLASSES, HEAD_LINES, MAX_FILES, MAX_HISTORY, NAMES, OTHER_CLASS, TAIL_LINES, WORDS)
 from ctxloom.functions.paths import basename, parent_path, segments
 from ctxloom.functions.tokens import file_tokens
 from ctxloom.functions.text import (HTML_BLOCK_TAGS, HTML_C1, HTML_NAMES, HTML_REFERENCE, cdata_wrap, decode_references, file_class, html_to_text,
@@ -382,8 +381,8 @@ addons AS (SELECT p.project_id, t3.text FROM projects p JOIN t3 USING (project_i
 sys AS (
   SELECT s.project_id, s.layer,
     CASE WHEN s.layer IS NOT NULL THEN s.found
-         ELSE '{SYSTEM_TEXT_FAILED}"'
-              || replace(replace(replace(replace(replace('{SYSTEM_TEXT_MISSING}' || s.tried, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')
+         ELSE '{WORDS.system_failed}"'
+              || replace(replace(replace(replace(replace('{WORDS.system_missing}' || s.tried, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')
               || '"' END
     || CASE WHEN a.text IS NOT NULL THEN chr(10) || chr(10) || a.text ELSE '' END AS system
   FROM sys0 s LEFT JOIN addons a USING (project_id))"""
@@ -486,7 +485,7 @@ head AS (
   FROM projects p LEFT JOIN instr i USING (project_id) LEFT JOIN sys s USING (project_id)
   LEFT JOIN trees tr USING (project_id) LEFT JOIN terminal t USING (project_id)),
 frags AS (
-  SELECT project_id, 1 AS section, '' AS ord, '{TAG_SYSTEM_OPEN}' || {V.cdata("coalesce(system, '')")} || '{TAG_SYSTEM_CLOSE}' AS text FROM head
+  SELECT project_id, 1 AS section, '' AS ord, '{WORDS.system_open}' || {V.cdata("coalesce(system, '')")} || '{WORDS.system_close}' AS text FROM head
   UNION ALL SELECT project_id, 2, '', '<instruction>' || ci || '</instruction>' || chr(10) FROM head
   UNION ALL SELECT project_id, 3, '', '<file_tree>' || chr(10) || {V.cdata("coalesce(tree, '')")} || chr(10) || '</file_tree>' || chr(10) FROM head
   UNION ALL SELECT project_id, 4, '', '<code>' || chr(10) FROM head

@@ -57,7 +57,7 @@ def test_system_text_layers(spark):
     addons = spark.createDataFrame([("p", "ADD")], "project_id string, text string")
     got = {r.project_id: r.system for r in config.with_addon(config.system_text(layers), addons).collect()}
     assert got["p"] == "ENV\n\nADD"
-    assert got["q"] == K.SYSTEM_TEXT_FAILED + '"' + K.SYSTEM_TEXT_MISSING + '/q/system.txt, /def"'
+    assert got["q"] == K.WORDS.system_failed + '"' + K.WORDS.system_missing + '/q/system.txt, /def"'
 
 
 def test_document_golden(spark):
@@ -68,7 +68,7 @@ def test_document_golden(spark):
     files = spark.createDataFrame([("p", "a&b", bytearray(b"x<1>"))], "project_id string, rel_path string, content binary")
     frags = assemble.fragments(projects, system, instr, trees, files)
     doc = assemble.documents(frags).first()
-    expected = (K.TAG_SYSTEM_OPEN + "<![CDATA[SYS]]]]><![CDATA[>]]>" + K.TAG_SYSTEM_CLOSE +
+    expected = (K.WORDS.system_open + "<![CDATA[SYS]]]]><![CDATA[>]]>" + K.WORDS.system_close +
                 ""
                 "<instruction><![CDATA[do it]]></instruction>\n"
                 "<file_tree>\n<![CDATA[p/\n└─ a&b\n]]>\n</file_tree>\n"
@@ -90,7 +90,7 @@ def test_unreadable_layer_gives_its_error(spark):
     layers = spark.createDataFrame([("p", 0, "/p/s", False, None), ("p", 1, "/e/s", True, None), ("p", 2, "/d/s", True, "DEF")],
                                    "project_id string, layer int, path string, exists boolean, text string")
     row = config.system_text(layers).first()
-    assert row.layer == 1 and row.system == K.SYSTEM_TEXT_FAILED + K.UNREADABLE_ERROR + ', path: "/e/s"'
+    assert row.layer == 1 and row.system == K.WORDS.system_failed + K.UNREADABLE_ERROR + ', path: "/e/s"'
 
 
 def test_repeated_saved_rows_do_not_repeat_files(spark):

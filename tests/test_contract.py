@@ -4,7 +4,7 @@ import re
 
 import __spark_entry__ as E
 import pytest
-from ctxloom.constants import TAG_SYSTEM_OPEN
+from ctxloom.constants import WORDS
 from ctxloom.plans.registry import QUERIES
 from ctxloom.session import materialize
 from tests.conftest import SF001
@@ -24,7 +24,7 @@ def test_entry_runs(spark):
     assert len(rows) == 20
     assert df.columns == ["project_id", "chunk_no", "n_chunks", "n_bytes", "n_tokens", "n_fragments", "at_limit", "text"]
     for r in rows:
-        assert r.text.startswith(TAG_SYSTEM_OPEN) and r.text.endswith("</instruction>\n") and r.n_chunks == 1
+        assert r.text.startswith(WORDS.system_open) and r.text.endswith("</instruction>\n") and r.n_chunks == 1
         assert r.n_bytes == len(r.text.encode())
 
 

@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from ctxloom.constants import NAMES, SYSTEM_TEXT_FAILED, UNREADABLE_ERROR
+from ctxloom.constants import NAMES, UNREADABLE_ERROR, WORDS
 from ctxloom.functions.globs import compile_rule_lines, compile_rule_text
 from ctxloom.operators import assemble, history, scan
 from ctxloom.operators.rules import compile_project_rules, nearest_rule_file
@@ -131,7 +131,7 @@ def test_config_layers_and_history_files(spark):
     layers = files.config_layers(roots, ws + "/env-missing.txt", ws + "/default.txt")
     sys_ = config.with_addon(config.system_text(layers), files.addons(roots))
     got = {r.project_id: r.system for r in sys_.collect()}
-    assert got == {"a": "A-SYS", "b": "DEF\n\nB-ADD", "c": SYSTEM_TEXT_FAILED + UNREADABLE_ERROR + f', path: "{ws}/c/{NAMES.system_file}"'}
+    assert got == {"a": "A-SYS", "b": "DEF\n\nB-ADD", "c": WORDS.system_failed + UNREADABLE_ERROR + f', path: "{ws}/c/{NAMES.system_file}"'}
     docs = files.history_documents(roots).withColumnRenamed("project_id", "user_id")
     h = {r.user_id: (r.commands, r.max) for r in history.read_history_json(docs).collect()}
     assert h == {"a": (["ls", "make"], 2)}
