@@ -67,5 +67,5 @@ def test_registered():
     import __spark_entry__
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
-    assert sum(q.startswith("op") and q[2].isdigit() for q in __spark_entry__.queries()) == 10
+    assert sum(q.startswith("op") and q[2].isdigit() for q in __spark_entry__.queries()) == 13
     assert "corpus_pipeline" in sys.modules
