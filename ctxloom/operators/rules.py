@@ -9,12 +9,14 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ctxloom.constants import NAMES, DiskNames
 from ctxloom.functions.globs import compile_rule_text
+from ctxloom.functions.paths import segments
+from ctxloom.operators.intervals import END, SLASH, in_order, inside, last_set, path_key
 from ctxloom.session import materialize, ship_package
 
 
@@ -62,16 +64,30 @@ def nearest_rule_file(roots: DataFrame, rule_files: DataFrame, names: DiskNames
     ``roots(project_id, root)``; ``rule_files(path, text)`` with paths like
     ``<dir>/<names.rule_file>`` (preferred at one level) or
     ``<dir>/<names.rule_file_legacy>``.  Result ``(project_id, rule_dir,
-    rule_path, text)``, with nulls when nothing is found.  One equi-join on the
-    folder; the best candidate of a project is one grouped maximum.
+    rule_path, text)``, with nulls when nothing is found.
+
+    Roots and rule files are one table in path order, in which a folder comes
+    right before all that is below it: a root asks the last rule folder of each
+    depth whether it is still open (``operators.intervals``), and takes the
+    deepest.  Nothing is joined, so a rule file above very many projects, or one
+    at ``/``, is no hot key.
     """
     new, legacy = "/" + names.rule_file, "/" + names.rule_file_legacy
     is_new, path = F.col("path").endswith(new), F.col("path")
     suffix = F.when(is_new, F.lit(len(new))).when(path.endswith(legacy), F.lit(len(legacy)))
     rf = rule_files.select("path", "text", is_new.alias("is_new"), path.substr(F.lit(1), F.char_length("path") - suffix).alias("dir"))
     rf = rf.where(F.col("dir").isNotNull()).withColumn("dir", F.when(F.col("dir") == "", F.lit("/")).otherwise(F.col("dir")))
-    up = roots.select("project_id", F.inline(ancestors("root")))
-    best = up.join(rf, "dir").groupBy("project_id").agg(
-        F.max_by(F.struct("dir", "path", "text"), F.struct("depth", "is_new")).alias("_b"))
-    return roots.select("project_id").join(best, "project_id", "left").select(
-        "project_id", F.col("_b.dir").alias("rule_dir"), F.col("_b.path").alias("rule_path"), F.col("_b.text").alias("text"))
+    rule = F.struct("dir", "path", "text")
+    folders = rf.select(path_key(F.lit(""), segments(F.col("dir"))).alias("_key"), F.lit(0).alias("_kind"), is_new.cast("int").alias("_seq"),
+                        F.lit(None).cast(roots.schema["project_id"].dataType).alias("project_id"), rule.alias("_rule"))
+    asking = roots.select(path_key(F.lit(""), segments(F.col("root"))).alias("_key"), F.lit(1).alias("_kind"), F.lit(0).alias("_seq"),
+                          "project_id", F.lit(None).cast(folders.schema["_rule"].dataType).alias("_rule"))
+    every = in_order(folders.unionByName(asking), "_kind", "_seq", label="rule-folders")  # of one folder the preferred name comes last
+    depth = f"CASE WHEN endswith(_key, '{END}') THEN 0 ELSE size(split(_key, '{SLASH}')) END"
+    deepest = every.where("_kind = 0").selectExpr(f"max({depth})").first()[0]
+    if deepest is None:
+        return roots.select("project_id", *[F.lit(None).cast("string").alias(c) for c in ("rule_dir", "rule_path", "text")])
+    levels = {f"_level{d}": f"CASE WHEN _kind = 0 AND {depth} = {d} THEN struct(_key, _rule) END" for d in range(deepest + 1)}
+    still = f"filter(array({', '.join(reversed(levels))}), t -> t IS NOT NULL AND {inside('_key', 't._key')})"
+    found = last_set(every, levels).where("_kind = 1").selectExpr("project_id", f"get({still}, 0)._rule AS _b")
+    return found.selectExpr("project_id", "_b.dir AS rule_dir", "_b.path AS rule_path", "_b.text AS text")

@@ -98,3 +98,47 @@ def test_a_hot_project_is_spread_and_a_folder_is_two_rows(spark, many_parts):
     assert n == {"hot": sum(i % 3 == 1 and i % 50 != 4 for i in range(20_000)), "c3": 20}
     rolled = tree.folder_rollup(state.withColumn("length", F.lit(4)))
     assert rolled.where("folder = 'd1/deep/er/still/e4'").first().selected == 0 and rolled.where("project_id = 'c3' AND folder = ''").first().state == "all"
+
+
+def test_nearest_rule_files_match_a_plain_walk(spark, many_parts):
+    from ctxloom.constants import NAMES
+    from ctxloom.operators.rules import nearest_rule_file
+    rnd = random.Random(12)
+    roots = [(f"p{i}", "/" + "/".join(rnd.choices(NAMES_UP, k=rnd.randint(0, 6)))) for i in range(300)]
+    folders = {""} | {r[:r.rfind("/")] for _, r in rnd.sample(roots, 60)} | {r for _, r in rnd.sample(roots, 40) if r != "/"}
+    rules = [(f"{d}/{n}", f"{d}{n}") for d in sorted(folders) for n in (NAMES.rule_file, NAMES.rule_file_legacy) if rnd.random() < 0.6]
+    by = dict(rules)
+
+    def walk(root):
+        at = root.rstrip("/")
+        while True:
+            for n in (NAMES.rule_file, NAMES.rule_file_legacy):
+                if f"{at}/{n}" in by:
+                    return at or "/", f"{at}/{n}", by[f"{at}/{n}"]
+            if not at:
+                return None, None, None
+            at = at[:at.rfind("/")]
+
+    files = spark.createDataFrame(rules, "path string, text string")
+    got = nearest_rule_file(spark.createDataFrame(roots, "project_id string, root string"), files).collect()
+    assert sorted(map(tuple, got)) == sorted((p, *walk(r)) for p, r in roots)
+    none = nearest_rule_file(spark.createDataFrame(roots[:3], "project_id string, root string"), files.limit(0)).collect()
+    assert [tuple(r)[1:] for r in none] == [(None, None, None)] * 3
+
+
+def test_many_roots_below_one_rule_file_are_spread(spark, many_parts, monkeypatch):
+    from ctxloom.constants import NAMES
+    from ctxloom.operators import rules
+    seen = []
+    monkeypatch.setattr(rules, "last_set", lambda rows, values: seen.append(rows) or intervals.last_set(rows, values))
+    roots = spark.range(100_000).selectExpr("concat('p', id) AS project_id", "concat('/ws/team', id % 7, '/p', id) AS root")
+    one = spark.createDataFrame([(f"/{NAMES.rule_file}", "*.top"), (f"/ws/{NAMES.rule_file}", "*.tmp")], "path string, text string")
+    out = rules.nearest_rule_file(roots, one)
+    assert out.where("rule_dir = '/ws' AND text = '*.tmp'").count() == 100_000
+    sizes = [r["count"] for r in seen[0].groupBy("_part").count().collect()]
+    assert len(sizes) >= 10 and max(sizes) <= 2 * 100_000 / len(sizes)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan or "_part" in plan  # parts' borders only, no join on a folder
+
+
+NAMES_UP = ["a", "a-1", "a.b", "b", "zz"]
