@@ -36,31 +36,37 @@ def _strip_scheme(p: str) -> str:
 LISTING_SCHEMA = "project_id string, root string, rel_path string, length long, is_dir boolean, is_symlink boolean"
 
 
-def _list_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entries of folders, links not followed; an unreadable folder has none."""
-    from pyarrow import fs as pafs
+def entries_of(folder: str) -> Iterator[tuple[str, int, bool, bool]]:
+    """(name, size, is a folder, is a link) of what is in a folder; links are not followed."""
+    if "://" in folder:
+        from pyarrow import fs as pafs
 
-    def local(folder: str) -> Iterator[tuple[str, int, bool, bool]]:
-        with os.scandir(folder) as entries:
-            for e in entries:
-                link = e.is_symlink()
-                folder_, file = e.is_dir(follow_symlinks=False), e.is_file(follow_symlinks=False)
-                if link or folder_ or file:  # sockets and devices are neither
-                    yield e.name, e.stat(follow_symlinks=False).st_size if file else 0, folder_ and not link, link
-
-    def remote(folder: str) -> Iterator[tuple[str, int, bool, bool]]:
         filesystem, path = pafs.FileSystem.from_uri(folder)
         for i in filesystem.get_file_info(pafs.FileSelector(path)):
             if i.type in (pafs.FileType.File, pafs.FileType.Directory):
                 yield i.base_name, i.size or 0, i.type == pafs.FileType.Directory, False
+        return
+    with os.scandir(folder) as entries:
+        for e in entries:
+            link = e.is_symlink()
+            folder_, file = e.is_dir(follow_symlinks=False), e.is_file(follow_symlinks=False)
+            if link or folder_ or file:  # sockets and devices are neither
+                yield e.name, e.stat(follow_symlinks=False).st_size if file else 0, folder_ and not link, link
+
 
+def place_of(root: str, rel: str) -> str:
+    """Where an entry below a root is: a local path, or a URI of another store."""
+    where = _strip_scheme(root).rstrip("/") + ("/" + rel if rel else "")
+    return (where.removeprefix("file://") if where.startswith("file:///") else where) or "/"
+
+
+def _list_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of folders, links not followed; an unreadable folder has none."""
     columns, rows = ["project_id", "root", "rel_path", "length", "is_dir", "is_symlink"], []
     for pdf in batches:
         for project, root, folder in zip(pdf["project_id"], pdf["root"], pdf["rel_path"]):
-            where = _strip_scheme(root).rstrip("/") + ("/" + folder if folder else "")
-            where = where.removeprefix("file://") if where.startswith("file:///") else where
             try:
-                for name, size, is_dir, link in (remote if "://" in where else local)(where or "/"):
+                for name, size, is_dir, link in entries_of(place_of(root, folder)):
                     rows.append((project, root, f"{folder}/{name}" if folder else name, size, is_dir, link))
                     if len(rows) >= LISTING_ROWS:  # a folder of any size is handed on in pieces
                         yield pd.DataFrame(rows, columns=columns)
