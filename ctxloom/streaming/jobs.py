@@ -86,14 +86,21 @@ def recent_commands(spark: SparkSession, path: str, schema, cap: int = MAX_HISTO
     return r.select("user_id", "rank", "command", F.col("last.seq").alias("last_seq"))
 
 
-def running_estimate(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
+def running_estimate(spark: SparkSession, path: str, schema, max_files: int | None = None, order: str | None = None) -> DataFrame:
     """Per project, files seen so far, tokens of the ticked ones and the
-    tree estimate, updated as file batches arrive."""
+    tree estimate, updated as file batches arrive.
+
+    State is a file's newest arrival (its size and tick), so a file that arrives
+    again replaces what it was: the one with the largest ``order`` column holds
+    (default: the time of the file that brought it).  ``keyed_state`` has a twin
+    that forgets files."""
     s = file_stream(spark, path, schema, max_files)
-    agg = s.groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("n_files"),
-        F.sum(F.when(F.col("selected"), file_tokens(F.col("length"))).otherwise(0)).cast("bigint").alias("file_tokens"),
-        F.sum(F.octet_length("rel_path") + 4).cast("bigint").alias("tree_chars"))
-    cur = read_latest(spark, run_to_changelog(agg, "estimate"), ["project_id"])
+    at = F.col(order).cast("bigint") if order else F.unix_micros("_metadata.file_modification_time")
+    agg = s.select("project_id", "rel_path", F.struct(
+        at.alias("at"), F.when(F.col("selected"), file_tokens(F.col("length"))).otherwise(0).cast("bigint").alias("tokens")).alias("_v")
+    ).groupBy("project_id", "rel_path").agg(F.max("_v").alias("_v"))
+    cur = read_latest(spark, run_to_changelog(agg, "estimate"), ["project_id", "rel_path"])
+    cur = cur.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_files"), F.sum("_v.tokens").cast("bigint").alias("file_tokens"),
+                                        F.sum(F.octet_length("rel_path") + 4).cast("bigint").alias("tree_chars"))
     return cur.select("project_id", F.col("n_files").cast("bigint").alias("n_files"), "file_tokens",
                       chars_to_tokens(F.col("tree_chars") + 16).alias("tree_tokens"))
