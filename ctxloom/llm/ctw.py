@@ -17,19 +17,25 @@ How it is spread:
 1. A task counts, for each chunk of ``CHUNK`` bytes at most, the distinct
    (context, byte) grams and the distinct words, and puts the chunk's texts into
    a file in the shared store.  Held-out texts name their grams with count 0.
-   A chunk's grams go by a hash of their nearest three context bytes, words by
-   their hash, into groups (one for ``DOCS_PER_GROUP`` rows); a row is what a
-   chunk has for a group, as packed arrays (sorted keys as delta byte planes).
-2. A group sums its keys over all chunks; a subtree is in one group.  The first
-   pass hands the weighted probabilities at depth 3 up; the nodes of depth 0 to 2
-   are at most 65,536 * 255 (in fact a few ten thousand) whatever the corpus, so
-   the driver weighs them and broadcasts what is above each subtree.  The second
-   pass gives every gram its log probability.
-3. Each chunk gets the values of its own grams and words back, and its texts
-   are scored against that table.
+   Keys have a group: grams by a hash of their nearest four context bytes, words
+   by their hash.  A row is what a sender has for a receiver, as packed arrays
+   (sorted keys as delta byte planes).
+2. Chunks and groups meet in steps (``Steps``).  A step sums the keys of at most
+   ``FAN`` bundles of chunks for one remainder of the group, and deals the sums
+   over ``FAN`` finer remainders, until a bundle is all chunks and a remainder is
+   one group.  So a chunk costs ``FAN`` rows a step, whatever the corpus, and no
+   task sees more rows than that for a sender's share of the data.
+3. A group weighs its subtrees, which begin at depth 4, and names its nodes of
+   depth 3.  Their sums over all groups and the levels above are a table a level:
+   own estimates, then a sum by parent upward, a join with the parent downward.
+   Nothing of it passes the driver.  Each group gets its nodes' shares back and
+   gives every gram its log probability.
+4. The steps are gone back, each row gets the values of its keys, and a chunk's
+   texts are scored against the table of its own grams and words.
 
 No table of the whole corpus is held anywhere; what moves is the distinct grams
-and words of each chunk.  Words are counted for the unigram base score.
+and words of each chunk.  Words are counted for the unigram base score.  Words are
+known by 63 bits of a hash, unchecked: two that share them would count as one.
 
 Null and empty texts are the end mark only.  A null key counts as the empty text
 for the fold and is a training row.  Rows that repeat a key are documents of
@@ -42,6 +48,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -53,9 +60,12 @@ from ctxloom.llm.textops import FOLD, WS, flat, hash_spans, runs, slices
 from ctxloom.session import materialize, ship_package
 
 DEPTH = 6
-TOP = 2
+#: The deepest level above the groups' subtrees.
+TOP = 3
 CHUNK = 32 << 20
 DOCS_PER_GROUP = 1 << 13
+#: Rows of a sender in a step, and senders of a receiver.
+FAN = 64
 #: Keys that a task gathers before it merges them.
 MERGE = 3_000_000
 FOLDS, HELD = 7, 2
@@ -146,14 +156,14 @@ def climb(node, n0, n1, below) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return parent, a, b, both, np.exp(own - np.log(2) - both), inverse
 
 
-def subtree(keys: np.ndarray, n: np.ndarray, depth: int, k: int):
+def subtree(keys: np.ndarray, n: np.ndarray, depth: int, k: int, top: int):
     """For a byte's bit ``k`` (the trees of different bits share no node): (nodes at
-    depth TOP + 1 with counts and log P_w; for each leaf the probability of a one
+    depth top + 1 with counts and log P_w; for each leaf the probability of a one
     from there down, and its node up there; leaf and bit of each gram)."""
     node, n0, n1, leaf, bit = _nodes(keys, n, k)
     level = [((n1 + 0.5) / (n0 + n1 + 1), np.ones(len(node)), np.arange(len(node)))]
     log_w, place = log_kt(n0, n1), np.arange(len(node))
-    for _ in range(depth - TOP - 1):
+    for _ in range(depth - top - 1):
         node, n0, n1, log_w, weight, inverse = climb(node, n0, n1, log_w)
         place = inverse[place]
         level.append(((n1 + 0.5) / (n0 + n1 + 1), weight, place))
@@ -163,22 +173,49 @@ def subtree(keys: np.ndarray, n: np.ndarray, depth: int, k: int):
     return node, n0, n1, log_w, one, place, leaf, bit
 
 
-def above(node: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray):
-    """From the nodes of depth TOP, with the product of their children's P_w:
-    (node, share of a one that the depths 0 to TOP give, weight left for what is below)."""
-    own = log_kt(n0, n1)
-    both = np.logaddexp(own, below) - np.log(2)
-    levels = [((n1 + 0.5) / (n0 + n1 + 1), np.exp(own - np.log(2) - both), np.arange(len(node)))]
-    at, up, a, b, log_w = np.arange(len(node)), node, n0, n1, both
-    for _ in range(TOP):
-        up, a, b, log_w, weight, inverse = climb(up, a, b, log_w)
-        at = inverse[at]
-        levels.append(((b + 0.5) / (a + b + 1), weight, at))
-    share, left = np.zeros(len(node)), np.ones(len(node))
-    for estimate, weight, place in reversed(levels):
-        share += left * weight[place] * estimate[place]
-        left *= 1 - weight[place]
-    return node, share, left
+def above(nodes: DataFrame, top: int) -> DataFrame:
+    """From the nodes of depth ``top`` (``node, n0, n1, below``: counts and the log
+    product of their children's P_w): ``node, share, left``, the share of a one that
+    the depths 0 to ``top`` give and the weight left for what is below.  A table a
+    depth: up by sums over a parent's children, down by joins with the parent."""
+    estimate = F.pandas_udf(lambda a, b: pd.Series(log_kt(a.to_numpy(), b.to_numpy())), "double")
+    levels = []
+    for _ in range(top + 1):
+        both = "greatest(own, below) + log1p(exp(-abs(own - below))) - ln(2D)"
+        level = materialize(nodes.withColumn("own", estimate("n0", "n1")).selectExpr(
+            "node", "shiftleft(shiftright(node, 16), 8) | (node & 255) AS parent", "n0", "n1", f"{both} AS log_w",
+            f"exp(own - ln(2D) - ({both})) AS weight", "(n1 + 0.5D) / (n0 + n1 + 1) AS one"), "ctw_level")
+        levels.append(level)
+        nodes = level.groupBy(F.col("parent").alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_w").alias("below"))
+    out = levels.pop().selectExpr("node", "weight * one AS share", "1 - weight AS left")
+    while levels:
+        up = out.withColumnRenamed("node", "parent")
+        out = levels.pop().join(up, "parent").selectExpr("node", "share + left * weight * one AS share", "left * (1 - weight) AS left")
+    return out
+
+
+class Steps:
+    """How many steps lead from chunks to at least ``groups`` groups, and over how
+    many rows a sender deals its keys in each."""
+
+    def __init__(self, groups: int, limit: int = FAN):
+        self.count, self.fan = 1, 2
+        while limit ** self.count < groups:
+            self.count += 1
+        while self.fan ** self.count < groups:
+            self.fan += 1
+        self.groups = self.fan ** self.count
+
+    def bundle(self, chunk: int) -> int:
+        """The first step's bundle of a chunk; that of step k + 1 is its quotient by the fan."""
+        return (chunk * 0x9E3779B97F4A7C15 >> 24) % self.groups // self.fan
+
+    def deal(self, keys: np.ndarray, n: np.ndarray, step: int, depth: int, top: int) -> list[tuple[int, bytes, bytes]]:
+        """What goes to each shelf (remainder of the group) of a step: (shelf, keys, counts); keys ascend."""
+        shelf = group_of(keys, self.groups, depth, top) % self.fan ** step
+        by = np.argsort(shelf, kind="stable")
+        parts = np.split(by, np.flatnonzero(np.diff(shelf[by])) + 1) if len(by) else []
+        return [(int(shelf[i[0]]), pack_keys(keys[i]), pack(n[i])) for i in parts]
 
 
 class Table:
@@ -249,23 +286,83 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-def group_of(keys: np.ndarray, groups: int, depth: int) -> np.ndarray:
-    """Group of each key: grams by their nearest TOP + 1 context bytes, words by themselves."""
-    near = np.where(keys < 0, keys, keys >> 8 * (depth - TOP)).view(np.uint64)
+def group_of(keys: np.ndarray, groups: int, depth: int, top: int) -> np.ndarray:
+    """Group of each key: grams by their nearest top + 1 context bytes, words by themselves."""
+    near = np.where(keys < 0, keys, keys >> 8 * (depth - top)).view(np.uint64)
     near = near * np.uint64(0x9E3779B97F4A7C15)
     return ((near ^ near >> np.uint64(29)) % np.uint64(groups)).view(np.int64)
 
 
+def summed(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(keys of each row, all distinct keys, their counts)."""
+    keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
+    n = [unpack(x, np.int64) for x in table.column("n").to_pylist()]
+    return keys, *count(np.concatenate(keys), np.concatenate(n))
+
+
+def replies(table: pa.Table, step: Steps, number: int, keys: list[np.ndarray], known: np.ndarray, value: np.ndarray) -> dict:
+    """To the sender of each row of step ``number``: the values of its keys."""
+    back = pa.array(np.asarray(table.column("shelf")) % step.fan ** (number - 1))
+    return {"word": table.column("word"), "child": table.column("child"), "shelf": back, "keys": table.column("keys"),
+            "value": pa.array([pack(value[np.searchsorted(known, k)]) for k in keys], pa.binary())}
+
+
+SENT = "word boolean, child long, bundle long, shelf long, keys binary, n binary"
+REPLY = "word boolean, child long, shelf long, keys binary, value binary"
+
+
+def _merge(steps: Steps, k: int, depth: int, top: int):
+    def merge(table: pa.Table) -> pa.Table:
+        _, keys, n = summed(table)
+        word, bundle = table.column("word")[0].as_py(), table.column("bundle")[0].as_py()
+        sent = [(word, bundle, bundle // steps.fan, *part) for part in steps.deal(keys, n, k + 1, depth, top)]
+        return pa.table([pa.array(c) for c in zip(*sent, strict=True)], ["word", "child", "bundle", "shelf", "keys", "n"])
+
+    return merge
+
+
+def gather(rows: DataFrame, steps: Steps, depth: int, top: int) -> list[DataFrame]:
+    """The rows of every step, from the chunks' (step 1) to those that meet in groups."""
+    tables = [rows]
+    for k in range(1, steps.count):
+        merged = tables[-1].groupBy("word", "bundle", "shelf").applyInArrow(_merge(steps, k, depth, top), SENT)
+        tables.append(materialize(merged, "ctw_step"))
+    return tables
+
+
+def _give(steps: Steps, k: int):
+    def give(sent: pa.Table, got: pa.Table) -> pa.Table:
+        kind = np.int64 if sent.column("word")[0].as_py() else np.float32
+        known = np.concatenate([unpack_keys(x) for x in got.column("keys").to_pylist()])
+        value = np.concatenate([unpack(x, kind) for x in got.column("value").to_pylist()])
+        by = np.argsort(known)
+        return pa.table(replies(sent, steps, k, [unpack_keys(x) for x in sent.column("keys").to_pylist()], known[by], value[by]))
+
+    return give
+
+
+def hand_back(values: DataFrame, tables: list[DataFrame], steps: Steps) -> DataFrame:
+    """From the groups' replies to the last step, back to the chunks'."""
+    for k in range(steps.count - 1, 0, -1):
+        got = values.withColumnRenamed("child", "bundle").groupBy("word", "bundle", "shelf")
+        values = tables[k - 1].groupBy("word", "bundle", "shelf").cogroup(got).applyInArrow(_give(steps, k), REPLY)
+    return values
+
+
 def score(docs: DataFrame, work_dir: str, key: str = "doc_id", text: str = "text", depth: int = DEPTH, chunk: int = CHUNK,
-          docs_per_group: int = DOCS_PER_GROUP) -> DataFrame:
+          docs_per_group: int = DOCS_PER_GROUP, fan: int = FAN) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
     ``work_dir``: a folder in the shared store for the chunks' texts."""
-    if not TOP < depth <= 6:
+    if not 3 <= depth <= 6:
         raise ValueError("depth must be 3 to 6")
+    if fan < 2:
+        raise ValueError("fan must be 2 or more")
     spark = docs.sparkSession
     ship_package(spark)
+    top = min(TOP, depth - 1)
     src = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    groups = max(8, src.select("_key").count() // docs_per_group)
+    size = src.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("_text").cast("long")), F.lit(0)).alias("bytes")).first()
+    steps = Steps(max(8, size["rows"] // docs_per_group, size["bytes"] // chunk), fan)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -279,12 +376,11 @@ def score(docs: DataFrame, work_dir: str, key: str = "doc_id", text: str = "text
                     w.write_batch(b)
             keys, n = count(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))
             found = []
-            number = 2 * group_of(keys, groups, depth) + (keys < 0)
-            by = np.argsort(number, kind="stable")  # keys ascend within a number
-            parts = np.split(by, np.flatnonzero(np.diff(number[by])) + 1)
-            rows = [(name, bool(number[i[0]] & 1), int(number[i[0]] >> 1), pack_keys(keys[i]), pack(n[i])) for i in parts]
+            words = int(np.searchsorted(keys, 0))  # their keys are negative
+            rows = [(word, name, steps.bundle(name), *part) for word, mine in ((True, slice(0, words)), (False, slice(words, None)))
+                    for part in steps.deal(keys[mine], n[mine], 1, depth, top)]
             name, held, size, found = name + 1, [], 0, []
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["chunk", "word", "group", "keys", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["word", "child", "bundle", "shelf", "keys", "n"])
 
         for b in slices(batches, "_text", 1 << 20):
             held.append(b)
@@ -306,60 +402,51 @@ def score(docs: DataFrame, work_dir: str, key: str = "doc_id", text: str = "text
         if held:
             yield close()
 
-    rows = materialize(src.mapInArrow(collect, "chunk long, word boolean, group long, keys binary, n binary"), "ctw_rows")
-    grams, words = rows.where("NOT word").drop("word"), rows.where("word").drop("word")
-
-    def summed(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """(keys of each row, distinct keys of the group, their counts)."""
-        keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
-        n = [unpack(x, np.int64) for x in table.column("n").to_pylist()]
-        return keys, *count(np.concatenate(keys), np.concatenate(n))
+    tables = gather(materialize(src.mapInArrow(collect, SENT), "ctw_rows"), steps, depth, top)
+    grams, words = (tables[-1].where(c).withColumn("group", F.col("shelf")) for c in ("NOT word", "word"))
 
     def summarise(table: pa.Table) -> pa.Table:
         _, keys, n = summed(table)
-        found = [subtree(keys, n, depth, k)[:4] for k in range(8)]
+        found = [subtree(keys, n, depth, k, top)[:4] for k in range(8)]
         node, n0, n1, log_w = map(np.concatenate, zip(*found, strict=True))
-        return pa.table({"node": node >> 16 << 8 | node & 255, "n0": n0, "n1": n1, "below": log_w})
-
-    top = (grams.groupBy("group").applyInArrow(summarise, "node long, n0 double, n1 double, below double")
-           .groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).orderBy("node").collect())
-    columns = np.array([tuple(r)[1:] for r in top], float).reshape(-1, 3)
-    ups = spark.sparkContext.broadcast(above(np.array([r["node"] for r in top], np.int64), *columns.T))
+        up, at = np.unique(node >> 16 << 8 | node & 255, return_inverse=True)
+        sums = [pa.array(np.bincount(at, x, len(up))) for x in (n0, n1, log_w)]
+        return pa.table([pa.array(np.full(len(up), table.column("group")[0].as_py())), pa.array(up), *sums], ["group", "node", "n0", "n1", "below"])
 
-    def back(table: pa.Table, keys: list[np.ndarray], known: np.ndarray, value: np.ndarray, word: bool, total: tuple[int, int] = (0, 0)) -> pa.Table:
-        """The values of each row's keys; the group's totals stand on its first row."""
-        n = len(keys)
-        return pa.table({"chunk": table.column("chunk"), "word": pa.array([word] * n), "keys": table.column("keys"),
-                         "value": pa.array([pack(value[np.searchsorted(known, k)]) for k in keys], pa.binary()),
-                         "n": pa.array([total[0]] + [0] * (n - 1), pa.int64()), "v": pa.array([total[1]] + [0] * (n - 1), pa.int64())})
+    # a node of depth ``top`` is in as many groups as it has children, 256 at most
+    nodes = materialize(grams.groupBy("group").applyInArrow(summarise, "group long, node long, n0 double, n1 double, below double"), "ctw_nodes")
+    ups = above(nodes.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]), top)
+    ups = nodes.select("group", "node").join(ups, "node")
 
-    def weigh(table: pa.Table) -> pa.Table:
+    def weigh(table: pa.Table, up: pa.Table) -> pa.Table:
         rows, keys, n = summed(table)
-        known, share, left = ups.value
+        up = up.sort_by("node")
+        known, share, left = (up.column(c).to_numpy() for c in ("node", "share", "left"))
         logs = np.zeros(len(keys))
         for k in range(8):
-            node, _, _, _, one, place, leaf, bit = subtree(keys, n, depth, k)
+            node, _, _, _, one, place, leaf, bit = subtree(keys, n, depth, k, top)
             at = np.searchsorted(known, node >> 16 << 8 | node & 255)[place]
             one = share[at] + left[at] * one
             logs += np.where(bit, np.log10(one)[leaf], np.log10(1 - one)[leaf])
-        return back(table, rows, keys, logs.astype(np.float32), False)
+        return pa.table(replies(table, steps, steps.count, rows, keys, logs.astype(np.float32)))
 
     def total_words(table: pa.Table) -> pa.Table:
         rows, keys, n = summed(table)
-        return back(table, rows, keys, n, True, (int(n.sum()), int((n > 0).sum())))
+        rest = [0] * (len(rows) - 1)  # the group's totals stand on its first row
+        return pa.table({**replies(table, steps, steps.count, rows, keys, n), "n": pa.array([int(n.sum()), *rest], pa.int64()),
+                         "v": pa.array([int((n > 0).sum()), *rest], pa.int64())})
 
-    out = "chunk long, word boolean, keys binary, value binary, n long, v long"
-    word_values = materialize(words.groupBy("group").applyInArrow(total_words, out), "ctw_words")
+    word_values = materialize(words.groupBy("group").applyInArrow(total_words, REPLY + ", n long, v long"), "ctw_words")
     total = word_values.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_train, n_types = int(total["n"] or 0), int(total["v"] or 0)
-    values = grams.groupBy("group").applyInArrow(weigh, out).unionByName(word_values).drop("n", "v")
+    values = grams.groupBy("group").cogroup(ups.groupBy("group")).applyInArrow(weigh, REPLY).unionByName(word_values.drop("n", "v"))
     schema = src.select(F.col("_key").alias(key), F.lit(True).alias("held_out"), *[F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known", "train_tokens")],
                         F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score")).schema
 
     def rate(table: pa.Table) -> pa.Table:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        name = table.column("chunk")[0].as_py()
+        name = table.column("child")[0].as_py()
         parts: dict[bool, list] = {False: [], True: []}
         for word, keys, value in zip(*(table.column(c).to_pylist() for c in ("word", "keys", "value")), strict=True):
             parts[word].append((unpack_keys(keys), unpack(value, np.int64 if word else np.float32)))
@@ -384,4 +471,4 @@ def score(docs: DataFrame, work_dir: str, key: str = "doc_id", text: str = "text
                     pa.array(total[at[1:]] - total[at[:-1]])], schema=arrow))
         return pa.Table.from_batches(out, arrow)
 
-    return values.groupBy("chunk").applyInArrow(rate, schema)
+    return hand_back(values, tables, steps).groupBy("child").applyInArrow(rate, schema)

@@ -96,6 +96,39 @@ def test_edge_rows(spark, tmp_path, depth, chunk, group):
     agree(ctw.score(docs, str(tmp_path / "w"), depth=depth, chunk=chunk, docs_per_group=group).collect(), ROWS, depth)
 
 
+@pytest.mark.parametrize(("depth", "fan"), [(3, 2), (6, 3)])
+def test_chunks_that_meet_in_several_steps(spark, tmp_path, monkeypatch, depth, fan):
+    seen, gather = [], ctw.gather
+    monkeypatch.setattr(ctw, "gather", lambda *a: seen.append(gather(*a)) or seen[-1])
+    rows = [(k, f"{t or ''} {k}") for k, (_, t) in enumerate(ROWS * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    agree(ctw.score(docs, str(tmp_path / "w"), depth=depth, chunk=20, docs_per_group=2, fan=fan).collect(), rows, depth)
+    assert len(seen[0]) >= 3
+
+
+def sent(spark, work_dir, monkeypatch, rows, **more):
+    """Rows of every step, and the groups that grams with the nearest context ``aaa`` are in."""
+    seen, gather = [], ctw.gather
+    monkeypatch.setattr(ctw, "gather", lambda *a: seen.append(gather(*a)) or seen[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert ctw.score(docs, work_dir, **more).count() == len(rows)
+    monkeypatch.setattr(ctw, "gather", gather)
+    hot = 0
+    for r in seen[0][-1].where("NOT word").groupBy("shelf").agg(F.collect_list("keys").alias("keys")).collect():
+        hot += any((ctw.unpack_keys(bytes(k)) >> 8 * 4 == 0x616161).any() for k in r["keys"])
+    return [t.count() for t in seen[0]], hot
+
+
+def test_rows_between_steps_grow_with_the_input_and_a_hot_context_is_split(spark, tmp_path, monkeypatch):
+    text = "".join(f"{chr(33 + i)}aaa{chr(33 + i * 7 % 90)}" for i in range(90))
+    corpus = [(k, text) for k in range(256)]
+    small, hot = sent(spark, str(tmp_path / "a"), monkeypatch, corpus[:64], chunk=1000, docs_per_group=4, fan=4)
+    large, _ = sent(spark, str(tmp_path / "b"), monkeypatch, corpus, chunk=1000, docs_per_group=4, fan=4)
+    assert hot >= 12  # of 64 groups at most; the three bytes alone would be in one
+    assert max(large) <= 4 * 1.5 * max(small)  # chunks x groups would be 16 times as many
+    assert sum(large) <= 2 * 4 * len(large) * 256
+
+
 def test_empty_and_long(spark, tmp_path):
     key = next(k for k in range(9) if not held(k))
     docs = spark.createDataFrame([(key, "long words " * 100_000)], "doc_id long, text string")
