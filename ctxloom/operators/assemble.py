@@ -19,6 +19,7 @@ from ctxloom.session import materialize
 
 CHUNK_BYTES = 64 * 1024 * 1024
 
+DOCUMENT_COLUMNS = ("project_id", "chunk_no", "n_chunks", "n_bytes", "n_tokens", "n_fragments", "at_limit", "text")
 FRAGMENT_SCHEMA = "project_id string, section int, ord string, text string"
 
 
@@ -90,7 +91,22 @@ def documents(frags: DataFrame, chunk_bytes: int = CHUNK_BYTES, limits: DataFram
     running offset is over narrow rows, so text meets only the tasks of its own
     chunk.  Callers that reuse ``frags`` should write it first.
     """
-    narrow = frags.select("project_id", "section", "ord", F.octet_length("text").cast("bigint").alias("_n"))
+    placed, whole = place(frags.select("project_id", "section", "ord", F.octet_length("text").cast("bigint").alias("_n")), chunk_bytes, limits)
+    out = (frags.join(placed, ["project_id", "section", "ord"], "left")
+           .groupBy("project_id", F.coalesce("chunk_no", F.lit(0)).cast("int").alias("chunk_no")).agg(joined_text().alias("text"))
+           .join(whole, "project_id"))
+    return out.select(*DOCUMENT_COLUMNS)
+
+
+def joined_text() -> F.Column:
+    """A group's fragments in document order."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "ord", "text"))), lambda x: x["text"]), "")
+
+
+def place(narrow: DataFrame, chunk_bytes: int, limits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """From ``(project_id, section, ord, _n bytes)``: the chunk number of each
+    fragment of documents above a chunk (others are chunk 0), and a row a document
+    (``n_chunks, n_bytes, n_tokens, n_fragments, at_limit``); both are written."""
     sizes = narrow.groupBy("project_id").agg(F.sum("_n").alias("n_bytes"), F.count(F.lit(1)).alias("n_fragments"))
     # only documents above a chunk need offsets; written, so that Spark knows how small they are
     large = narrow.join(sizes.where(F.col("n_bytes") > chunk_bytes).select("project_id"), "project_id", "left_semi")
@@ -102,13 +118,8 @@ def documents(frags: DataFrame, chunk_bytes: int = CHUNK_BYTES, limits: DataFram
     whole = sizes.join(placed.groupBy("project_id").agg((F.max("chunk_no") + 1).alias("n_chunks")), "project_id", "left")
     whole = whole.withColumn("at_limit", F.lit(None).cast("boolean")) if limits is None else whole.join(
         limits.select("project_id", "at_limit"), "project_id", "left")
-    whole = materialize(whole, "document-sizes")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "ord", "text"))), lambda x: x["text"]), "")
-    out = (frags.join(placed, ["project_id", "section", "ord"], "left")
-           .groupBy("project_id", F.coalesce("chunk_no", F.lit(0)).cast("int").alias("chunk_no")).agg(text.alias("text"))
-           .join(whole, "project_id"))
-    return out.select("project_id", "chunk_no", F.coalesce("n_chunks", F.lit(1)).cast("int").alias("n_chunks"), "n_bytes",
-                      document_tokens(F.col("n_bytes")).alias("n_tokens"), "n_fragments", "at_limit", "text")
+    whole = whole.withColumn("n_chunks", F.coalesce("n_chunks", F.lit(1)).cast("int")).withColumn("n_tokens", document_tokens(F.col("n_bytes")))
+    return placed, materialize(whole, "document-sizes")
 
 
 def write_fragments(frags: DataFrame, path: str, mode: str = "overwrite") -> None:

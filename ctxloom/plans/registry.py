@@ -23,7 +23,7 @@ from ctxloom.operators import assemble, config, content, estimate, history, line
 from ctxloom.operators.lines import head_tail_text
 from ctxloom.plans import common as C
 from ctxloom.plans import sqlviews as V
-from ctxloom.sources import views
+from ctxloom.sources import document_store, views
 from ctxloom.session import materialize, scratch_path
 from ctxloom.sources.tables import table
 
@@ -549,6 +549,19 @@ def q_fragment_sink(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@register("incremental_sink", _chunks_sql(C.SMALL_CHUNK))
+def q_incremental_sink(spark, sf_dir):
+    """Documents kept on disk: a first version without the notes, then all files, of
+    which only the chunks that changed are joined and written (S6, A6)."""
+    store = scratch_path(spark, "tables", f"documents-{uuid.uuid4().hex[:12]}")
+    state = materialize(C.docs_selected_state(spark, sf_dir), "docs-state")
+    frags = materialize(_fragments(spark, sf_dir, state=state), "fragments")
+    limits = state.groupBy("project_id").agg((F.count(F.lit(1)) >= MAX_FILES).alias("at_limit"))
+    document_store.update(frags.where("NOT endswith(ord, '.md')"), store, C.SMALL_CHUNK, limits)
+    document_store.update(frags, store, C.SMALL_CHUNK, limits)
+    return document_store.documents(spark, store)
+
+
 # ------------------------------------------------------------ step 6: sizes
 REMOTES_SQL = f"""remotes AS (
   SELECT 'src' || CAST(page_id % 20 AS VARCHAR) AS project_id, url, {_html_text_sql('html')} AS content, page_id % 3 <> 0 AS include

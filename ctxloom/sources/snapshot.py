@@ -84,15 +84,15 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.set_column(at, b.schema.field(at), pa.array(out, pa.int64()))
 
 
-def latest_version(spark: SparkSession, store: str) -> int:
-    """Number of the last whole version; 0 without any."""
+def latest_version(spark: SparkSession, store: str, last: str = "entries") -> int:
+    """Number of the last whole version (``last`` is the part that is written last); 0 without any."""
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs
     path = fs.Path(store)
     system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not system.exists(path):
         return 0
     names = [s.getPath().getName() for s in system.listStatus(path)]
-    whole = [int(n[2:]) for n in names if n.startswith("v=") and system.exists(fs.Path(f"{store}/{n}/entries/_SUCCESS"))]
+    whole = [int(n[2:]) for n in names if n.startswith("v=") and system.exists(fs.Path(f"{store}/{n}/{last}/_SUCCESS"))]
     return max(whole, default=0)
 
 
