@@ -169,7 +169,8 @@ def read(spark: SparkSession, index: DataFrame, key: str = "page_id", with_paylo
     A response's digest is computed from its payload, and must be the one it states."""
     ship_package(spark)
     kind = index.schema[key].dataType
-    spread = index.select("archive", "frame", "offset").repartition("archive", "frame").sortWithinPartitions("archive", "frame", "offset")
+    # ranges of bundles and frames: a task opens the few bundles that its range covers
+    spread = index.select("archive", "frame", "offset").repartitionByRange("archive", "frame").sortWithinPartitions("archive", "frame", "offset")
     none = F.lit(None)
     columns = [none.cast(kind).alias(key), F.lit(0).cast("long").alias("payload_bytes"), F.lit("").alias("payload_digest"), F.lit("").alias("record_type"),
                none.cast(kind).alias("refers_to"), F.lit("").alias("record_id"), none.cast("string").alias("target_uri")]
