@@ -23,8 +23,9 @@ How it is spread:
 2. Chunks and groups meet in steps (``Steps``).  A step sums the keys of at most
    ``FAN`` bundles of chunks for one remainder of the group, and deals the sums
    over ``FAN`` finer remainders, until a bundle is all chunks and a remainder is
-   one group.  So a chunk costs ``FAN`` rows a step, whatever the corpus, and no
-   task sees more rows than that for a sender's share of the data.
+   one group.  So a sender costs at most ``FAN`` rows for grams and as many for
+   words in a step, whatever the corpus.  Bundles are planned for whole chunks: an
+   input of many small partitions has more chunks in a bundle, each a smaller one.
 3. A group weighs its subtrees, which begin at depth 4, and names its nodes of
    depth 3.  Their sums over all groups and the levels above are a table a level:
    own estimates, then a sum by parent upward, a join with the parent downward.
