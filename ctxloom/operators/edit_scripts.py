@@ -39,6 +39,8 @@ from ctxloom.session import materialize, ship_package
 ADD, FORGET, CLEAR = 0, 1, 2
 #: Runs of one user that a task composes at a time.
 FAN = 64
+#: Bytes of lists that a task has as Python objects at a time, about (one user may have more).
+PIECE = 1 << 20
 SCRIPT = ("_run long, _edge boolean, cleared boolean, touches array<struct<command:string,peak:int>>, peak int, "
           "front array<struct<command:string,ts:bigint,seq:bigint>>, first_ts bigint, last_ts bigint")
 _COLUMNS = ["cleared", "touches", "peak", "front", "first_ts", "last_ts"]
@@ -143,6 +145,21 @@ def edits(uses: DataFrame, forgets: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` halved until a piece has ``PIECE`` bytes at most or is one row."""
+    if batch.num_rows > 1 and batch.nbytes > PIECE:
+        half = batch.num_rows // 2
+        yield from _pieces(batch.slice(0, half))
+        yield from _pieces(batch.slice(half))
+    else:
+        yield batch
+
+
+def _size(s: Script) -> int:
+    """About the bytes of a script's row."""
+    return sum(len(t[0]) + 16 for t in s.touches) + sum(len(e[0]) + 24 for e in s.front)
+
+
 def _runs(cap: int, ttl: int | None):
     """Sorted edits of a task to one script a user; the first and the last user may go on in other tasks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,12 +170,14 @@ def _runs(cap: int, ttl: int | None):
         part, kind = TaskContext.get().partitionId(), pa.int64()
         users: list = []
         found: list[Script] = []
+        held = 0
 
         def events():
             nonlocal kind
             for b in batches:
                 kind = b.schema.field(0).type
-                yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+                for p in _pieces(b):
+                    yield from zip(*(c.to_pylist() for c in p.columns), strict=True)
 
         def out(first: bool, last: bool) -> pa.RecordBatch:
             n = len(users)
@@ -168,11 +187,12 @@ def _runs(cap: int, ttl: int | None):
 
         first = True
         for user, rows in groupby(events(), key=lambda r: r[0]):
-            if len(users) >= 1000:
+            if len(users) >= 1000 or held > PIECE:
                 yield out(first, False)
-                first, users, found = False, [], []
+                first, users, found, held = False, [], [], 0
             users.append(user)
             found.append(script((r[1:] for r in rows), cap, ttl))
+            held += _size(found[-1])
         if users:
             yield out(first, True)
     return run
@@ -232,13 +252,13 @@ def applied(lists: DataFrame, cap: int, ttl: int | None = None) -> DataFrame:
     user = f"user_id {lists.schema['user_id'].dataType.simpleString()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = b.to_pylist()
+        for p in (p for b in batches for p in _pieces(b)):
+            rows = p.to_pylist()
             new = []
             for r in rows:
                 old = [(e["command"], e["ts"], e["seq"]) for e in r["old"] or []]
                 new.append(Script(front=apply_script(old, r["old_ts"], _read(r), cap, ttl)))
-            yield pa.RecordBatch.from_arrays([b.column(0), _arrays(new)[3], pa.array([r["last_ts"] for r in rows], pa.int64())], ["user_id", "entries", "last_ts"])
+            yield pa.RecordBatch.from_arrays([p.column(0), _arrays(new)[3], p.column("last_ts")], ["user_id", "entries", "last_ts"])
 
     return lists.select("user_id", *_COLUMNS, "old", "old_ts").mapInArrow(
         run, f"{user}, entries array<struct<command:string,ts:bigint,seq:bigint>>, last_ts bigint")

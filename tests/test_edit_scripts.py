@@ -1,11 +1,16 @@
 """Scripts of edits: what they do, that they compose, and one user over many tasks."""
 
 import random
+import tracemalloc
+import types
 
+import pyarrow as pa
+import pyspark
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ctxloom.operators import edit_scripts as es
 from ctxloom.operators import history
@@ -113,3 +118,55 @@ def test_equal_times_are_settled_by_kind_and_command(spark):
     plain = history.recent_commands(uses.where("user_id = 1"), 3).orderBy("rank").collect()
     assert [r.command for r in plain] == ["b", "a"]
     assert history.recent_commands(uses.limit(0), 3, uses.limit(0)).count() == 0
+
+
+class Lists:
+    """Stands for the rows of ``applied``: gives back what its tasks run."""
+    schema = {"user_id": types.SimpleNamespace(dataType=LongType())}
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def traced(batches):
+    """Rows that come out, and the MB of Python objects that were held for them (Arrow's own memory apart)."""
+    tables = []
+    tracemalloc.start()
+    for b in batches:
+        tables.append(b)
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return pa.Table.from_batches(tables), most
+
+
+def script_rows(users, commands, width):
+    found = [es.script(iter([(es.FORGET if j % 5 == 4 else es.ADD, f"u{u} c{j}".ljust(width), j, j) for j in range(commands)]), 50) for u in range(users)]
+    old = es._arrays([es.Script(front=[(f"u{u} c{j * 2}".ljust(width), -j, -j) for j in range(50)]) for u in range(users)])[3]
+    names = ["user_id", *es._COLUMNS, "old", "old_ts"]
+    return pa.RecordBatch.from_arrays([pa.array(range(users), pa.int64()), *es._arrays(found), old, pa.array([0] * users, pa.int64())], names)
+
+
+@pytest.mark.parametrize("users, commands, width", [(1200, 60, 10), (300, 40, 1000)])
+def test_lists_of_a_batch_are_python_objects_a_piece_at_a_time(users, commands, width):
+    b = script_rows(users, commands, width)
+    out, most = traced(es.applied(Lists(), 50)(iter([b, b.slice(0, 0), b.slice(7, 3)])))
+    assert most < 20  # all rows at once: over 50 MB
+    want = [[{"command": c, "ts": t, "seq": q} for c, t, q in es.apply_script([tuple(e.values()) for e in r["old"]], 0, es._read(r), 50)] for r in b.to_pylist()]
+    assert out.column("entries").to_pylist() == want + want[7:10]
+    assert out.column("user_id").to_pylist() == [*range(users), 7, 8, 9] and set(out.column("last_ts").to_pylist()) == {commands - 1}
+
+
+@pytest.mark.parametrize("piece", [1, es.PIECE])
+def test_scripts_leave_a_task_a_piece_at_a_time(monkeypatch, piece):
+    monkeypatch.setattr(pyspark, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 3)))
+    monkeypatch.setattr(es, "PIECE", piece)
+    rows = [(u, es.ADD, f"u{u} c{j}".ljust(3000), j, j) for u in range(200) for j in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["user_id", "_kind", "command", "ts", "seq"])
+    out, most = traced(es._runs(50, None)(iter([batch.slice(i, 1000) for i in range(0, len(rows), 1000)])))
+    assert most < 15  # the task's commands are 24 MB
+    assert out.column("user_id").to_pylist() == [*range(200)] and set(out.column("_run").to_pylist()) == {3}
+    assert out.column("_edge").to_pylist() == [True, *[False] * 198, True]
+    assert all([e["command"].strip() for e in r["front"]] == [f"u{r['user_id']} c{j}" for j in reversed(range(40))] for r in out.to_pylist())
